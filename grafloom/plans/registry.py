@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from grafloom.plans import evaluation, extensions, graph, operations, retrieval, streams, texts
+
+MODULES = (texts, retrieval, graph, operations, evaluation, streams, extensions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+    return {name: f for m in MODULES for name, f in m.BOOK.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
+    return {name: sql for m in MODULES for name, sql in m.BOOK.sql.items()}

@@ -11,7 +11,10 @@ from grafloom.plans.book import Book, table
 
 BOOK = Book()
 NOW = "TIMESTAMP '2024-01-15 00:00:00'"
-now = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+
+
+def now():
+    return F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
 
 
 @BOOK.add("SELECT doc_id AS chunk_id, sha256(text) AS body, 'old' AS origin FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 2 = 0 UNION ALL SELECT doc_id, sha256(upper(lang)), 'new' FROM documents WHERE doc_id % 3 = 0")
@@ -69,14 +72,14 @@ def registry_lookup(spark: SparkSession, d: str) -> DataFrame:
 def cache(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").withColumnRenamed("embedding", "vector")
     items = table(spark, d, "benchmark")
-    return items.join(v, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("id"), F.sha2("text", 256).alias("query_hash"), "vector", F.when(F.col("item_id") % 4 == 0, now - F.expr("INTERVAL 1 HOUR")).otherwise(now + F.expr("INTERVAL 1 DAY")).alias("expires_at"), F.lit("m").alias("model_name"), F.lit("legal-answer-v1").alias("prompt_version"), F.lit(1).cast("long").alias("hit_count"))
+    return items.join(v, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("id"), F.sha2("text", 256).alias("query_hash"), "vector", F.when(F.col("item_id") % 4 == 0, now() - F.expr("INTERVAL 1 HOUR")).otherwise(now() + F.expr("INTERVAL 1 DAY")).alias("expires_at"), F.lit("m").alias("model_name"), F.lit("legal-answer-v1").alias("prompt_version"), F.lit(1).cast("long").alias("hit_count"))
 
 
 @BOOK.add("WITH act AS (SELECT item_id AS id, text, embedding FROM benchmark JOIN embeddings ON vec_id = item_id WHERE item_id % 4 <> 0), q AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN text ELSE text || '?' END AS text, embedding FROM benchmark JOIN embeddings ON vec_id = item_id), n AS (SELECT query_id, arg_min(id, [-round(s, 9), id::DOUBLE]) AS id, max(s) AS s FROM (SELECT q.query_id, act.id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(act.embedding AS DOUBLE[])) AS s FROM q, act WHERE NOT EXISTS (SELECT 1 FROM act a WHERE a.text = q.text)) GROUP BY query_id) SELECT q.query_id, coalesce(e.id, CASE WHEN n.s >= 0.96 THEN n.id END) AS cache_id, CASE WHEN e.id IS NOT NULL THEN 'exact' WHEN n.s >= 0.96 THEN 'semantic' ELSE 'miss' END AS kind FROM q LEFT JOIN (SELECT text, min(id) AS id FROM act GROUP BY text) e ON e.text = q.text LEFT JOIN n ON n.query_id = q.query_id")
 def cache_lookup(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").withColumnRenamed("embedding", "vector")
     asked = table(spark, d, "benchmark").join(v, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.sha2(F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit("?"))), 256).alias("query_hash"), "vector")
-    return merge.cache_lookup(asked, cache(spark, d), now, "m", "legal-answer-v1").select("query_id", "cache_id", "kind")
+    return merge.cache_lookup(asked, cache(spark, d), now(), "m", "legal-answer-v1").select("query_id", "cache_id", "kind")
 
 
 @BOOK.add("SELECT coalesce(o.doc_id, n.doc_id) AS id, coalesce(n.lang, o.lang) AS answer, coalesce(o.n_chars, 0) AS hit_count FROM (SELECT * FROM documents WHERE doc_id % 2 = 0) o FULL JOIN (SELECT doc_id, 'new ' || lang AS lang FROM documents WHERE doc_id % 3 = 0) n ON o.doc_id = n.doc_id")
@@ -96,8 +99,8 @@ def cache_hits(spark: SparkSession, d: str) -> DataFrame:
 @BOOK.add(f"SELECT event_id AS id, CASE WHEN event_type = 'error' THEN {NOW} ELSE ts END AS expires_at FROM events WHERE CASE WHEN event_type = 'error' THEN {NOW} ELSE ts END >= {NOW} - INTERVAL 7 DAY")
 def cache_retention(spark: SparkSession, d: str) -> DataFrame:
     """Entries that were called invalid end now; those that ended over seven days ago go."""
-    ends = F.when(F.col("event_type") == "error", now).otherwise(F.col("ts"))
-    return table(spark, d, "events").select(F.col("event_id").alias("id"), ends.alias("expires_at")).filter(F.col("expires_at") >= now - F.expr("INTERVAL 7 DAYS"))
+    ends = F.when(F.col("event_type") == "error", now()).otherwise(F.col("ts"))
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), ends.alias("expires_at")).filter(F.col("expires_at") >= now() - F.expr("INTERVAL 7 DAYS"))
 
 
 @BOOK.add()

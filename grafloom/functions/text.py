@@ -173,3 +173,14 @@ def cascade(c: Column, rules: tuple[tuple[tuple[str, ...], str], ...], otherwise
         hit = functools.reduce(lambda a, b: a | b, (F.contains(c, F.lit(w)) for w in words))
         out = F.when(hit, value) if out is None else out.when(hit, value)
     return out.otherwise(otherwise)
+
+
+def smart_title(lines: Column, fallback: Column) -> Column:
+    """Up to three of the first twelve lines, before a preamble, chapter or article; shouting is set in title case."""
+    stops = r"(?iu)^(Căn cứ|Theo đề nghị|Quốc hội ban hành|Chính phủ ban hành)"
+    first = F.slice(lines, 1, 12)
+    stop = F.array_position(F.transform(first, lambda x: ~is_separator(x) & (x.rlike(stops) | x.rlike(CHAPTER) | x.rlike(ARTICLE))), True)
+    before = F.when(stop > 0, F.slice(first, F.lit(1), (stop - 1).cast("int"))).otherwise(first)
+    joined = normalize_space(F.array_join(F.slice(F.filter(before, lambda x: ~is_separator(x)), 1, 3), " "))
+    title = F.coalesce(F.nullif(joined, F.lit("")), F.replace(fallback, F.lit("-"), F.lit(" ")))
+    return F.when(uppercase_ratio(title) > 0.85, F.initcap(title)).otherwise(title)

@@ -54,3 +54,30 @@ def law_sections(docs: DataFrame, article: str, clause: str, limit: int = 5500,
 
 def embedding_text(title: Column, path: Column, text: Column) -> Column:
     return F.concat_ws("\n", title, path, text)
+
+
+def node_chunks(nodes: DataFrame) -> DataFrame:
+    """Chunks of graph nodes (node_id, doc_id, node_type, label, path_label, ordinal, text), by what the node is:
+    (chunk_id, doc_id, node_id, chunk_type, title, citation, text, token_count, ordinal).
+
+    Long articles give sliding windows besides.  Texts of fewer than four tokens give none, but keep their ordinal,
+    which follows the order of nodes in their document.
+    """
+    from pyspark.sql import Window
+
+    from grafloom.functions.text import slugify, token_count
+
+    kinds = {"Chương": "structure", "Mục": "structure", "VănBản": "document_intro", "Điều": "article", "Khoản": "clause", "Điểm": "point"}
+    kind = None
+    for name, value in kinds.items():
+        kind = F.when(F.col("node_type") == name, value) if kind is None else kind.when(F.col("node_type") == name, value)
+    text = F.coalesce(F.nullif("text", F.lit("")), "label")
+    words = F.filter(F.split(normalize_space(text), " "), lambda w: w != "")
+    long = (F.col("node_type") == "Điều") & (token_count(text) > SINGLE)
+    starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1, F.lit(STEP)), lambda s: F.size(words) - s >= TAIL)
+    windows = F.when(long, F.transform(starts, lambda s: F.struct(F.lit("sliding").alias("chunk_type"), F.array_join(F.slice(words, s + 1, F.lit(WINDOW)), " ").alias("text"))))
+    first = F.array(F.struct(kind.otherwise("semantic").alias("chunk_type"), normalize_space(text).alias("text")))
+    rows = nodes.filter("doc_id is not null").select("doc_id", "node_id", F.col("label").alias("title"), F.col("path_label").alias("citation"), F.col("ordinal").alias("o"), F.posexplode(F.concat(first, F.coalesce(windows, F.slice(first, 1, 0)))).alias("k", "c"))
+    rows = rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id").orderBy("o", "node_id", "k")) - 1)
+    out = rows.select("doc_id", "node_id", "c.chunk_type", "title", "citation", "c.text", token_count(F.col("c.text")).alias("token_count"), "ordinal").filter("token_count >= 4")
+    return out.withColumn("chunk_id", F.concat_ws(":", F.lit("chunk"), "doc_id", slugify(F.col("node_id")), "chunk_type", "ordinal"))

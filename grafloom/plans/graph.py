@@ -103,6 +103,15 @@ def graph_stats(spark: SparkSession, d: str) -> DataFrame:
     return edges(spark, d).select("source", "rel").unionByName(up).groupBy("rel").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("sources"))
 
 
+@BOOK.add()
+def citations(spark: SparkSession, d: str) -> DataFrame:
+    """References between articles of the law-like documents, to each of which a reference is added by id."""
+    nodes = structure.parse(law_lines(spark, d))[0]
+    named = F.concat(F.lit("theo khoản "), (F.crc32("node_id") % 9 + 1).cast("string"), F.lit(" Điều "), (F.crc32("node_id") % 5 * 3 + 2).cast("string"))
+    guides = nodes.select("doc_id").distinct().select("doc_id", (F.floor(F.col("doc_id").cast("long") / 2)).cast("string").alias("target"))
+    return structure.citations(nodes.withColumn("text", F.concat_ws(" ", "text", named)), guides)
+
+
 @BOOK.add()
 def life_cycles(spark: SparkSession, d: str) -> DataFrame:
     return rules.stages(spark)[1]

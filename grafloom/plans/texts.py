@@ -281,3 +281,9 @@ def html_extract(spark: SparkSession, d: str) -> DataFrame:
 def extractor_dispatch(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages")
     return pages.select("page_id", files.extractor(F.lit(""), F.lower("url")).alias("kind"), (F.length("html") >= 500).alias("long_enough"))
+
+
+@BOOK.add(f"SELECT doc_id, md5(lower({NORM.format("array_to_string(list_slice(list_filter(list_slice(string_split(text, chr(10)), 1, 12), lambda x: NOT regexp_full_match(x, '[_=\\-\\s.]{3,}')), 1, 3), ' ')")})) AS title_md5 FROM documents")
+def doc_titles(spark: SparkSession, d: str) -> DataFrame:
+    title = X.smart_title(F.split("text", "\n"), F.col("source"))
+    return table(spark, d, "documents").select("doc_id", F.md5(F.lower(title)).alias("title_md5"))

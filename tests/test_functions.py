@@ -122,3 +122,8 @@ def test_other_sources(spark, tmp_path):
     assert blob.select(files.blob_vector(F.col("b"))).first()[0] == [0.5, -1.0]
     assert values(spark, files.extractor(F.lit(""), F.col("t")), ["a.pdf", "a.docx", "a"]) == ["pdf", "docx", "html"]
     assert values(spark, files.text_lines(F.col("t")), [" a  b \n---\n\nc"]) == [["a b", "c"]]
+
+
+def test_smart_titles(spark):
+    lines = ["BỘ LUẬT\n-----\nLAO ĐỘNG\nCăn cứ Hiến pháp\nx", "Điều 1. A", "một\nhai\nba\nbốn"]
+    assert values(spark, X.smart_title(F.split("t", "\n"), F.lit("ten-tep")), lines) == ["Bộ Luật Lao Động", "ten tep", "một hai ba"]

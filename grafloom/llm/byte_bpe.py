@@ -26,11 +26,13 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from grafloom.llm.shared import flat, steps
+from grafloom.llm.shared import flat, steps, worker_model
 
 #: Pieces and transducer states that a worker remembers; each cache is emptied when it is full.
-CACHE = 300_000
-STATES = 60_000
+CACHE = 200_000
+STATES = 20_000
+#: Borders of two tokens whose fit is remembered.
+BORDERS = 400_000
 #: Longest piece in bytes that is encoded together with others.
 TOGETHER = 64
 
@@ -111,7 +113,7 @@ class Transducer:
                 self.token[at] = r
         self.odd = {w: (r,) for r, w in enumerate(merges.vocab) if w and not merges.whole[r]}
         self.border: dict[int, bool] = {}
-        self.table = np.zeros((len(self.children), 256), np.int32)
+        self.table = np.zeros((len(self.children), 256), np.uint16 if len(self.children) < 1 << 16 else np.int32)
         for node, below in enumerate(self.children):
             for byte, nxt in below.items():
                 self.table[node, byte] = nxt
@@ -131,7 +133,7 @@ class Transducer:
         key = p * len(self.token) + t
         ok = self.border.get(key)
         if ok is None:
-            if len(self.border) > 1_000_000:
+            if len(self.border) > BORDERS:
                 self.border.clear()
             ok = self.border[key] = self.m.fits(p, t)
         return ok
@@ -185,7 +187,7 @@ class Transducer:
         for i in range(int(size.max(initial=0))):
             on = size[piece] > i
             piece, since = piece[on], since[on]
-            node = self.table[node[on], raw[a[piece] + i]]
+            node = self.table[node[on], raw[a[piece] + i]].astype(np.int64)
             on = node > 0
             piece, since, node = piece[on], since[on], node[on]
             t = self.tokens[node]
@@ -367,13 +369,8 @@ class StreamDecoder:
             raise ValueError("the ids end within a character")
 
 
-_LOADED: dict[str, Codec] = {}
-
-
 def load(path: str) -> Codec:
-    if path not in _LOADED:
-        _LOADED[path] = Codec(path)
-    return _LOADED[path]
+    return worker_model(("byte_bpe", path), lambda: Codec(path))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

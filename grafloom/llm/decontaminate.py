@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grafloom.llm.shared import flat, steps
+from grafloom.llm.shared import flat, release_model, steps
 
 BLOCK_BYTES = 8 << 20
 #: Words in a shingle; shorter windows are one shingle.
@@ -113,6 +113,7 @@ def counted(docs: DataFrame, wanted: list) -> dict[tuple[int, int], int]:
 
         from grafloom.llm.hashing import LETTERS, Words
 
+        release_model()
         keys = sent.value
         sums = {g: np.zeros(len(k), np.int64) for g, k in keys}
         for part in steps(batches, "t"):
@@ -201,6 +202,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "
     sent = prepared(source, benchmark, size, item_col, item_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_model()
         for part in steps(batches, "t"):
             n, hit, items = hits(*flat(part.column("t")), sent)
             yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(n), pa.array(hit), pa.array(items, pa.list_(pa.string()))], names=[id_col, "n_words", "n_hit", "items"])
@@ -215,6 +217,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_co
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_model()
         for part in steps(batches, f"c{at}"):
             _, hit, _ = hits(*flat(part.column(at)), sent)
             yield part.filter(pa.array(hit == 0))

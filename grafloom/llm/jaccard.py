@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grafloom.llm.components import components
-from grafloom.llm.shared import flat, ints, materialize, steps, task_count
+from grafloom.llm.shared import flat, ints, materialize, release_model, steps, task_count
 
 SHINGLE = 5
 SKETCH = 64
@@ -89,6 +89,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        release_model()
         flips, factors = seeds()
         for part in steps(batches, "t"):
             h, owner, one, two, n = shingles(part)
@@ -117,6 +118,7 @@ def split(sets: DataFrame, threshold: float, runs: int) -> DataFrame:
 
         from grafloom.llm.hashing import mix
 
+        release_model()
         chance = np.uint64(int((1 << 64) / (threshold * SKETCH)))
         places = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) + np.uint64(0xA5A5A5A5 << 16))
         for batch in batches:
@@ -199,6 +201,7 @@ def forests(members: DataFrame, least_equal: int) -> DataFrame:
 
         from grafloom.llm.hashing import ragged
 
+        release_model()
         for table in groups(batches, "path", "x", "y"):
             table = table.combine_chunks()
             cut = bounds_of(table, "path", "x", "y")
@@ -276,6 +279,7 @@ def verified(docs: DataFrame, groups_of: DataFrame, threshold: float) -> DataFra
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        release_model()
         for part in steps(batches, "t"):
             h, owner, *_ = shingles(part)
             cut = np.searchsorted(owner, np.arange(part.num_rows + 1))
@@ -286,6 +290,7 @@ def verified(docs: DataFrame, groups_of: DataFrame, threshold: float) -> DataFra
         import numpy as np
         import pandas as pd
 
+        release_model()
         for table in groups(batches, "grp", "x", "y"):
             table = table.combine_chunks()
             cut = bounds_of(table, "grp", "x", "y")

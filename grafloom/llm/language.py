@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grafloom.llm.shared import flat, steps
+from grafloom.llm.shared import flat, release_model, steps
 
 #: Labelled rows of each language that classifiers are fitted on.
 SAMPLE = 2000
@@ -197,6 +197,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("r", "k"))).filter(F.col("n") <= sample).drop("n", "r", "k")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_model()
         sums = np.zeros((len(languages), BUCKETS), np.float64)
         kept: list[tuple[int, bytes]] = []
         at = {x: k for k, x in enumerate(languages)}
@@ -233,6 +234,7 @@ def languages(docs: DataFrame, model: Model | Nothing, id_col: str = "doc_id", t
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x bits floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_model()
         for part in steps(batches, "t"):
             names, score, unclear = sent.value.predict(part, "t")
             yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(names, pa.string()), pa.array(score), pa.array(unclear)], names=[id_col, "lang_pred", "score", "ambiguous"])
@@ -247,6 +249,7 @@ def known_language(docs: DataFrame, model: Model | Nothing, text_col: str = "tex
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_model()
         for part in steps(batches, f"c{at}"):
             names, score, _ = sent.value.predict(part, at)
             yield part.filter(pa.array([x != "und" and s >= least for x, s in zip(names, score.tolist())], pa.bool_()))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grafloom.llm.shared import flat, ints, materialize, steps, task_count
+from grafloom.llm.shared import flat, ints, materialize, release_model, steps, task_count
 
 SHARD_KEYS = 1 << 15
 SALTS = 8
@@ -148,6 +148,7 @@ def line_hashes(docs: DataFrame, least: int, id_col: str, text_col: str) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        release_model()
         for part in steps(batches, "t"):
             raw, offsets = flat(part.column("t"))
             start, end, of, _ = split_lines(raw, offsets)
@@ -189,6 +190,7 @@ def lines_to_drop(docs: DataFrame, least: int, documents: int, id_col: str, text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        release_model()
         at, shard = None, None
         for batch in batches:
             shards_, salts, kind = (ints(batch.column(c)) for c in ("shard", "salt", "kind"))
@@ -227,6 +229,7 @@ def drop_lines(docs: DataFrame, least: int = 20, documents: int = 3, id_col: str
 
         from grafloom.llm.hashing import mix
 
+        release_model()
         for part in steps(batches, f"c{text_at}"):
             text = part.column(text_at)
             raw, offsets = flat(text)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grafloom.llm.shared import flat, steps
+from grafloom.llm.shared import flat, steps, worker_model
 
 #: Tokens that a task holds before it packs them.
 WINDOW = 4_000_000
@@ -119,8 +119,6 @@ class Encoder:
         return every[ragged((np.cumsum(size) - size)[codes], size[codes])], np.append(0, np.cumsum(size[codes]))[np.searchsorted(start, heads)]
 
 
-_LOADED: dict[str, Encoder] = {}
-
 SCHEMA = "pack_id long, n_tokens int, ids binary, doc_ids array<long>, doc_offsets array<int>, cu_seqlens array<int>, position_resets array<int>"
 
 
@@ -132,9 +130,7 @@ def packed(docs: DataFrame, vocabulary: str, capacity: int = 2048, pad: int = 50
         import numpy as np
         from pyspark import TaskContext
 
-        if vocabulary not in _LOADED:
-            _LOADED[vocabulary] = Encoder(vocabulary)
-        encoder, serial = _LOADED[vocabulary], TaskContext.get().partitionId() << 33
+        encoder, serial = worker_model(("packing", vocabulary), lambda: Encoder(vocabulary)), TaskContext.get().partitionId() << 33
         held: list = []
         tokens = 0
 

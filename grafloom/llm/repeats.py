@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grafloom.llm.shared import flat, ints, materialize, steps
+from grafloom.llm.shared import flat, ints, materialize, release_model, steps
 
 SHORTEST = 16
 
@@ -71,6 +71,7 @@ def anchor_rows(docs: DataFrame, window: int, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        release_model()
         for part in steps(batches, "t"):
             words = of_texts(part)
             _, where, least = anchors(words, words.hashes(), window, length)
@@ -92,6 +93,7 @@ def extended(docs: DataFrame, places: DataFrame, window: int, base: int, length:
 
         from grafloom.llm.hashing import Sums
 
+        release_model()
         for part in steps(batches, "t"):
             words = of_texts(part)
             one = words.hashes(0)
@@ -147,6 +149,7 @@ def without_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
 
         from grafloom.llm.hashing import ragged
 
+        release_model()
         for part in steps(batches, "t"):
             words = of_texts(part)
             n = len(words.start)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step works on; a single longer text is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -84,3 +84,28 @@ def ints(array: pa.Array, null: int = 0):
     import pyarrow.compute as pc
 
     return pc.fill_null(array, null).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+_MODEL: dict = {}
+
+
+def worker_model(key, make):
+    """``make()``, kept by this Python worker until another operator's task runs in it; one is held at a time."""
+    if key not in _MODEL:
+        release_model()
+        _MODEL[key] = make()
+    return _MODEL[key]
+
+
+def release_model() -> None:
+    """Gives back what an operator that ran in this worker before has held."""
+    if _MODEL:
+        import ctypes
+        import gc
+
+        _MODEL.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # a C library without it keeps the memory for itself
+            pass

@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from grafloom.llm.shared import lengths, steps
+from grafloom.llm.shared import lengths, steps, worker_model
 
 #: Pre-tokens whose counts a worker remembers; the cache is emptied when it is full.
-CACHE = 400_000
+CACHE = 300_000
 
 
 def byte_names() -> list[str]:
@@ -145,13 +145,8 @@ class WordBpe:
         return totals.tolist()
 
 
-_LOADED: dict[str, WordBpe] = {}
-
-
 def load(path: str) -> WordBpe:
-    if path not in _LOADED:
-        _LOADED[path] = WordBpe(path)
-    return _LOADED[path]
+    return worker_model(("word_bpe", path), lambda: WordBpe(path))
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

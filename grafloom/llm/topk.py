@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grafloom.llm.shared import materialize
+from grafloom.llm.shared import materialize, release_model
 
 #: Vectors in a shard, queries in a block.
 SHARD = 8192
@@ -57,6 +57,7 @@ def blocks(vectors: DataFrame, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        release_model()
         held: dict[int, list] = {}
 
         def out(dim):
@@ -155,6 +156,7 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        release_model()
         for batch in batches:
             for r in range(batch.num_rows):
                 b, dim, ids, kind, v, qids, qkind, qv = (batch.column(c)[r].as_py() for c in ("b", "dim", "ids", "kind", "v", "qids", "qkind", "qv"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grafloom.functions.text import TOKEN, token_count
+from grafloom.sources.shared import kept
 
 K1, B = 1.5, 0.75
 
@@ -49,15 +50,17 @@ def bm25(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text: Column
     """(query, id, score) of all documents that hold a term of a question; ``terms`` is (query, term), distinct and a
     broadcast side where it is small."""
     text = F.col("text") if text is None else text
+    few = is_small(terms)
     wanted = terms.select("term").distinct()
-    tf = exploded(docs, id_col, text).join(F.broadcast(wanted) if is_small(terms) else wanted, "term", "left_semi").groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # Matches are counted once and then used three times: for document frequencies, weights and lengths.
+    tf = kept(exploded(docs, id_col, text).join(F.broadcast(wanted) if few else wanted, "term", "left_semi").groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
     dl = lengths(docs, id_col, text)
     stats = F.broadcast(corpus_stats(dl))  # one row
     df = document_frequency(tf)  # as many rows at most as the questions have terms
-    scored = tf.join(df, "term").join(dl, id_col).join(stats)
+    scored = tf.join(F.broadcast(df) if few else df, "term").join(dl, id_col).join(stats)
     weight = idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))
     scored = scored.select(id_col, "term", weight.alias("w"))
-    return scored.join(terms, "term").groupBy(query_col, id_col).agg(F.sum("w").alias("score"))
+    return scored.join(F.broadcast(terms) if few else terms, "term").groupBy(query_col, id_col).agg(F.sum("w").alias("score"))
 
 
 def is_small(df: DataFrame, rows: int = 100_000) -> bool:

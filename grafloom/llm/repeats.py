@@ -1,19 +1,26 @@
 """Operator 5: passages that repeat across documents, by level-wise doubling of repeated windows.
 
-Level lengths are ``window`` halved while it stays above ``SHORTEST`` words, the shortest first.  At the first level
-not every window of that length is counted, but the one with the least hash of all that lie within each window of full
-length (its anchor): equal full windows have equal anchors, so a full window can only repeat if its anchor does, and a
-small share of the positions stands for all.  At each further level the places whose window repeated at the level
-before are extended to twice the length, hashed from the texts (128 bits), and counted; places whose window is in one
-document alone drop out.  At full length, each window's smallest document id decides: in all other documents the words
-it covers go.  Levels end early when no candidates survive.
+Level lengths are ``window`` halved while it stays at ``SHORTEST`` words or more, the shortest first.
+
+1. At the first level not every window of that length is counted, but the one with the least hash of all that lie
+   within each window of full length (its anchor): equal full windows have equal anchors, so a full window can only
+   repeat if its anchor does, and a small share of the positions stands for all.  An anchor stands for a run of full
+   windows, and is counted with the hash of all words that these cover.
+2. Anchors that are in one document alone drop out.  Where the whole run is in a document with a smaller id, all its
+   windows go at once.  Of runs that are alike, the one with the least id stays; if its anchor has other runs too, its
+   windows are candidates.
+3. At each further level the candidates are extended to twice the length, hashed from the texts (128 bits), and
+   counted; those in one document alone drop out, and the levels end early when none survive.  At full length, each
+   window's least document id decides: in all other documents the words it covers go.
 
 Counting takes the least and the largest document id per hash, with partial results on the map side, so a passage that
-is in very many documents is not gathered in one place.
+is in very many documents is not gathered in one place.  Texts are exchanged only for documents that a bitmap of fixed
+size does not rule out.
 
 Cases: a null or empty text has no words; texts of fewer words than a window lose nothing; rows that share an id are one
-document, so neither removes from the other; rows with a null id remove nothing and lose nothing; repeated rows give a
-row each; other columns are not read; an empty table gives an empty result.
+document, so neither removes from the other, and each loses what its own words repeat; rows with a null id remove
+nothing and lose nothing; repeated rows give a row each; other columns are not read; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grafloom.llm.shared import flat, ints, materialize, release_model, steps
+from grafloom.llm.shared import flat, ints, materialize, parted, release_model, steps
 
 SHORTEST = 16
 
@@ -66,83 +73,103 @@ def of_texts(part, text="t"):
 
 
 def anchor_rows(docs: DataFrame, window: int, length: int) -> DataFrame:
-    """(h, doc, pos) of the distinct anchors of each row."""
+    """(h, s, doc, lo, hi) of the anchors of each row: hashes of the anchor and of its run, and the first words of
+    the run's first and last window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        from grafloom.llm.hashing import Sums
+
         release_model()
         for part in steps(batches, "t"):
             words = of_texts(part)
-            _, where, least = anchors(words, words.hashes(), window, length)
+            values = words.hashes()
+            full, where, least = anchors(words, values, window, length)
             new = np.append(True, where[1:] != where[:-1]) if len(where) else np.zeros(0, bool)
-            where, least = where[new], least[new]
-            d = words.doc[where]
-            yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(ints(part.column("i"))[d]), pa.array((where - words.first[d]).astype(np.int32))], names=["h", "doc", "pos"])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(full)) - 1 if len(full) else first
+            lo, hi, at, d = full[first], full[last], where[first], words.doc[full[first]]
+            # Where the anchor lies in its run is part of what runs must share.
+            span = Sums(values).of(lo, hi + window) + ((at - lo) * 64 + (hi - lo)).astype(np.uint64)
+            base = words.first[d]
+            yield pa.RecordBatch.from_arrays([pa.array(least[first].view(np.int64)), pa.array(span.view(np.int64)), pa.array(ints(part.column("i"))[d]), pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32))], names=["h", "s", "doc", "lo", "hi"])
 
-    return docs.mapInArrow(run, "h long, doc long, pos int")
+    return docs.mapInArrow(run, "h long, s long, doc long, lo int, hi int")
 
 
-def extended(docs: DataFrame, places: DataFrame, window: int, base: int, length: int) -> DataFrame:
-    """(h1, h2, doc, pos) of the windows of ``length`` at the candidate places; ``places`` has (doc, at): at the first
-    level the places of anchors, which stand for all full windows that have them, later the places themselves."""
-    first_level = length == 2 * base
+def extended(docs: DataFrame, places: DataFrame, window: int, length: int) -> DataFrame:
+    """(h1, h2, doc, pos) of the windows of ``length`` words at the candidate places (doc, lo, hi: arrays)."""
+    some, _ = parted(docs, "i", places.select("doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        from grafloom.llm.hashing import Sums
+        from grafloom.llm.hashing import Sums, ragged
 
         release_model()
         for part in steps(batches, "t"):
             words = of_texts(part)
-            one = words.hashes(0)
-            lists = part.column("at")
-            owner = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
-            at = words.first[owner] + lists.flatten().to_numpy(zero_copy_only=False)
-            if first_level:
-                start, where, _ = anchors(words, one, window, base)
-                chosen = np.zeros(len(one) + 1, bool)
-                chosen[at] = True
-                start = start[chosen[where]]
-            else:
-                start = np.sort(at)
+            owner, lo, hi = listed(part)
+            start = np.unique(ragged(words.first[owner] + lo, hi - lo + 1))
+            # Rows that share an id have places of each other: what runs over the end is not theirs.
+            start = start[start + window <= len(words.doc)]
+            start = start[words.doc[start] == words.doc[start + window - 1]]
             d = words.doc[start]
-            h1 = Sums(one, 0).of(start, start + length)
+            h1 = Sums(words.hashes(0), 0).of(start, start + length)
             h2 = Sums(words.hashes(1), 1).of(start, start + length)
             yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ints(part.column("i"))[d]), pa.array((start - words.first[d]).astype(np.int32))], names=["h1", "h2", "doc", "pos"])
 
-    return docs.join(places, docs["i"] == places["doc"]).select("i", "t", "at").mapInArrow(run, "h1 long, h2 long, doc long, pos int")
+    joined = some.join(places, some["i"] == places["doc"]).select("i", "t", "lo", "hi")
+    return joined.mapInArrow(run, "h1 long, h2 long, doc long, pos int")
+
+
+def listed(part):
+    """(text's number, first and last place) of all ranges in the columns lo and hi."""
+    import numpy as np
+
+    lo, hi = (c.fill_null([]) if c.null_count else c for c in (part.column("lo"), part.column("hi")))
+    owner = np.repeat(np.arange(part.num_rows), np.diff(lo.offsets.to_numpy()))
+    return owner, *(c.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in (lo, hi))
+
+
+def by_document(ranges: DataFrame) -> DataFrame:
+    """(doc, lo, hi) with arrays of each document's ranges."""
+    both = ranges.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
+    return both.select("doc", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"))
 
 
 def repeated_places(docs: DataFrame, window: int) -> DataFrame:
-    """(doc, at): the first words of the windows that also start in a document with a smaller id."""
+    """(doc, lo, hi): ranges of the first words of windows that also start in a document with a smaller id."""
     lengths = level_lengths(window)
-    base = lengths[0]
-    rows = materialize(anchor_rows(docs, window, base), "anchors")
-    several = rows.groupBy("h").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
-    places = rows.join(several, "h").groupBy("doc").agg(F.collect_list("pos").alias("at"))
+    rows = materialize(anchor_rows(docs, window, lengths[0]), "anchors")
+    runs = rows.groupBy("h", "s").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+    several = runs.groupBy("h").agg(F.count(F.lit(1)).alias("runs"), F.min("least").alias("a"), F.max("most").alias("z")).filter("a < z").select("h", "runs")
+    known = runs.join(several, "h").filter("runs > 1 or least < most").select("h", "s", "least", "runs")
+    seen = materialize(rows.join(known, ["h", "s"]).filter("doc > least or runs > 1").select("doc", "lo", "hi", (F.col("doc") > F.col("least")).alias("gone")), "seen")
+    gone = seen.filter("gone").select("doc", "lo", "hi")
+    places = seen.filter("not gone").select("doc", "lo", "hi")
     for length in lengths[1:]:
-        found = materialize(extended(docs, places, window, base, length), f"windows{length}")
+        places = materialize(by_document(places), f"places{length}")
+        if places.isEmpty():
+            break
+        found = materialize(extended(docs, places, window, length), f"windows{length}")
         several = found.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
         kept = found.join(several, ["h1", "h2"])
+        places = kept.select("doc", F.col("pos").alias("lo"), F.col("pos").alias("hi"))
         if length == window:
-            kept = kept.filter("doc > least")
-        places = kept.groupBy("doc").agg(F.collect_list("pos").alias("at"))
-        if length < window:
-            places = materialize(places, f"places{length}")
-            if places.isEmpty():
-                break
-    if len(lengths) == 1:  # the anchors are the windows themselves
-        places = rows.join(several, "h").filter("doc > least").groupBy("doc").agg(F.collect_list("pos").alias("at"))
-    return places
+            gone = gone.unionByName(kept.filter("doc > least").select("doc", F.col("pos").alias("lo"), F.col("pos").alias("hi")))
+    return gone
 
 
 def without_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, text): the words left of each row, joined by one space."""
     source = docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].alias("t"))
-    places = repeated_places(source.filter("i is not null"), window)
-    joined = source.join(places, source["i"] == places["doc"], "left").select("i", "t", "at")
+    places = materialize(by_document(repeated_places(source.filter("i is not null"), window)), "gone")
+    some, others = parted(source, "i", places.select("doc"))
+    joined = some.join(places, some["i"] == places["doc"], "left").select("i", "t", "lo", "hi")
+    none = F.lit(None).cast("array<int>")
+    joined = joined.unionByName(others.select("i", "t", none.alias("lo"), none.alias("hi")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -154,11 +181,11 @@ def without_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
             words = of_texts(part)
             n = len(words.start)
             change = np.zeros(n + 1, np.int64)
-            lists = part.column("at").fill_null([]) if part.column("at").null_count else part.column("at")
-            owner = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
-            start = words.first[owner] + lists.flatten().to_numpy(zero_copy_only=False)
-            np.add.at(change, start, 1)
-            np.add.at(change, start + window, -1)
+            owner, lo, hi = listed(part)
+            start, stop = words.first[owner] + lo, words.first[owner] + hi + window
+            ok = stop <= words.first[owner + 1]
+            np.add.at(change, start[ok], 1)
+            np.add.at(change, stop[ok], -1)
             gone = np.cumsum(change[:-1]) > 0
             kept = np.flatnonzero(~gone)
             removed = np.bincount(words.doc[gone], minlength=part.num_rows)

@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; a single longer text is a step of its own.
 STEP_BYTES = 1 << 19
@@ -35,6 +36,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the sketch by which rows are told that need no join; at most BITS / 64 small rows are sent.
+BITS = 1 << 24
+
+
+def parted(rows: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` that may have their key in ``ids`` (one column), and those that surely have not.
+
+    The ids' hashes are marked in a bitmap of fixed size, which is small enough to broadcast whatever the input; it only
+    errs by sending rows to the first part, so what is not in it needs no exchange for a join with ``ids``.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    name = ids.columns[0]
+    marks = ids.select(place(F.col(name)).alias("_p")).groupBy(F.shiftright("_p", 6).cast("int").alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_p & 63 as int))")).alias("_b"))
+    marks = materialize(marks, "marks")
+    spread = rows.withColumn("_p", place(F.col(key).cast(ids.schema[name].dataType)))
+    found = spread.join(F.broadcast(marks), F.shiftright("_p", 6).cast("int") == F.col("_w"), "left")
+    marked = F.coalesce(F.expr("shiftright(_b, cast(_p & 63 as int)) & 1 = 1"), F.lit(False))
+    return found.filter(marked).select(*rows.columns), found.filter(~marked).select(*rows.columns)
+
+
 def task_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

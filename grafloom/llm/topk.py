@@ -7,8 +7,9 @@ or as the last value read.  The k-th best lower bound, sharpened by resolving th
 threshold; candidates whose upper bound is below it, also those not read at all, cannot qualify.  When few are left,
 their final scores are resolved.
 
-Queries come in blocks; each (shard, block) cell is worked on by itself, with its bounds for all queries at once as
-matrix products over the parts of the lists that were read.  The cells' results meet per query.
+Shards stay where they are.  Queries come in blocks, of which at most ``PASS`` queries are sent to all shards at once,
+with as many passes as that takes; each (shard, block) cell is worked on by itself, with its bounds for all queries at
+once as matrix products over the parts of the lists that were read.  The cells' results, k a query, meet per query.
 
 Cases: vectors that are null or hold a null, NaN or infinity, and rows with a null id take no part; vectors of other
 lengths than the query's are no candidates of it; other rows with the query's own id are not its candidates either;
@@ -29,6 +30,8 @@ from grafloom.llm.shared import materialize, release_model
 #: Vectors in a shard, queries in a block.
 SHARD = 8192
 BLOCK = 512
+#: Questions that are sent to all shards in one pass.
+PASS = 32_768
 #: Shares of each list that are read by the end of each round.
 ROUNDS = (0.125, 0.25, 0.5, 1.0)
 #: Share of a cell's candidates that may be left for final scores.
@@ -146,24 +149,36 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str =
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.filter(vectors[id_col].isNotNull() & v.isNotNull() & finite).select(vectors[id_col].cast("long").alias("id"), v.alias("v"), F.size(v).alias("dim"), F.coalesce(is_query, F.lit(False)).alias("q"))
     n, asked = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
-    shards = blocks(rows.repartition(max(1, -(-n // SHARD))), SHARD)
-    many = max(1, -(-asked // BLOCK))
-    asks = materialize(blocks(rows.filter("q").repartition(many), BLOCK).withColumn("b", F.monotonically_increasing_id()), "queries")
-    # Every shard of a length meets every block of queries of that length, as stated; both sides are whole blocks.
-    asks = asks.select("b", "dim", F.col("ids").alias("qids"), F.col("kind").alias("qkind"), F.col("v").alias("qv"))
-    cells = shards.join(asks, "dim").select("b", "dim", "ids", "kind", "v", "qids", "qkind", "qv").repartition(max(1, -(-n // SHARD)) * many)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        release_model()
-        for batch in batches:
-            for r in range(batch.num_rows):
-                b, dim, ids, kind, v, qids, qkind, qv = (batch.column(c)[r].as_py() for c in ("b", "dim", "ids", "kind", "v", "qids", "qkind", "qv"))
-                ids, qids = np.frombuffer(ids, np.int64), np.frombuffer(qids, np.int64)
-                row, col, score = search(np.frombuffer(qv, qkind).reshape(len(qids), dim), qids, np.frombuffer(v, kind).reshape(len(ids), dim), ids, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), b)), pa.array(row), pa.array(qids[row]), pa.array(ids[col]), pa.array(score)], names=["b", "r", "query_id", "vec_id", "score"])
-
-    found = cells.mapInArrow(run, "b long, r long, query_id long, vec_id long, score long")
+    shards = materialize(blocks(rows.repartition(max(1, -(-n // SHARD))), SHARD), "shards")
+    asks = blocks(rows.filter("q").repartition(max(1, -(-asked // BLOCK))), BLOCK)
+
+    def searched(block: list[tuple]) -> DataFrame:
+        """(b, r, query_id, vec_id, score): a pass of a bounded block of questions over all shards."""
+        sent = vectors.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import numpy as np
+
+            release_model()
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    dim, ids, kind, v = (batch.column(c)[r].as_py() for c in ("dim", "ids", "kind", "v"))
+                    ids = np.frombuffer(ids, np.int64)
+                    values = np.frombuffer(v, kind).reshape(len(ids), dim)
+                    for b, qdim, qids, qkind, qv in sent.value:
+                        if qdim == dim:
+                            qids = np.frombuffer(qids, np.int64)
+                            row, col, score = search(np.frombuffer(qv, qkind).reshape(len(qids), dim), qids, values, ids, k)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), b)), pa.array(row), pa.array(qids[row]), pa.array(ids[col]), pa.array(score)], names=["b", "r", "query_id", "vec_id", "score"])
+
+        return shards.mapInArrow(run, "b long, r long, query_id long, vec_id long, score long")
+
+    found, block, held = None, [], 0
+    for b, row in enumerate(asks.toLocalIterator()):
+        if block and held + row.n > PASS:
+            found, block, held = searched(block) if found is None else found.unionByName(searched(block)), [], 0
+        block.append((b, row.dim, bytes(row.ids), row.kind, bytes(row.v)))
+        held += row.n
+    found = searched(block) if found is None else found.unionByName(searched(block))
     best = Window.partitionBy("b", "r").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

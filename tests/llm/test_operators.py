@@ -392,6 +392,7 @@ def brute_topk(rows, k=5):
 def test_topk_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", 100)
     monkeypatch.setattr(topk, "BLOCK", 3)
+    monkeypatch.setattr(topk, "PASS", 5)
     r = random.Random(9)
     rows = [(i, [r.gauss(0, 0.2) for _ in range(16)]) for i in range(420)]
     rows += [(1000 + k, list(rows[k][1])) for k in range(60)]  # ties

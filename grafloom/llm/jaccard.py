@@ -250,7 +250,8 @@ def candidate_edges(reps: DataFrame, threshold: float, runs: int) -> DataFrame:
     sets, edges = reps.select("rep", "sketch"), None
     for level in range(1, LEVELS + 1):
         paths = materialize(split(sets, threshold, runs), f"paths{level}")
-        counts = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        # Written, so that the join deals both sides by itself and Spark can split a path that very many sets share.
+        counts = materialize(paths.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), f"counts{level}")
         shared = materialize(paths.join(counts, "path"), f"shared{level}")
         last = level == LEVELS
         ready = shared if last else shared.filter(F.col("n") <= SMALL)

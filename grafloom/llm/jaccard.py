@@ -5,13 +5,13 @@ one shingle).
 
 1. Texts of equal words form a class; its least id stands for it.  Each class is embedded as ``SKETCH`` min-hash
    tokens, of which two sets share a part close to their Jaccard similarity.
-2. A run splits all sets on sampled tokens: each token position is chosen with probability 1 / (threshold * SKETCH),
-   and a set goes to the bucket (position, its token) of each.  Buckets of more than ``SMALL`` sets are split again, by
+2. A run splits all sets on sampled tokens: each split draws 1 / threshold token positions on average (that number
+   rounded down or up, so that no split draws none), and a set goes to the bucket (position, its token) of each.  Buckets of more than ``SMALL`` sets are split again, by
    positions sampled anew for each bucket, up to ``LEVELS`` times; what is still large then holds sets that share
    nearly all tokens, and is worked on in blocks that together cover all its pairs.  As many runs are made as the
-   target recall needs.
-3. Buckets are brute-forced on the sketches, with a margin below the threshold; of the pairs found, a bucket gives out
-   a spanning forest only.  Components of these are groups of candidates.
+   target recall needs where all buckets of a pair lie ``LEVELS`` splits deep, whatever tokens its sketches agree in.
+3. Buckets are brute-forced on the sketches, with a margin below the threshold that the recall accounts for; of the
+   pairs found, a bucket gives out a spanning forest only.  Components of these are groups of candidates.
 4. Within each group, all pairs are verified on the exact sets, in blocks of ``BLOCK`` sets where the group is large:
    each set gets its number of links, and links form the final classes.  Pairs are counted, never written out.
 
@@ -40,17 +40,99 @@ SKETCH = 64
 SMALL = 512
 LEVELS = 4
 BLOCK = 256
-#: Sketches agree in this share less than the threshold and still make candidates (four standard deviations).
-MARGIN = 0.2
 
 
-def runs_for(threshold: float, recall: float, depth: int = 2) -> int:
-    """Runs after which a pair at the threshold was in one bucket with probability ``recall``, if buckets lie ``depth``
-    splits deep: a pair survives a split with probability 1 - exp(-p), p from the split below."""
-    p = 1.0
-    for _ in range(depth):
-        p = 1 - math.exp(-p)
-    return math.ceil(math.log(1 - recall) / math.log(1 - p))
+def agreement(threshold: float) -> list[float]:
+    """The chance that sketches of a pair at the threshold agree in 0, 1, ... ``SKETCH`` tokens."""
+    return [math.comb(SKETCH, x) * threshold**x * (1 - threshold) ** (SKETCH - x) for x in range(SKETCH + 1)]
+
+
+def least_agreement(threshold: float, recall: float) -> int:
+    """Equal tokens that make candidates; a quarter of what ``recall`` may miss has fewer at the threshold."""
+    missed, least = 0.0, 0
+    for x, chance in enumerate(agreement(threshold)):
+        missed += chance
+        if missed > (1 - recall) / 4:
+            break
+        least = x + 1
+    return least
+
+
+def sampled(threshold: float) -> tuple[int, float]:
+    """Token positions that each split samples at least, and the chance of one more: 1 / threshold on average."""
+    least = min(int(1 / threshold), SKETCH - 1)
+    return least, min(1 / threshold - least, 1.0)
+
+
+def chosen_at(above, threshold: float):
+    """(path, position): whether a split of each path in ``above`` samples each token position; and the positions'
+    hashes."""
+    import numpy as np
+
+    from grafloom.llm.hashing import mix
+
+    places = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) + np.uint64(0xA5A5A5A5 << 16))
+    least, more = sampled(threshold)
+    drawn = mix(above[:, None] ^ places[None, :])
+    lowest = np.partition(drawn, (least - 1, least), axis=1)
+    one_more = (mix(above ^ np.uint64(0x5A5A5A5A << 16)) >> np.uint64(11)) * 2.0**-53 < more
+    return drawn <= np.where(one_more, lowest[:, least], lowest[:, least - 1])[:, None], places
+
+
+def survival(x: int, p: float, threshold: float) -> float:
+    """The chance that a pair whose sketches agree in ``x`` tokens survives a split, if it does each bucket below with
+    chance ``p``."""
+    least, more = sampled(threshold)
+    out = 0.0
+    for n, share in ((least, 1 - more), (least + 1, more)):
+        lost = sum(math.comb(x, j) * math.comb(SKETCH - x, n - j) * (1 - p) ** j for j in range(n + 1))
+        out += share * (1 - lost / math.comb(SKETCH, n))
+    return out
+
+
+def roots(runs: int):
+    """The path that each run starts from."""
+    import numpy as np
+
+    from grafloom.llm.hashing import mix
+
+    return mix(np.arange(1, runs + 1, dtype=np.uint64))
+
+
+def missed_share(threshold: float, recall: float, runs: int, depth: int) -> float:
+    """The chance that a pair at the threshold is no candidate after ``runs`` runs, if all its buckets lie ``depth``
+    splits deep: over all numbers of tokens that its sketches may agree in, and for the positions that the runs do
+    sample at their roots (which are the same for all pairs)."""
+    import numpy as np
+
+    times = chosen_at(roots(runs), threshold)[0].sum(axis=0)
+    least = least_agreement(threshold, recall)
+    missed = 0.0
+    for x, chance in enumerate(agreement(threshold)):
+        if x < least:
+            missed += chance
+            continue
+        p = 1.0
+        for _ in range(depth - 1):
+            p = survival(x, p, threshold)
+        # The mean of the products over all x of the positions, by the elementary symmetric sums.
+        sums = np.zeros(SKETCH + 1)
+        sums[0] = 1
+        for fails in (1 - p) ** times:
+            sums[1:] += sums[:-1] * fails
+        missed += chance * sums[x] / math.comb(SKETCH, x)
+    return missed
+
+
+def runs_for(threshold: float, recall: float, depth: int | None = None) -> int:
+    """Runs after which a pair at the threshold is a candidate with probability ``recall``, if its buckets lie
+    ``depth`` splits deep; as deep as they get, if not given.  Pairs in shallower buckets are missed less."""
+    if not recall < 1 or agreement(threshold)[0] > (1 - recall) / 4:
+        raise ValueError(f"sketches of {SKETCH} tokens do not reach recall {recall} at threshold {threshold}")
+    runs = 1
+    while missed_share(threshold, recall, runs, depth or LEVELS) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def shingles(part, text="t"):
@@ -119,14 +201,12 @@ def split(sets: DataFrame, threshold: float, runs: int) -> DataFrame:
         from grafloom.llm.hashing import mix
 
         release_model()
-        chance = np.uint64(int((1 << 64) / (threshold * SKETCH)))
-        places = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) + np.uint64(0xA5A5A5A5 << 16))
         for batch in batches:
             rep = ints(batch.column("rep"))
             table = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, SKETCH)
             for r in range(runs if root else 1):
-                above = np.full(1, mix(np.array([r + 1], np.uint64))[0]) if root else ints(batch.column("path")).view(np.uint64)
-                chosen = mix(above[:, None] ^ places[None, :]) < chance
+                above = roots(runs)[r : r + 1] if root else ints(batch.column("path")).view(np.uint64)
+                chosen, places = chosen_at(above, threshold)
                 if root:
                     chosen = np.broadcast_to(chosen, table.shape)
                     above = np.broadcast_to(above, len(rep))
@@ -243,10 +323,10 @@ def in_blocks(rows: DataFrame, size_col: str, block: int, row_col: str) -> DataF
     return out.withColumn("x", F.least("own", "z")).withColumn("y", F.greatest("own", "z")).drop("z")
 
 
-def candidate_edges(reps: DataFrame, threshold: float, runs: int) -> DataFrame:
+def candidate_edges(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
     """(a, b): forests of the near pairs of all buckets of all runs."""
     bits = reps.select("rep", low_bytes("sketch").alias("bits"))
-    least_equal = math.ceil((threshold - MARGIN) * SKETCH)
+    runs, least_equal = runs_for(threshold, recall), least_agreement(threshold, recall)
     sets, edges = reps.select("rep", "sketch"), None
     for level in range(1, LEVELS + 1):
         paths = materialize(split(sets, threshold, runs), f"paths{level}")
@@ -348,7 +428,7 @@ def similar(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, id_
     rows = materialize(sketches(source), "sketches")
     usable = rows.filter("doc is not null and s1 is not null")
     reps = materialize(usable.groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch")), "classes")
-    edges = candidate_edges(reps, threshold, runs_for(threshold, recall))
+    edges = candidate_edges(reps, threshold, recall)
     found = materialize(components(edges), "groups")
     sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     members = found.join(sizes, "root").join(reps.select("rep", "copies", "s1", "s2"), F.col("node") == F.col("rep")).select("rep", F.col("root").alias("grp"), "size", "copies")

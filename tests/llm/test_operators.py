@@ -246,6 +246,31 @@ def test_similar_by_blocks(spark, monkeypatch):
     assert got == brute_links(rows)
 
 
+def pairs_at_the_threshold(n):
+    """Pairs of texts that share 80 of 100 shingles, and nothing with other pairs."""
+    r, out = random.Random(60), []
+    for k in range(n):
+        both, *own = ([f"w{r.randrange(10**12)}" for _ in range(m)] for m in (84, 10, 10))
+        out += [(2 * k + j, " ".join(both + x)) for j, x in enumerate(own)]
+    return out
+
+
+def test_similar_reaches_its_recall_in_the_deepest_buckets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 1)
+    rows = pairs_at_the_threshold(2500)
+    got = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    # At a recall of 0.9999, more than two of 2500 are missed with a probability of 0.002.
+    assert got.filter("n_links = 0").count() // 2 <= 2
+
+
+def test_runs_reach_the_recall_at_the_deepest_level():
+    runs = jaccard.runs_for(0.8, 0.9999)
+    assert jaccard.missed_share(0.8, 0.9999, runs, jaccard.LEVELS) <= 1e-4 < jaccard.missed_share(0.8, 0.9999, runs - 1, jaccard.LEVELS)
+    assert sum(jaccard.agreement(0.8)[: jaccard.least_agreement(0.8, 0.9999)]) <= 2.5e-5
+    with pytest.raises(ValueError):
+        jaccard.runs_for(0.8, 1.0)
+
+
 def test_one_of_each_keeps_the_least(spark):
     rows = [*near_copies(6, 50), (1, None), (None, "x y"), (2, "alone here")]
     kept = cases.ordered(jaccard.one_of_each(cases.table(spark, rows)), "doc_id")

@@ -448,7 +448,18 @@ def similar(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, id_
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their class, one row an id; rows with a null id stay."""
-    stay = similar(docs, threshold, id_col=id_col, text_col=text_col).filter(F.col("class_id") == F.col(id_col)).select(F.col(id_col).alias("stays")).distinct()
-    kept = docs.join(stay, docs[id_col] == stay["stays"], "left_semi").dropDuplicates([id_col])
+    """The rows of ``docs`` that are the least of their class, by id and then by the text's digest; rows of equal id and
+    equal text are one, other rows that share an id are decided each by its text.  Rows with a null id stay."""
+    given = docs.filter(docs[id_col].isNotNull())
+    key, numbered = id_col, given
+    if not given.groupBy(id_col).agg(F.count(F.lit(1)).alias("many")).filter("many > 1").isEmpty():
+        # Numbers of the distinct rows take the ids' place; as they are given out in order, the least is still the least.
+        key = "_row"
+        digest = F.sha2(given[text_col], 256)
+        texts = given.select(given[id_col].cast("long").alias("i"), digest.alias("h")).distinct().orderBy("i", "h")
+        texts = materialize(texts.select("i", "h", F.monotonically_increasing_id().alias(key)), "rows")
+        same = (given[id_col].cast("long") == texts["i"]) & digest.eqNullSafe(texts["h"])
+        numbered = materialize(given.join(texts, same).select(*[given[c] for c in docs.columns], texts[key]).dropDuplicates([key]), "numbered")
+    stay = similar(numbered, threshold, id_col=key, text_col=text_col).filter(F.col("class_id") == F.col(key)).select(F.col(key).alias("stays"))
+    kept = numbered.join(stay, numbered[key] == stay["stays"], "left_semi").select(*docs.columns)
     return kept.unionByName(docs.filter(docs[id_col].isNull()))

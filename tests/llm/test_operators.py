@@ -277,6 +277,16 @@ def test_one_of_each_keeps_the_least(spark):
     assert kept == [(1,), (2,), (50_000,), (None,)]
 
 
+def test_one_of_each_decides_rows_that_share_an_id_by_their_texts(spark):
+    first, near = near_copies(1, 51)[0][1], near_copies(1, 51)[0][1] + " end"
+    clean = [cases.passage(70 + k, 60) for k in range(6)]
+    rows = [(3, first), *[(k, first) for k in (5, 6, 7)], *[(k, near) for k in (8, 9)]]
+    rows += [(k, t) for k, t in zip((5, 6, 7, 8, 9), clean)] + [(9, clean[4]), (9, clean[5]), (9, None), (4, None), (4, None)]
+    kept = cases.ordered(jaccard.one_of_each(cases.table(spark, rows)), "doc_id", "text")
+    want = [(3, first), *zip((5, 6, 7, 8, 9, 9), clean), (9, None), (4, None)]
+    assert kept == sorted(want, key=lambda r: tuple((x is None, str(x)) for x in r))
+
+
 # 4
 
 

@@ -5,22 +5,25 @@ encodes to itself and no merge crosses the border of two neighbours; whether one
 the border grow on either side (``Merges.fits``).  The non-deterministic machine guesses where tokens end; its states
 are (place in the token trie, tokens not yet emitted).  Determinising by subsets gives states with all guesses that
 are still alive, made when first reached and then kept; what all guesses agree on is emitted, so the lookahead is
-bounded by the longest token.  At the end of a piece, the guess that stands at a token's end is the encoding.  Long
-pieces run on kept states; the subsets of short new pieces, of which texts hold very many, are built side by side in
-arrays (``encode_all``), and the pieces' ids are remembered.
+bounded by the longest token.  At the end of a piece, the guess that stands at a token's end is the encoding.
 
-Decoding feeds ids to a UTF-8 state machine whose steps are whole tokens; it gives out complete characters and keeps an
-unfinished one for the next call.
+All pieces of a batch run through the kept states side by side, a byte at a time: the moves made so far are a hash
+table in arrays ((state, byte) -> state, emitted tokens), and only a move that no piece has taken before is worked out
+from its subset.
+
+Decoding feeds ids to a UTF-8 state machine whose steps are whole tokens (``StreamDecoder``); it gives out the bytes of
+complete characters and keeps an unfinished one for the next call.
 
 Cases: null or empty texts have no ids and decode to nothing; a null id is kept; repeated rows give a row each; other
-columns are not read; an empty table gives an empty result.  No shuffle; memory is bounded by one Arrow batch, the
-piece cache (``CACHE``) and the state cache (``STATES``).
+columns are not read; an empty table gives an empty result.  No shuffle; memory is bounded by one Arrow batch and
+the kept states (``STATES``).
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -28,13 +31,14 @@ from pyspark.sql import DataFrame
 
 from grafloom.llm.shared import flat, steps, worker_model
 
-#: Pieces and transducer states that a worker remembers; each cache is emptied when it is full.
-CACHE = 200_000
-STATES = 20_000
-#: Borders of two tokens whose fit is remembered.
+#: Transducer states that a worker keeps before it starts afresh, and borders of two tokens whose fit it remembers.
+STATES = 500_000
 BORDERS = 400_000
-#: Longest piece in bytes that is encoded together with others.
-TOGETHER = 64
+#: Pieces that run side by side, and the number at which those left go on one after the other.
+ABREAST = 1 << 15
+ALONE = 8
+#: Ids that the decoder is fed at a time.
+FEED = 1 << 14
 
 
 class Merges:
@@ -93,6 +97,48 @@ class Merges:
                 j += 1
 
 
+class Moves:
+    """(state, byte) -> (state, output) as a hash table in arrays, with linear probing."""
+
+    def __init__(self):
+        self.clear(1 << 12)
+
+    def clear(self, size: int) -> None:
+        import numpy as np
+
+        self.keys, self.to, self.out, self.held = np.full(size, -1, np.int64), np.zeros(size, np.int32), np.zeros(size, np.int32), 0
+
+    def places(self, keys):
+        """Where each key is, or the free place at which its search ends."""
+        import numpy as np
+
+        from grafloom.llm.hashing import mix
+
+        at = (mix(keys.view(np.uint64)) & np.uint64(len(self.keys) - 1)).view(np.int64)
+        left = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+            left = left[(self.keys[at[left]] != keys[left]) & (self.keys[at[left]] >= 0)]
+        return at
+
+    def add(self, keys, to, out) -> None:
+        """Adds distinct keys that are not there yet."""
+        import numpy as np
+
+        if 2 * (self.held + len(keys)) > len(self.keys):
+            old = self.keys >= 0
+            k, t, o = self.keys[old], self.to[old], self.out[old]
+            self.clear(1 << (4 * (len(k) + len(keys))).bit_length())
+            self.add(k, t, o)
+        self.held += len(keys)
+        while len(keys):
+            at = self.places(keys)
+            self.keys[at] = keys  # of several keys that end on one free place, one stays
+            won = self.keys[at] == keys
+            self.to[at[won]], self.out[at[won]] = to[won], out[won]
+            keys, to, out = keys[~won], to[~won], out[~won]
+
+
 class Transducer:
     def __init__(self, merges: Merges):
         import numpy as np
@@ -111,23 +157,54 @@ class Transducer:
                 at = nxt
             if word and merges.whole[r]:
                 self.token[at] = r
-        self.odd = {w: (r,) for r, w in enumerate(merges.vocab) if w and not merges.whole[r]}
+        # A piece that is in the vocabulary is that token, even where merges do not lead there.
+        self.odd = {w: r for r, w in enumerate(merges.vocab) if w and not merges.whole[r]}
+        self.odd_sizes = np.unique(np.array([len(w) for w in self.odd], np.int64))
         self.border: dict[int, bool] = {}
-        self.table = np.zeros((len(self.children), 256), np.uint16 if len(self.children) < 1 << 16 else np.int32)
-        for node, below in enumerate(self.children):
-            for byte, nxt in below.items():
-                self.table[node, byte] = nxt
-        self.tokens = np.array(self.token, np.int64)
-        self.inner = np.array([bool(c) for c in self.children])
-        self.size = np.array([len(w) for w in merges.vocab], np.int64)
+        self.moves = Moves()
         self.reset()
 
     def reset(self) -> None:
-        start = (-1, ((0, ()),))
-        self.names = {start: 0}
-        self.states = [start]
-        self.final: list[tuple[int, ...]] = [()]
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        import numpy as np
+
+        vocab = len(self.m.vocab)
+        self.moves.clear(1 << 12)
+        self.names: dict[bytes, int] = {}
+        self.states: list[bytes] = []
+        self.final = np.zeros(1 << 12, np.int32)
+        # Outputs: number r < vocab is the token r; later numbers are the tuples in ``several``, the first nothing.
+        self.several: list[tuple[int, ...]] = [()]
+        self.numbers = {(): vocab}
+        self.out_at, self.out_size, self.out_flat = np.arange(vocab), np.ones(vocab, np.int64), np.arange(vocab)
+        self.number([-1, 0, 0], ())
+
+    def output(self, tokens: tuple[int, ...]) -> int:
+        if len(tokens) == 1:
+            return tokens[0]
+        number = self.numbers.get(tokens)
+        if number is None:
+            number = self.numbers[tokens] = len(self.m.vocab) + len(self.several)
+            self.several.append(tokens)
+        return number
+
+    def tokens(self, output: int) -> tuple[int, ...]:
+        vocab = len(self.m.vocab)
+        return (output,) if output < vocab else self.several[output - vocab]
+
+    def expanded(self, outputs):
+        """(tokens of all outputs one after the other, number of tokens of each)."""
+        import numpy as np
+
+        from grafloom.llm.hashing import ragged
+
+        fresh = self.several[len(self.out_size) - len(self.m.vocab) :]
+        if fresh:
+            size = np.array([len(x) for x in fresh], np.int64)
+            self.out_at = np.concatenate([self.out_at, len(self.out_flat) + np.cumsum(size) - size])
+            self.out_size = np.concatenate([self.out_size, size])
+            self.out_flat = np.concatenate([self.out_flat, np.array([t for x in fresh for t in x], np.int64)])
+        size = self.out_size[outputs]
+        return self.out_flat[ragged(self.out_at[outputs], size)], size
 
     def fits(self, p: int, t: int) -> bool:
         key = p * len(self.token) + t
@@ -138,104 +215,154 @@ class Transducer:
             ok = self.border[key] = self.m.fits(p, t)
         return ok
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The next state and the tokens emitted, made on demand."""
-        last, guesses = self.states[state]
-        alive, root = [], None
-        for node, held in guesses:
-            nxt = self.children[node].get(byte)
-            if nxt is None:
-                continue
-            t = self.token[nxt]
-            if t >= 0 and root is None:
-                p = held[-1] if held else last
-                if p < 0 or self.fits(p, t):
-                    root = (*held, t)
-            if self.children[nxt]:
-                alive.append((nxt, held))
-        alive.append((0, root))
-        sure = min(len(h) for _, h in alive)
-        for k in range(sure):
-            if any(h[k] != root[k] for _, h in alive):
-                sure = k
-                break
-        out = root[:sure]
-        name = (out[-1] if sure else last, tuple((n, h[sure:]) for n, h in alive))
-        to = self.names.get(name)
-        if to is None:
-            to = self.names[name] = len(self.states)
+    def number(self, subset: list[int], rest: tuple[int, ...]) -> int:
+        """The number of a subset of guesses, written as the last token emitted and, for each guess, its place in the
+        trie, the number of tokens it holds, and these; ``rest`` is what the last guess, at a token's end, holds."""
+        name = array("i", subset).tobytes()
+        number = self.names.get(name)
+        if number is None:
+            number = self.names[name] = len(self.states)
+            if number == len(self.final):
+                self.final.resize(2 * number, refcheck=False)
             self.states.append(name)
-            self.final.append(root[sure:])
-            self.moves.append({})
-        self.moves[state][byte] = (to, out)
-        return to, out
+            self.final[number] = self.output(rest)
+        return number
+
+    def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """The next state and the tokens emitted, worked out from the state's subset."""
+        children, token = self.children, self.token
+        subset = array("i", self.states[state]).tolist()
+        alive, root, at = [], None, 1
+        while at < len(subset):
+            stop = at + 2 + subset[at + 1]
+            nxt = children[subset[at]].get(byte)
+            if nxt is not None:
+                t = token[nxt]
+                if t >= 0 and root is None:
+                    p = subset[stop - 1] if stop > at + 2 else subset[0]
+                    if p < 0 or self.fits(p, t):
+                        root = subset[at + 2 : stop]
+                        root.append(t)
+                if children[nxt]:
+                    alive.append((nxt, subset[at + 2 : stop]))
+            at = stop
+        sure = len(root)
+        for _, held in alive:
+            if len(held) < sure:
+                sure = len(held)
+            while held[:sure] != root[:sure]:
+                sure -= 1
+        last = root[sure - 1] if sure else subset[0]
+        made = [last]
+        for nxt, held in alive:
+            made += (nxt, len(held) - sure)
+            made += held[sure:]
+        rest = root[sure:]
+        made += (0, len(rest))
+        made += rest
+        return self.number(made, tuple(rest)), tuple(root[:sure])
+
+    def run(self, states, data):
+        """The next states and the outputs of many moves; those not taken before are worked out and kept."""
+        import numpy as np
 
-    def encode_all(self, raw, a, b) -> list[tuple[int, ...]]:
-        """The token ids of many short pieces raw[a[k]:b[k]].
+        keys = (states << 8) | data
+        at = self.moves.places(keys)
+        new = self.moves.keys[at] != keys
+        if new.any():
+            made = np.unique(keys[new])
+            self.keep(made, [self.move(k >> 8, k & 0xFF) for k in made.tolist()])
+            at = self.moves.places(keys)
+        return self.moves.to[at].astype(np.int64), self.moves.out[at].astype(np.int64)
 
-        The subsets of all pieces advance together, a byte at a time; a guess is (piece, place in the trie, where its
-        token began).  As the encoding of a prefix is unique, one guess at most completes a token at each byte, and
-        that last token of each prefix is all there is to remember of what was emitted.
-        """
+    def keep(self, keys, moves: list[tuple[int, tuple[int, ...]]]) -> None:
         import numpy as np
 
-        size = b - a
-        base = np.cumsum(size + 1) - (size + 1)
-        last = np.full(int((size + 1).sum()), -1, np.int64)
-        piece = np.arange(len(a))
-        node = since = np.zeros(len(a), np.int64)
-        for i in range(int(size.max(initial=0))):
-            on = size[piece] > i
-            piece, since = piece[on], since[on]
-            node = self.table[node[on], raw[a[piece] + i]].astype(np.int64)
-            on = node > 0
-            piece, since, node = piece[on], since[on], node[on]
-            t = self.tokens[node]
-            c = np.flatnonzero(t >= 0)
-            p = last[base[piece[c]] + since[c]]
-            ok = np.ones(len(c), bool)
-            inner = np.flatnonzero(since[c] > 0)
-            keys, back = np.unique(p[inner] * len(self.token) + t[c[inner]], return_inverse=True)
-            known = [self.border.get(k) for k in keys.tolist()]
-            if None in known:
-                known = [self.fits(*divmod(k, len(self.token))) if v is None else v for k, v in zip(keys.tolist(), known)]
-            ok[inner] = np.array(known, bool)[back]
-            c = c[ok]
-            last[base[piece[c]] + i + 1] = t[c]
-            on = self.inner[node]
-            fresh = np.flatnonzero(size > i + 1)
-            piece = np.concatenate([piece[on], fresh])
-            since = np.concatenate([since[on], np.full(len(fresh), i + 1)])
-            node = np.concatenate([node[on], np.zeros(len(fresh), node.dtype)])
-        here, found, owner = size.copy(), [], []
-        on = np.flatnonzero(here > 0)
-        while len(on):
-            t = last[base[on] + here[on]]
-            found.append(t)
-            owner.append(on)
-            here[on] -= self.size[t]
-            on = on[here[on] > 0]
-        if not found:
-            return [()] * len(a)
-        owner = np.concatenate(owner[::-1])
-        order = np.argsort(owner, kind="stable")
-        ids = np.concatenate(found[::-1])[order].tolist()
-        ends = np.cumsum(np.bincount(owner, minlength=len(a))).tolist()
-        return [tuple(ids[x:y]) for x, y in zip([0, *ends], ends)]
+        n = len(moves)
+        self.moves.add(keys, np.fromiter((m[0] for m in moves), np.int32, n), np.fromiter((self.output(m[1]) for m in moves), np.int32, n))
+
+    def alone(self, name: bytes, data: bytes) -> list[int]:
+        """The tokens of a piece's rest from a state on, by the same moves one at a time."""
+        import numpy as np
+
+        state, known, out = self.resumed(name), {}, []
+        for byte in data:
+            step = known.get(state << 8 | byte)
+            if step is None:
+                if len(self.states) > 2 * STATES:
+                    name = self.states[state]
+                    self.reset()
+                    state, known = self.resumed(name), {}
+                step = known[state << 8 | byte] = self.move(state, byte)
+            state = step[0]
+            out += step[1]
+        out += self.tokens(int(self.final[state]))
+        keys = np.fromiter(known, np.int64, len(known))
+        new = self.moves.keys[self.moves.places(keys)] != keys
+        self.keep(keys[new], [known[k] for k in keys[new].tolist()])
+        return out
+
+    def resumed(self, name: bytes) -> int:
+        subset = array("i", name).tolist()
+        at = 1
+        while at + 2 + subset[at + 1] < len(subset):
+            at += 2 + subset[at + 1]
+        return self.number(subset, tuple(subset[at + 2 :]))
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
-        """The token ids of one piece, by states that are kept."""
-        if piece in self.odd:
-            return self.odd[piece]
-        if len(self.states) > STATES:
-            self.reset()
-        state, moves, out = 0, self.moves, []
-        for byte in piece:
-            move = moves[state].get(byte) or self.step(state, byte)
-            state = move[0]
-            if move[1]:
-                out += move[1]
-        return (*out, *self.final[state])
+        import numpy as np
+
+        return tuple(self.encode_all(np.frombuffer(piece, np.uint8), np.array([0]), np.array([len(piece)]))[0].tolist())
+
+    def encode_all(self, raw, a, b):
+        """(token ids of the pieces raw[a[k]:b[k]] one after the other, number of ids of each)."""
+        import numpy as np
+
+        ids, sizes = [], []
+        for at in range(0, len(a), ABREAST):
+            if len(self.states) > STATES:
+                self.reset()
+            x, n = self.abreast(raw, a[at : at + ABREAST], b[at : at + ABREAST])
+            ids.append(x)
+            sizes.append(n)
+        if not ids:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def abreast(self, raw, a, b):
+        import numpy as np
+
+        from grafloom.llm.hashing import ragged
+
+        order = np.argsort(a - b, kind="stable")  # the longest first, so those still running are the first ones
+        start, size = a[order], (b - a)[order]
+        running = np.searchsorted(-size, -np.arange(int(size.max(initial=0)) + 1), "left")  # pieces of more than i bytes
+        state, nothing, i = np.zeros(len(a), np.int64), len(self.m.vocab), 0
+        owners, outputs = [], []
+        while running[i] > ALONE:
+            n = running[i]
+            state[:n], out = self.run(state[:n], raw[start[:n] + i])
+            on = np.flatnonzero(out != nothing)
+            owners.append(on)
+            outputs.append(out[on])
+            i += 1
+        left = int(running[i])
+        owners.append(np.arange(left, len(a)))
+        outputs.append(self.final[state[left:]].astype(np.int64))
+        tokens, many = self.expanded(np.concatenate(outputs))
+        owner = np.repeat(np.concatenate(owners), many)
+        names = [self.states[k] for k in state[:left].tolist()]
+        rests = [self.alone(name, raw[start[k] + i : start[k] + size[k]].tobytes()) for k, name in enumerate(names)]
+        tokens = np.concatenate([tokens, np.array([t for x in rests for t in x], np.int64)])
+        owner = order[np.concatenate([owner, np.repeat(np.arange(left), [len(x) for x in rests])])]
+        for k in np.flatnonzero(np.isin(b - a, self.odd_sizes)).tolist() if self.odd else ():
+            odd = self.odd.get(raw[a[k] : b[k]].tobytes())
+            if odd is not None:
+                keep = owner != k
+                tokens, owner = np.append(tokens[keep], odd), np.append(owner[keep], k)
+        return tokens[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(a))
+
+
 
 
 #: States of the UTF-8 machine: 0 between characters; 1 to 3 so many bytes to come; then what must follow E0, ED, F0, F4.
@@ -270,19 +397,24 @@ class Codec:
         self.size = np.array([len(w) for w in vocab], np.int64)
         self.at = np.cumsum(self.size) - self.size
         self.raw = np.frombuffer(b"".join(vocab), np.uint8)
+        decimals = [str(r).encode() + b" " for r in range(len(vocab))]
+        self.digits = np.frombuffer(b"".join(decimals), np.uint8)
+        self.digit_size = np.array([len(d) for d in decimals], np.int64)
+        self.digit_at = np.cumsum(self.digit_size) - self.digit_size
         table, longest = utf8_table(), int(self.size.max())
-        self.after = np.empty((9, len(vocab)), np.int8)
+        # For each state of the UTF-8 machine: the state after a whole token, and the bytes then open in it.
+        self.after, self.open = np.empty((9, len(vocab)), np.int8), np.empty((9, len(vocab)), np.int64)
         for s in range(9):
-            state = np.full(len(vocab), s, np.int8)
+            state, opened = np.full(len(vocab), s, np.int8), np.zeros(len(vocab), np.int64)
             for k in range(longest):
                 on = np.flatnonzero(self.size > k)
                 state[on] = table[state[on], self.raw[self.at[on] + k]]
-            self.after[s] = state
-        self.cache: dict[bytes, tuple[int, ...]] = {}
+                opened[on] = np.where(state[on] == 0, 0, opened[on] + 1)
+            self.after[s], self.open[s] = state, opened
 
     def encode(self, raw, offsets):
-        """(ids, where each text's ids begin and end, number of the distinct piece at each place, ids of the distinct
-        pieces, where each text's pieces begin) of the texts raw[offsets[k]:offsets[k + 1]]."""
+        """(ids, where each text's ids begin and end) of the texts raw[offsets[k]:offsets[k + 1]]; every distinct piece
+        runs through the transducer."""
         import numpy as np
 
         from grafloom.llm.hashing import ragged
@@ -292,82 +424,73 @@ class Codec:
         heads = np.searchsorted(places, offsets)
         start, end = cut(points, heads[:-1], spaced=True)
         if not len(start):
-            return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64), [], np.zeros(len(offsets), np.int64)
+            return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
         a, b = places[start], places[end]
         first, codes = distinct_slices(raw, a, b)
-        data, cache, machine = raw.tobytes(), self.cache, self.machine
-        fa, fb = a[first], b[first]
-        pieces = [data[x:y] for x, y in zip(fa.tolist(), fb.tolist())]
-        known = [cache.get(x) for x in pieces]
-        missing = [k for k, ids in enumerate(known) if ids is None]
-        short = [k for k in missing if len(pieces[k]) <= TOGETHER and pieces[k] not in machine.odd]
-        of_short = np.array(short, np.int64)
-        made = dict(zip(short, machine.encode_all(raw, fa[of_short], fb[of_short])))
-        if len(cache) + len(missing) > CACHE:
-            cache.clear()
-        for k in missing:
-            known[k] = cache[pieces[k]] = made[k] if k in made else machine.encode(pieces[k])
-        size = np.fromiter(map(len, known), np.int64, len(known))
-        every = np.fromiter((i for ids in known for i in ids), np.int64, int(size.sum()))
+        every, size = self.machine.encode_all(raw, a[first], b[first])
         ids = every[ragged((np.cumsum(size) - size)[codes], size[codes])]
-        bounds = np.append(0, np.cumsum(size[codes]))
-        of = np.searchsorted(start, heads)
-        return ids, bounds[of], codes, known, of
+        return ids, np.append(0, np.cumsum(size[codes]))[np.searchsorted(start, heads)]
+
+    def decimal(self, ids) -> bytes:
+        """The ids as decimal numbers, each with a blank behind it."""
+        from grafloom.llm.hashing import ragged
+
+        return self.digits[ragged(self.digit_at[ids], self.digit_size[ids])].tobytes()
 
-    def decode(self, ids) -> bytes:
+    def bytes_of(self, ids) -> bytes:
         from grafloom.llm.hashing import ragged
 
         return self.raw[ragged(self.at[ids], self.size[ids])].tobytes()
 
-    def walk(self, ids, state: int = 0) -> tuple[int, int]:
-        """(state after ``ids``, number of the ids after which no character was open last), ``BAD`` once bytes are
-        not UTF-8."""
+    def walk(self, ids, state: int, opened: int) -> tuple[int, int]:
+        """(state, bytes open in an unfinished character) of the UTF-8 machine after ``ids``; the state is ``BAD`` once
+        bytes are not UTF-8.  Tokens of whole characters leave state 0 as it is and are stepped over together."""
         import numpy as np
 
-        odd = np.flatnonzero(self.after[0][ids])
-        n, i, whole = len(ids), 0, 0
-        while True:
+        odd, n, i = np.flatnonzero(self.after[0][ids]), len(ids), 0
+        while i < n:
             if state == 0:
                 k = np.searchsorted(odd, i)
                 if k == len(odd):
-                    return 0, n
-                i = whole = int(odd[k])
-            while i < n and (state or i == whole):
-                state = int(self.after[state, ids[i]])
-                i += 1
-                if state == BAD:
-                    return BAD, whole
-            if state:
-                return state, whole
-            if i >= n:
-                return 0, n
+                    return 0, 0
+                i, opened = int(odd[k]), 0
+            t = int(ids[i])
+            inside = int(self.open[state, t])
+            opened = opened + inside if inside == self.size[t] else inside
+            state = int(self.after[state, t])
+            if state == BAD:
+                return BAD, 0
+            i += 1
+        return state, opened
 
 
 class StreamDecoder:
-    """Text from ids as they come: ``feed`` returns the characters that are complete."""
+    """Bytes from ids as they come: ``feed`` returns those of the characters that are complete."""
 
     def __init__(self, codec: Codec):
         self.codec, self.held, self.state = codec, b"", 0
-        self.table = utf8_table()
-
-    def feed(self, ids: Iterable[int]) -> str:
-        done = []
-        for i in ids:
-            word = self.codec.vocab[i]
-            for k, byte in enumerate(word):
-                self.held += word[k : k + 1]
-                self.state = int(self.table[self.state, byte])
-                if self.state == BAD:
-                    raise ValueError("the ids do not decode to UTF-8")
-                if not self.state:
-                    done.append(self.held)
-                    self.held = b""
-        return b"".join(done).decode("utf-8")
+
+    def feed(self, ids: Iterable[int]) -> bytes:
+        import numpy as np
+
+        ids = np.asarray(ids, np.int64)
+        data = self.held + self.codec.bytes_of(ids)
+        self.state, opened = self.codec.walk(ids, self.state, len(self.held))
+        if self.state == BAD:
+            raise ValueError("the ids do not decode to UTF-8")
+        self.held = data[len(data) - opened :]
+        return data[: len(data) - opened]
 
     def close(self) -> None:
         if self.held:
             raise ValueError("the ids end within a character")
 
+    def decode(self, ids) -> Iterator[bytes]:
+        """All of a document's ids, a part at a time."""
+        for at in range(0, len(ids), FEED):
+            yield self.feed(ids[at : at + FEED])
+        self.close()
+
 
 def load(path: str) -> Codec:
     return worker_model(("byte_bpe", path), lambda: Codec(path))
@@ -379,7 +502,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(vocabulary)
         for part in steps(batches, "t"):
-            ids, bounds, *_ = codec.encode(*flat(part.column("t")))
+            ids, bounds = codec.encode(*flat(part.column("t")))
             yield pa.RecordBatch.from_arrays([part.column("i"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))], names=[id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -394,35 +517,43 @@ def decode_documents(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id"
 
         codec = load(vocabulary)
         for batch in batches:
-            out = []
+            out: list[str | None] = []
             for ids in batch.column("ids"):
-                ids = None if not ids.is_valid else np.asarray(ids.as_py(), np.int64)
-                out.append(codec.decode(ids).decode("utf-8") if ids is not None and codec.walk(ids)[0] == 0 else None)
+                try:
+                    out.append(b"".join(StreamDecoder(codec).decode(np.asarray(ids.as_py(), np.int64))).decode("utf-8") if ids.is_valid else None)
+                except ValueError:
+                    out.append(None)
             yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(out, pa.string())], names=[id_col, "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
     return encoded.select(encoded[id_col].alias("i"), "ids").mapInArrow(run, f"`{id_col}` {kind}, text string")
 
 
-def round_trips(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256, whole) of each row: digests of its ids and of what they decode to,
-    and whether the decoder ended between characters."""
+def round_trips(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of each row: digests of its ids and of what the stream decoder makes of
+    them; then, if asked for, the ids as array<int>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         codec = load(vocabulary)
         for part in steps(batches, "t"):
-            ids, bounds, codes, known, of = codec.encode(*flat(part.column("t")))
-            names = [" ".join(map(str, x)) for x in known]
-            codes, of, ends = codes.tolist(), of.tolist(), bounds.tolist()
-            sha_ids, sha_text, whole = [], [], []
+            ids, bounds = codec.encode(*flat(part.column("t")))
+            digits = memoryview(codec.decimal(ids))
+            places = np.append(0, np.cumsum(codec.digit_size[ids]))[bounds].tolist()
+            ends = bounds.tolist()
+            sha_ids, sha_text = [], []
             for k in range(part.num_rows):
-                sha_ids.append(hashlib.sha256(" ".join([names[c] for c in codes[of[k] : of[k + 1]]]).encode()).hexdigest())
-                own = ids[ends[k] : ends[k + 1]]
-                whole.append(codec.walk(own)[0] == 0)
-                sha_text.append(hashlib.sha256(codec.decode(own)).hexdigest())
-            yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(np.diff(bounds)), pa.array(sha_ids, pa.string()), pa.array(sha_text, pa.string()), pa.array(whole, pa.bool_())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "whole"])
+                sha_ids.append(hashlib.sha256(digits[places[k] : max(places[k], places[k + 1] - 1)]).hexdigest())
+                digest = hashlib.sha256()
+                for data in StreamDecoder(codec).decode(ids[ends[k] : ends[k + 1]]):
+                    digest.update(data)
+                sha_text.append(digest.hexdigest())
+            columns = [part.column("i"), pa.array(np.diff(bounds)), pa.array(sha_ids, pa.string()), pa.array(sha_text, pa.string())]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("i"), docs[text_col].alias("t")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, whole boolean")
+    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    return docs.select(docs[id_col].alias("i"), docs[text_col].alias("t")).mapInArrow(run, schema)

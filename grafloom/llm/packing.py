@@ -26,6 +26,8 @@ from grafloom.llm.shared import flat, steps, worker_model
 
 #: Tokens that a task holds before it packs them.
 WINDOW = 4_000_000
+#: Pieces whose ids a worker remembers; the cache is emptied when it is full.
+CACHE = 200_000
 
 
 class Capacities:
@@ -94,7 +96,6 @@ class Encoder:
         """(ids, where each text's begin and end)."""
         import numpy as np
 
-        from grafloom.llm.byte_bpe import CACHE
         from grafloom.llm.hashing import ragged
         from grafloom.llm.pieces import code_points, cut, distinct_slices
 

@@ -53,7 +53,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.round_trips(table(spark, sf_dir, "documents"), BYTE_BPE).drop("whole")
+    return byte_bpe.round_trips(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,32 +1,42 @@
 """Operator 2: lines that occur in many documents, dropped by probing a sharded minimal perfect hash.
 
-1. Each document gives the 128-bit hashes of its distinct, long enough line keys; they are counted per hash with
-   partial sums on the map side, and hashes found in too few documents go.
-2. The rest is dealt to shards of about ``SHARD_KEYS`` keys.  Each shard's keys get a minimal perfect hash (levels of
-   bit arrays; a key rests on the first level where it is alone), which numbers compact arrays of fingerprints, counts
-   and owners (the largest document id).
-3. Documents' hashes are routed to their shard's arrays and probe them; hits of a document that isn't the owner are its
-   lines to drop.  A shard's arrays are sent ``SALTS`` times, and a line's probes are dealt over these by document, so
-   that a line that is in every document does not meet in one task.
-4. The hits, gathered per document, meet the texts once.
+1. The 128-bit hashes of all long enough line keys are counted, once a document, with partial sums on the map side.  A
+   hash that is in one document only needs no entry: what the index does not hold has the count 1.
+2. The distinct hashes with a higher count are dealt to shards of about ``SHARD_KEYS`` keys.  Each shard's keys get a
+   minimal perfect hash (levels of bit arrays; a key rests on the first level where it is alone), which numbers compact
+   arrays of fingerprints, counts and owners (the largest document id).
+3. Documents probe the arrays: a line goes if its count is high enough and its owner is another document.  While all
+   shards together hold ``INDEX_BYTES`` at most, they are sent to every executor, and a document's task looks its lines
+   up in place; nothing is joined and no text is exchanged.
+4. A larger index stays where it is, and the documents' hashes (not their texts) are routed to the shards' arrays.  A
+   shard's arrays are copied once for every ``PROBES`` hashes that are to come, by the counts in the index, and a line's
+   probes are dealt over these by document, so that a line that is in every document does not meet in one task.  The
+   hits, gathered per document, then meet the texts once.
 
 Cases: a null or empty text is one empty line; rows count as documents, also those that share an id, and of these all
 keep a line that their id owns; rows with a null id are left whole and count for nothing; repeated rows give a row
-each; other columns are kept by ``drop_lines`` and are not read otherwise; an empty table gives an empty result.
+each; other columns are kept by ``drop_lines`` and are not read otherwise; an empty table gives an empty result.  Ids are
+compared as long.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grafloom.llm.shared import flat, ints, materialize, release_model, steps, task_count
+from grafloom.llm.shared import flat, ints, materialize, release_model, steps, task_count, worker_model
 
 SHARD_KEYS = 1 << 15
-SALTS = 8
+#: Shards at most; with more keys, shards get larger.
+SHARDS = 1 << 16
+#: Bytes of an index that every executor gets whole.
+INDEX_BYTES = 64 << 20
+#: Hashes that one copy of a shard is probed with.
+PROBES = 1 << 21
 LEVELS = 24
 
 
@@ -100,7 +110,7 @@ class Shard:
         for s in sizes.tolist():
             bits = np.unpackbits(np.frombuffer(blob, np.uint8, (s + 7) // 8, at), count=s).astype(bool)
             at += (s + 7) // 8
-            self.levels.append((bits, np.cumsum(bits) - 1 + done))
+            self.levels.append((bits, np.cumsum(bits, dtype=np.int32) - 1 + done))
             done += int(bits.sum())
         self.prints = np.frombuffer(blob, np.uint64, n, at)
         self.owners = np.frombuffer(blob, np.int64, n, at + 8 * n)
@@ -163,29 +173,33 @@ def line_hashes(docs: DataFrame, least: int, id_col: str, text_col: str) -> Data
     return docs.filter(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("i"), docs[text_col].alias("t")).mapInArrow(run, "h1 long, h2 long, doc long")
 
 
-def line_index(lines: DataFrame, documents: int) -> tuple[DataFrame, int]:
-    """((shard, blob) of the keys found in ``documents`` rows or more, number of shards)."""
-    hot = materialize(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("owner")).filter(F.col("n") >= documents), "keys")
-    shards = max(1, -(-hot.count() // SHARD_KEYS))
+def line_index(lines: DataFrame) -> tuple[DataFrame, int]:
+    """((shard, blob, hashes) of the keys found in two rows or more, number of shards); ``hashes`` is how many rows have
+    a key of the shard's arrays."""
+    keys = materialize(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("owner")).filter("n > 1"), "keys")
+    shards = min(SHARDS, max(1, -(-keys.count() // SHARD_KEYS)))
 
     def one(batch):
         import numpy as np
         import pandas as pd
 
         u = lambda c: batch[c].to_numpy(np.int64).view(np.uint64)
-        return pd.DataFrame({"shard": batch["shard"].iloc[:1], "blob": [pack(u("h1"), u("h2"), batch["n"].to_numpy(), batch["owner"].to_numpy(np.int64))]})
+        return pd.DataFrame({"shard": batch["shard"].iloc[:1], "blob": [pack(u("h1"), u("h2"), batch["n"].to_numpy(), batch["owner"].to_numpy(np.int64))], "hashes": [batch["n"].sum()]})
 
-    return hot.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(one, "shard int, blob binary"), shards
+    packed = keys.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(one, "shard int, blob binary, hashes long")
+    return materialize(packed, "index"), shards
 
 
-def lines_to_drop(docs: DataFrame, least: int, documents: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc, h1s, h2s): the keys of the lines that each document loses."""
-    lines = materialize(line_hashes(docs, least, id_col, text_col), "lines")
-    index, shards = line_index(lines, documents)
-    sent = materialize(index, "index").select(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("kind"), "blob", F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), F.lit(0).cast("long").alias("doc")
-    )
-    probes = lines.select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("blob"), "h1", "h2", "doc")
+def routed(lines: DataFrame, index: DataFrame, shards: int, documents: int) -> DataFrame:
+    """(doc, h1s, h2s): the keys of the lines that each document loses, by probes that are sent to the shards."""
+    spark = lines.sparkSession
+    # Hashes of one row only fall on all shards alike; their number a shard is not known, that of all rows is.
+    alike = -(-lines.count() // shards)
+    salts = index.select("shard", F.ceil((F.col("hashes") + alike) / PROBES).cast("int").alias("salts"))
+    no = F.lit(0).cast("long")
+    sent = index.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "blob", no.alias("h1"), no.alias("h2"), no.alias("doc"))
+    probes = lines.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")).join(F.broadcast(salts), "shard")  # SHARDS rows at most
+    probes = probes.select("shard", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("blob"), "h1", "h2", "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -193,8 +207,8 @@ def lines_to_drop(docs: DataFrame, least: int, documents: int, id_col: str, text
         release_model()
         at, shard = None, None
         for batch in batches:
-            shards_, salts, kind = (ints(batch.column(c)) for c in ("shard", "salt", "kind"))
-            place = shards_ * SALTS + salts
+            place = ints(batch.column("shard")) << 32 | ints(batch.column("salt"))
+            kind = ints(batch.column("kind"))
             cuts = np.flatnonzero((place[1:] != place[:-1]) | (kind[1:] != kind[:-1])) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)]):
                 if a == b:
@@ -206,57 +220,113 @@ def lines_to_drop(docs: DataFrame, least: int, documents: int, id_col: str, text
                     continue
                 cut = batch.slice(a, b - a)
                 one, two, doc = (ints(cut.column(c)) for c in ("h1", "h2", "doc"))
-                found = shard.probe(one.view(np.uint64), two.view(np.uint64))
-                lose = np.flatnonzero(found >= 0)
-                lose = lose[shard.owners[found[lose]] != doc[lose]]
+                lose = lost(shard, one.view(np.uint64), two.view(np.uint64), doc, documents)
                 yield pa.RecordBatch.from_arrays([pa.array(doc[lose]), pa.array(one[lose]), pa.array(two[lose])], names=["doc", "h1", "h2"])
 
-    hits = sent.unionByName(probes).repartition(task_count(docs.sparkSession), "shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(run, "doc long, h1 long, h2 long")
+    hits = sent.unionByName(probes).repartition(task_count(spark), "shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(run, "doc long, h1 long, h2 long")
     return hits.distinct().groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("keys")).select("doc", F.col("keys.h1").alias("h1s"), F.col("keys.h2").alias("h2s"))
 
 
+def lost(shard: Shard, one, two, doc, documents: int):
+    """Which probes find a line of so many documents that is owned by another one."""
+    import numpy as np
+
+    found = shard.probe(one, two)
+    at = np.flatnonzero(found >= 0)
+    number = found[at]
+    return at[(shard.counts[number] >= documents) & (shard.owners[number] != doc[at])]
+
+
+class Index:
+    """All shards of an index."""
+
+    def __init__(self, blobs: list[tuple[int, bytes]], shards: int):
+        self.shards, self.of = shards, {k: Shard(blob) for k, blob in blobs}
+
+    def lost(self, one, two, doc, documents: int):
+        import numpy as np
+
+        at = (one.view(np.int64) % self.shards).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        cuts = np.searchsorted(at[order], np.arange(self.shards + 1)).tolist()
+        out = [np.zeros(0, np.int64)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if a < b and k in self.of:
+                own = order[a:b]
+                out.append(own[lost(self.of[k], one[own], two[own], doc[own], documents)])
+        return np.concatenate(out)
+
+
+def without(text: pa.Array, raw, start, end, first, of, gone) -> pa.Array:
+    """The texts less the lines whose numbers are in ``gone``."""
+    import numpy as np
+
+    kept = np.ones(len(start), bool)
+    kept[gone] = False
+    data, out = raw.tobytes(), text.to_pylist()
+    for k in np.unique(of[gone]).tolist():
+        own = slice(first[k], first[k + 1])
+        out[k] = b"\n".join([data[a:b] for a, b, keep in zip(start[own].tolist(), end[own].tolist(), kept[own].tolist()) if keep]).decode("utf-8")
+    return pa.array(out, text.type)
+
+
 def drop_lines(docs: DataFrame, least: int = 20, documents: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the text less its repeated lines, and then the columns n_lines and n_dropped (which replace any
-    of these names)."""
+    of these names).  A line is repeated if it is in ``documents`` rows, two at least."""
+    if documents < 2:
+        raise ValueError("a line repeats in two documents at least")
     docs = docs.drop("n_lines", "n_dropped")
-    drops = lines_to_drop(docs, least, documents, id_col, text_col)
     names = docs.columns
-    joined = docs.select(*[docs[c].alias(f"c{k}") for k, c in enumerate(names)]).join(drops, F.col(f"c{names.index(id_col)}") == F.col("doc"), "left").drop("doc")
-    text_at = names.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spark, text_at = docs.sparkSession, names.index(text_col)
+    index, shards = line_index(line_hashes(docs, least, id_col, text_col))
+    size = index.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
+    given = docs.select(*[docs[c].alias(f"c{k}") for k, c in enumerate(names)], docs[id_col].cast("long").alias("doc"))
+    sent, key = None, ("lines", uuid.uuid4().hex)
+    if size <= INDEX_BYTES:
+        sent = spark.sparkContext.broadcast([(r.shard, bytes(r.blob)) for r in index.select("shard", "blob").toLocalIterator()])
+    else:
+        drops = routed(materialize(line_hashes(docs, least, id_col, text_col), "lines"), index, shards, documents)
+        given = given.join(drops.withColumnRenamed("doc", "loser"), F.col("doc") == F.col("loser"), "left").drop("loser")
+
+    def probed(part, one, two, of):
+        index = worker_model(key, lambda: Index(sent.value, shards))  # unpacked once in each worker
+        return index.lost(one, two, ints(part.column("doc"))[of], documents)
+
+    def listed(part, one, two, of):
+        """The same from the lists that came with the rows."""
         import numpy as np
 
         from grafloom.llm.hashing import mix
 
-        release_model()
+        h1s, h2s = part.column("h1s"), part.column("h2s")
+        if h1s.null_count == part.num_rows:
+            return np.zeros(0, np.int64)
+        lists = np.array([len(x) if x.is_valid else 0 for x in h1s])
+        owner = np.repeat(np.arange(part.num_rows), lists)
+        d1, d2 = (c.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in (h1s, h2s))
+        ours, theirs = mix(one + mix(of.astype(np.uint64))), mix(d1 + mix(owner.astype(np.uint64)))
+        order = np.argsort(theirs)
+        theirs, d2, owner = theirs[order], d2[order], owner[order]
+        at = np.minimum(np.searchsorted(theirs, ours), len(theirs) - 1)
+        return np.flatnonzero((theirs[at] == ours) & (d2[at] == two) & (owner[at] == of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        if sent is None:
+            release_model()
         for part in steps(batches, f"c{text_at}"):
             text = part.column(text_at)
             raw, offsets = flat(text)
             start, end, of, first = split_lines(raw, offsets)
-            counts = np.diff(first)
-            h1s, h2s = part.column("h1s"), part.column("h2s")
-            dropped = np.zeros(part.num_rows, np.int64)
-            if h1s.null_count < part.num_rows:
-                lists = np.array([len(x) if x.is_valid else 0 for x in h1s])
-                owner = np.repeat(np.arange(part.num_rows), lists).astype(np.uint64)
-                d1, d2 = (c.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in (h1s, h2s))
-                some, one, two = line_keys(raw, start, end, least)
-                ours = mix(one + mix(of[some].astype(np.uint64)))
-                theirs = mix(d1 + mix(owner))
-                order = np.argsort(theirs)
-                theirs, d2, owner = theirs[order], d2[order], owner[order]
-                at = np.minimum(np.searchsorted(theirs, ours), len(theirs) - 1)
-                gone = some[(theirs[at] == ours) & (d2[at] == two) & (owner[at] == of[some].astype(np.uint64))]
-                dropped = np.bincount(of[gone], minlength=part.num_rows)
-                kept = np.ones(len(start), bool)
-                kept[gone] = False
-                data, out = raw.tobytes(), text.to_pylist()
-                for k in np.flatnonzero(dropped).tolist():
-                    out[k] = b"\n".join([data[a:b] for a, b, keep in zip(start[first[k] : first[k + 1]].tolist(), end[first[k] : first[k + 1]].tolist(), kept[first[k] : first[k + 1]].tolist()) if keep]).decode("utf-8")
-                text = pa.array(out, text.type)
+            some, one, two = line_keys(raw, start, end, least)
+            named = np.flatnonzero(part.column("doc").is_valid().to_numpy(zero_copy_only=False)[of[some]])
+            some, one, two = some[named], one[named], two[named]
+            gone = some[(listed if sent is None else probed)(part, one, two, of[some])]
+            if len(gone):
+                text = without(text, raw, start, end, first, of, gone)
             columns = [text if k == text_at else part.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts), pa.array(dropped)], names=[*(f"c{k}" for k in range(len(names))), "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(first)), pa.array(np.bincount(of[gone], minlength=part.num_rows))], names=[*(f"c{k}" for k in range(len(names))), "n_lines", "n_dropped"])
 
     kinds = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(names))
-    return joined.mapInArrow(run, f"{kinds}, n_lines long, n_dropped long").toDF(*names, "n_lines", "n_dropped")
+    return given.mapInArrow(run, f"{kinds}, n_lines long, n_dropped long").toDF(*names, "n_lines", "n_dropped")

@@ -76,15 +76,15 @@ LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz
 
 LINES_SQL = f"""
 WITH l AS (
-  SELECT d.doc_id, u.k, u.line, {LOWER.format(f"trim(u.line, {SPACE})")} AS key
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents) d,
+  SELECT d.rn, d.doc_id, u.k, u.line, {LOWER.format(f"trim(u.line, {SPACE})")} AS key
+  FROM (SELECT row_number() OVER () AS rn, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents) d,
        LATERAL (SELECT unnest(d.lines) AS line, generate_subscripts(d.lines, 1) AS k) u
 ), hot AS (
-  SELECT key, max(doc_id) AS owner FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+  SELECT key, max(doc_id) AS owner FROM l WHERE length(key) >= 20 AND doc_id IS NOT NULL GROUP BY key HAVING count(DISTINCT rn) >= 3
 )
 SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE hot.owner <> l.doc_id) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE hot.owner IS NULL OR hot.owner = l.doc_id), '')) AS kept_sha256
-FROM l LEFT JOIN hot ON l.key = hot.key GROUP BY l.doc_id
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE hot.owner IS NULL OR l.doc_id IS NULL OR hot.owner = l.doc_id), '')) AS kept_sha256
+FROM l LEFT JOIN hot ON l.key = hot.key GROUP BY l.rn, l.doc_id
 """
 
 WORDS = "list_filter(regexp_split_to_array({}, {}), lambda w: w <> '')"

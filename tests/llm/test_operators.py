@@ -203,14 +203,19 @@ def brute_lines(rows, least=20, documents=3):
     return sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
-def test_line_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("limits", [{}, {"INDEX_BYTES": 0}, {"INDEX_BYTES": 0, "SHARD_KEYS": 4, "PROBES": 10}, {"SHARD_KEYS": 4}])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, limits):
     from pyspark.sql import functions as F
 
+    for name, value in limits.items():
+        monkeypatch.setattr(line_dedup, name, value)
+
     rows = cases.texts()
     out = line_dedup.drop_lines(cases.table(spark))
     assert out.columns == [*cases.table(spark).columns, "n_lines", "n_dropped"]
     assert cases.ordered(out.withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", "n_lines", "n_dropped", "text") == brute_lines(rows)
     many = [(k, f"{'A common line of text here' if k % 2 else 'another line, also common'}\r\nown {k}\n\tshort\nÄ common line äöü {k % 4} {'x' * 8}") for k in range(60)]
+    many += [(7, "A common line of text here\nrepeated twice, but by one id"), (7, "repeated twice, but by one id"), (None, "A common line of text here")]
     got = cases.ordered(line_dedup.drop_lines(spark.createDataFrame(many, "doc_id long, text string")), "doc_id", "n_lines", "n_dropped", "text")
     assert got == brute_lines(many)
 
@@ -336,31 +341,136 @@ def test_one_of_each_decides_rows_that_share_an_id_by_their_texts(spark):
 # 4
 
 
+def spoken(r, langs, n, words=(3, 60)):
+    syllables = {"aa": ["ba", "na", "ka", "la"], "bb": ["th", "er", "on", "st"], "cc": ["ou", "é", "eau", "ç"], "zz": ["xq", "wv", "jj", "ž"]}
+    say = lambda k, m: " ".join("".join(r.choice(syllables[k]) for _ in range(r.randint(1, 4))) for _ in range(m))
+    return [(say(k, r.randint(*words)), k) for k in (r.choice(langs) for _ in range(n))]
+
+
+def brute_grams(text):
+    """Buckets of all n-grams of a text, byte by byte."""
+    import numpy as np
+
+    raw = text.encode()
+    folded = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in b" " + raw + b" ")
+    folded = re.sub(b" +", b" ", folded)
+    out = []
+    for k in (2, 3, 4):
+        for a in range(len(folded) - k + 1):
+            code = int.from_bytes(folded[a : a + k], "big") + (k << 56)
+            out.append(int(hashing.mix(np.array([code], np.uint64))[0]) & (language.BUCKETS - 1))
+    return out
+
+
+def brute_languages(learned, texts):
+    """(language, whether it is rejected) by the definition: ``learned`` are (text, language, whether it calibrates)."""
+    import math
+    from statistics import median
+
+    names = sorted({k for _, k, _ in learned})
+    codes = language.codewords(len(names)).tolist()
+    share = {}
+    for k in names:
+        n = Counter(g for t, own, c in learned if own == k and not c for g in brute_grams(t))
+        total = sum(n.values()) + 0.05 * language.BUCKETS
+        share[k] = lambda g, n=n, total=total: (n[g] + 0.05) / total
+
+    def margins(text):
+        grams = brute_grams(text)
+        out = []
+        for b in range(len(codes[0])):
+            yes = [k for k, c in zip(names, codes) if c[b] > 0]
+            no = [k for k, c in zip(names, codes) if c[b] < 0]
+            out.append(sum(math.log(sum(share[k](g) for k in yes) / len(yes)) - math.log(sum(share[k](g) for k in no) / len(no)) for g in grams) / max(1, len(grams)))
+        return out
+
+    known = [(margins(t), names.index(k)) for t, k, c in learned if c]
+    cut, scale, trust = [], [], []
+    for b in range(len(codes[0])):
+        typical = [median(m[b] for m, j in known if j == k) for k in range(len(names))]
+        top = [x for x, c in zip(typical, codes) if c[b] > 0]
+        low = [x for x, c in zip(typical, codes) if c[b] < 0]
+        top, low = sum(top) / len(top), sum(low) / len(low)
+        cut.append((top + low) / 2)
+        scale.append(4 / ((top - low) / 2))
+        right = [[(m[b] - cut[b]) * codes[j][b] > 0 for m, j in known if j == k] for k in range(len(names))]
+        trust.append(min(1, max(0.05, 2 * sum(sum(x) / len(x) for x in right) / len(right) - 1)))
+    out = []
+    for t in texts:
+        if not t or not any(map(str.isalpha, t)):
+            out.append(("und", True))
+            continue
+        m = margins(t)
+        loss = [sum(w * math.log1p(math.exp(-(x - z) * s * c)) for x, z, s, w, c in zip(m, cut, scale, trust, code)) for code in codes]
+        out.append((names[loss.index(min(loss))], min(loss) > language.FAR * math.log(2) * sum(trust)))
+    return out
+
+
+def sampled_rows(spark, docs):
+    """The rows that ``fit`` learns from, and which of them calibrate."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    rows = docs.filter("text is not null and lang is not null").withColumn("r", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("r", "doc_id")))
+    return [(x.text, x.lang, x.n % language.CALIBRATE == 0) for x in rows.collect()]
+
+
+def test_languages_equal_brute_force(spark):
+    r = random.Random(6)
+    rows = [(i, *x) for i, x in enumerate(spoken(r, ["aa", "bb", "cc"], 120, (3, 20)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    odd = [t for _, t in cases.texts() if t is None or len(t) < 900] + [t for t, _ in spoken(r, ["zz", "aa", "bb", "cc"], 40, (1, 12))] + ["ba th", "Lana ERON"]
+    got = language.languages(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [(x.lang_pred, x.far) for x in got] == brute_languages(sampled_rows(spark, docs), odd)
+    assert sum(x.far for x in got) > 10 and sum(not x.far for x in got) > 20
+
+
 def test_languages_are_told_apart(spark):
     r = random.Random(6)
-    syllables = {"aa": ["ba", "na", "ka", "la"], "bb": ["th", "er", "on", "st"], "cc": ["ou", "é", "eau", "ç"]}
-    say = lambda k, n: " ".join("".join(r.choice(syllables[k]) for _ in range(r.randint(1, 4))) for _ in range(n))
-    rows = [(i, say(k := r.choice(list(syllables)), r.randint(3, 60)), k) for i in range(400)]
+    rows = [(i, *x) for i, x in enumerate(spoken(r, ["aa", "bb", "cc"], 400))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     out = language.languages(docs, language.fit(docs.filter(~language.is_held_out(docs["doc_id"])))).join(docs, "doc_id").collect()
     held = [x for x in out if zlib.crc32(str(x.doc_id).encode()) % 4 == 2]
     assert len(held) > 60 and sum(x.lang_pred == x.lang for x in held) / len(held) > 0.97
-    assert all(0 <= x.score <= 1 for x in out)
+    assert all(0 <= x.score <= 1 for x in out) and not any(x.far for x in out)
     model = language.fit(docs)
     odd = {x.doc_id: x for x in language.languages(cases.table(spark), model).collect()}
     for i in (7, 8, 9, 10):
-        assert odd[i].lang_pred == "und" and odd[i].score == 0 and not odd[i].ambiguous
-    assert odd[12].lang_pred in syllables
-    stay = {x.doc_id for x in language.known_language(cases.table(spark), model).collect()}
-    assert not stay & {7, 8, 9, 10} and {1, 4, 11, 12, 13} <= stay
+        assert odd[i].lang_pred == "und" and odd[i].score == 0 and not odd[i].ambiguous and odd[i].far
+    assert odd[12].lang_pred in ("aa", "bb", "cc")
+
+
+def test_known_language_rejects_what_no_codeword_fits(spark):
+    r = random.Random(16)
+    rows = [(i, *x) for i, x in enumerate(spoken(r, ["aa", "bb", "cc"], 200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    foreign = [(1000 + i, t, None) for i, (t, _) in enumerate(spoken(r, ["zz"], 50, (10, 40)))]
+    given = docs.unionByName(spark.createDataFrame([*foreign, (2000, None, "aa"), (2001, "12 3", "bb")], docs.schema))
+    stay = {x.doc_id for x in language.known_language(given, language.fit(docs)).collect()}
+    assert stay == {i for i, *_ in rows}
 
 
-def test_language_without_labels_or_rows(spark):
+def test_calibration_reads_long_texts_too(spark):
+    r = random.Random(26)
+    rows = [(i, *x) for i, x in enumerate(spoken(r, ["aa", "bb", "cc"], 24, (6000, 7000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert (model.trust == 1).all() and (model.scale < 100).all()
+    assert not any(x.far or x.ambiguous for x in language.languages(docs, model).collect())
+
+
+def test_language_without_labels_or_rows(spark, monkeypatch):
     docs = cases.table(spark)
     none = docs.filter("false")
     assert {x.lang_pred for x in language.languages(docs, language.fit(none)).collect()} == {"und"}
+    assert language.known_language(docs, language.fit(none)).count() == 0
     single = language.fit(spark.createDataFrame([(1, "abc", "xx")], "doc_id long, text string, lang string"))
     assert {x.lang_pred for x in language.languages(docs, single).collect()} == {"und", "xx"}
+    monkeypatch.setattr(language, "LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        language.fit(docs)
 
 
 def test_codewords_are_distinct():
@@ -473,7 +583,7 @@ def brute_topk(rows, k=5):
 def test_topk_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", 100)
     monkeypatch.setattr(topk, "BLOCK", 3)
-    monkeypatch.setattr(topk, "PASS", 5)
+    monkeypatch.setattr(topk, "TOGETHER", 2)
     r = random.Random(9)
     rows = [(i, [r.gauss(0, 0.2) for _ in range(16)]) for i in range(420)]
     rows += [(1000 + k, list(rows[k][1])) for k in range(60)]  # ties
@@ -489,7 +599,7 @@ def test_topk_bounds_prune(spark):
     r = np.random.default_rng(10)
     v = np.floor(256 * r.normal(0, 0.125, (3000, 32)))
     q, ids = v[:40], np.arange(3000)
-    row, col, score = topk.search(q, ids[:40], v, ids, 5)
+    row, col, score = topk.search(q, ids[:40], topk.Lists(ids, v), 5)
     full = q @ v.T
     full[np.arange(40), np.arange(40)] = -np.inf
     for k in range(40):
@@ -497,6 +607,39 @@ def test_topk_bounds_prune(spark):
         assert col[row == k].tolist() == want.tolist() and score[row == k].tolist() == full[k][want].tolist()
 
 
+def test_topk_stops_before_the_lists_end(monkeypatch):
+    import numpy as np
+
+    # One component decides, so a part of the lists is enough; final scores are then resolved.
+    r, read = np.random.default_rng(12), []
+    v = np.floor(256 * np.column_stack([r.exponential(1, 4000), r.normal(0, 0.002, (4000, 7))]))
+    lists = topk.Lists(np.arange(4000), v)
+    plain = lists.read
+    lists.read = lambda a, b, kind: (read.append((a, b)), plain(a, b, kind))[1]
+    row, col, score = topk.search(v[:9], np.arange(9), lists, 5)
+    assert sum(b - a for a, b in read) < 4000
+    full = v[:9] @ v.T
+    full[np.arange(9), np.arange(9)] = -np.inf
+    for k in range(9):
+        want = np.lexsort((np.arange(4000), -full[k]))[:5]
+        assert col[row == k].tolist() == want.tolist() and score[row == k].tolist() == full[k][want].tolist()
+
+
+@pytest.mark.parametrize("size", [4.0, 3e5, 2e6])
+def test_topk_of_large_components(spark, size):
+    r = random.Random(13)
+    rows = [(i, [r.uniform(-size, size) for _ in range(3)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert cases.ordered(topk.top_products(df, df["vec_id"] % 50 == 0), "query_id", "rank", "vec_id", "score") == brute_topk(rows)
+
+
+@pytest.mark.parametrize("size", [4e9, 1e300])
+def test_topk_refuses_what_may_not_fit(spark, size):
+    df = spark.createDataFrame([(0, [size] * 4), (1, [1.0] * 4)], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64-bit"):
+        topk.top_products(df, df["vec_id"] % 50 == 0)
+
+
 # 10
 
 

@@ -1,8 +1,13 @@
 """Five stages that turn ``documents`` into encoded, clean training documents.
 
-Language ID keeps documents whose language can be told; line dedup drops lines that many documents share; the n-gram
-Jaccard join keeps one document of each group of near copies; benchmark decontamination drops documents that hold a
-benchmark passage; byte-level BPE encodes what is left.  Every stage is written as Parquet and read by the next.
+Language ID drops documents whose text speaks for no learned language; line dedup drops lines that many documents share;
+the n-gram Jaccard join keeps one document of each group of near copies; benchmark decontamination drops documents that
+hold a benchmark passage; byte-level BPE encodes what is left.  Every stage is written as Parquet and read by the next.
+
+Cases, for all stages: null and empty texts go with the first stage; rows with a null id are kept until the end, but
+neither lose lines nor count as copies; rows that share an id are decided each by its text, and of equal rows one stays;
+other columns are passed on; an empty ``documents`` gives an empty product, and with an empty ``benchmark`` nothing is
+contaminated.  Without any labelled row no language is learned, so nothing is left.
 """
 
 from __future__ import annotations
@@ -16,8 +21,8 @@ from grafloom.llm.shared import materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a text, go; the classifiers learn from the stage's own rows that are not
-    held out."""
+    """Documents go whose bits speak for no codeword, and those without a letter or a text; the classifiers learn from the
+    stage's own rows that are not held out."""
     model = language.fit(docs.filter(~language.is_held_out(F.col("doc_id"))))
     return language.known_language(docs, model)
 
@@ -40,8 +45,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of what they decode to."""
-    return byte_bpe.round_trips(docs, BYTE_BPE).drop("whole")
+    """The token ids of each document, their number, and digests of the ids and of what they decode to."""
+    return byte_bpe.round_trips(docs, BYTE_BPE, with_ids=True)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", drop_lines), ("jaccard_join", near_copies), ("decontamination", decontaminated), ("byte_bpe", encoded)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grafloom.functions.text import lexical_terms, strip_accents
@@ -17,12 +17,19 @@ from grafloom.sources.sinks import read_index, write_index
 MODES = {"rag": "rag", "postgres": "rag", "hybrid": "hybrid", "graphrag": "hybrid", "graph": "graph", "neo4j": "graph", "lexical": "lexical", "bm25": "lexical", "dense": "dense", "vector": "dense"}
 
 
+def searched() -> Column:
+    """What is searched of a chunk."""
+    return F.concat_ws(" ", "title", "citation", "text")
+
+
 @dataclass
 class Index:
+    docs: DataFrame
     nodes: DataFrame
     edges: DataFrame
     chunks: DataFrame
     postings: DataFrame
+    lengths: DataFrame
     dim: int
 
     def retrieve(self, queries: DataFrame, mode: str = "hybrid", top_k: int = 10) -> DataFrame:
@@ -44,7 +51,7 @@ class Index:
         lists = []
         if mode != "dense":
             terms = queries.select("query_id", F.explode(lexical_terms(F.col("text"))).alias("term"))
-            found = lexical.bm25(self.chunks, terms, "chunk_id", F.concat_ws(" ", "title", "citation", "text"), "query_id")
+            found = lexical.bm25_of(self.postings, self.lengths, terms, "chunk_id", "query_id")
             lists.append((lexical.top(found, candidates, "query_id", "chunk_id"), fusion.LEXICAL))
         if mode in ("dense", "rag", "hybrid"):
             asked = queries.select("query_id", hash_embedding(F.col("text"), self.dim).alias("vector"))
@@ -62,27 +69,34 @@ class Index:
         return count(self.nodes, "node_type", "nodes").join(count(self.edges, "relation", "edges")).join(count(self.chunks, "chunk_type", "chunks"))
 
     def write(self, path: str) -> None:
-        write_index({"nodes": self.nodes, "edges": self.edges, "chunks": self.chunks, "postings": self.postings}, path, {"model": "hash", "dim": str(self.dim)})
+        write_index({"docs": self.docs, "nodes": self.nodes, "edges": self.edges, "chunks": self.chunks, "postings": self.postings, "lengths": self.lengths}, path, {"model": "hash", "dim": str(self.dim)})
 
 
 class Engine:
     def __init__(self, spark: SparkSession, dim: int = 384):
         self.spark, self.dim = spark, dim
 
-    def build(self, lines: DataFrame, guides: DataFrame | None = None) -> Index:
-        """An index of documents given as lines (doc_id, n, line): hierarchy, citations, semantic layers, chunks."""
+    def build(self, lines: DataFrame) -> Index:
+        """An index of documents given as lines (doc_id, n, line, and filename if there is one): their descriptions,
+        hierarchy, relations, citations and semantic layers as a graph without open ends, and chunks of all its nodes."""
         nodes, up = structure.parse(lines)
+        docs = kept(structure.documents(lines))
+        nodes, issued = structure.described(nodes, docs)
         nodes = kept(nodes)
-        none = self.spark.createDataFrame([], "doc_id string, target string")
-        found = structure.citations(nodes, none if guides is None else guides)
-        _, stages = rules.stages(self.spark)
-        every = structure.union([x.select("source_id", "target_id", "relation", "evidence") for x in (up, found, rules.layers(nodes), stages)])
-        edges = kept(structure.dedup_edges(every))
+        relations = kept(structure.documents_by_alias(docs.select("doc_id", "doc_type", "text"), structure.aliases(docs)))
+        found = structure.citations(nodes.filter("doc_id is not null"), structure.guides(relations))
+        fixed, stages = rules.stages(self.spark)
+        meant, layers = rules.layers(nodes)
+        edges = [x.select("source_id", "target_id", "relation", "evidence") for x in (up, issued, relations, found, layers, stages)]
+        edges = kept(structure.dedup_edges(structure.union(edges)))
+        every = [x.select(*nodes.columns) for x in (nodes, fixed, meant)]
+        nodes = kept(structure.union(every))
         labels = expand.path_labels(nodes.select(F.col("node_id").alias("node"), F.col("parent_id").alias("parent"), "label", F.col("node_type").alias("kind")), skip=("CơQuanBanHành",))
         named = nodes.join(labels, nodes["node_id"] == labels["node"], "left").drop("node")
         chunks = chunking.node_chunks(named).withColumn("vector", hash_embedding(chunking.embedding_text(F.col("title"), F.col("citation"), F.col("text")), self.dim))
         chunks = kept(chunks)
-        return Index(nodes, edges, chunks, lexical.postings(chunks, "chunk_id", F.col("text")), self.dim)
+        posts = kept(lexical.postings(chunks, "chunk_id", searched()))
+        return Index(structure.with_system(docs), kept(named), edges, chunks, posts, kept(lexical.lengths(chunks, "chunk_id", searched())), self.dim)
 
     def open(self, path: str) -> Index:
         tables = read_index(self.spark, path, {"model": "hash", "dim": str(self.dim)})

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grafloom.functions.words import OTHER_WEIGHT, RELATIONS
+from grafloom.sources.shared import kept
 
-#: Depth to which ancestors are followed by scores, and by breadcrumbs.
-NEAR, FAR = 4, 8
+#: Depth to which ancestors are followed by scores.
+NEAR = 4
 
 
 def relation_table(spark: SparkSession) -> DataFrame:
@@ -18,20 +19,32 @@ def relation_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(RELATIONS), "native string, rel_type string, weight double, out boolean, rev boolean")
 
 
-def ancestors(parents: DataFrame, depth: int = FAR) -> DataFrame:
-    """(node, ancestor, depth) up to ``depth`` steps from (node, parent), each ancestor at its least depth.
+def ancestors(parents: DataFrame, depth: int | None = None, of: DataFrame | None = None) -> DataFrame:
+    """(node, ancestor, depth) from (node, parent), each ancestor at its least depth: of all nodes or those in ``of``, up to
+    ``depth`` steps or to the top.
 
-    The steps are unrolled, so the plan is fixed; cycles end with the depth.
+    With a depth, the steps are unrolled in one plan.  Without one, each step is written and the walk ends with the step
+    that reaches no new ancestor, so cycles end too.
     """
     links = parents.filter("parent is not null").select("node", "parent").distinct()
-    step = links.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    steps = [step]
-    for k in range(2, depth + 1):
-        up = links.select(F.col("node").alias("ancestor"), "parent")
-        step = step.join(up, "ancestor").select("node", F.col("parent").alias("ancestor"), F.lit(k).alias("depth"))
-        steps.append(step)
-    every = reduce(DataFrame.unionByName, steps).filter(F.col("node") != F.col("ancestor"))
-    return every.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+    start = links if of is None else links.join(of.select("node").distinct(), "node", "left_semi")
+    step = start.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    up = links.select(F.col("node").alias("ancestor"), "parent")
+    if depth is not None:
+        steps = [step]
+        for k in range(2, depth + 1):
+            step = step.join(up, "ancestor").select("node", F.col("parent").alias("ancestor"), F.lit(k).alias("depth"))
+            steps.append(step)
+        every = reduce(DataFrame.unionByName, steps).filter(F.col("node") != F.col("ancestor"))
+        return every.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+    step = seen = kept(step.filter(F.col("node") != F.col("ancestor")))
+    k = 1
+    while not step.isEmpty():
+        k += 1
+        reached = step.join(up, "ancestor").select("node", F.col("parent").alias("ancestor")).distinct().filter(F.col("node") != F.col("ancestor"))
+        step = kept(reached.join(seen, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(k)))
+        seen = seen.unionByName(step)
+    return seen
 
 
 def path_labels(nodes: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
@@ -50,7 +63,7 @@ def expand(seeds: DataFrame, parents: DataFrame, edges: DataFrame, query_col: st
     spark = seeds.sparkSession
     relations = F.broadcast(relation_table(spark))  # 26 fixed rows
     typed = edges.join(relations.select(F.col("rel_type").alias("rel"), "weight", "out", "rev"), "rel", "left").withColumn("weight", F.coalesce("weight", F.lit(OTHER_WEIGHT)))
-    up = ancestors(parents, NEAR).withColumn("weight", F.greatest(F.lit(0.32), 0.9 - (F.col("depth") - 1) * 0.12))
+    up = ancestors(parents, NEAR, seeds).withColumn("weight", F.greatest(F.lit(0.32), 0.9 - (F.col("depth") - 1) * 0.12))
     out = typed.filter("out").select(F.col("source").alias("node"), F.col("target").alias("to"), "weight")
     back = typed.filter("rev").select(F.col("target").alias("node"), F.col("source").alias("to"), "weight")
     ways = up.select("node", F.col("ancestor").alias("to"), "weight").unionByName(out).unionByName(back)
@@ -74,7 +87,7 @@ def expand_local(base: DataFrame, parents: DataFrame, edges: DataFrame, chunks:
     """
     best = best_chunk(chunks)
     kinds = chunks.select("node_id", "chunk_type").groupBy("node_id").agg(F.min("chunk_type").alias("kind"))
-    chain = ancestors(parents)
+    chain = ancestors(parents, of=base.select(F.col("node_id").alias("node")))
     weight = F.when(F.col("kind") == "article", 1.05).when(F.col("kind") == "clause", 0.9).when(F.col("kind") == "structure", 0.38).otherwise(F.greatest(F.lit(0.28), 0.72 - (F.col("depth") - 1) * 0.1))
     up = chain.join(kinds.withColumnRenamed("node_id", "ancestor"), "ancestor", "left").select("node", F.col("ancestor").alias("to"), weight.alias("weight"), F.lit("hierarchy").alias("reason"))
     relations = F.broadcast(relation_table(edges.sparkSession)).select(F.col("rel_type").alias("rel"), F.col("weight").alias("w"), "out", "rev")

@@ -15,19 +15,28 @@ DENSE, LEXICAL, RANK = 0.55, 0.45, 60
 PHRASE = "quyen don phuong cham dut hop dong lao dong cua nguoi su dung lao dong"
 ASKED = ("nguoi su dung lao dong", "don phuong", "cham dut")
 TYPES = ("article", "clause", "point")
+#: Words of which one in the question, and which one in the chunk, show the domain.
+DOMAIN, IN_DOMAIN = ("lao dong", "hop dong", "nguoi lao dong", "nguoi su dung"), ("lao dong", "hop dong lao dong")
+#: Why a chunk was found: by vectors, by words, by words as seeds of the graph, by the graph.
+BY_VECTOR, BY_WORDS, BY_SEED, BY_GRAPH = "postgres_vector_cosine", "postgres_bm25", "neo4j_fulltext", "neo4j_graph"
 
 
-def rrf(rankings: list[tuple[DataFrame, float]], query_col: str, id_col: str, constant: int = RANK) -> DataFrame:
-    """(query, id, score) from lists of (query, id, rank); an id that a list holds twice counts at its first rank."""
-    k = max(constant, 1)
+def rrf(rankings: list[tuple[DataFrame, float]], query_col: str, id_col: str, constant: int = RANK, reasons: tuple[str, ...] | None = None) -> DataFrame:
+    """(query, id, score) from lists of (query, id, rank); an id that a list holds twice counts at its first rank.  With a
+    reason for each list, also the reasons of the lists that hold the id, in the lists' order."""
+    top_rank = max(constant, 1)
 
     def one(ranking: DataFrame, weight: float) -> DataFrame:
         first = ranking.groupBy(query_col, id_col).agg(F.min("rank").alias("rank"))
         place = F.row_number().over(Window.partitionBy(query_col).orderBy("rank", id_col))
-        return first.select(query_col, id_col, (F.lit(float(weight)) * (k + 1) / (k + place)).alias("part"))
+        return first.select(query_col, id_col, (F.lit(float(weight)) * (top_rank + 1) / (top_rank + place)).alias("part"))
 
-    parts = reduce(DataFrame.unionByName, (one(*r) for r in rankings))
-    return parts.groupBy(query_col, id_col).agg(F.sum("part").alias("score"))
+    parts = reduce(DataFrame.unionByName, (one(*r).withColumn("list", F.lit(k)) for k, r in enumerate(rankings)))
+    fused = parts.groupBy(query_col, id_col).agg(F.sum("part").alias("score"), F.array_sort(F.collect_set("list")).alias("lists"))
+    if reasons is None:
+        return fused.drop("lists")
+    named = F.array(*[F.lit(r) for r in reasons])
+    return fused.select(query_col, id_col, "score", F.transform("lists", lambda i: F.get(named, i)).alias("reasons"))
 
 
 def haystack(title: Column, citation: Column, text: Column, chars: int) -> Column:
@@ -49,6 +58,21 @@ def wording(question: Column, hay: Column) -> Column:
     return out + F.when(asked & F.contains(hay, F.lit(PHRASE)), 1.15).otherwise(F.lit(0.0))
 
 
+def numbers(question: Column, word: str, number: str) -> Column:
+    """Distinct numbers that follow ``word`` in a question, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(question, F.lit(rf"(?iuU){word}\s+({number})"), F.lit(1)), F.lower))
+
+
+def named(numbers_: Column, low: Column, word: str) -> Column:
+    """How many of the numbers a lower-case text names after ``word``, as whole numbers."""
+    return F.size(F.filter(numbers_, lambda n: F.regexp_like(low, F.concat(F.lit(rf"(?iuU){word}\s+"), n, F.lit(r"\b")))))
+
+
+def in_domain(plain: Column, hay: Column) -> Column:
+    either = lambda c, words: reduce(lambda a, b: a | b, (F.contains(c, F.lit(w)) for w in words))
+    return F.when(either(plain, DOMAIN) & either(hay, IN_DOMAIN), 0.18).otherwise(F.lit(0.0))
+
+
 def asked(questions: DataFrame, text: str) -> DataFrame:
     """``questions`` with what reranking needs of each, made once a question: ``plain`` and key ``terms``."""
     return questions.select("*", F.lower(strip_accents(F.col(text))).alias("plain"), key_terms(F.col(text)).alias("terms"))

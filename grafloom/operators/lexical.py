@@ -48,16 +48,28 @@ def saturation(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float =
 
 def bm25(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text: Column | None = None, query_col: str = "item_id") -> DataFrame:
     """(query, id, score) of all documents that hold a term of a question; ``terms`` is (query, term), distinct and a
-    broadcast side where it is small."""
+    broadcast side where it is small.  Texts are cut into tokens once, for frequencies and lengths alike."""
     text = F.col("text") if text is None else text
+    wanted = terms.select("term").distinct().withColumn("wanted", F.col("term"))
+    every = docs.select(id_col, F.explode_outer(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).alias("term"))
+    flagged = every.join(F.broadcast(wanted) if is_small(terms) else wanted, "term", "left")
+    # Tokens that no question has are one row a document; a document without tokens has one too, with none.
+    counted = kept(flagged.groupBy(id_col, "wanted").agg(F.count("term").alias("tf")))
+    dl = counted.groupBy(id_col).agg(F.greatest(F.sum("tf"), F.lit(1)).alias("dl"))
+    return bm25_of(counted.filter("wanted is not null").select(id_col, F.col("wanted").alias("term"), "tf"), dl, terms, id_col, query_col)
+
+
+def bm25_of(posts: DataFrame, lengths_: DataFrame, terms: DataFrame, id_col: str, query_col: str) -> DataFrame:
+    """(query, id, score) from postings (id, term, tf) and lengths (id, dl).
+
+    Postings are dealt by document once; weights and the sums of each question then need no further exchange.
+    """
     few = is_small(terms)
     wanted = terms.select("term").distinct()
-    # Matches are counted once and then used three times: for document frequencies, weights and lengths.
-    tf = kept(exploded(docs, id_col, text).join(F.broadcast(wanted) if few else wanted, "term", "left_semi").groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
-    dl = lengths(docs, id_col, text)
-    stats = F.broadcast(corpus_stats(dl))  # one row
-    df = document_frequency(tf)  # as many rows at most as the questions have terms
-    scored = tf.join(F.broadcast(df) if few else df, "term").join(dl, id_col).join(stats)
+    tf = posts.join(F.broadcast(wanted) if few else wanted, "term", "left_semi").repartition(id_col)
+    stats = F.broadcast(corpus_stats(lengths_))  # one row
+    df = document_frequency(posts.join(F.broadcast(wanted) if few else wanted, "term", "left_semi"))  # as many rows at most as the questions have terms
+    scored = tf.join(lengths_, id_col).join(F.broadcast(df) if few else df, "term").join(stats)
     weight = idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))
     scored = scored.select(id_col, "term", weight.alias("w"))
     return scored.join(F.broadcast(terms) if few else terms, "term").groupBy(query_col, id_col).agg(F.sum("w").alias("score"))

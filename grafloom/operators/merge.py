@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: States of a law that count as in force, and those whose sources are not used.
 CURRENT = ("IN_FORCE", "PARTIALLY_IN_FORCE", "AMENDED")
 BLOCKED = ("EXPIRED", "REPLACED", "UNKNOWN")
+#: The form of a law's number in a label (upper case).
+CODE = r"[A-ZĐ0-9][A-ZĐ0-9/-]*"
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -62,10 +64,8 @@ def without_blocked(sources: DataFrame, registry: DataFrame) -> DataFrame:
     form, so this is an anti-join on keys."""
     blocked = registry.filter(F.col("status").isin(*BLOCKED)).select(F.upper("code").alias("named")).distinct()
     label = F.upper(F.concat_ws(" ", "citation", "title"))
-    named = F.array_distinct(F.regexp_extract_all(label, F.lit(r"[A-ZĐ0-9][A-ZĐ0-9/-]*"), F.lit(0)))
-    keyed = sources.withColumn("k", F.monotonically_increasing_id())
-    bad = keyed.select("k", F.explode(named).alias("named")).join(blocked, "named", "left_semi").select("k").distinct()
-    return keyed.join(bad, "k", "left_anti").drop("k")
+    bad = sources.select(label.alias("bad")).distinct().select("bad", F.explode(F.array_distinct(F.regexp_extract_all("bad", F.lit(CODE), F.lit(0)))).alias("named")).join(blocked, "named", "left_semi").select("bad").distinct()
+    return sources.join(bad, label == F.col("bad"), "left_anti")
 
 
 def fingerprint(sources: Column, items: Column) -> Column:

@@ -12,10 +12,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grafloom.functions import rules as R
 from grafloom.functions import text as X
+from grafloom.functions import words as W
+from grafloom.operators.search import containing
 
 #: Lines before the first article that a document's own text keeps.
 INTRO = 50
+#: Lines in which a document's kind and number are looked for.
+HEAD = 5
 
 
 def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,6 +95,45 @@ def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, dedup_edges(edges, "n")
 
 
+def documents(lines: DataFrame) -> DataFrame:
+    """(doc_id, filename, title, code, doc_type, issuer, text) from (doc_id, n, line), and the file name of each document
+    if ``lines`` has the column ``filename``; else its id stands for it."""
+    name = F.col("filename") if "filename" in lines.columns else F.col("doc_id")
+    whole = lines.groupBy("doc_id").agg(F.min(name).alias("filename"), F.array_sort(F.collect_list(F.struct("n", "line"))).getField("line").alias("lines"))
+    stem = F.regexp_replace("filename", r"\.[^.]*$", "")
+    head = F.array_join(F.slice("lines", 1, HEAD), " ")
+    named = whole.select("doc_id", "filename", X.smart_title(F.col("lines"), stem).alias("title"), X.detect_code(stem, head).alias("code"), F.lower(F.concat_ws(" ", "filename", head)).alias("blob"), F.array_join("lines", "\n").alias("text"))
+    issuer = X.cascade(F.upper(X.strip_accents(F.concat_ws(" ", "code", "filename"))), W.ISSUERS, W.ISSUER)
+    return named.select("doc_id", "filename", "title", "code", X.cascade(F.col("blob"), W.DOC_TYPES, W.DOC_TYPE).alias("doc_type"), issuer.alias("issuer"), "text")
+
+
+def described(nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` with the titles and numbers of their documents and a node for each issuer; and the issuers' edges."""
+    own = docs.select("doc_id", F.col("title").alias("t"), F.col("code").alias("c"))
+    root = F.col("node_type") == "VănBản"
+    label = F.when(F.coalesce("c", F.lit("")) != "", F.concat("t", F.lit(" ("), "c", F.lit(")"))).otherwise(F.col("t"))
+    roots = nodes.filter(root).join(own, "doc_id")
+    roots = roots.withColumns({"label": label, "number": F.coalesce("c", F.lit("")), "title": F.col("t")}).select(*nodes.columns)
+    issuer = F.concat(F.lit("issuer:"), X.slugify(F.col("issuer")))
+    issuers = docs.select(issuer.alias("node_id"), F.col("issuer").alias("label")).distinct()
+    none = F.lit(None).cast("string")
+    issuers = issuers.select("node_id", none.alias("doc_id"), F.lit("CơQuanBanHành").alias("node_type"), "label", F.lit("").alias("number"), F.col("label").alias("title"), none.alias("parent_id"), F.lit(0).cast("long").alias("ordinal"), F.lit("").alias("text"))
+    issued = docs.select(issuer.alias("source_id"), F.concat(F.lit("doc:"), "doc_id").alias("target_id"), F.lit("BAN_HÀNH").alias("relation"), F.col("issuer").alias("evidence"))
+    return union([nodes.filter(~root), roots, issuers.select(*nodes.columns)]), dedup_edges(issued)
+
+
+def with_system(docs: DataFrame) -> DataFrame:
+    """``docs`` and the document of what belongs to no other."""
+    doc_id, title, code, kind, issuer, text = R.SYSTEM
+    row = docs.sparkSession.createDataFrame([(doc_id, "system", title, code, kind, issuer, text)], docs.schema)
+    return docs.unionByName(row)
+
+
+def guides(relations: DataFrame) -> DataFrame:
+    """(doc_id, target) of the documents that others guide, from edges between documents."""
+    return relations.filter("relation = 'HƯỚNG_DẪN'").select(F.substring("source_id", 5, 1 << 20).alias("doc_id"), F.substring("target_id", 5, 1 << 20).alias("target")).distinct()
+
+
 def dedup_edges(edges: DataFrame, *order: str) -> DataFrame:
     """Edges with ids from their ends, relation and the first 80 characters of evidence; loops and open ends go; of
     equal ids the first stays; evidence is cut to 500 characters."""
@@ -106,7 +150,8 @@ def documents_by_alias(docs: DataFrame, aliases: DataFrame) -> DataFrame:
     (doc_id, doc_type, text) and aliases (doc_id, alias, doc_type); the longest alias is the evidence."""
     hay = docs.select(F.col("doc_id").alias("s"), F.lower("doc_type").alias("s_type"), F.lower(X.strip_accents(F.substring("text", 1, 8000))).alias("hay"))
     names = aliases.select(F.col("doc_id").alias("t"), F.col("doc_type").alias("t_type"), "alias")
-    found = hay.join(names, F.contains("hay", "alias") & (F.col("s") != F.col("t")))
+    held = containing(hay.select("s", "hay"), "s", "hay", names.select("alias").distinct(), "alias")
+    found = held.join(names, "alias").filter("s <> t").join(hay.select("s", "s_type", "hay"), "s")
     law = F.col("t_type").isin("Luật", "Bộ luật")
     relation = F.when(F.col("s_type").isin("nghị định", "thông tư") & law, "HƯỚNG_DẪN").when(F.col("hay").rlike("(sua doi|bo sung)") & law, "SỬA_ĐỔI").when(F.contains("hay", F.lit("thay the")), "THAY_THẾ")
     best = found.withColumn("relation", relation).filter("relation is not null").groupBy("s", "t", "relation").agg(F.min(F.struct((-F.length("alias")).alias("l"), "alias")).alias("x"))

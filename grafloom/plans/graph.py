@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grafloom.functions import text as X
 from grafloom.operators import expand, rules, structure
-from grafloom.plans.book import Book, small, table
+from grafloom.plans.book import Book, table
 from grafloom.plans.retrieval import GRAPH, edges, parents
 from grafloom.plans.texts import STRIP
 
@@ -34,18 +34,6 @@ def structure_edges(spark: SparkSession, d: str) -> DataFrame:
     return structure.parse(law_lines(spark, d))[1]
 
 
-@BOOK.add()
-def semantic_layers(spark: SparkSession, d: str) -> DataFrame:
-    """All rule layers over the law-like documents, to each of which a passage of keywords is added by id."""
-    from grafloom.functions import rules as R
-
-    pool = [*R.TERMS, *(k for k, _ in R.FORMULAS), *R.ACTIONS, *(k for k, _ in R.PROCEDURES), *(k for k, _ in R.VIOLATIONS), "kể từ", "thủ tục", "phạt tiền", "tính", "12 tháng ", "nghiêm cấm"]
-    nodes = structure.parse(law_lines(spark, d))[0].filter(F.col("node_type").isin("Điều", "Khoản", "Điểm"))
-    words = F.array(*[F.lit(w) for w in pool])
-    extra = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.element_at(words, (F.pmod(F.crc32("node_id") + k * 7, F.lit(len(pool))) + 1).cast("int"))), " ")
-    return rules.layers(nodes.withColumn("text", F.concat_ws(" ", "text", extra)))
-
-
 @BOOK.add("SELECT 'edge:' || substring(sha1(source || '|' || relation || '|' || target || '|' || substring(ev, 1, 80)), 1, 20) AS edge_id, source AS source_id, target AS target_id, relation, substring(min(ev), 1, 500) AS evidence FROM (SELECT 'src:' || source AS source, 'lang:' || lang AS target, 'THUỘC_VỀ' AS relation, substring(text, 1, 600) AS ev FROM documents) GROUP BY ALL")
 def edge_dedup(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
@@ -75,15 +63,15 @@ def path_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 @BOOK.add(
-    "WITH a AS (SELECT item_id, lower(" + STRIP.format("substring(text, 1, 60)") + ") AS alias FROM benchmark) SELECT d.doc_id, a.item_id, CASE WHEN d.doc_id % 2 = 0 THEN 'HƯỚNG_DẪN' ELSE 'THAY_THẾ' END AS relation FROM documents d JOIN a ON contains(lower(" + STRIP.format("substring(d.text, 1, 8000)") + "), alias) WHERE length(alias) >= 6"
+    "WITH a AS (SELECT item_id, lower(" + STRIP.format("substring(text, 1, 60)") + ") AS alias FROM benchmark), h AS (SELECT doc_id, lower(" + STRIP.format("'thay thế ' || substring(text, 1, 7991)") + ") AS hay FROM documents) SELECT doc_id, item_id, CASE WHEN doc_id % 2 = 0 THEN 'HƯỚNG_DẪN' WHEN regexp_matches(hay, '(sua doi|bo sung)') THEN 'SỬA_ĐỔI' ELSE 'THAY_THẾ' END AS relation, alias AS evidence FROM h JOIN a ON contains(hay, alias) WHERE length(alias) >= 6"
 )
 def doc_aliases_match(spark: SparkSession, d: str) -> DataFrame:
     """Documents that name another by an alias (first 60 characters of a benchmark text) in their first 8000."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.when(F.col("doc_id") % 2 == 0, "Nghị định").otherwise("Văn bản").alias("doc_type"), F.concat_ws(" ", F.lit("thay thế"), F.substring("text", 1, 7991)).alias("text"))
     alias = F.lower(X.strip_accents(F.substring("text", 1, 60)))
-    names = small(table(spark, d, "benchmark").select("item_id", alias.alias("alias")).filter(F.length("alias") >= 6))
-    hay = table(spark, d, "documents").select("doc_id", F.lower(X.strip_accents(F.substring("text", 1, 8000))).alias("hay"))
-    found = hay.join(names, F.contains("hay", "alias"))
-    return found.select("doc_id", "item_id", F.when(F.col("doc_id") % 2 == 0, "HƯỚNG_DẪN").otherwise("THAY_THẾ").alias("relation"))
+    names = table(spark, d, "benchmark").select(F.concat(F.lit("i"), "item_id").alias("doc_id"), F.lit("Luật").alias("doc_type"), alias.alias("alias")).filter(F.length("alias") >= 6)
+    found = structure.documents_by_alias(docs, names)
+    return found.select(F.substring("source_id", 5, 99).cast("long").alias("doc_id"), F.substring("target_id", 6, 99).cast("long").alias("item_id"), "relation", "evidence")
 
 
 RULES = (("license", "GIẤY_PHÉP"), ("the", "MẠO_TỪ"), ("der", "MẠO_TỪ"), ("trash", "ĐỘC_HẠI"), ("email", "LIÊN_HỆ"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from grafloom.functions import text as X
 from grafloom.operators import dense, expand, fusion, lexical
+from grafloom.operators.search import containing
 from grafloom.plans.book import Book, small, table
 from grafloom.sources.shared import kept
 from grafloom.plans.texts import KEY_TERMS, STRIP, TOK, UNIQUE, sql_list
@@ -91,19 +92,10 @@ def lexical_or_match(spark: SparkSession, d: str) -> DataFrame:
 
 @BOOK.add("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, substring(b.text, 1, 80))")
 def like_fallback(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold the first 80 characters of a question as they are: every text is searched for all questions
-    at once, by a keyed join on 8-character seeds and an exact check."""
-    seed = 8
-    items = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 80).alias("needle")).filter(F.length("needle") >= seed)
-    items = items.withColumn("seed", F.substring("needle", 1, seed))
-    short = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 80).alias("needle")).filter(F.length("needle") < seed)
-    known = [r.seed for r in items.select("seed").distinct().limit(10_001).collect()]
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    if len(known) > 10_000 or not short.isEmpty():
-        return docs.join(F.broadcast(items.select("item_id", "needle").unionByName(short)), F.contains("text", "needle")).select("item_id", "doc_id")
-    held = F.array_distinct(F.filter(F.array(*[F.lit(s) for s in known]), lambda s: F.contains(F.col("text"), s)))
-    seeded = docs.select("doc_id", "text", F.explode(held).alias("seed"))
-    return seeded.join(items, "seed").filter(F.contains("text", "needle")).select("item_id", "doc_id")
+    """Documents that hold the first 80 characters of a question as they are, all questions at once."""
+    items = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 80).alias("needle"))
+    found = containing(table(spark, d, "documents"), "doc_id", "text", items, "needle")
+    return found.join(items, "needle").select("item_id", "doc_id")
 
 
 @BOOK.add("SELECT doc_id, contains(lower(source), 'src1') AS in_source, contains(lower(text), 'license') AS in_text FROM documents WHERE contains(lower(source), 'src1') OR contains(lower(lang), 'src1') OR contains(lower(text), 'license')")
@@ -126,12 +118,12 @@ def dense_topk_multi(spark: SparkSession, d: str) -> DataFrame:
 
 
 FUSED = f"""{BM25}, {DENSE},
-fu AS (SELECT item_id, doc_id, sum(s) AS score FROM (SELECT item_id, doc_id, 0.55::DOUBLE * 61 / (60 + rank) AS s FROM den WHERE rank <= {{c}} UNION ALL SELECT item_id, doc_id, 0.45::DOUBLE * 61 / (60 + rank) FROM lex WHERE rank <= {{c}}) GROUP BY ALL),
+fu AS (SELECT item_id, doc_id, sum(s) AS score, string_agg(w, ',' ORDER BY w DESC) AS why FROM (SELECT item_id, doc_id, 0.55::DOUBLE * 61 / (60 + rank) AS s, 'postgres_vector_cosine' AS w FROM den WHERE rank <= {{c}} UNION ALL SELECT item_id, doc_id, 0.45::DOUBLE * 61 / (60 + rank), 'postgres_bm25' FROM lex WHERE rank <= {{c}}) GROUP BY ALL),
 fr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM fu)"""
 
 
-def fused(spark: SparkSession, d: str, candidates: int) -> DataFrame:
-    return fusion.rrf([(dense_ranks(spark, d, candidates), fusion.DENSE), (lexical_ranks(spark, d, candidates), fusion.LEXICAL)], "item_id", "doc_id")
+def fused(spark: SparkSession, d: str, candidates: int, reasons: tuple[str, ...] | None = None) -> DataFrame:
+    return fusion.rrf([(dense_ranks(spark, d, candidates), fusion.DENSE), (lexical_ranks(spark, d, candidates), fusion.LEXICAL)], "item_id", "doc_id", reasons=reasons)
 
 
 @BOOK.add(f"WITH {FUSED.format(c=80)} SELECT item_id, doc_id, round(score, 6) AS score FROM fu")
@@ -174,14 +166,15 @@ RAG = f"{CHUNKS}, {FUSED.format(c=400)}, {rerank_sql('fr')}, top AS (SELECT item
 def rag(spark: SparkSession, d: str, k: int) -> DataFrame:
     """Vectors and BM25, fused and reranked."""
     candidates = max(64, 8 * k)
-    ranked = lexical.top(fused(spark, d, candidates), 2 * candidates, "item_id", "doc_id")
-    best = lexical.top(reranked(spark, d, ranked), k, "item_id", "doc_id")
+    found = kept(fused(spark, d, candidates, (fusion.BY_VECTOR, fusion.BY_WORDS)))
+    ranked = lexical.top(found.drop("reasons"), 2 * candidates, "item_id", "doc_id")
+    best = lexical.top(reranked(spark, d, ranked), k, "item_id", "doc_id").join(found.select("item_id", "doc_id", "reasons"), ["item_id", "doc_id"])
     return best.withColumn("score", F.round("score", 4))
 
 
-@BOOK.add(f"WITH {RAG.replace('<= 400', '<= 80')} SELECT item_id, rank, doc_id, score FROM top WHERE rank <= 10")
+@BOOK.add(f"WITH {RAG.replace('<= 400', '<= 80')} SELECT item_id, top.rank, doc_id, top.score, why AS reasons FROM top JOIN fu USING (item_id, doc_id) WHERE top.rank <= 10")
 def retrieve_rag(spark: SparkSession, d: str) -> DataFrame:
-    return rag(spark, d, 10).select("item_id", "rank", "doc_id", "score")
+    return rag(spark, d, 10).select("item_id", "rank", "doc_id", "score", F.array_join("reasons", ",").alias("reasons"))
 
 
 def parents(spark: SparkSession, d: str) -> DataFrame:
@@ -231,32 +224,31 @@ def with_nodes(scored: DataFrame) -> DataFrame:
     return scored.select("item_id", F.concat(F.lit("doc:"), "doc_id").alias("node"), "score")
 
 
-def best_of(*scored: DataFrame) -> DataFrame:
-    every = scored[0]
-    for s in scored[1:]:
-        every = every.unionByName(s)
-    return every.groupBy("item_id", "doc_id").agg(F.max("score").alias("score"))
+def best_of(seeds: DataFrame, reached: DataFrame) -> DataFrame:
+    """(item_id, doc_id, score, reasons): the better score; seeds keep their reasons, others came by the graph."""
+    every = seeds.select("item_id", "doc_id", "score", "reasons").unionByName(reached.withColumn("reasons", F.lit(None).cast("array<string>")))
+    return every.groupBy("item_id", "doc_id").agg(F.max("score").alias("score"), F.coalesce(F.max("reasons"), F.array(F.lit(fusion.BY_GRAPH))).alias("reasons"))
 
 
-FINAL = "SELECT item_id, rank, doc_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT item_id, doc_id, max(score) AS score FROM {0} GROUP BY ALL)) WHERE rank <= 10"
+FINAL = "SELECT item_id, rank, doc_id, round(score, 4) AS score, reasons FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT item_id, doc_id, max(score) AS score, coalesce(max(why), 'neo4j_graph') AS reasons FROM {0} GROUP BY ALL)) WHERE rank <= 10"
 
 
-@BOOK.add(f"WITH {CHUNKS}, {BM25}, {GRAPH}, lx AS (SELECT * FROM lex WHERE rank <= 50), {rerank_sql('lx')}, sd AS (SELECT item_id, 'doc:' || doc_id AS node, score FROM rr), {expand_sql('sd')}, {FETCH} {FINAL.format('(SELECT item_id, doc_id, score FROM rr UNION ALL SELECT * FROM fe)')}")
+@BOOK.add(f"WITH {CHUNKS}, {BM25}, {GRAPH}, lx AS (SELECT * FROM lex WHERE rank <= 50), {rerank_sql('lx')}, sd AS (SELECT item_id, 'doc:' || doc_id AS node, score FROM rr), {expand_sql('sd')}, {FETCH} {FINAL.format("(SELECT item_id, doc_id, score, 'neo4j_fulltext' AS why FROM rr UNION ALL SELECT *, NULL FROM fe)")}")
 def retrieve_graph(spark: SparkSession, d: str) -> DataFrame:
     """Lexical seeds, reranked, and what the graph reaches from them."""
-    seeds = kept(reranked(spark, d, lexical_ranks(spark, d, 50)).select("item_id", "doc_id", "score"))
+    seeds = kept(reranked(spark, d, lexical_ranks(spark, d, 50)).select("item_id", "doc_id", "score", F.array(F.lit(fusion.BY_SEED)).alias("reasons")))
     reached = fetch(spark, d, expand.expand(with_nodes(seeds), parents(spark, d), edges(spark, d), "item_id"))
     out = lexical.top(best_of(seeds, reached), 10, "item_id", "doc_id")
-    return out.select("item_id", "rank", "doc_id", F.round("score", 4).alias("score"))
+    return out.select("item_id", "rank", "doc_id", F.round("score", 4).alias("score"), F.array_join("reasons", ",").alias("reasons"))
 
 
-@BOOK.add(f"WITH {RAG}, {GRAPH}, t50 AS (SELECT * FROM top WHERE rank <= 50), sd AS (SELECT item_id, 'doc:' || doc_id AS node, score FROM t50), {expand_sql('sd')}, {FETCH} {FINAL.format('(SELECT item_id, doc_id, score FROM t50 UNION ALL SELECT * FROM fe)')}")
+@BOOK.add(f"WITH {RAG}, {GRAPH}, t50 AS (SELECT * FROM top WHERE rank <= 50), sd AS (SELECT item_id, 'doc:' || doc_id AS node, score FROM t50), {expand_sql('sd')}, {FETCH} {FINAL.format('(SELECT t50.item_id, t50.doc_id, t50.score, fu.why FROM t50 JOIN fu USING (item_id, doc_id) UNION ALL SELECT *, NULL FROM fe)')}")
 def retrieve_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """The fused retriever's 50 best as seeds, and what the graph reaches from them."""
-    seeds = kept(rag(spark, d, 50).select("item_id", "doc_id", "score"))
+    seeds = kept(rag(spark, d, 50).select("item_id", "doc_id", "score", "reasons"))
     reached = fetch(spark, d, expand.expand(with_nodes(seeds), parents(spark, d), edges(spark, d), "item_id"))
     out = lexical.top(best_of(seeds, reached), 10, "item_id", "doc_id")
-    return out.select("item_id", "rank", "doc_id", F.round("score", 4).alias("score"))
+    return out.select("item_id", "rank", "doc_id", F.round("score", 4).alias("score"), F.array_join("reasons", ",").alias("reasons"))
 
 
 @BOOK.add(f"WITH {GRAPH}, sd AS (SELECT b.item_id, 'doc:' || d.doc_id AS node, 1.0::DOUBLE AS score FROM benchmark b JOIN documents d ON d.doc_id = b.item_id), {expand_sql('sd')} SELECT item_id, node, round(score, 6) AS score FROM ex")

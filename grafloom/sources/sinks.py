@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from grafloom.operators.merge import assert_compatible, upsert
 
-TABLES = ("nodes", "edges", "chunks", "postings")
+TABLES = ("docs", "nodes", "edges", "chunks", "postings", "lengths")
 
 
 def write_index(tables: dict[str, DataFrame], path: str, meta: dict[str, str]) -> None:

@@ -18,11 +18,16 @@ def test_build(index):
     kinds = {}
     for c in index.chunks.collect():
         kinds.setdefault(c.chunk_type, []).append(c)
+    semantic = kinds.pop("semantic")
     assert {k: len(v) for k, v in kinds.items()} == {"structure": 1, "document_intro": 1, "article": 3, "clause": 3, "sliding": 3} and all(c.token_count >= 4 for v in kinds.values() for c in v)
-    assert kinds["clause"][0].citation.startswith("law > Chương I. Quy định chung > Điều ")
+    assert kinds["clause"][0].citation.startswith("Bộ Luật Lao Động (law) > Chương I. Quy định chung > Điều ")
+    assert {"hopdong:thu-viec", "thuatngu:thu-viec", "lifecycle_nld:thu-viec"} <= {c.node_id for c in semantic}
+    ids = {n.node_id for n in index.nodes.collect()}
+    assert len(ids) == index.nodes.count() and all({e.source_id, e.target_id} <= ids for e in index.edges.collect())
+    assert {d.doc_id for d in index.docs.collect()} == {"law", "long", "he-thong"}
     relations = {e.relation for e in index.edges.collect()}
-    assert {"THUỘC_VỀ", "DẪN_CHIẾU_ĐẾN", "ĐƯỢC_ĐỊNH_NGHĨA_LÀ", "KÍCH_HOẠT_NGHĨA_VỤ"} <= relations
-    assert index.stats().first().chunks == 11
+    assert {"THUỘC_VỀ", "DẪN_CHIẾU_ĐẾN", "ĐƯỢC_ĐỊNH_NGHĨA_LÀ", "KÍCH_HOẠT_NGHĨA_VỤ", "BAN_HÀNH"} <= relations
+    assert index.stats().first().chunks == 11 + len(semantic)
 
 
 @pytest.mark.parametrize("mode", ["lexical", "dense", "rag", "graph", "graphrag"])
@@ -30,7 +35,7 @@ def test_retrieve(spark, index, mode):
     asked = spark.createDataFrame([(1, "Thời gian thử việc là bao nhiêu ngày?"), (2, "zzz")], "query_id long, text string")
     got = index.retrieve(asked, mode, 3).collect()
     first = [r.chunk_id for r in got if r.query_id == 1 and r.rank == 1]
-    assert first and ("-law-2" in first[0] or mode == "dense")
+    assert first and ("-law-2" in first[0] or "thu-viec" in first[0] or mode == "dense")
     assert max(r.rank for r in got) <= 3
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grafloom.functions import text as X
-from grafloom.operators import chunking, dense, expand, fusion, lexical, merge, metrics, packing, rules, structure
+from grafloom.operators import chunking, dense, expand, fusion, lexical, merge, metrics, packing, rules, search, structure
 from grafloom.streaming import limits, memory
 
 
@@ -56,6 +56,9 @@ def test_expansion(spark):
     assert got == pytest.approx({"a": 2.0, "p": 1.8, "g": 2 * 0.78, "x": 1.7, "y": 1.24})
     depth = {(r.node, r.ancestor): r.depth for r in expand.ancestors(parents).collect()}
     assert depth == {("a", "p"): 1, ("a", "g"): 2, ("p", "g"): 1, ("g", "p"): 1}
+    assert {(r.node, r.ancestor) for r in expand.ancestors(parents, of=seeds).collect()} == {("a", "p"), ("a", "g")}
+    chain = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(14)], "node string, parent string")
+    assert expand.ancestors(chain).count() == 14 * 15 // 2 and expand.ancestors(chain, 4).agg({"depth": "max"}).first()[0] == 4
 
 
 def test_local_expansion(spark):
@@ -173,8 +176,9 @@ def test_rule_layers(spark):
         "n4": "Án lệ số 10/2020/AL về nợ lương",
         "n5": "không có gì",
     }
-    nodes = spark.createDataFrame([(k, "d", "Điều", f"Điều {k}", t) for k, t in text.items()], "node_id string, doc_id string, node_type string, label string, text string")
-    got = {(e.source_id, e.target_id, e.relation, e.evidence) for e in rules.layers(nodes).collect()}
+    nodes = spark.createDataFrame([(k, "d", "Điều", f"Điều {k}", i, t) for i, (k, t) in enumerate(text.items())], "node_id string, doc_id string, node_type string, label string, ordinal long, text string")
+    made, edges = rules.layers(nodes)
+    got = {(e.source_id, e.target_id, e.relation, e.evidence) for e in edges.collect()}
     for want in [
         ("thuatngu:nguoi-lao-ddong", "n1", "ĐƯỢC_ĐỊNH_NGHĨA_LÀ", "Định nghĩa tại Điều n1"),
         ("thuatngu:thu-viec", "n1", "ĐƯỢC_ĐỊNH_NGHĨA_LÀ", "Sử dụng thuật ngữ tại Điều n1"),
@@ -195,8 +199,44 @@ def test_rule_layers(spark):
     ]:
         assert want in got
     assert not any("n5" in (a, b) for a, b, _, _ in got)
-    nodes, edges = rules.stages(spark)
-    assert nodes.count() == 17 and edges.count() == 12
+    fixed, following = rules.stages(spark)
+    assert fixed.count() == 17 + 12 and following.count() == 12
+    by_id = {n.node_id: n for n in [*made.collect(), *fixed.collect()]}
+    assert {x for a, b, *_ in got for x in (a, b)} <= by_id.keys() | text.keys()
+    node = lambda k: (by_id[k].doc_id, by_id[k].node_type, by_id[k].label, by_id[k].title, by_id[k].parent_id, by_id[k].text)
+    assert node("cachtinh:d:tro-cap-thoi-viec") == ("d", "CáchTính_CôngThức", "Cách tính trợ cấp thôi việc", "Cách tính trợ cấp thôi việc", "n1", "Phương pháp/cách tính Cách tính trợ cấp thôi việc được quy định tại Điều n1.")
+    assert node("thamso:12-thang") == ("d", "ThamSố_ConSố", "12 tháng", "12 tháng", "cachtinh:d:tro-cap-thoi-viec", "Mốc thời gian luật định: 12 tháng")
+    assert node("chuthe:nguoi-lao-dong") == ("he-thong", "ChủThể", "Người Lao Động", "Người Lao Động", None, "Chủ thể pháp lý lao động: Người Lao Động")
+    assert node("hopdong:thu-viec") == ("d", "HợpĐồngLaoĐộng", "HĐ Thử Việc", "Hợp đồng thử việc", None, "Loại hợp đồng lao động: Thử Việc")
+    assert node("hanhvi:sa-thai") == ("d", "HànhVi_SựKiện", "Sa Thái", "Sa Thái", "n2", "Hành vi/Sự kiện thực tế: Sa Thái")
+    assert node("phanquyet:no-luong") == ("d", "PhánQuyết", "Phán quyết về nợ lương", "Phán quyết về nợ lương", "anle:an-le-so-10-2020-al", "Phán quyết của Tòa án đối với hành vi nợ lương.")
+    assert node("trangthai:het-thoi-hieu-khoi-kien")[1:3] == ("TrạngTháiPhápLý", "Hết thời hiệu khởi kiện")
+    assert node("thuatngu:sa-thai")[2] == "Sa Thái" and node("ruiro:vua")[5] == "Phạt tiền hành chính ở mức trung bình."
+    both = nodes.limit(0).unionByName(spark.createDataFrame([("n6", "d", "Điều", "Điều n6", 0, "bị sa thải")], nodes.schema))
+    assert {n.node_id for n in rules.layers(both)[0].collect()} == {"hanhvi:sa-thai"}
+
+
+def test_containing_equals_a_plain_search(spark):
+    r = random.Random(17)
+    texts = [(k, "".join(r.choice("ab  cd\né") for _ in range(r.randint(0, 80)))) for k in range(80)] + [(100, None), (101, "x" * 30), (102, "một hai ba bốn")]
+    needles = {"", "a", "ab", "xxxxxxxx", "xxxxxxxxxx", "hai ba", "ột hai ba b", "ab cd", "zz"} | {t[i : i + n] for _, t in texts if t for i in (0, len(t) // 3) for n in (1, 5, 9, 20)}
+    df = spark.createDataFrame(texts, "i long, t string")
+    got = {(x.i, x.n) for x in search.containing(df, "i", "t", spark.createDataFrame([(n,) for n in needles], "n string"), "n").collect()}
+    assert got == {(i, n) for i, t in texts for n in needles if n and t and n in t}
+    assert search.containing(df, "i", "t", spark.createDataFrame([], "n string"), "n").count() == 0
+
+
+def test_documents_and_issuers(spark):
+    docs = [("l1", ["BỘ LUẬT", "LAO ĐỘNG", "Số: 45 / 2019 / QH14", "Chương I. A", "Điều 1. X"]), ("nghi-dinh", ["Nghị định 145/2020/NĐ-CP", "Căn cứ bộ luật"])]
+    lines = law(spark, docs)
+    table = structure.documents(lines)
+    rows = {x.doc_id: x for x in table.collect()}
+    assert (rows["l1"].code, rows["l1"].doc_type, rows["l1"].issuer) == ("45/2019/QH14", "Bộ luật", "Quốc hội")
+    assert (rows["nghi-dinh"].code, rows["nghi-dinh"].issuer) == ("145/2020/NĐ-CP", "Chính phủ")
+    nodes, issued = structure.described(structure.parse(lines)[0], table)
+    by_id = {n.node_id: n for n in nodes.collect()}
+    assert by_id["doc:l1"].label == rows["l1"].title + " (45/2019/QH14)" and by_id["issuer:quoc-hoi"].node_type == "CơQuanBanHành"
+    assert {(e.source_id, e.target_id, e.relation) for e in issued.collect()} == {("issuer:quoc-hoi", "doc:l1", "BAN_HÀNH"), ("issuer:chinh-phu", "doc:nghi-dinh", "BAN_HÀNH")}
 
 
 def test_edges_and_writers(spark):

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from grafloom.functions import text as X
 from grafloom.operators import expand, rules, structure
+from grafloom.plans import law_sql
 from grafloom.plans.book import Book, table
 from grafloom.plans.retrieval import GRAPH, edges, parents
 from grafloom.plans.texts import STRIP
+from grafloom.sources.shared import kept
 
 BOOK = Book()
 
@@ -23,13 +25,32 @@ def law_lines(spark: SparkSession, d: str) -> DataFrame:
     return lines.withColumn("line", F.coalesce(marker, line))
 
 
-@BOOK.add()
+@BOOK.add(law_sql.NODES_SQL)
 def structure_parse(spark: SparkSession, d: str) -> DataFrame:
     nodes, _ = structure.parse(law_lines(spark, d))
-    return nodes.select("node_id", "doc_id", "node_type", "label", "number", "parent_id", "ordinal", F.md5("text").alias("text_md5"))
+    return nodes.select("node_id", "doc_id", "node_type", "label", "number", "title", "parent_id", "ordinal", F.md5("text").alias("text_md5"))
 
 
-@BOOK.add()
+def law_like(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as one article, with keywords of the rules added by its id."""
+    words = F.array(*[F.lit(w) for w in law_sql.POOL])
+    i = F.col("doc_id")
+    picks = F.transform(F.sequence(F.lit(0), F.lit(law_sql.PICKS - 1)), lambda k: F.element_at(words, ((i * 7 + k * k * 5 + k) % len(law_sql.POOL) + 1).cast("int")))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.array_join(picks, " "))
+    return table(spark, d, "documents").select(F.concat(F.lit("dieu:"), i, F.lit(":1")).alias("node_id"), i.cast("string").alias("doc_id"), F.lit("Điều").alias("node_type"), F.concat(F.lit("Điều "), (i % 60).cast("string")).alias("label"), (i % 3).alias("ordinal"), text.alias("text"))
+
+
+@BOOK.add(law_sql.LAYER_EDGES_SQL)
+def semantic_edges(spark: SparkSession, d: str) -> DataFrame:
+    return rules.layers(law_like(spark, d))[1]
+
+
+@BOOK.add(law_sql.LAYER_NODES_SQL)
+def semantic_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return rules.layers(law_like(spark, d))[0].drop("number", "ordinal")
+
+
+@BOOK.add(law_sql.EDGES_SQL)
 def structure_edges(spark: SparkSession, d: str) -> DataFrame:
     return structure.parse(law_lines(spark, d))[1]
 
@@ -91,15 +112,21 @@ def graph_stats(spark: SparkSession, d: str) -> DataFrame:
     return edges(spark, d).select("source", "rel").unionByName(up).groupBy("rel").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("sources"))
 
 
-@BOOK.add()
+@BOOK.add(law_sql.CITATIONS_SQL)
 def citations(spark: SparkSession, d: str) -> DataFrame:
-    """References between articles of the law-like documents, to each of which a reference is added by id."""
-    nodes = structure.parse(law_lines(spark, d))[0]
-    named = F.concat(F.lit("theo khoản "), (F.crc32("node_id") % 9 + 1).cast("string"), F.lit(" Điều "), (F.crc32("node_id") % 5 * 3 + 2).cast("string"))
+    """References between articles of the law-like documents, to each of which a reference is added by its id."""
+    nodes = kept(structure.parse(law_lines(spark, d))[0])
+    part = lambda at: F.conv(F.substring(F.md5("node_id"), at, 4), 16, 10).cast("int")
+    named = F.concat(F.lit("theo khoản "), (part(1) % 9 + 1).cast("string"), F.lit(" Điều "), (part(5) % 5 * 3 + 2).cast("string"))
     guides = nodes.select("doc_id").distinct().select("doc_id", (F.floor(F.col("doc_id").cast("long") / 2)).cast("string").alias("target"))
     return structure.citations(nodes.withColumn("text", F.concat_ws(" ", "text", named)), guides)
 
 
-@BOOK.add()
+@BOOK.add(law_sql.following())
 def life_cycles(spark: SparkSession, d: str) -> DataFrame:
     return rules.stages(spark)[1]
+
+
+@BOOK.add(law_sql.fixed_nodes())
+def fixed_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return rules.stages(spark)[0].select("node_id", "node_type", "label", "text")

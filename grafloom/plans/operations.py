@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grafloom.functions.words import OFFICIAL
-from grafloom.operators import merge
+from grafloom.operators import merge, records
 from grafloom.plans.book import Book, table
 
 BOOK = Book()
@@ -17,19 +17,19 @@ def now():
     return F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
 
 
-@BOOK.add("SELECT doc_id AS chunk_id, sha256(text) AS body, 'old' AS origin FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 2 = 0 UNION ALL SELECT doc_id, sha256(upper(lang)), 'new' FROM documents WHERE doc_id % 3 = 0")
+@BOOK.add("SELECT doc_id AS chunk_id, sha256(text) AS body, 'old' AS origin FROM documents WHERE doc_id % 3 = 1 UNION ALL SELECT doc_id, sha256(upper(lang)), 'new' FROM documents WHERE doc_id % 3 <> 1")
 def chunk_upsert(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    old = docs.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("chunk_id"), F.sha2("text", 256).alias("body"), F.lit("old").alias("origin"))
-    new = docs.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("chunk_id"), F.sha2(F.upper("lang"), 256).alias("body"), F.lit("new").alias("origin"))
+    old = docs.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("chunk_id"), F.sha2("text", 256).alias("body"), F.lit("old").alias("origin"))
+    new = docs.filter("doc_id % 3 <> 1").select(F.col("doc_id").alias("chunk_id"), F.sha2(F.upper("lang"), 256).alias("body"), F.lit("new").alias("origin"))
     return merge.upsert(old, new, "chunk_id")
 
 
-@BOOK.add("WITH o AS (SELECT doc_id AS code, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE sha256(text) END AS checksum, 1 + doc_id % 3 AS version FROM documents WHERE doc_id % 2 = 0), n AS (SELECT doc_id AS code, CASE WHEN doc_id % 4 = 0 THEN sha256(lang || text) ELSE sha256(text) END AS checksum FROM documents WHERE doc_id % 3 <> 1) SELECT coalesce(o.code, n.code) AS code, coalesce(n.checksum, o.checksum) AS checksum, CASE WHEN n.checksum IS NOT NULL AND o.checksum IS NOT NULL AND n.checksum <> o.checksum THEN o.version + 1 ELSE coalesce(o.version, 1) END AS version, CASE WHEN n.code IS NULL THEN 'UNKNOWN' ELSE 'IN_FORCE' END AS status, n.checksum IS NOT NULL AND n.checksum IS DISTINCT FROM o.checksum AS changed FROM o FULL JOIN n ON o.code = n.code")
+@BOOK.add("WITH o AS (SELECT doc_id AS code, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE sha256(text) END AS checksum, 1 + doc_id % 3 AS version FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id AS code, CASE WHEN doc_id % 4 = 0 THEN sha256(lang || text) ELSE sha256(text) END AS checksum FROM documents WHERE doc_id % 3 <> 1) SELECT coalesce(o.code, n.code) AS code, coalesce(n.checksum, o.checksum) AS checksum, CASE WHEN n.checksum IS NOT NULL AND o.checksum IS NOT NULL AND n.checksum <> o.checksum THEN o.version + 1 ELSE coalesce(o.version, 1) END AS version, CASE WHEN n.code IS NULL THEN 'UNKNOWN' ELSE 'IN_FORCE' END AS status, n.checksum IS NOT NULL AND n.checksum IS DISTINCT FROM o.checksum AS changed FROM o FULL JOIN n ON o.code = n.code")
 def scd_version(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     whole = F.sha2("text", 256)
-    old = docs.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("code"), F.when(F.col("doc_id") % 5 != 0, whole).alias("checksum"), (F.col("doc_id") % 3 + 1).alias("version"), F.lit("UNKNOWN").alias("status"))
+    old = docs.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("code"), F.when(F.col("doc_id") % 5 != 0, whole).alias("checksum"), (F.col("doc_id") % 3 + 1).alias("version"), F.lit("UNKNOWN").alias("status"))
     new = docs.filter("doc_id % 3 <> 1").select(F.col("doc_id").alias("code"), F.when(F.col("doc_id") % 4 == 0, F.sha2(F.concat("lang", "text"), 256)).otherwise(whole).alias("checksum"), F.lit("IN_FORCE").alias("status"))
     return merge.versions(old, new)
 
@@ -62,11 +62,9 @@ def blocked_sources_antijoin(spark: SparkSession, d: str) -> DataFrame:
 
 @BOOK.add(f"WITH {REG} SELECT doc_id, min_by(status, p) AS status FROM (SELECT doc_id, status, 1 AS p FROM documents JOIN reg ON code = doc_id UNION ALL SELECT doc_id, status, 2 FROM documents JOIN reg ON code = doc_id % 100) GROUP BY doc_id")
 def registry_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """By code, else by the outer id: two equi-joins, the first that fits."""
-    reg, docs = registry(spark, d), table(spark, d, "documents").select("doc_id")
-    one = docs.join(reg, F.col("doc_id") == F.col("code")).select("doc_id", "status", F.lit(1).alias("p"))
-    two = docs.join(reg, F.col("doc_id") % 100 == F.col("code")).select("doc_id", "status", F.lit(2).alias("p"))
-    return one.unionByName(two).groupBy("doc_id").agg(F.min_by("status", "p").alias("status"))
+    """By code, else by the outer id."""
+    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 100).alias("outer_id"))
+    return records.either_key(docs, registry(spark, d), "doc_id", [("doc_id", "code"), ("outer_id", "code")], "status")
 
 
 def cache(spark: SparkSession, d: str) -> DataFrame:
@@ -82,28 +80,33 @@ def cache_lookup(spark: SparkSession, d: str) -> DataFrame:
     return merge.cache_lookup(asked, cache(spark, d), now(), "m", "legal-answer-v1").select("query_id", "cache_id", "kind")
 
 
-@BOOK.add("SELECT coalesce(o.doc_id, n.doc_id) AS id, coalesce(n.lang, o.lang) AS answer, coalesce(o.n_chars, 0) AS hit_count FROM (SELECT * FROM documents WHERE doc_id % 2 = 0) o FULL JOIN (SELECT doc_id, 'new ' || lang AS lang FROM documents WHERE doc_id % 3 = 0) n ON o.doc_id = n.doc_id")
+@BOOK.add("SELECT coalesce(o.doc_id, n.doc_id) AS id, coalesce(n.lang, o.lang) AS answer, coalesce(o.n_chars, 0) AS hit_count FROM (SELECT * FROM documents WHERE doc_id % 3 <> 0) o FULL JOIN (SELECT doc_id, 'new ' || lang AS lang FROM documents WHERE doc_id % 3 <> 1) n ON o.doc_id = n.doc_id")
 def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    old = docs.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("lang").alias("answer"), F.col("n_chars").alias("hit_count"))
-    new = docs.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.concat(F.lit("new "), "lang").alias("answer"), F.lit(0).cast("long").alias("hit_count"))
+    old = docs.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), F.col("lang").alias("answer"), F.col("n_chars").alias("hit_count"))
+    new = docs.filter("doc_id % 3 <> 1").select(F.col("doc_id").alias("id"), F.concat(F.lit("new "), "lang").alias("answer"), F.lit(0).cast("long").alias("hit_count"))
     return merge.upsert_columns(old, new, "id", keep=("hit_count",))
 
 
 @BOOK.add("SELECT b.item_id AS id, 1 + count(e.event_id) AS hit_count, max(e.ts) AS last_hit_at FROM benchmark b LEFT JOIN events e ON e.user_id = b.item_id AND e.event_type = 'click' GROUP BY b.item_id")
 def cache_hits(spark: SparkSession, d: str) -> DataFrame:
-    hits = table(spark, d, "events").filter("event_type = 'click'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_hit_at"))
-    return table(spark, d, "benchmark").join(hits, F.col("item_id") == F.col("user_id"), "left").select(F.col("item_id").alias("id"), (F.coalesce("n", F.lit(0)) + 1).alias("hit_count"), "last_hit_at")
+    entries = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit(1).cast("long").alias("hit_count"), F.lit(None).cast("timestamp_ntz").alias("last_hit_at"))
+    hits = table(spark, d, "events").filter("event_type = 'click'").select(F.col("user_id").alias("id"), "ts")
+    return records.hit_counts(entries, hits, "id", "hit_count", "last_hit_at", "ts")
 
 
 @BOOK.add(f"SELECT event_id AS id, CASE WHEN event_type = 'error' THEN {NOW} ELSE ts END AS expires_at FROM events WHERE CASE WHEN event_type = 'error' THEN {NOW} ELSE ts END >= {NOW} - INTERVAL 7 DAY")
 def cache_retention(spark: SparkSession, d: str) -> DataFrame:
     """Entries that were called invalid end now; those that ended over seven days ago go."""
-    ends = F.when(F.col("event_type") == "error", now()).otherwise(F.col("ts"))
-    return table(spark, d, "events").select(F.col("event_id").alias("id"), ends.alias("expires_at")).filter(F.col("expires_at") >= now() - F.expr("INTERVAL 7 DAYS"))
+    events = table(spark, d, "events")
+    entries = events.select(F.col("event_id").alias("id"), F.col("ts").alias("expires_at"))
+    bad = events.filter("event_type = 'error'").select(F.col("event_id").alias("id"))
+    return records.retained(records.invalidated(entries, bad, "id", "expires_at", now()), "expires_at", now())
 
 
-@BOOK.add()
+@BOOK.add(
+    "SELECT doc_id, sha256('{\"sources\":[' || array_to_string(list_transform(list_sort([[CAST(doc_id AS VARCHAR), source, ''], [CAST(doc_id % 7 AS VARCHAR), lang, 'u']]), lambda x: '[\"' || array_to_string(x, '\",\"') || '\"]'), ',') || '],\"verification\":[[\"' || source || '\",\"IN_FORCE\",\"\",\"u\"]]}') AS fingerprint FROM documents"
+)
 def fingerprint(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     sources = F.array(F.struct(F.col("doc_id"), F.col("source").alias("citation"), F.lit(None).cast("string").alias("source_url")), F.struct((F.col("doc_id") % 7).alias("doc_id"), F.col("lang").alias("citation"), F.lit("u").alias("source_url")))
@@ -134,10 +137,9 @@ def memory_batches(spark: SparkSession, d: str) -> DataFrame:
 
 @BOOK.add("SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host, ends_with(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '.example.net') OR lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) IN ('vbpl.vn', 'example.net') AS official FROM pages")
 def domain_allowlist(spark: SparkSession, d: str) -> DataFrame:
-    allowed = F.array(*[F.lit(x) for x in (*OFFICIAL, "example.net")])
     host = F.lower(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1))
     pages = table(spark, d, "pages").select("page_id", host.alias("host"))
-    return pages.withColumn("official", F.exists(allowed, lambda x: (F.col("host") == x) | F.endswith("host", F.concat(F.lit("."), x))))
+    return pages.withColumn("official", records.official(F.col("host"), (*OFFICIAL, "example.net")))
 
 
 @BOOK.add("SELECT page_id, url FROM pages WHERE url ILIKE '%EXAMPLE.NET/en%' OR html ILIKE '%<title>the%'")
@@ -157,7 +159,7 @@ def nulls_last_listing(spark: SparkSession, d: str) -> DataFrame:
 def role_visibility(spark: SparkSession, d: str) -> DataFrame:
     """Published rows, and all of them for reviewers (even ids)."""
     reviewer = F.col("doc_id") % 2 == 0
-    return table(spark, d, "labels").filter((F.col("quality") == 1) | reviewer).select("doc_id", "quality", "toxic")
+    return table(spark, d, "labels").filter(records.visible(F.col("quality") == 1, reviewer)).select("doc_id", "quality", "toxic")
 
 
 @BOOK.add("SELECT count(*) AS messages, count(DISTINCT conv_id) AS conversations, coalesce(sum(CASE WHEN role = 'user' THEN length(text) END), 0)::BIGINT AS user_chars, count(*) FILTER (WHERE role = 'assistant') AS answers FROM conversations")

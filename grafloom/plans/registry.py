@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grafloom.plans import evaluation, extensions, graph, operations, retrieval, streams, texts
+from grafloom.plans import evaluation, extensions, graph, operations, retrieval, services, streams, texts
 
-MODULES = (texts, retrieval, graph, operations, evaluation, streams, extensions)
+MODULES = (texts, retrieval, graph, operations, services, evaluation, streams, extensions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

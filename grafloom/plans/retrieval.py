@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grafloom.functions import text as X
-from grafloom.operators import dense, expand, fusion, lexical
+from grafloom.operators import dense, expand, fusion, lexical, records
 from grafloom.operators.search import containing
 from grafloom.plans.book import Book, small, table
 from grafloom.sources.shared import kept
@@ -100,9 +100,8 @@ def like_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 @BOOK.add("SELECT doc_id, contains(lower(source), 'src1') AS in_source, contains(lower(text), 'license') AS in_text FROM documents WHERE contains(lower(source), 'src1') OR contains(lower(lang), 'src1') OR contains(lower(text), 'license')")
 def contains_search(spark: SparkSession, d: str) -> DataFrame:
-    in_source, in_text = F.contains(F.lower("source"), F.lit("src1")), F.contains(F.lower("text"), F.lit("license"))
-    docs = table(spark, d, "documents").select("doc_id", in_source.alias("in_source"), in_text.alias("in_text"), F.contains(F.lower("lang"), F.lit("src1")).alias("l"))
-    return docs.filter("in_source or l or in_text").drop("l")
+    docs = table(spark, d, "documents").filter(records.found_in(["source", "lang"], "src1") | records.found_in(["text"], "license"))
+    return docs.select("doc_id", records.found_in(["source"], "src1").alias("in_source"), records.found_in(["text"], "license").alias("in_text"))
 
 
 @BOOK.add("WITH v AS (SELECT vec_id, list_cosine_similarity(CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS s FROM embeddings) SELECT vec_id, round(s, 6) AS score FROM v ORDER BY round(s, 9) DESC, vec_id LIMIT 10")

@@ -97,7 +97,9 @@ def fulltext_terms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.array_join(X.fulltext_terms(F.col("text")), " ").alias("terms"))
 
 
-@BOOK.add()
+@BOOK.add(
+    f"SELECT item_id, array_to_string(CASE WHEN len(u) > 0 THEN list_slice(u, 1, 16) WHEN len(raw) > 0 THEN list_slice(raw, 1, 8) ELSE [text] END, ' ') AS terms FROM (SELECT *, {UNIQUE.format('k')} AS u FROM (SELECT item_id, text, raw, flatten(list_transform(list_filter(raw, lambda t: length(t) >= 2 AND NOT list_contains({sql_list(KEY_STOP)}, lower(strip_accents(t)))), lambda t: CASE WHEN strip_accents(lower(t)) <> lower(t) THEN [t, strip_accents(t)] ELSE [t] END)) AS k FROM (SELECT item_id, text, regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{Nd}}_]+') AS raw FROM benchmark)))"
+)
 def graph_terms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.array_join(X.graph_terms(F.col("text")), " ").alias("terms"))
 
@@ -111,22 +113,26 @@ def gate(c):
     return (F.length(c).between(20, 1500) & c.rlike(PUBLIC) & ~c.rlike(PRIVATE) & ~c.rlike(IDENTIFIER)).alias("eligible")
 
 
+#: What the query adds to turns, so that all parts of the gate decide; words here begin and end with ASCII letters.
+ASKED = ("", " theo quy định", " nghị định", " quy định của tôi", " mức phạt 1234567", " thủ tục a@b.vn")
+ASCII_PUBLIC, ASCII_PRIVATE, ASCII_IDENTIFIER = (p.replace("(?iuU)", "(?i)") for p in (PUBLIC, PRIVATE, IDENTIFIER))
+
+
 @BOOK.add(
-    "SELECT conv_id, turn, (length(q) BETWEEN 20 AND 1500) AND regexp_matches(q, '\\b(luật|quy định|thủ tục|thời hạn|quyền|of|the|data|please)\\b') AND NOT regexp_matches(q, '\\b(tôi|mình|my|our)\\b') AND NOT regexp_matches(q, '(?:https?://|www\\.|[\\w.+-]+@[\\w.-]+\\.[a-z]{2,}|\\b\\d{6,}\\b)') AS eligible FROM (SELECT conv_id, turn, lower(text) AS q FROM conversations)"
+    f"SELECT conv_id, turn, (length(q) BETWEEN 20 AND 1500) AND regexp_matches(q, '{ASCII_PUBLIC}') AND NOT regexp_matches(q, '{ASCII_PRIVATE}') AND NOT regexp_matches(q, '{ASCII_IDENTIFIER}') AS eligible FROM (SELECT conv_id, turn, text || ({sql_list(ASKED)})[turn % {len(ASKED)} + 1] AS q FROM conversations)"
 )
 def privacy_gate(spark: SparkSession, d: str) -> DataFrame:
-    """The gate with patterns of the tables' languages beside some of the fixed ones."""
-    q = F.lower("text")
-    public, private = r"\b(luật|quy định|thủ tục|thời hạn|quyền|of|the|data|please)\b", r"\b(tôi|mình|my|our)\b"
-    ok = F.length(q).between(20, 1500) & q.rlike(public) & ~q.rlike(private) & ~q.rlike(IDENTIFIER.replace("(?iuU)", ""))
-    return table(spark, d, "conversations").select("conv_id", "turn", ok.alias("eligible"))
+    words = F.array(*[F.lit(w) for w in ASKED])
+    q = F.concat("text", F.element_at(words, (F.col("turn") % len(ASKED) + 1).cast("int")))
+    return table(spark, d, "conversations").select("conv_id", "turn", gate(q))
 
 
 @BOOK.add("SELECT doc_id, md5(text) AS text_md5, false AS changed FROM documents")
 def mojibake_repair(spark: SparkSession, d: str) -> DataFrame:
     """Texts that were read in the wrong character set come back; sound ones stay as they are."""
     docs = table(spark, d, "documents")
-    broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    wrong = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    broken = F.when(F.col("doc_id") % 2 == 0, wrong(F.col("text"))).otherwise(wrong(wrong(F.col("text"))))
     return docs.select("doc_id", F.md5(X.repair(broken)).alias("text_md5"), (X.repair(F.col("text")) != F.col("text")).alias("changed"))
 
 

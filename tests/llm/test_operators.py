@@ -665,7 +665,7 @@ def brute_leaks(rows, items, size=10):
 ITEMS = [(1, cases.passage(8, 10)), (2, cases.passage(1, 30)), (3, None), (4, ""), (5, "!!"), (None, cases.passage(2, 40)), (6, cases.passage(9, 5)), (10, cases.passage(9, 5)), (7, cases.passage(2, 120).upper()), (7, "one two"), (8, cases.passage(99, 50))]
 
 
-@pytest.mark.parametrize("block", [8 << 20, 300])
+@pytest.mark.parametrize("block", [8 << 20, 0])
 def test_leaks_equal_brute_force(spark, monkeypatch, block):
     from pyspark.sql import functions as F
 
@@ -679,7 +679,22 @@ def test_leaks_equal_brute_force(spark, monkeypatch, block):
     assert Counter(r.doc_id for r in clean.collect()) == Counter(i for i, _, hit, _ in want if not hit)
 
 
-def test_leaks_without_items(spark):
+@pytest.mark.parametrize("block", [8 << 20, 0])
+def test_leaks_of_common_words(spark, monkeypatch, block):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    r = random.Random(22)
+    say = lambda n: " ".join(r.choice("the a of to x") for _ in range(n)).replace("  ", " ")
+    items = [(k, say(r.randint(1, 14))) for k in range(60)]
+    rows = [(k, say(r.randint(0, 120))) for k in range(60)]
+    out = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).withColumn("items", F.array_join("items", ","))
+    assert cases.ordered(out, "doc_id", "n_words", "n_hit", "items") == brute_leaks(rows, items)
+
+
+@pytest.mark.parametrize("block", [8 << 20, -1])
+def test_leaks_without_items(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in decontaminate.leaks(cases.table(spark), none).collect()} == {0}
 

@@ -2,20 +2,20 @@
 
 Level lengths are ``window`` halved while it stays at ``SHORTEST`` words or more, the shortest first.
 
-1. At the first level not every window of that length is counted, but the one with the least hash of all that lie
-   within each window of full length (its anchor): equal full windows have equal anchors, so a full window can only
-   repeat if its anchor does, and a small share of the positions stands for all.  An anchor stands for a run of full
-   windows, and is counted with the hash of all words that these cover.
-2. Anchors that are in one document alone drop out.  Where the whole run is in a document with a smaller id, all its
-   windows go at once.  Of runs that are alike, the one with the least id stays; if its anchor has other runs too, its
-   windows are candidates.
-3. At each further level the candidates are extended to twice the length, hashed from the texts (128 bits), and
-   counted; those in one document alone drop out, and the levels end early when none survive.  At full length, each
-   window's least document id decides: in all other documents the words it covers go.
+1. The first level counts windows of the shortest length.  Not all are: a pre-filter takes the one with the least hash
+   of all that lie within each window of full length (its anchor).  Equal full windows have equal anchors, so a full
+   window can only repeat if its anchor does, and a small share of the positions stands for all.  An anchor carries the
+   range of the full windows that it stands for (its run), and a hash of all words that these cover.
+2. Anchors that are in one document alone drop out; the others are the candidates of the next level.
+3. At each further level the candidates are extended to twice the length and counted; those in one document alone drop
+   out, and the levels end early when none survive.  At full length, a run whose whole extent (by anchor, place and
+   extent, 128 bits together) is that of other runs is extended as one: in all documents but the one with the least id
+   its windows go.  Where an anchor has several different runs, their windows are extended one by one, hashed from the
+   texts (128 bits), and each window's least document id decides.
 
 Counting takes the least and the largest document id per hash, with partial results on the map side, so a passage that
 is in very many documents is not gathered in one place.  Texts are exchanged only for documents that a bitmap of fixed
-size does not rule out.
+size does not rule out.  Places are kept as ranges: neighbours are put together before a document's list is made.
 
 Cases: a null or empty text has no words; texts of fewer words than a window lose nothing; rows that share an id are one
 document, so neither removes from the other, and each loses what its own words repeat; rows with a null id remove
@@ -28,7 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grafloom.llm.shared import flat, ints, materialize, parted, release_model, steps
@@ -134,28 +134,40 @@ def listed(part):
 
 
 def by_document(ranges: DataFrame) -> DataFrame:
-    """(doc, lo, hi) with arrays of each document's ranges."""
-    both = ranges.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
+    """(doc, lo, hi) with arrays of each document's ranges, of which those that touch are one."""
+    before = Window.partitionBy("doc").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("doc").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    apart = F.coalesce(F.col("lo") > F.max("hi").over(before) + 1, F.lit(True))
+    rows = ranges.withColumn("apart", apart).withColumn("n", F.count_if("apart").over(so_far))
+    whole = rows.groupBy("doc", "n").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    both = whole.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
     return both.select("doc", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"))
 
 
+def in_several(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, least) of the hashes that are in more than one document."""
+    ends = rows.groupBy(*keys).agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+    return ends.filter("least < most").drop("most")
+
+
 def repeated_places(docs: DataFrame, window: int) -> DataFrame:
     """(doc, lo, hi): ranges of the first words of windows that also start in a document with a smaller id."""
     lengths = level_lengths(window)
-    rows = materialize(anchor_rows(docs, window, lengths[0]), "anchors")
-    runs = rows.groupBy("h", "s").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-    several = runs.groupBy("h").agg(F.count(F.lit(1)).alias("runs"), F.min("least").alias("a"), F.max("most").alias("z")).filter("a < z").select("h", "runs")
-    known = runs.join(several, "h").filter("runs > 1 or least < most").select("h", "s", "least", "runs")
-    seen = materialize(rows.join(known, ["h", "s"]).filter("doc > least or runs > 1").select("doc", "lo", "hi", (F.col("doc") > F.col("least")).alias("gone")), "seen")
-    gone = seen.filter("gone").select("doc", "lo", "hi")
-    places = seen.filter("not gone").select("doc", "lo", "hi")
+    rows = materialize(anchor_rows(docs, window, lengths[0]), f"level{lengths[0]}")
+    alive = materialize(rows.join(in_several(rows, "h").select("h"), "h"), f"alive{lengths[0]}")
+    # Runs that are alike as a whole are extended to full length as one; where an anchor has different runs, the least of
+    # each kind goes on by its windows, as these may be in runs of another kind.
+    runs = alive.groupBy("h", "s").agg(F.min("doc").alias("least"))
+    kinds = runs.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
+    extended_runs = alive.join(runs.join(kinds, "h"), ["h", "s"])
+    gone = extended_runs.filter("doc > least").select("doc", "lo", "hi")
+    places = extended_runs.filter("doc = least and kinds > 1").select("doc", "lo", "hi")
     for length in lengths[1:]:
         places = materialize(by_document(places), f"places{length}")
         if places.isEmpty():
             break
-        found = materialize(extended(docs, places, window, length), f"windows{length}")
-        several = found.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
-        kept = found.join(several, ["h1", "h2"])
+        found = materialize(extended(docs, places, window, length), f"level{length}")
+        kept = found.join(in_several(found, "h1", "h2"), ["h1", "h2"])
         places = kept.select("doc", F.col("pos").alias("lo"), F.col("pos").alias("hi"))
         if length == window:
             gone = gone.unionByName(kept.filter("doc > least").select("doc", F.col("pos").alias("lo"), F.col("pos").alias("hi")))

@@ -10,7 +10,7 @@ bounded, and a lost task makes the same rows again.  Rows come as little-endian
 with ``pad``, with cumulative segment lengths and the positions at which position ids start again.
 
 Cases: null and empty texts have no tokens and are in no row; a null id is kept in the lists; repeated rows are packed
-each; other columns are not read; an empty table gives an empty result.
+each; other columns are not read; an empty table gives an empty result.  Ids of documents are read as long.
 """
 
 from __future__ import annotations
@@ -90,6 +90,7 @@ class Encoder:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         self.library = tiktoken.Encoding("packing", pat_str=r"[\s\S]", mergeable_ranks=ranks, special_tokens={})
+        self.kind = "<u2" if max(ranks.values()) < 1 << 16 else "<u4"
         self.cache: dict[bytes, list[int]] = {}
 
     def encode(self, raw, offsets):
@@ -124,7 +125,8 @@ SCHEMA = "pack_id long, n_tokens int, ids binary, doc_ids array<long>, doc_offse
 
 
 def packed(docs: DataFrame, vocabulary: str, capacity: int = 2048, pad: int = 50256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per packed sequence: its ids (uint16, ``capacity`` of them), the document of each segment and where in
+    """One row per packed sequence: its ids (``capacity`` of them, uint16, or uint32 where the
+    vocabulary has larger ids), the document of each segment and where in
     the document it begins, cumulative segment lengths from 0, and where positions start from 0 again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +148,7 @@ def packed(docs: DataFrame, vocabulary: str, capacity: int = 2048, pad: int = 50
             for a in range(0, len(rows), 2048):
                 cols: list[list] = [[] for _ in range(7)]
                 for items in rows[a : a + 2048]:
-                    line = np.full(capacity, pad, np.uint16)
+                    line = np.full(capacity, pad, encoder.kind)
                     ends = [0]
                     for item in items:
                         d, at = origin[item]
@@ -160,7 +162,7 @@ def packed(docs: DataFrame, vocabulary: str, capacity: int = 2048, pad: int = 50
 
         for part in steps(batches, "t"):
             ids, bounds = encoder.encode(*flat(part.column("t")))
-            ids, ends = ids.astype(np.uint16), bounds.tolist()
+            ids, ends = ids.astype(encoder.kind), bounds.tolist()
             for k, i in enumerate(part.column("i").to_pylist()):
                 if ends[k + 1] > ends[k]:
                     held.append((i, ids[ends[k] : ends[k + 1]]))

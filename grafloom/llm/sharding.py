@@ -5,7 +5,10 @@ the offsets of all partitions (one small row each), and a running sum within the
 global byte position and row number.  The bytes are cut at equal targets: a document goes to the shard in which the
 middle of its bytes lies.  The texts themselves are not shuffled, only (id, size, checksum).
 
-Cases: a null or empty text has only the overhead as size and checksum 0; null ids sort first; ties and repeated rows
+Shards are contiguous in the order of ids, so equal texts of different ids may lie in different shards.
+
+Cases: a null or empty text has only the overhead as size and checksum 0 (without overhead, a table of such texts is one
+shard); null ids sort first; ties and repeated rows
 are ordered by checksum and size and are otherwise alike; an empty table gives an empty result; other columns are not
 read.
 """
@@ -28,7 +31,9 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
         (F.coalesce(F.octet_length(docs[text_col]), F.lit(0)) + F.lit(overhead)).cast("long").alias("size"),
         F.crc32(F.coalesce(docs[text_col], F.lit("")).cast("binary")).alias("crc"),
     )
-    dealt = materialize(rows.repartitionByRange(task_count(spark), "i", "crc", "size").withColumn("part", F.spark_partition_id()), "ranged")
+    # Rows that are alike in all that counts may fall on several ranges, in any order.
+    rows = rows.withColumn("tie", F.monotonically_increasing_id())
+    dealt = materialize(rows.repartitionByRange(task_count(spark), "i", "crc", "size", "tie").drop("tie").withColumn("part", F.spark_partition_id()), "ranged")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # One row a partition: as many rows as shuffle partitions, whatever the input.
     totals = dealt.groupBy("part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
@@ -47,7 +52,7 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
         (F.count(F.lit(1)).over(inside) + F.col("rows_before") - 1).alias("row"),
         "all_bytes",
     )
-    placed = materialize(placed.select("i", "size", "crc", "row", F.least(F.lit(shards - 1), F.expr(f"(start * 2 + size) * {shards} div (2 * all_bytes)")).cast("int").alias("shard")), "placed")
+    placed = materialize(placed.select("i", "size", "crc", "row", F.least(F.lit(shards - 1), F.expr(f"(start * 2 + size) * {shards} div greatest(2 * all_bytes, 1)")).cast("int").alias("shard")), "placed")
     firsts = placed.groupBy("shard").agg(F.min("row").alias("first"))
     return placed.join(F.broadcast(firsts), "shard").select(
         F.col("i").alias(id_col),

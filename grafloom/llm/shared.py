@@ -18,20 +18,21 @@ STEP_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see.  Without ``spark.checkpoint.dir`` (tests), one below the warehouse is set."""
-    try:
-        found = spark.conf.get("spark.checkpoint.dir")
-    except Exception:
-        found = None
+    """The folder that all executors see.  Without ``spark.checkpoint.dir``, one below the warehouse is set, but only where
+    executors share the driver's machine (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", "")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back."""
-    path = f"{shared_dir(df.sparkSession)}/grafloom/{uuid.uuid4().hex}/{name}"
+    """Writes ``df`` to the shared folder and reads it back.  All stages of an application lie below a folder of its id,
+    which can go when it has ended."""
+    path = f"{shared_dir(df.sparkSession)}/grafloom/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

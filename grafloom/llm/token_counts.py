@@ -53,6 +53,7 @@ class WordBpe:
         self.none = len(pairs)
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.names = special
         self.cache: dict[bytes, int] = {}
 
     def merge(self, raw, start, end):
@@ -110,7 +111,7 @@ class WordBpe:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if self.special and "<|" in text and self.special.search(text):
+            if any(name in text for name in self.names):
                 segments = self.special.split(text)
                 totals[i] += len(segments) - 1
             else:

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or where that is unset below the warehouse."""
-    try:
-        found = spark.conf.get("spark.checkpoint.dir")
-    except Exception:
-        found = None
-    return f"{(found or spark.conf.get('spark.sql.warehouse.dir') + '/_checkpoints').rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+    """A new folder below ``spark.checkpoint.dir`` and the application's id.  Where that is unset, one below the warehouse
+    is taken, but only if executors share the driver's machine."""
+    found = spark.conf.get("spark.checkpoint.dir", "")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return f"{found.rstrip('/')}/{kind}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame) -> DataFrame:

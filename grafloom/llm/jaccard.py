@@ -12,8 +12,9 @@ one shingle).
    target recall needs where all buckets of a pair lie ``LEVELS`` splits deep, whatever tokens its sketches agree in.
 3. Buckets are brute-forced on the sketches, with a margin below the threshold that the recall accounts for; of the
    pairs found, a bucket gives out a spanning forest only.  Components of these are groups of candidates.
-4. Within each group, all pairs are verified on the exact sets, in blocks of ``BLOCK`` sets where the group is large:
-   each set gets its number of links, and links form the final classes.  Pairs are counted, never written out.
+4. Within each group, all pairs are verified on the exact sets, in pairs of blocks where the group is large: each set
+   gets its number of links, and links form the final classes.  Pairs are counted, never written out.  A set is copied to
+   ``SPREAD`` cells at most, while blocks hold up to ``MOST`` sets; a cell is worked through by tiles of ``BLOCK`` sets.
 
 Nothing is capped: large buckets and groups are cut into pairs of blocks, which different tasks take.
 
@@ -28,7 +29,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grafloom.llm.components import components
@@ -36,10 +37,13 @@ from grafloom.llm.shared import flat, ints, materialize, release_model, steps, t
 
 SHINGLE = 5
 SKETCH = 64
-#: Sets in a bucket that is brute-forced as it is; times that larger ones are split; sets in a block.
+#: Sets in a bucket that is brute-forced as it is; times that larger ones are split.
 SMALL = 512
 LEVELS = 4
+#: Sets of a group that are compared at once; blocks that a group is cut into, while these do not get too large.
 BLOCK = 256
+SPREAD = 64
+MOST = 1 << 14
 
 
 def agreement(threshold: float) -> list[float]:
@@ -314,7 +318,7 @@ def forests(members: DataFrame, least_equal: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def in_blocks(rows: DataFrame, size_col: str, block: int, row_col: str) -> DataFrame:
+def in_blocks(rows: DataFrame, size_col: str, block: Column, row_col: str) -> DataFrame:
     """``rows`` with (x, y): every pair of blocks that a row's block is in; groups of up to two blocks are one."""
     many = F.when(F.col(size_col) <= 2 * block, 1).otherwise(F.ceil(F.col(size_col) / block)).cast("int")
     own = F.pmod(F.xxhash64(row_col), "many").cast("int")
@@ -335,7 +339,7 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float) -> DataFra
         shared = materialize(paths.join(counts, "path"), f"shared{level}")
         last = level == LEVELS
         ready = shared if last else shared.filter(F.col("n") <= SMALL)
-        ready = in_blocks(ready, "n", SMALL, "rep").join(bits, "rep").select("path", "x", "y", "rep", "bits")
+        ready = in_blocks(ready, "n", F.lit(SMALL), "rep").join(bits, "rep").select("path", "x", "y", "rep", "bits")
         made = forests(ready, least_equal)
         edges = made if edges is None else edges.unionByName(made)
         if last:
@@ -352,6 +356,90 @@ def low_bytes(column: str):
     return F.unhex(F.regexp_replace(F.hex(column), "(..)......", "$1"))
 
 
+def near_pairs(one: list, two: list, threshold: float):
+    """(set of ``one``, set of ``two``): whether two sets of distinct hashes have at least the similarity."""
+    import numpy as np
+    import pandas as pd
+
+    sizes = np.array([len(x) for x in one]), np.array([len(x) for x in two])
+    both = np.zeros((len(one), len(two)))
+    if len(one) * len(two) <= 24:
+        for i, p in enumerate(one):
+            for j, q in enumerate(two):
+                both[i, j] = len(np.intersect1d(p, q, assume_unique=True))
+    else:
+        codes, uniques = pd.factorize(np.concatenate([*one, *two]))
+        cut = int(sizes[0].sum())
+        number = np.full(len(uniques), -1)
+        common = np.intersect1d(codes[:cut], codes[cut:])  # hashes of one side only add nothing
+        number[common] = np.arange(len(common))
+        sides = []
+        for part, size in ((codes[:cut], sizes[0]), (codes[cut:], sizes[1])):
+            row, code = np.repeat(np.arange(len(size)), size), number[part]
+            row, code = row[code >= 0], code[code >= 0]
+            order = np.argsort(code, kind="stable")
+            sides.append((row[order], code[order], len(size)))
+        for c in range(0, len(common), 4096):
+            dense = []
+            for row, code, n in sides:
+                lo, hi = np.searchsorted(code, [c, c + 4096])
+                d = np.zeros((n, 4096), np.float32)
+                d[row[lo:hi], code[lo:hi] - c] = 1
+                dense.append(d)
+            both += dense[0] @ dense[1].T
+    return both >= threshold * (sizes[0][:, None] + sizes[1][None, :] - both) - 1e-9
+
+
+def linked(own: list, copies, block, x: int, y: int, many: int, threshold: float):
+    """(links of each set, a label that connected sets share) in the cell of blocks x and y of a group that was cut into
+    ``many``.  Of the cells that hold one block, the one with its successor counts the pairs within it."""
+    import numpy as np
+
+    n = len(own)
+    links, parent = np.zeros(n, np.int64), list(range(n))
+
+    def top(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    # Tiles lie within one block each.
+    ends = np.append(np.flatnonzero(block[1:] != block[:-1]) + 1, n)
+    tiles = [(a, min(a + BLOCK, stop)) for start, stop in zip(np.append(0, ends[:-1]).tolist(), ends.tolist()) for a in range(start, stop, BLOCK)]
+    for i, (a, b) in enumerate(tiles):
+        for c, d in tiles[i:]:
+            k = int(block[a])
+            if many > 1 and block[c] == k and (k + 1) % many != (y if k == x else x):
+                continue
+            near = near_pairs(own[a:b], own[c:d], threshold)
+            if a == c:
+                np.fill_diagonal(near, False)
+            links[a:b] += near @ copies[c:d]
+            if a != c:
+                links[c:d] += copies[a:b] @ near
+            row, other = np.nonzero(near)
+            few = len(row) <= 4 * (b - a + d - c)
+            for p, q in zip((row + a).tolist(), (other + c).tolist()) if few else spanning(near, a, c):
+                p, q = top(p), top(q)
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+    return links, np.array([top(k) for k in range(n)])
+
+
+def spanning(near, a: int, c: int):
+    """Pairs that connect what the pairs of a matrix (sets from a on, sets from c on) connect, a few a set."""
+    import numpy as np
+
+    n, m = near.shape
+    square = np.zeros((n + m, n + m), bool)
+    square[:n, n:], square[n:, :n] = near, near.T
+    label = rooted(square)
+    place = np.append(np.arange(n) + a, np.arange(m) + c)
+    on = np.flatnonzero(label != np.arange(n + m))
+    return zip(place[on].tolist(), place[label[on]].tolist())
+
+
 def verified(docs: DataFrame, groups_of: DataFrame, threshold: float) -> DataFrame:
     """(grp, rep, links, root, many): within each group (rep, grp, size, copies), the links of each set and the least
     set it is connected with, by exact similarities; groups of several blocks give a row per pair of blocks."""
@@ -369,7 +457,6 @@ def verified(docs: DataFrame, groups_of: DataFrame, threshold: float) -> DataFra
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        import pandas as pd
 
         release_model()
         for table in groups(batches, "grp", "x", "y"):
@@ -379,45 +466,17 @@ def verified(docs: DataFrame, groups_of: DataFrame, threshold: float) -> DataFra
             blobs = table.column("hashes").to_pylist()
             links, root = np.zeros(table.num_rows, np.int64), col["rep"].copy()
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                n = b - a
-                own = [np.frombuffer(x, np.uint64) for x in blobs[a:b]]
-                size = np.array([len(x) for x in own])
-                both = np.zeros((n, n), np.float64)
-                if n <= 6:
-                    for i in range(n):
-                        for j in range(i + 1, n):
-                            both[i, j] = both[j, i] = len(np.intersect1d(own[i], own[j], assume_unique=True))
-                else:
-                    codes, uniques = pd.factorize(np.concatenate(own))
-                    row = np.repeat(np.arange(n), size)
-                    often = np.bincount(codes) > 1
-                    number = np.cumsum(often) - 1
-                    on = often[codes]
-                    row, code = row[on], number[codes[on]]
-                    order = np.argsort(code, kind="stable")
-                    row, code = row[order], code[order]
-                    for c in range(0, int(often.sum()), 4096):
-                        lo, hi = np.searchsorted(code, [c, c + 4096])
-                        dense = np.zeros((n, 4096), np.float32)
-                        dense[row[lo:hi], code[lo:hi] - c] = 1
-                        both += dense @ dense.T
-                near = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
-                np.fill_diagonal(near, False)
-                # Of several groups that hold one block, the one with its successor counts the pairs within it.
-                block, many = col["own"][a:b], int(col["many"][a])
-                counted = near.copy()
-                if many > 1:
-                    x, y = int(col["x"][a]), int(col["y"][a])
-                    for k, other in ((x, y), (y, x)):
-                        if (k + 1) % many != other:
-                            inside = block == k
-                            counted[np.ix_(inside, inside)] = False
-                links[a:b] = counted @ col["copies"][a:b]
-                root[a:b] = col["rep"][a:b][rooted(near)]
+                x, y, many = (int(col[c][a]) for c in ("x", "y", "many"))
+                own = [np.frombuffer(z, np.uint64) for z in blobs[a:b]]
+                links[a:b], label = linked(own, col["copies"][a:b], col["own"][a:b], x, y, many, threshold)
+                least = np.full(b - a, np.iinfo(np.int64).max)
+                np.minimum.at(least, label, col["rep"][a:b])
+                root[a:b] = least[label]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (col["grp"], col["rep"], links, root, col["many"])], names=["grp", "rep", "links", "root", "many"])
 
     texts = docs.join(groups_of, docs["i"] == groups_of["rep"]).select("rep", "grp", "size", "copies", "t").mapInArrow(sets, "rep long, grp long, size long, copies long, hashes binary")
-    dealt = in_blocks(texts, "size", BLOCK, "rep").repartition(task_count(spark), "grp", "x", "y").sortWithinPartitions("grp", "x", "y", "rep")
+    block = F.greatest(F.lit(BLOCK), F.least(F.lit(MOST), F.ceil(F.col("size") / SPREAD)))
+    dealt = in_blocks(texts, "size", block, "rep").repartition(task_count(spark), "grp", "x", "y").sortWithinPartitions("grp", "x", "y", "own", "rep")
     return dealt.mapInArrow(check, "grp long, rep long, links long, root long, many long")
 
 

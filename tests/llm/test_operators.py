@@ -289,9 +289,10 @@ def test_similar_equals_brute_force(spark):
     assert got == brute_links(rows)
 
 
-def test_similar_by_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "SMALL", 8)
-    monkeypatch.setattr(jaccard, "BLOCK", 10)
+@pytest.mark.parametrize("limits", [{"SMALL": 8, "BLOCK": 10}, {"BLOCK": 5, "SPREAD": 4, "MOST": 12}, {"BLOCK": 3, "SPREAD": 2, "MOST": 1000}])
+def test_similar_by_blocks(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard, name, value)
     rows = near_copies(70, 40, 4) + near_copies(30, 41, 6) + cases.texts()
     got = cases.ordered(jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "class_id", "n_links")
     assert got == brute_links(rows)

@@ -123,5 +123,34 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+ITEM_WORDS = "regexp_extract_all(" + LOWER.format("coalesce({}, '')") + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+LEAKS_SQL = f"""
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS id, {ITEM_WORDS.format('text')} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT id, n, array_to_string(w[k:k + n - 1], ' ') AS s FROM (SELECT id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS rn, doc_id, {ITEM_WORDS.format('text')} AS w FROM documents),
+dw AS (SELECT rn, n, k, array_to_string(w[k:k + n - 1], ' ') AS s FROM (SELECT rn, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM win) z WHERE len(w) >= n)),
+hit AS (SELECT DISTINCT rn, k, dw.n, id FROM dw JOIN win ON win.n = dw.n AND win.s = dw.s),
+place AS (SELECT rn, count(DISTINCT p) AS n_hit FROM (SELECT rn, unnest(range(k, k + n)) AS p FROM hit) GROUP BY rn),
+item AS (SELECT rn, count(DISTINCT id) AS n_items, string_agg(DISTINCT id, ',' ORDER BY id) AS items FROM hit GROUP BY rn)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN place ON place.rn = d.rn LEFT JOIN item ON item.rn = d.rn
+"""
+
+JACCARD_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {ITEM_WORDS.format('text')} AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM d WHERE len(w) > 0),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+inter AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM inter WHERE i >= 0.8::DOUBLE * (na + nb - i) - 1e-9),
+reach(id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.id),
+class AS (SELECT id, min(root) AS class_id FROM reach GROUP BY id),
+rep AS (SELECT array_to_string(w, ' ') AS t, min(doc_id) AS rep_id FROM d WHERE len(w) > 0 GROUP BY ALL),
+many AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT d.doc_id, class_id, coalesce(rep_id, d.doc_id) AS rep_id, coalesce(many.n, 0) AS n_links
+FROM d JOIN class ON class.id = d.doc_id LEFT JOIN rep ON rep.t = array_to_string(d.w, ' ') AND len(d.w) > 0 LEFT JOIN many ON many.a = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINES_SQL, "op5_repeats": REPEATS_SQL, "op9_topk": TOPK_SQL}
+    return {"op2_line_dedup": LINES_SQL, "op3_jaccard_join": JACCARD_SQL, "op5_repeats": REPEATS_SQL, "op9_topk": TOPK_SQL, "op10_decontaminate": LEAKS_SQL}

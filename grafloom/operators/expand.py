@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grafloom.functions.words import OTHER_WEIGHT, RELATIONS
@@ -79,25 +79,39 @@ def best_chunk(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("node_id").agg(F.min_by("chunk_id", F.struct(kind.alias("k"), "ordinal", "chunk_id")).alias("chunk_id"))
 
 
-def expand_local(base: DataFrame, parents: DataFrame, edges: DataFrame, chunks: DataFrame, query_col: str) -> DataFrame:
-    """(query, chunk_id, score, reasons) from base chunks (query, chunk_id, node_id, score, reasons).
+def expand_local(base: DataFrame, parents: DataFrame, edges: DataFrame, chunks: DataFrame, query_col: str, found: DataFrame | None = None) -> DataFrame:
+    """(query, chunk_id, score, reasons) from base chunks (query, chunk_id, node_id, score, place); ``found`` has the reasons
+    (query, chunk_id, reasons) of all chunks that were retrieved, also those that are no base.
 
-    Ancestors weigh by what they are and by their place; edges of the chunk's node and of its ancestors by relation; a
-    chunk keeps its best score, and the reasons of that way, then those of lower ones.
+    Ways are followed in order: for each base chunk by its place, first itself, then its ancestors (nearest first), then
+    the edges of its node and of its ancestors (by relation and end).  Ancestors weigh by what they are and by their
+    depth, edges by their relation; those that may be followed backwards are, unless they start at the same nodes.  A
+    chunk keeps the score of its best way, its own reasons, the reason of that way, and those of later ones.
     """
-    best = best_chunk(chunks)
-    kinds = chunks.select("node_id", "chunk_type").groupBy("node_id").agg(F.min("chunk_type").alias("kind"))
+    best = best_chunk(chunks).join(chunks.select("chunk_id", "chunk_type"), "chunk_id")
+    to = best.select(F.col("node_id").alias("to"), F.col("chunk_id").alias("to_chunk"), "chunk_type")
     chain = ancestors(parents, of=base.select(F.col("node_id").alias("node")))
-    weight = F.when(F.col("kind") == "article", 1.05).when(F.col("kind") == "clause", 0.9).when(F.col("kind") == "structure", 0.38).otherwise(F.greatest(F.lit(0.28), 0.72 - (F.col("depth") - 1) * 0.1))
-    up = chain.join(kinds.withColumnRenamed("node_id", "ancestor"), "ancestor", "left").select("node", F.col("ancestor").alias("to"), weight.alias("weight"), F.lit("hierarchy").alias("reason"))
-    relations = F.broadcast(relation_table(edges.sparkSession)).select(F.col("rel_type").alias("rel"), F.col("weight").alias("w"), "out", "rev")
-    typed = edges.filter("rel <> 'ISSUED_BY'").join(relations, "rel", "left").withColumn("w", F.coalesce("w", F.lit(OTHER_WEIGHT)))
-    both = typed.select(F.col("source").alias("near"), F.col("target").alias("to"), "w", "rel").unionByName(typed.filter("rev").select(F.col("target").alias("near"), F.col("source").alias("to"), "w", "rel"))
+    deep = F.greatest(F.lit(0.28), 0.72 - F.col("depth") * 0.1)
+    weight = F.when(F.col("chunk_type") == "article", 1.05).when(F.col("chunk_type") == "clause", 0.9).when(F.col("chunk_type") == "structure", 0.38).otherwise(deep)
+    up = chain.withColumnRenamed("ancestor", "to").join(to, "to").select("node", "to_chunk", weight.alias("w"), F.lit(1).alias("kind"), F.col("depth").alias("pos"), F.lit("").alias("key"), F.lit("ancestor").alias("reason"))
     roots = chain.select("node", F.col("ancestor").alias("near")).unionByName(base.select(F.col("node_id").alias("node")).distinct().select("node", F.col("node").alias("near")))
-    sideways = roots.join(both, "near").select("node", "to", F.col("w").alias("weight"), F.col("rel").alias("reason"))
-    ways = up.unionByName(sideways).groupBy("node", "to", "reason").agg(F.max("weight").alias("weight"))
-    to = best.select(F.col("node_id").alias("to"), F.col("chunk_id").alias("to_chunk"))
-    reached = base.join(ways, base["node_id"] == ways["node"]).join(to, "to").select(query_col, F.col("to_chunk").alias("chunk_id"), (F.col("score") * F.col("weight")).alias("score"), F.concat("reasons", F.array("reason")).alias("reasons"))
-    every = base.select(query_col, "chunk_id", "score", "reasons").unionByName(reached)
-    ranked = every.withColumn("p", F.row_number().over(Window.partitionBy(query_col, "chunk_id").orderBy(F.desc("score"), "reasons")))
-    return ranked.groupBy(query_col, "chunk_id").agg(F.max("score").alias("score"), F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("p", "reasons"))), lambda x: x["reasons"]))).alias("reasons"))
+    relations = F.broadcast(relation_table(edges.sparkSession)).select(F.col("rel_type").alias("rel"), F.col("weight").alias("w"), "rev")  # 26 fixed rows
+    typed = edges.filter("rel <> 'ISSUED_BY'").join(relations, "rel", "left").withColumn("w", F.coalesce("w", F.lit(OTHER_WEIGHT)))
+    out = typed.select(F.col("source").alias("near"), F.col("target").alias("to"), "w", "rel").join(roots, "near")
+    back = typed.filter("rev").select(F.col("target").alias("near"), F.col("source").alias("to"), "w", "rel").join(roots, "near")
+    back = back.join(roots.select("node", F.col("near").alias("to")), ["node", "to"], "left_anti")
+    side = out.select("node", "to", "w", "rel").unionByName(back.select("node", "to", "w", "rel")).join(to, "to")
+    side = side.select("node", "to_chunk", "w", F.lit(2).alias("kind"), F.lit(0).alias("pos"), F.concat_ws(":", "rel", "to").alias("key"), F.concat(F.lit("edge:"), "rel").alias("reason"))
+    ways = base.join(up.unionByName(side), base["node_id"] == F.col("node"))
+    order = lambda *c: F.struct("place", *c).alias("o")
+    reached = ways.select(query_col, F.col("to_chunk").alias("chunk_id"), order("kind", "pos", "key"), (F.col("score") * F.col("w")).alias("score"), "reason")
+    own = base.select(query_col, "chunk_id", order(F.lit(0).alias("kind"), F.lit(0).alias("pos"), F.lit("").alias("key")), "score", F.lit("base").alias("reason"))
+    lists = own.unionByName(reached).groupBy(query_col, "chunk_id").agg(F.array_sort(F.collect_list(F.struct("o", "score", "reason"))).alias("ways"))
+    start = F.struct(F.lit(None).cast("double").alias("score"), F.array().cast("array<string>").alias("reasons"))
+    better = lambda s, x: s["score"].isNull() | (x["score"] > s["score"])
+    fold = F.aggregate("ways", start, lambda s, x: F.struct(F.when(better(s, x), x["score"]).otherwise(s["score"]).alias("score"), F.when(better(s, x), F.array(x["reason"])).otherwise(F.concat(s["reasons"], F.array(x["reason"]))).alias("reasons")))
+    folded = lists.select(query_col, "chunk_id", fold.alias("x"))
+    if found is None:
+        return folded.select(query_col, "chunk_id", "x.score", F.array_distinct("x.reasons").alias("reasons"))
+    known = found.select(query_col, "chunk_id", F.col("reasons").alias("own"))
+    return folded.join(known, [query_col, "chunk_id"], "left").select(query_col, "chunk_id", "x.score", F.array_distinct(F.concat(F.coalesce("own", F.array().cast("array<string>")), "x.reasons")).alias("reasons"))

@@ -257,21 +257,50 @@ def graph_expand_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(expand.expand(seeds, parents(spark, d), edges(spark, d), "item_id"), "score")
 
 
-@BOOK.add()
+#: What the local pipeline's questions and citations name besides, so that numbers and domain count.
+NAMING = "' Điều ' || {0} % 6 || ' khoản ' || {0} % 4 || ' lao động'"
+LOCAL_TEXT, LOCAL_CITATION = "b.text || " + NAMING.format("b.item_id"), "c.citation || CASE WHEN c.doc_id % 3 <> 0 THEN " + NAMING.format("c.doc_id") + " ELSE '' END"
+LOCAL_TERMS = f"list_distinct({KEY_TERMS.format('(' + LOCAL_TEXT + ')')})"
+LOCAL_HAY = "lower(" + STRIP.format(f"c.title || ' ' || {LOCAL_CITATION} || ' ' || substring(c.text, 1, 600)") + ")"
+LOCAL_SQL = f"""WITH {CHUNKS}, {BM25}, {DENSE}, {GRAPH},
+cb AS (SELECT item_id, doc_id, sum(s) AS score, bool_or(w = 1) AS fts, bool_or(w = 2) AS vec FROM (SELECT item_id, doc_id, 1.25::DOUBLE / (rank + 2) AS s, 1 AS w FROM lex WHERE rank <= 40 UNION ALL SELECT item_id, doc_id, greatest(score, 0) / sqrt(rank + 1), 2 FROM den WHERE rank <= 40) GROUP BY ALL),
+cs AS (SELECT cb.*, c.chunk_type, {LOCAL_TERMS} AS terms, {LOCAL_HAY} AS hay, c.doc_id % 3 <> 0 AND c.doc_id % 6 = b.item_id % 6 AS art, c.doc_id % 3 <> 0 AND c.doc_id % 4 = b.item_id % 4 AS cla FROM cb JOIN chunks c ON c.doc_id = cb.doc_id JOIN benchmark b ON b.item_id = cb.item_id),
+cv AS (SELECT *, len(list_filter(terms, lambda t: contains(hay, t)))::DOUBLE / least(len(terms), 10) AS cov FROM cs),
+ct AS (SELECT item_id, doc_id, (score + cov * 0.9::DOUBLE) * CASE WHEN cov < 0.18 THEN 0.45::DOUBLE ELSE 1 END + CASE WHEN contains(hay, 'lao dong') THEN 0.18::DOUBLE ELSE 0 END + CASE WHEN chunk_type IN ('article', 'clause', 'point') THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN art THEN 0.75::DOUBLE ELSE 0 END + CASE WHEN cla THEN 0.45::DOUBLE ELSE 0 END AS score,
+  list_filter([CASE WHEN fts THEN 'FTS' END, CASE WHEN vec THEN 'vector' END, CASE WHEN art THEN 'exact-article' END, CASE WHEN cla THEN 'exact-clause' END], lambda x: x IS NOT NULL) AS own FROM cv),
+bs AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM ct QUALIFY place <= 20),
+wy AS (SELECT item_id, doc_id, score, 'base' AS reason, lpad(CAST(place AS VARCHAR), 4, '0') AS o FROM bs
+  UNION ALL SELECT bs.item_id, t.doc_id, bs.score * CASE rel WHEN 'CITES' THEN 0.72::DOUBLE ELSE 0.62::DOUBLE END, 'edge:' || rel, lpad(CAST(place AS VARCHAR), 4, '0') || ':' || rel || ':' || e.target FROM bs JOIN edg e ON e.source = 'doc:' || bs.doc_id JOIN documents t ON 'doc:' || t.doc_id = e.target
+  UNION ALL SELECT bs.item_id, t.doc_id, bs.score * 0.62::DOUBLE, 'edge:' || rel, lpad(CAST(place AS VARCHAR), 4, '0') || ':' || rel || ':' || e.source FROM bs JOIN edg e ON e.target = 'doc:' || bs.doc_id AND rel = 'GUIDES' AND e.source <> e.target JOIN documents t ON 'doc:' || t.doc_id = e.source),
+wb AS (SELECT item_id, doc_id, max(score) AS score FROM wy GROUP BY ALL),
+wo AS (SELECT wb.item_id, wb.doc_id, wb.score, min(o) AS o FROM wb JOIN wy ON wy.item_id = wb.item_id AND wy.doc_id = wb.doc_id AND wy.score = wb.score GROUP BY ALL),
+wr AS (SELECT wo.item_id, wo.doc_id, wo.score, list(reason ORDER BY wy.o) AS later FROM wo JOIN wy ON wy.item_id = wo.item_id AND wy.doc_id = wo.doc_id AND wy.o >= wo.o GROUP BY ALL),
+wf AS (SELECT wr.*, list_concat(coalesce(own, []), later) AS k, row_number() OVER (PARTITION BY wr.item_id ORDER BY round(wr.score, 9) DESC, wr.doc_id) AS rank FROM wr LEFT JOIN ct ON ct.item_id = wr.item_id AND ct.doc_id = wr.doc_id)
+SELECT item_id, rank, doc_id AS chunk_id, round(score, 4) AS score, array_to_string({UNIQUE.format('k')}, ',') AS reasons FROM wf WHERE rank <= 10"""
+
+
+@BOOK.add(LOCAL_SQL)
 def retrieve_local(spark: SparkSession, d: str) -> DataFrame:
-    """Both lists added up by rank, reranked with question's numbers, and expanded with reasons (the local pipeline)."""
+    """Both lists added up by rank, reranked with the question's numbers and domain, and expanded with reasons (the local
+    pipeline)."""
+    naming = lambda c: F.concat(F.lit(" Điều "), (c % 6).cast("string"), F.lit(" khoản "), (c % 4).cast("string"), F.lit(" lao động"))
     lex = lexical_ranks(spark, d, 40).select("item_id", "doc_id", (1.25 / (F.col("rank") + 2)).alias("part"), F.lit("FTS").alias("why"))
     den = dense_ranks(spark, d, 40).select("item_id", "doc_id", (F.greatest("score", F.lit(0.0)) / F.sqrt(F.col("rank") + 1.0)).alias("part"), F.lit("vector").alias("why"))
     both = lex.unionByName(den).groupBy("item_id", "doc_id").agg(F.sum("part").alias("score"), F.array_sort(F.collect_set("why")).alias("reasons"))
-    questions = fusion.asked(table(spark, d, "benchmark").select("item_id", "text"), "text").drop("text")
+    items = table(spark, d, "benchmark").select("item_id", F.concat("text", naming(F.col("item_id"))).alias("text"))
+    questions = fusion.asked(items, "text").withColumns({"articles": fusion.numbers(F.col("text"), "điều", r"\d+[a-zA-Z]?"), "clauses": fusion.numbers(F.col("text"), "khoản", r"\d{1,3}")}).drop("text")
     both = kept(both)
-    joined = both.join(fusion.seen(chunks(spark, d), both, "doc_id", 600), "doc_id").join(small(questions), "item_id")
+    own = chunks(spark, d).withColumn("citation", F.concat("citation", F.when(F.col("doc_id") % 3 != 0, naming(F.col("doc_id"))).otherwise("")))
+    low = own.withColumn("low", F.lower(F.concat_ws(" ", "title", "citation", F.substring("text", 1, 600))))
+    joined = both.join(fusion.seen(low, both, "doc_id", 600), "doc_id").join(small(questions), "item_id")
     share = fusion.coverage(F.col("terms"), F.col("hay"))
-    score = (F.col("score") + share * 0.9) * F.when(share < 0.18, 0.45).otherwise(F.lit(1.0)) + fusion.wording(F.col("plain"), F.col("hay"))
+    score = (F.col("score") + share * 0.9) * F.when((F.size("terms") > 0) & (share < 0.18), 0.45).otherwise(F.lit(1.0)) + fusion.wording(F.col("plain"), F.col("hay")) + fusion.in_domain(F.col("plain"), F.col("hay"))
     score = score + F.when(F.col("chunk_type").isin(*fusion.TYPES), 0.08).otherwise(F.lit(0.0))
-    base = lexical.top(joined.select("item_id", "chunk_id", "node_id", score.alias("score"), "reasons"), 20, "item_id", "chunk_id")
-    base = kept(base.select("item_id", "chunk_id", "node_id", "score", "reasons"))
-    wide = expand.expand_local(base, parents(spark, d), edges(spark, d), chunks(spark, d), "item_id")
+    joined = joined.withColumns({"art": fusion.named(F.col("articles"), F.col("low"), "điều"), "cla": fusion.named(F.col("clauses"), F.col("low"), "khoản")})
+    exact = F.concat("reasons", F.when(F.col("art") > 0, F.array(F.lit("exact-article"))).otherwise(F.array().cast("array<string>")), F.when(F.col("cla") > 0, F.array(F.lit("exact-clause"))).otherwise(F.array().cast("array<string>")))
+    found = kept(joined.select("item_id", "chunk_id", "node_id", (score + F.col("art") * 0.75 + F.col("cla") * 0.45).alias("score"), exact.alias("reasons")))
+    base = kept(lexical.top(found, 20, "item_id", "chunk_id").select("item_id", "chunk_id", "node_id", "score", F.col("rank").alias("place")))
+    wide = expand.expand_local(base, parents(spark, d), edges(spark, d), own, "item_id", found)
     return lexical.top(wide, 10, "item_id", "chunk_id").select("item_id", "rank", "chunk_id", F.round("score", 4).alias("score"), F.array_join("reasons", ",").alias("reasons"))
 
 

@@ -62,12 +62,15 @@ def test_expansion(spark):
 
 
 def test_local_expansion(spark):
-    chunks = spark.createDataFrame([("c1", "a", "clause", 0), ("c2", "p", "article", 0), ("c3", "x", "point", 1), ("c4", "x", "article", 0)], "chunk_id string, node_id string, chunk_type string, ordinal int")
-    base = spark.createDataFrame([(1, "c1", "a", 1.0, ["FTS"])], "q long, chunk_id string, node_id string, score double, reasons array<string>")
-    parents = spark.createDataFrame([("a", "p")], "node string, parent string")
-    edges = spark.createDataFrame([("p", "x", "CITES")], "source string, target string, rel string")
-    got = {r.chunk_id: (round(r.score, 6), r.reasons) for r in expand.expand_local(base, parents, edges, chunks, "q").collect()}
-    assert got == {"c1": (1.0, ["FTS"]), "c2": (1.05, ["FTS", "hierarchy"]), "c3": (0.72, ["FTS", "CITES"])}
+    chunks = spark.createDataFrame([("c1", "a", "clause", 0), ("c2", "p", "article", 0), ("c3", "x", "point", 1), ("c4", "x", "article", 0), ("c5", "g", "semantic", 0)], "chunk_id string, node_id string, chunk_type string, ordinal int")
+    base = spark.createDataFrame([(1, "c1", "a", 1.0, 1), (1, "c3", "x", 0.7, 2)], "q long, chunk_id string, node_id string, score double, place int")
+    found = spark.createDataFrame([(1, "c1", ["FTS"]), (1, "c3", ["vector"]), (1, "c2", ["FTS", "exact-article"])], "q long, chunk_id string, reasons array<string>")
+    parents = spark.createDataFrame([("a", "p"), ("p", "g")], "node string, parent string")
+    edges = spark.createDataFrame([("p", "x", "CITES"), ("x", "a", "GUIDES"), ("a", "g", "GUIDES"), ("y", "x", "CITES")], "source string, target string, rel string")
+    got = {r.chunk_id: (round(r.score, 6), r.reasons) for r in expand.expand_local(base, parents, edges, chunks, "q", found).collect()}
+    # c3 is reached from c1 by CITES (0.72) and back by GUIDES (0.62), which beats its own 0.7 as a base chunk.
+    assert got == {"c1": (1.0, ["FTS", "base", "edge:GUIDES"]), "c2": (1.05, ["FTS", "exact-article", "ancestor"]), "c3": (0.72, ["vector", "edge:CITES", "edge:GUIDES", "base"]), "c5": (0.62, ["edge:GUIDES"])}
+
 
 
 LAW = [

@@ -9,12 +9,26 @@ from pyspark.sql import functions as F
 
 from grafloom.functions.text import lexical_terms, strip_accents
 from grafloom.functions.vectors import hash_embedding
-from grafloom.operators import chunking, dense, expand, fusion, lexical, rules, structure
+from grafloom.operators import chunking, dense, expand, fusion, lexical, local, rules, structure
 from grafloom.sources.shared import kept
 from grafloom.sources.sinks import read_index, write_index
 
 #: Names of retrievers, and what else they are called.
-MODES = {"rag": "rag", "postgres": "rag", "hybrid": "hybrid", "graphrag": "hybrid", "graph": "graph", "neo4j": "graph", "lexical": "lexical", "bm25": "lexical", "dense": "dense", "vector": "dense"}
+MODES = {
+    "rag": "rag", "postgres": "rag", "pgvector": "rag",
+    "hybrid": "hybrid", "hybrid_rag": "hybrid", "auto": "hybrid", "neo4j_postgres": "hybrid",
+    "graph": "graph", "graphrag": "graph", "neo4j": "graph",
+    "local": "local", "local_graphrag": "local", "sqlite": "local", "notebook": "notebook",
+    "lexical": "lexical", "bm25": "lexical", "dense": "dense", "vector": "dense",
+}
+
+
+def mode_of(name: str | None) -> str:
+    """The retriever that a setting names; none means the default one."""
+    key = (name or "hybrid_rag").strip().lower().replace("-", "_")
+    if key not in MODES:
+        raise ValueError(f"no retriever is called {name}")
+    return MODES[key]
 
 
 def searched() -> Column:
@@ -32,36 +46,65 @@ class Index:
     lengths: DataFrame
     dim: int
 
-    def retrieve(self, queries: DataFrame, mode: str = "hybrid", top_k: int = 10) -> DataFrame:
-        """(query_id, rank, chunk_id, score) for questions (query_id, text)."""
-        mode = MODES[mode.lower()]
+    def retrieve(self, queries: DataFrame, mode: str | None = None, top_k: int = 10) -> DataFrame:
+        """(query_id, rank, chunk_id, score, reasons) for questions (query_id, text)."""
+        mode = mode_of(mode)
+        if mode in ("local", "notebook"):
+            variant = local.FULL if mode == "local" else local.NOTEBOOK
+            many = max(24, 4 * top_k)
+            return local.retrieve(self._words(queries, many), self._vectors(queries, many), queries, self.chunks, self._parents(), self._edges(), "query_id", top_k, variant)
         seeds = kept(self._seeds(queries, mode, max(32, 5 * top_k)))
         if mode in ("graph", "hybrid"):
-            nodes = seeds.join(self.chunks.select("chunk_id", "node_id"), "chunk_id").groupBy("query_id", F.col("node_id").alias("node")).agg(F.max("score").alias("score"))
-            typed = self.edges.join(F.broadcast(expand.relation_table(self.nodes.sparkSession)).select("native", "rel_type"), F.upper(strip_accents(F.col("relation"))) == F.col("native"), "left")
-            edges = typed.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), F.coalesce("rel_type", F.lit("RELATED_TO")).alias("rel"))
-            parents = self.nodes.select(F.col("node_id").alias("node"), F.col("parent_id").alias("parent"))
-            reached = expand.expand(nodes, parents, edges, "query_id").join(self.chunks.select("chunk_id", "chunk_type", F.col("node_id").alias("node")), "node")
-            reached = reached.select("query_id", "chunk_id", (F.col("score") + F.when(F.col("chunk_type") == "article", 0.08).otherwise(F.lit(0.0))).alias("score"))
-            seeds = seeds.unionByName(reached).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+            seeds = self._with_graph(seeds)
         best = lexical.top(seeds, top_k, "query_id", "chunk_id")
-        return best.select("query_id", "rank", "chunk_id", F.round("score", 4).alias("score"))
+        return best.select("query_id", "rank", "chunk_id", F.round("score", 4).alias("score"), "reasons")
+
+    def _parents(self) -> DataFrame:
+        return self.nodes.select(F.col("node_id").alias("node"), F.col("parent_id").alias("parent"))
+
+    def _edges(self) -> DataFrame:
+        relations = F.broadcast(expand.relation_table(self.nodes.sparkSession)).select("native", "rel_type")  # 26 fixed rows
+        typed = self.edges.join(relations, F.upper(strip_accents(F.col("relation"))) == F.col("native"), "left")
+        return typed.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), F.coalesce("rel_type", F.lit("RELATED_TO")).alias("rel"))
+
+    def _with_graph(self, seeds: DataFrame) -> DataFrame:
+        """Seeds and the chunks of what the graph reaches from their nodes, with reasons."""
+        own = seeds.join(self.chunks.select("chunk_id", "node_id"), "chunk_id").groupBy("query_id", F.col("node_id").alias("node")).agg(F.max("score").alias("score"))
+        own = kept(own)
+        reached = expand.expand(own, self._parents(), self._edges(), "query_id").join(self.chunks.select("chunk_id", "chunk_type", F.col("node_id").alias("node")), "node")
+        new = own.select("query_id", "node", F.lit(True).alias("seed"))
+        reached = reached.join(new, ["query_id", "node"], "left").select("query_id", "chunk_id", (F.col("score") + F.when(F.col("chunk_type") == "article", 0.08).otherwise(F.lit(0.0))).alias("score"), F.lit(None).cast("array<string>").alias("reasons"), F.col("seed").isNull().alias("by_graph"))
+        every = seeds.select("query_id", "chunk_id", "score", "reasons", F.lit(False).alias("by_graph")).unionByName(reached)
+        best = every.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.max("reasons").alias("own"), F.bool_or("by_graph").alias("by_graph"))
+        graph = F.array(F.lit(fusion.BY_GRAPH))
+        reasons = F.when(F.col("own").isNull(), graph).when(F.col("by_graph"), F.concat("own", graph)).otherwise(F.col("own"))
+        return best.select("query_id", "chunk_id", "score", reasons.alias("reasons"))
+
+    def _words(self, queries: DataFrame, many: int) -> DataFrame:
+        terms = queries.select("query_id", F.explode(lexical_terms(F.col("text"))).alias("term"))
+        return lexical.top(lexical.bm25_of(self.postings, self.lengths, terms, "chunk_id", "query_id"), many, "query_id", "chunk_id")
+
+    def _vectors(self, queries: DataFrame, many: int) -> DataFrame:
+        asked = queries.select("query_id", hash_embedding(F.col("text"), self.dim).alias("vector"))
+        return dense.similarities(self.chunks, asked, many, "chunk_id", "vector", "query_id")
 
     def _seeds(self, queries: DataFrame, mode: str, candidates: int) -> DataFrame:
         lists = []
-        if mode != "dense":
-            terms = queries.select("query_id", F.explode(lexical_terms(F.col("text"))).alias("term"))
-            found = lexical.bm25_of(self.postings, self.lengths, terms, "chunk_id", "query_id")
-            lists.append((lexical.top(found, candidates, "query_id", "chunk_id"), fusion.LEXICAL))
         if mode in ("dense", "rag", "hybrid"):
-            asked = queries.select("query_id", hash_embedding(F.col("text"), self.dim).alias("vector"))
-            lists.append((dense.similarities(self.chunks, asked, candidates, "chunk_id", "vector", "query_id"), fusion.DENSE))
-        ranked = lists[0][0] if len(lists) == 1 else lexical.top(fusion.rrf(lists, "query_id", "chunk_id"), 2 * candidates, "query_id", "chunk_id")
-        ranked = kept(ranked.select("query_id", "chunk_id", "score", "rank"))
+            lists.append((self._vectors(queries, candidates), fusion.DENSE, fusion.BY_VECTOR))
+        if mode != "dense":
+            lists.append((self._words(queries, candidates), fusion.LEXICAL, fusion.BY_SEED if mode == "graph" else fusion.BY_WORDS))
+        if len(lists) == 1:
+            ranked, _, reason = lists[0]
+            ranked = ranked.withColumn("reasons", F.array(F.lit(reason)))
+        else:
+            fused = fusion.rrf([x[:2] for x in lists], "query_id", "chunk_id", reasons=tuple(x[2] for x in lists))
+            ranked = lexical.top(fused, 2 * candidates, "query_id", "chunk_id")
+        ranked = kept(ranked.select("query_id", "chunk_id", "score", "rank", "reasons"))
         asked = fusion.asked(queries.select("query_id", "text"), "text").drop("text")
         joined = ranked.join(fusion.seen(self.chunks.select("chunk_id", "title", "citation", "text", "chunk_type"), ranked, "chunk_id"), "chunk_id").join(asked, "query_id")
         score = fusion.rerank(*[F.col(c) for c in ("score", "rank", "plain", "terms", "hay", "chunk_type")])
-        return lexical.top(joined.select("query_id", "chunk_id", score.alias("score")), candidates, "query_id", "chunk_id").select("query_id", "chunk_id", "score")
+        return lexical.top(joined.select("query_id", "chunk_id", score.alias("score"), "reasons"), candidates, "query_id", "chunk_id").select("query_id", "chunk_id", "score", "reasons")
 
     def stats(self) -> DataFrame:
         """One row: how many nodes, edges and chunks there are, of which kinds."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grafloom.functions.words import OTHER_WEIGHT, RELATIONS
@@ -115,3 +115,17 @@ def expand_local(base: DataFrame, parents: DataFrame, edges: DataFrame, chunks:
         return folded.select(query_col, "chunk_id", "x.score", F.array_distinct("x.reasons").alias("reasons"))
     known = found.select(query_col, "chunk_id", F.col("reasons").alias("own"))
     return folded.join(known, [query_col, "chunk_id"], "left").select(query_col, "chunk_id", "x.score", F.array_distinct(F.concat(F.coalesce("own", F.array().cast("array<string>")), "x.reasons")).alias("reasons"))
+
+
+def expand_up(base: DataFrame, parents: DataFrame, chunks: DataFrame, query_col: str, found: DataFrame, depth: int | None = None) -> DataFrame:
+    """(query, chunk_id, score, reasons): base chunks and the best chunks of their ancestors, each by its best way only."""
+    best = best_chunk(chunks).select(F.col("node_id").alias("ancestor"), F.col("chunk_id").alias("to_chunk"))
+    up = ancestors(parents, depth, base.select(F.col("node_id").alias("node"))).join(best, "ancestor")
+    weight = F.greatest(F.lit(0.28), 0.72 - F.col("depth") * 0.1)
+    order = lambda pos: F.struct(F.col("place"), pos.alias("pos")).alias("o")
+    reached = base.join(up, base["node_id"] == up["node"]).select(query_col, F.col("to_chunk").alias("chunk_id"), order(F.col("depth")), (F.col("score") * weight).alias("score"), F.lit("ancestor").alias("reason"))
+    every = base.select(query_col, "chunk_id", order(F.lit(0)), "score", F.lit("base").alias("reason")).unionByName(reached)
+    first = Window.partitionBy(query_col, "chunk_id").orderBy(F.desc("score"), "o")
+    one = every.withColumn("n", F.row_number().over(first)).filter("n = 1")
+    own = found.select(query_col, "chunk_id", F.col("reasons").alias("own"))
+    return one.join(own, [query_col, "chunk_id"], "left").select(query_col, "chunk_id", "score", F.array_distinct(F.concat(F.coalesce("own", F.array().cast("array<string>")), F.array("reason"))).alias("reasons"))

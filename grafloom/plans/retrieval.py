@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grafloom.functions import text as X
-from grafloom.operators import dense, expand, fusion, lexical, records
+from grafloom.operators import dense, expand, fusion, lexical, local, records
 from grafloom.operators.search import containing
 from grafloom.plans.book import Book, small, table
 from grafloom.sources.shared import kept
@@ -279,29 +279,47 @@ wf AS (SELECT wr.*, list_concat(coalesce(own, []), later) AS k, row_number() OVE
 SELECT item_id, rank, doc_id AS chunk_id, round(score, 4) AS score, array_to_string({UNIQUE.format('k')}, ',') AS reasons FROM wf WHERE rank <= 10"""
 
 
-@BOOK.add(LOCAL_SQL)
-def retrieve_local(spark: SparkSession, d: str) -> DataFrame:
-    """Both lists added up by rank, reranked with the question's numbers and domain, and expanded with reasons (the local
-    pipeline)."""
+def local_parts(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """(list of words, list of vectors, questions, chunks) of the local pipeline."""
     naming = lambda c: F.concat(F.lit(" Điều "), (c % 6).cast("string"), F.lit(" khoản "), (c % 4).cast("string"), F.lit(" lao động"))
-    lex = lexical_ranks(spark, d, 40).select("item_id", "doc_id", (1.25 / (F.col("rank") + 2)).alias("part"), F.lit("FTS").alias("why"))
-    den = dense_ranks(spark, d, 40).select("item_id", "doc_id", (F.greatest("score", F.lit(0.0)) / F.sqrt(F.col("rank") + 1.0)).alias("part"), F.lit("vector").alias("why"))
-    both = lex.unionByName(den).groupBy("item_id", "doc_id").agg(F.sum("part").alias("score"), F.array_sort(F.collect_set("why")).alias("reasons"))
     items = table(spark, d, "benchmark").select("item_id", F.concat("text", naming(F.col("item_id"))).alias("text"))
-    questions = fusion.asked(items, "text").withColumns({"articles": fusion.numbers(F.col("text"), "điều", r"\d+[a-zA-Z]?"), "clauses": fusion.numbers(F.col("text"), "khoản", r"\d{1,3}")}).drop("text")
-    both = kept(both)
     own = chunks(spark, d).withColumn("citation", F.concat("citation", F.when(F.col("doc_id") % 3 != 0, naming(F.col("doc_id"))).otherwise("")))
-    low = own.withColumn("low", F.lower(F.concat_ws(" ", "title", "citation", F.substring("text", 1, 600))))
-    joined = both.join(fusion.seen(low, both, "doc_id", 600), "doc_id").join(small(questions), "item_id")
-    share = fusion.coverage(F.col("terms"), F.col("hay"))
-    score = (F.col("score") + share * 0.9) * F.when((F.size("terms") > 0) & (share < 0.18), 0.45).otherwise(F.lit(1.0)) + fusion.wording(F.col("plain"), F.col("hay")) + fusion.in_domain(F.col("plain"), F.col("hay"))
-    score = score + F.when(F.col("chunk_type").isin(*fusion.TYPES), 0.08).otherwise(F.lit(0.0))
-    joined = joined.withColumns({"art": fusion.named(F.col("articles"), F.col("low"), "điều"), "cla": fusion.named(F.col("clauses"), F.col("low"), "khoản")})
-    exact = F.concat("reasons", F.when(F.col("art") > 0, F.array(F.lit("exact-article"))).otherwise(F.array().cast("array<string>")), F.when(F.col("cla") > 0, F.array(F.lit("exact-clause"))).otherwise(F.array().cast("array<string>")))
-    found = kept(joined.select("item_id", "chunk_id", "node_id", (score + F.col("art") * 0.75 + F.col("cla") * 0.45).alias("score"), exact.alias("reasons")))
-    base = kept(lexical.top(found, 20, "item_id", "chunk_id").select("item_id", "chunk_id", "node_id", "score", F.col("rank").alias("place")))
-    wide = expand.expand_local(base, parents(spark, d), edges(spark, d), own, "item_id", found)
-    return lexical.top(wide, 10, "item_id", "chunk_id").select("item_id", "rank", "chunk_id", F.round("score", 4).alias("score"), F.array_join("reasons", ",").alias("reasons"))
+    return lexical_ranks(spark, d, 40).withColumnRenamed("doc_id", "chunk_id"), dense_ranks(spark, d, 40).withColumnRenamed("doc_id", "chunk_id"), items, own
+
+
+@BOOK.add(LOCAL_SQL)
+def retrieve_local(spark: SparkSession, d: str) -> DataFrame:
+    """Both lists added up by rank, reranked with the question's numbers and domain, and expanded with reasons."""
+    out = local.retrieve(*local_parts(spark, d), parents(spark, d), edges(spark, d), "item_id", 10)
+    return out.withColumn("reasons", F.array_join("reasons", ","))
+
+
+NB_TERMS = f"list_filter(regexp_extract_all(lower({STRIP.format('(' + LOCAL_TEXT + ')')}), '{TOK}'), lambda t: length(t) >= 2)"
+NB_HAY = LOCAL_HAY.replace("1, 600", "1, 800")
+#: Sources are chunks of their own here, so that ancestors are reached.
+NOTEBOOK_SQL = f"""WITH {CHUNKS}, {BM25}, {DENSE},
+cb AS (SELECT item_id, doc_id, sum(s) AS score, bool_or(w = 1) AS fts, bool_or(w = 2) AS vec FROM (SELECT item_id, doc_id, 1.25::DOUBLE / (rank + 2) AS s, 1 AS w FROM lex WHERE rank <= 40 UNION ALL SELECT item_id, doc_id, greatest(score, 0) / sqrt(rank + 1), 2 FROM den WHERE rank <= 40) GROUP BY ALL),
+cs AS (SELECT cb.*, {NB_TERMS} AS terms, {NB_HAY} AS hay FROM cb JOIN chunks c ON c.doc_id = cb.doc_id JOIN benchmark b ON b.item_id = cb.item_id),
+cv AS (SELECT *, len(list_filter(terms, lambda t: contains(hay, t)))::DOUBLE / least(len(terms), 12) AS cov FROM cs),
+ct AS (SELECT item_id, 'd' || doc_id AS chunk_id, doc_id, (score + cov * 0.9::DOUBLE) * CASE WHEN cov < 0.18 THEN 0.45::DOUBLE ELSE 1 END AS score, CASE WHEN fts AND vec THEN 'FTS,vector' WHEN fts THEN 'FTS' ELSE 'vector' END AS own FROM cv),
+bs AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, chunk_id) AS place FROM ct QUALIFY place <= 20),
+wy AS (SELECT item_id, chunk_id, score, own || ',base' AS reasons, place FROM bs UNION ALL SELECT bs.item_id, 's' || d.source, bs.score * 0.62::DOUBLE, 'ancestor', place FROM bs JOIN documents d USING (doc_id)),
+wb AS (SELECT *, row_number() OVER (PARTITION BY item_id, chunk_id ORDER BY score DESC, place) AS n FROM wy QUALIFY n = 1),
+wf AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM wb)
+SELECT item_id, rank, chunk_id, round(score, 4) AS score, reasons FROM wf WHERE rank <= 10"""
+
+
+@BOOK.add(NOTEBOOK_SQL)
+def retrieve_notebook(spark: SparkSession, d: str) -> DataFrame:
+    """The notebook's form of the local pipeline: all terms, and of the graph only ancestors."""
+    named = lambda df: df.withColumn("chunk_id", F.concat(F.lit("d"), F.col("chunk_id").cast("string")))
+    lex, den, items, own = local_parts(spark, d)
+    above = table(spark, d, "documents").select("source").distinct()
+    empty = F.lit("")
+    above = above.select(F.concat(F.lit("s"), "source").alias("chunk_id"), F.concat(F.lit("src:"), "source").alias("node_id"), F.lit("structure").alias("chunk_type"), F.col("source").alias("title"), empty.alias("citation"), empty.alias("text"), F.lit(0).cast("long").alias("ordinal"))
+    every = named(own).select(*above.columns).unionByName(above)
+    out = local.retrieve(named(lex), named(den), items, every, parents(spark, d), edges(spark, d), "item_id", 10, local.NOTEBOOK)
+    return out.withColumn("reasons", F.array_join("reasons", ","))
 
 
 @BOOK.add(

@@ -30,13 +30,15 @@ def test_build(index):
     assert index.stats().first().chunks == 11 + len(semantic)
 
 
-@pytest.mark.parametrize("mode", ["lexical", "dense", "rag", "graph", "graphrag"])
+@pytest.mark.parametrize("mode", ["lexical", "dense", "rag", "graph", "Hybrid-RAG", "sqlite", "notebook"])
 def test_retrieve(spark, index, mode):
     asked = spark.createDataFrame([(1, "Thời gian thử việc là bao nhiêu ngày?"), (2, "zzz")], "query_id long, text string")
     got = index.retrieve(asked, mode, 3).collect()
     first = [r.chunk_id for r in got if r.query_id == 1 and r.rank == 1]
     assert first and ("-law-2" in first[0] or "thu-viec" in first[0] or mode == "dense")
-    assert max(r.rank for r in got) <= 3
+    assert max(r.rank for r in got) <= 3 and all(r.reasons for r in got)
+    with pytest.raises(ValueError):
+        index.retrieve(asked, "no such")
 
 
 def test_write_and_open(spark, index, tmp_path):

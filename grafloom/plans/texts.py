@@ -11,7 +11,7 @@ from grafloom.functions.vectors import hash_embedding
 from grafloom.functions.words import DOC_TYPE, DOC_TYPES, IDENTIFIER, ISSUER, ISSUERS, KEY_STOP, LEXICAL_STOP, PRIVATE, PUBLIC, RELATIONS
 from grafloom.operators import chunking
 from grafloom.plans.book import Book, table
-from grafloom.sources import files
+from grafloom.sources import files, sinks
 
 BOOK = Book()
 TOK = X.TOKEN
@@ -234,10 +234,10 @@ def history_format(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list("m")).getField("x"), "\n").alias("history"))
 
 
-@BOOK.add("SELECT item_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.4f', CAST(x AS DOUBLE))), ',') || ']' AS literal FROM benchmark JOIN embeddings ON vec_id = item_id")
+@BOOK.add("SELECT item_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.8g', CAST(x AS DOUBLE))), ',') || ']' AS literal FROM benchmark JOIN embeddings ON vec_id = item_id")
 def vector_literals(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("["), F.array_join(F.transform("embedding", lambda x: F.format_string("%.4f", x.cast("double"))), ","), F.lit("]"))
-    return table(spark, d, "embeddings").join(table(spark, d, "benchmark"), F.col("vec_id") == F.col("item_id")).select("item_id", text.alias("literal"))
+    own = table(spark, d, "embeddings").join(table(spark, d, "benchmark"), F.col("vec_id") == F.col("item_id"))
+    return own.select("item_id", sinks.vector_literal("embedding").alias("literal"))
 
 
 @BOOK.add()
@@ -269,6 +269,41 @@ def section_split(spark: SparkSession, d: str) -> DataFrame:
     return parts.select("doc_id", "ordinal", F.md5("part").alias("part_md5"))
 
 
+#: Documents as law texts: every third line an article, others clauses.
+LAW_TEXT = "SELECT doc_id, string_agg(CASE WHEN n % 9 = 2 THEN 'Điều ' || n || '. ' || line WHEN n % 2 = 0 THEN n || '. ' || line ELSE line END, chr(10) ORDER BY n) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents) GROUP BY doc_id"
+CUT = "list_filter(list_transform(string_split_regex(regexp_replace({0}, '(?m)^({1})', chr(1) || '\\1', 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10))), lambda x: x <> '')"
+
+
+@BOOK.add(
+    f"""WITH t AS ({LAW_TEXT}), a AS (SELECT doc_id, unnest(s) AS section, unnest(range(len(s))) AS i FROM (SELECT doc_id, {CUT.format('text', 'Điều [0-9]+[.]')} AS s FROM t)),
+    p AS (SELECT *, {CUT.format('section', '[0-9]+[.] ')} AS parts FROM a),
+    q AS (SELECT doc_id, i, string_split(section, chr(10))[1] AS heading, CASE WHEN length(section) > 1500 AND len(list_filter(parts, lambda x: regexp_matches(x, '^[0-9]+[.] '))) > 1 THEN parts ELSE [section] END AS parts FROM p),
+    r AS (SELECT doc_id, i, heading, unnest(parts) AS part, unnest(range(len(parts))) AS k FROM q)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS ordinal, md5(heading) AS heading_md5, md5(part) AS part_md5 FROM r"""
+)
+def law_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Articles, and those of over 1500 characters by clauses."""
+    n, line = F.col("n"), F.col("line")
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    marked = F.when(n % 9 == 2, F.concat(F.lit("Điều "), n, F.lit(". "), line)).when(n % 2 == 0, F.concat(n, F.lit(". "), line)).otherwise(line)
+    docs = lines.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("n", marked.alias("x")))).getField("x"), "\n").alias("text"))
+    parts = chunking.law_sections(docs, r"^Điều [0-9]+[.]", r"^[0-9]+[.] ", limit=1500)
+    return parts.select("doc_id", "ordinal", F.md5("heading").alias("heading_md5"), F.md5("part").alias("part_md5"))
+
+
+SLUG_OF = "coalesce(nullif(trim(regexp_replace(lower(" + STRIP.format("replace(replace({0}, 'Đ', 'DD'), 'đ', 'dd')") + "), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'item')"
+
+
+@BOOK.add(f"SELECT path, filename, slug AS doc_id, dense_rank() OVER (PARTITION BY lang ORDER BY slug) AS place FROM (SELECT lang, path, filename, {SLUG_OF.format('regexp_replace(filename, ' + chr(39) + '[.][^.]*$' + chr(39) + ', ' + chr(39) + chr(39) + ')')} AS slug FROM (SELECT lang, '/in/' || lang || '/' || source || ' Luật_' || doc_id || '.v2.docx' AS path, source || ' Luật_' || doc_id || '.v2.docx' AS filename FROM documents))")
+def source_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Files by the slug of their names, as a build takes them."""
+    from pyspark.sql import Window
+
+    paths = table(spark, d, "documents").select("lang", F.concat(F.lit("/in/"), "lang", F.lit("/"), "source", F.lit(" Luật_"), "doc_id", F.lit(".v2.docx")).alias("path"))
+    named = files.file_names(paths)
+    return named.select("path", "filename", "doc_id", F.dense_rank().over(Window.partitionBy("lang").orderBy("doc_id")).alias("place"))
+
+
 @BOOK.add(
     f"SELECT count(*) AS chunks, count(DISTINCT doc_id) AS documents, round(avg(greatest(n, 1)), 6) AS avg_length, max(n) AS longest FROM (SELECT doc_id, len(regexp_extract_all(text, '{TOK}')) AS n FROM documents) WHERE n >= 4"
 )

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grafloom.functions.text import is_separator, normalize_space
+from grafloom.functions.text import is_separator, normalize_space, slugify
 
 SKIPPED = ("script", "style", "nav", "footer", "form", "noscript")
 #: Elements that never have an end tag.
@@ -126,9 +126,15 @@ def extractor(content_type: Column, path: Column) -> Column:
     return F.when(F.contains(content_type, F.lit("pdf")) | F.contains(path, F.lit(".pdf")), "pdf").when(F.contains(content_type, F.lit("word")) | F.endswith(path, F.lit(".docx")), "docx").otherwise("html")
 
 
+def file_names(paths: DataFrame, path: str = "path") -> DataFrame:
+    """``paths`` with the file's name, and the document id that it gives: the slug of its stem, which also orders files."""
+    name = F.element_at(F.split(F.col(path), "/"), -1)
+    return paths.withColumn("filename", name).withColumn("doc_id", slugify(F.regexp_replace("filename", r"\.[^.]*$", "")))
+
+
 def docx_folder(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of the Word documents of a folder; an empty folder is an error."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select("path", "content")
+    """(path, content, filename, doc_id) of the Word documents of a folder; an empty folder is an error."""
+    found = file_names(spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select("path", "content"))
     if found.select("path").isEmpty():
         raise FileNotFoundError(f"no .docx files in {path}")
     return found

@@ -33,9 +33,14 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.drop("vector").write.mode("overwrite").json(path)
 
 
-def write_csv(frames: list[DataFrame], path: str) -> None:
-    """One CSV of several results; columns that a result lacks are empty."""
+def write_csv(frames: list[DataFrame], path: str, columns: list[str] | None = None, marked: bool = True) -> None:
+    """CSV files of several results; columns that a result lacks are empty, and with ``columns`` others are left out.
+    ``marked`` puts the byte-order mark that spreadsheets look for before each file's first name."""
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    whole = whole if columns is None else whole.select(*[F.col(c) if c in whole.columns else F.lit(None).cast("string").alias(c) for c in columns])
+    if marked:
+        first = whole.columns[0]
+        whole = whole.withColumnRenamed(first, "\ufeff" + first)
     whole.write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -61,5 +66,6 @@ def sync_all(spark: SparkSession, sinks: dict) -> DataFrame:
 
 
 def vector_literal(column: str):
-    """A vector as text, for stores that take literals."""
-    return F.concat(F.lit("["), F.array_join(F.transform(column, lambda x: F.format_string("%.8g", x.cast("double"))), ","), F.lit("]"))
+    """A vector as text, for stores that take literals: eight significant digits, no zeros at the end."""
+    digits = lambda x: F.regexp_replace(F.format_string("%.8g", x.cast("double")), r"\.?0+(?=e|$)", "")
+    return F.concat(F.lit("["), F.array_join(F.transform(column, digits), ","), F.lit("]"))

@@ -326,12 +326,25 @@ def test_memory_folds_whole_batches():
 
 
 def test_incremental_registry(spark, tmp_path):
-    from grafloom.streaming.incremental import registry_writer
+    from grafloom.streaming.incremental import registry, registry_writer
 
-    write = registry_writer(spark, str(tmp_path / "reg"), "")
+    path = str(tmp_path / "reg")
+    write = registry_writer(spark, path, "one")
     rows = lambda *r: spark.createDataFrame(list(r), "code string, checksum string, status string")
+    now = lambda: {r.code: (r.checksum, r.version, r.status) for r in registry(spark, path).collect()}
+    assert now() == {}
     write(rows(("a", "1", "S"), ("b", "1", "S")), 0)
     for _ in range(2):  # a batch that runs again
         write(rows(("a", "2", "S"), ("c", "1", "S")), 1)
-    got = {r.code: (r.checksum, r.version) for r in spark.read.parquet(f"{tmp_path}/reg/batch=1").collect()}
-    assert got == {"a": ("2", 2), "b": ("1", 1), "c": ("1", 1)}
+    assert now() == {"a": ("2", 2, "S"), "b": ("1", 1, "S"), "c": ("1", 1, "S")}
+    again = registry_writer(spark, path, "two")  # another checkpoint, whose batches count anew
+    again(rows(("a", "2", "T"), ("b", "3", "S")), 0)
+    assert now() == {"a": ("2", 2, "T"), "b": ("3", 2, "S"), "c": ("1", 1, "S")}
+
+
+def test_vector_literals(spark):
+    from grafloom.sources.sinks import vector_literal
+
+    values = [0.0, -0.25, 1.0, 100.0, 1e-5, 0.1, 123456789.0, 1 / 3]
+    text = spark.createDataFrame([(values,)], "v array<double>").select(vector_literal("v")).first()[0]
+    assert text == "[" + ",".join("%.8g" % x for x in values) + "]"

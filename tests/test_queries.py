@@ -67,3 +67,6 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["item_id", "rank", "doc_id", "score"]
     assert set(registry.queries()) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    for name in ("like_fallback", "doc_aliases_match", "blocked_sources_antijoin", "registry_lookup", "resolve_sources", "version_chunks", "ancestor_closure", "chunk_upsert"):
+        text = plan(registry.queries()[name](spark, DATA))
+        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name

@@ -5,26 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grafloom.llm.shared import materialize, task_count
-
-#: Edges of a node that one task takes at least; a node with more is dealt to several.
-SHARE = 512
+from grafloom.llm.shared import materialize, spread_join
 
 
 def with_least(edges: DataFrame) -> DataFrame:
-    """(a, b, m): each edge with the least of ``a`` and of all its partners.
-
-    The edges of a hub, which has far more than its share, are dealt to several tasks by their other end.  There are no
-    more hubs than sixteen a task, so their list is small.
-    """
-    tasks = task_count(edges.sparkSession)
+    """(a, b, m): each edge with the least of ``a`` and of all its partners; the edges of a hub are dealt to several tasks."""
     ends = materialize(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "ends")
-    total = ends.agg(F.sum("n")).first()[0] or 0
-    share = max(SHARE, -(-total // (16 * tasks)))
-    hubs = F.broadcast(ends.filter(F.col("n") > share).select("a", F.ceil(F.col("n") / share).cast("int").alias("parts")))  # 16 a task at most
-    dealt = edges.join(hubs, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("int").alias("part"))
-    copies = ends.join(hubs, "a", "left").select("a", F.least("a", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-    return dealt.join(copies, ["a", "part"]).select("a", "b", "m")
+    return spread_join(edges, ends, ["a"], "b").select("a", "b", F.least("a", "m").alias("m"))
 
 
 def components(edges: DataFrame) -> DataFrame:

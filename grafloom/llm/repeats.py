@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grafloom.llm.shared import flat, ints, materialize, parted, release_model, steps
+from grafloom.llm.shared import flat, ints, materialize, parted, release_model, spread_join, steps
 
 SHORTEST = 16
 
@@ -145,29 +145,30 @@ def by_document(ranges: DataFrame) -> DataFrame:
 
 
 def in_several(rows: DataFrame, *keys: str) -> DataFrame:
-    """(keys, least) of the hashes that are in more than one document."""
-    ends = rows.groupBy(*keys).agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-    return ends.filter("least < most").drop("most")
+    """(keys, least, n) of the hashes that are in more than one document: its least id, and how many rows there are."""
+    ends = rows.groupBy(*keys).agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n"))
+    return materialize(ends.filter("least < most").drop("most"), "several")
 
 
 def repeated_places(docs: DataFrame, window: int) -> DataFrame:
     """(doc, lo, hi): ranges of the first words of windows that also start in a document with a smaller id."""
     lengths = level_lengths(window)
     rows = materialize(anchor_rows(docs, window, lengths[0]), f"level{lengths[0]}")
-    alive = materialize(rows.join(in_several(rows, "h").select("h"), "h"), f"alive{lengths[0]}")
+    alive = materialize(spread_join(rows, in_several(rows, "h").drop("least"), ["h"], "doc"), f"alive{lengths[0]}")
     # Runs that are alike as a whole are extended to full length as one; where an anchor has different runs, the least of
     # each kind goes on by its windows, as these may be in runs of another kind.
-    runs = alive.groupBy("h", "s").agg(F.min("doc").alias("least"))
+    runs = alive.groupBy("h", "s").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n"))
     kinds = runs.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
-    extended_runs = alive.join(runs.join(kinds, "h"), ["h", "s"])
-    gone = extended_runs.filter("doc > least").select("doc", "lo", "hi")
-    places = extended_runs.filter("doc = least and kinds > 1").select("doc", "lo", "hi")
+    runs = materialize(runs.join(kinds, "h"), "runs")
+    whole = spread_join(alive, runs, ["h", "s"], "doc")
+    gone = whole.filter("doc > least").select("doc", "lo", "hi")
+    places = whole.filter("doc = least and kinds > 1").select("doc", "lo", "hi")
     for length in lengths[1:]:
         places = materialize(by_document(places), f"places{length}")
         if places.isEmpty():
             break
         found = materialize(extended(docs, places, window, length), f"level{length}")
-        kept = found.join(in_several(found, "h1", "h2"), ["h1", "h2"])
+        kept = spread_join(found, in_several(found, "h1", "h2"), ["h1", "h2"], "doc")
         places = kept.select("doc", F.col("pos").alias("lo"), F.col("pos").alias("hi"))
         if length == window:
             gone = gone.unionByName(kept.filter("doc > least").select("doc", F.col("pos").alias("lo"), F.col("pos").alias("hi")))

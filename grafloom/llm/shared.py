@@ -57,6 +57,25 @@ def parted(rows: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFr
     return found.filter(marked).select(*rows.columns), found.filter(~marked).select(*rows.columns)
 
 
+#: Rows of a key that one task takes at least; a key with more is dealt to several.
+SHARE = 512
+
+
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """``rows`` joined with ``side``, a written table with one row a key and the number ``n`` of its rows.
+
+    The rows of a key that has far more than its share are dealt to several tasks by ``by``, and its row in ``side`` is
+    copied to these.  There are no more such keys than sixteen a task, so their list is small.
+    """
+    tasks = task_count(rows.sparkSession)
+    total = side.agg(F.sum("n")).first()[0] or 0
+    share = max(SHARE, -(-total // (16 * tasks)))
+    hot = F.broadcast(side.filter(F.col("n") > share).select(*keys, F.ceil(F.col("n") / share).cast("int").alias("_parts")))  # 16 a task at most
+    dealt = rows.join(hot, keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    copies = side.drop("n").join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copies, [*keys, "_part"]).drop("_part")
+
+
 def task_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from grafloom.functions.text import lexical_terms, strip_accents
 from grafloom.functions.vectors import hash_embedding
 from grafloom.operators import chunking, dense, expand, fusion, lexical, local, rules, structure
-from grafloom.sources.shared import kept
+from grafloom.sources.shared import dealt, kept
 from grafloom.sources.sinks import read_index, write_index
 
 #: Names of retrievers, and what else they are called.
@@ -102,7 +102,7 @@ class Index:
             ranked = lexical.top(fused, 2 * candidates, "query_id", "chunk_id")
         ranked = kept(ranked.select("query_id", "chunk_id", "score", "rank", "reasons"))
         asked = fusion.asked(queries.select("query_id", "text"), "text").drop("text")
-        joined = ranked.join(fusion.seen(self.chunks.select("chunk_id", "title", "citation", "text", "chunk_type"), ranked, "chunk_id"), "chunk_id").join(asked, "query_id")
+        joined = dealt(ranked, "chunk_id").join(fusion.seen(self.chunks.select("chunk_id", "title", "citation", "text", "chunk_type"), ranked, "chunk_id"), "chunk_id").join(asked, "query_id")
         score = fusion.rerank(*[F.col(c) for c in ("score", "rank", "plain", "terms", "hay", "chunk_type")])
         return lexical.top(joined.select("query_id", "chunk_id", score.alias("score"), "reasons"), candidates, "query_id", "chunk_id").select("query_id", "chunk_id", "score", "reasons")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grafloom.functions.text import key_terms, strip_accents
+from grafloom.sources.shared import dealt
 
 #: Weights of the vector and the lexical list, rank constant.
 DENSE, LEXICAL, RANK = 0.55, 0.45, 60
@@ -80,7 +81,7 @@ def asked(questions: DataFrame, text: str) -> DataFrame:
 
 def seen(chunks: DataFrame, candidates: DataFrame, id_col: str, chars: int = 700) -> DataFrame:
     """Chunks that are a candidate of any question, each with its ``hay``, made once a chunk."""
-    some = chunks.join(candidates.select(id_col).distinct(), id_col, "left_semi")
+    some = dealt(chunks.join(candidates.select(id_col).distinct(), id_col, "left_semi"), id_col)
     return some.withColumn("hay", haystack(F.col("title"), F.col("citation"), F.col("text"), chars)).drop("text")
 
 

@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grafloom.functions.text import TOKEN, token_count
-from grafloom.sources.shared import kept
+from grafloom.sources.shared import kept, spread
 
 K1, B = 1.5, 0.75
 
 
 def exploded(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(id, term): every token."""
-    return docs.select(id_col, F.explode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).alias("term"))
+    return spread(docs.select(id_col, text.alias("text"))).select(id_col, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))).alias("term"))
 
 
 def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -51,7 +51,7 @@ def bm25(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text: Column
     broadcast side where it is small.  Texts are cut into tokens once, for frequencies and lengths alike."""
     text = F.col("text") if text is None else text
     wanted = terms.select("term").distinct().withColumn("wanted", F.col("term"))
-    every = docs.select(id_col, F.explode_outer(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).alias("term"))
+    every = spread(docs.select(id_col, text.alias("text"))).select(id_col, F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))).alias("term"))
     flagged = every.join(F.broadcast(wanted) if is_small(terms) else wanted, "term", "left")
     # Tokens that no question has are one row a document; a document without tokens has one too, with none.
     counted = kept(flagged.groupBy(id_col, "wanted").agg(F.count("term").alias("tf")))

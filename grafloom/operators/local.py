@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from grafloom.functions.text import key_terms, strip_accents, tokens
 from grafloom.operators import expand, fusion, lexical
 from grafloom.operators.lexical import is_small
-from grafloom.sources.shared import kept
+from grafloom.sources.shared import dealt, kept
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,7 @@ def scored(found: DataFrame, questions: DataFrame, chunks: DataFrame, query: str
     asked = F.broadcast(asked) if is_small(questions) else asked
     read = chunks.withColumn("low", F.lower(F.concat_ws(" ", "title", "citation", F.substring("text", 1, variant.chars))))
     seen = fusion.seen(read.select("chunk_id", "node_id", "title", "citation", "text", "chunk_type", "low"), found, "chunk_id", variant.chars)
-    rows = found.join(seen, "chunk_id").join(asked, query)
+    rows = dealt(found, "chunk_id").join(seen, "chunk_id").join(asked, query)
     share = F.when(F.size("terms") > 0, F.size(F.filter("terms", lambda t: F.contains(F.col("hay"), t))) / F.least(F.size("terms"), F.lit(variant.full))).otherwise(F.lit(0.0))
     score = (F.col("score") + share * 0.9) * F.when((F.size("terms") > 0) & (share < 0.18), 0.45).otherwise(F.lit(1.0))
     if not variant.boosts:

@@ -13,7 +13,7 @@ from grafloom.functions import text as X
 from grafloom.operators import dense, expand, fusion, lexical, local, records
 from grafloom.operators.search import containing
 from grafloom.plans.book import Book, small, table
-from grafloom.sources.shared import kept
+from grafloom.sources.shared import dealt, kept
 from grafloom.plans.texts import KEY_TERMS, STRIP, TOK, UNIQUE, sql_list
 from grafloom.functions.words import LEXICAL_STOP
 
@@ -149,7 +149,7 @@ def reranked(spark: SparkSession, d: str, ranked: DataFrame) -> DataFrame:
     """(item_id, doc_id, score) from (item_id, doc_id, score, rank), by features."""
     questions = fusion.asked(table(spark, d, "benchmark").select("item_id", "text"), "text").drop("text")
     ranked = kept(ranked)
-    joined = ranked.join(fusion.seen(chunks(spark, d), ranked, "doc_id"), "doc_id").join(small(questions), "item_id")
+    joined = dealt(ranked, "doc_id").join(fusion.seen(chunks(spark, d), ranked, "doc_id"), "doc_id").join(small(questions), "item_id")
     score = fusion.rerank(*[F.col(c) for c in ("score", "rank", "plain", "terms", "hay", "chunk_type")])
     return joined.select("item_id", "doc_id", score.alias("score"))
 

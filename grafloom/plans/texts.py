@@ -12,6 +12,7 @@ from grafloom.functions.words import DOC_TYPE, DOC_TYPES, IDENTIFIER, ISSUER, IS
 from grafloom.operators import chunking
 from grafloom.plans.book import Book, table
 from grafloom.sources import files, sinks
+from grafloom.sources.shared import spread
 
 BOOK = Book()
 TOK = X.TOKEN
@@ -54,7 +55,7 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @BOOK.add(f"SELECT doc_id, len(list_distinct(k)) AS n_terms, md5(array_to_string(list_sort(list_distinct(k)), ' ')) AS terms_md5 FROM (SELECT doc_id, {KEY_TERMS.format('text')} AS k FROM documents)")
 def key_terms(spark: SparkSession, d: str) -> DataFrame:
-    k = table(spark, d, "documents").select("doc_id", X.key_terms(F.col("text")).alias("k"))
+    k = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", X.key_terms(F.col("text")).alias("k"))
     return k.select("doc_id", F.size("k").cast("long").alias("n_terms"), digest(F.array_sort("k")).alias("terms_md5"))
 
 
@@ -252,7 +253,7 @@ WIN = "CASE WHEN len(w) <= 440 THEN [1] ELSE list_transform(range(0, len(w), 290
     f"SELECT doc_id, (s - 1) // 290 AS ordinal, len(part) AS n_words, md5(array_to_string(part, ' ')) AS chunk_md5 FROM (SELECT doc_id, s, CASE WHEN n <= 440 THEN w ELSE w[s:s + 359] END AS part, n FROM (SELECT doc_id, w, len(w) AS n, unnest({WIN}) AS s FROM (SELECT doc_id, string_split({NORM.format('text')}, ' ') AS w FROM documents))) WHERE n <= 440 OR s = 1 OR len(part) >= 80"
 )
 def sliding_chunks(spark: SparkSession, d: str) -> DataFrame:
-    chunks = chunking.sliding(table(spark, d, "documents").select("doc_id", "text"))
+    chunks = chunking.sliding(spread(table(spark, d, "documents").select("doc_id", "text")))
     return chunks.select("doc_id", "ordinal", F.size("words").cast("long").alias("n_words"), digest(F.col("words")).alias("chunk_md5"))
 
 

@@ -23,3 +23,14 @@ def kept(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession, "kept")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if its input has fewer splits than these can take; a large input stays where it is."""
+    many = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(many) if df.rdd.getNumPartitions() < 2 * many else df
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by keys in as many partitions as are set; where rows are few but dear, Spark would put them together."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -107,7 +107,7 @@ RISKS = (
     ("ruiro:nghiem-trong", "Mức độ rủi ro: Nghiêm trọng", "Bồi thường thiệt hại lớn, đình chỉ hoạt động hoặc xử lý hình sự."),
 )
 #: The document that holds what belongs to no other: id, title, number, kind, issuer, text.
-SYSTEM = ("he-thong", "Hệ thống tri thức số", "SYS", "Hệ thống", "LaborCare", "Định nghĩa và thực thể hệ thống phục vụ cho đa tầng GraphRAG.")
+SYSTEM = ("he-thong", "Hệ thống tri thức số", "SYS", "Hệ thống", "Hệ thống", "Định nghĩa và thực thể hệ thống phục vụ cho đa tầng GraphRAG.")
 #: The state that ends a limitation period.
 LAPSED = ("trangthai:het-thoi-hieu-khoi-kien", "Hết thời hiệu khởi kiện", "Trạng thái pháp lý: Quá hạn thời hiệu khởi kiện của vụ việc.")
 #: Kinds of nodes, and what stands before a name in a node's text, by what the node is.

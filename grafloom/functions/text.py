@@ -155,6 +155,7 @@ def head_and_tail(words: Column, budget: int) -> Column:
 def detect_code(stem: Column, head: Column) -> Column:
     """The number of a law in its file name, else in its first lines, else the name."""
     name = F.replace(stem, F.lit("_"), F.lit("-"))
+    # The forms of a law's number.
     full = r"(?iu)(\d+)-(\d{4})-([A-ZĐ0-9]+(?:-[A-ZĐ0-9]+)*)"
     merged = r"(?iu)^(\d+)[-_](VBHN-[A-ZĐ]+)"
     spaced = r"(?iu)(\d+)\s*/\s*(\d{4})\s*/\s*([A-ZĐ0-9]+(?:-[A-ZĐ0-9]+)*)"
@@ -177,6 +178,7 @@ def cascade(c: Column, rules: tuple[tuple[tuple[str, ...], str], ...], otherwise
 
 def smart_title(lines: Column, fallback: Column) -> Column:
     """Up to three of the first twelve lines, before a preamble, chapter or article; shouting is set in title case."""
+    # Fixed value: how preambles begin.
     stops = r"(?iu)^(Căn cứ|Theo đề nghị|Quốc hội ban hành|Chính phủ ban hành)"
     first = F.slice(lines, 1, 12)
     stop = F.array_position(F.transform(first, lambda x: ~is_separator(x) & (x.rlike(stops) | x.rlike(CHAPTER) | x.rlike(ARTICLE))), True)

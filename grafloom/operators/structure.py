@@ -165,7 +165,7 @@ def aliases(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "doc_type", F.explode(F.array_distinct(F.filter(names, lambda a: F.length(a) >= 6))).alias("alias"))
 
 
-#: A reference to an article, with its clause and point if they are named.
+#: Fixed value: a reference to an article, with its clause and point if they are named.
 REFERENCE = r"(?:(?:điểm)\s+([a-zđ](?:\d+)?)\s+)?(?:(?:khoản)\s+(\d{1,3})\s+)?Điều\s+(\d+[a-zA-Z]?)"
 
 

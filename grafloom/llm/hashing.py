@@ -1,17 +1,23 @@
 """Hashes of all words, windows and lines of a batch at once.
 
-A prefix sum of ``value[i] * B**i`` (mod 2**64, B odd) gives the hash of any slice in O(1):
-``(S[b] - S[a]) * B**-a``.  Values are random 64-bit numbers per byte, or mixed word hashes, so unequal slices collide
-with a probability near 2**-64; where a result rests on equality alone, two such hashes are used together.
+A prefix sum of ``value[i] * B**i`` modulo the prime P = 2**61 - 1 gives the hash of any slice in O(1):
+``(S[b] - S[a]) * B**-a``.  Two unequal slices of n values share it only if B is a root of a polynomial of degree n, of
+which there are at most n among the P possible bases, whatever the values are (modulo a power of two there is no such
+bound: Thue-Morse sequences of any two symbols cancel there for every base).  Where a result rests on equality alone, the
+hashes of two bases are used together.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-_MASK = (1 << 64) - 1
-#: Odd bases, both 5 mod 8.
-BASES = (0x9E3779B97F4A7C1D, 0xD1B54A32D192ED0D)
+P = (1 << 61) - 1
+#: Drawn at random, one for each hash.
+BASES = (1_490_276_117_366_541_253, 2_071_654_313_920_470_107)
+_P, _LOW31, _LOW30 = np.uint64(P), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_30, _31, _61, _TWICE = np.uint64(30), np.uint64(31), np.uint64(61), np.uint64(2 * P)
+#: Values that one running sum takes: sums of terms below 2**40 stay below 2**54, and its arrays in the cache.
+BLOCK = 1 << 14
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,8 +30,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def byte_values(seed: int) -> np.ndarray:
-    return mix(mix(np.arange(1, 257, dtype=np.uint64) + np.uint64(seed * 0x10001 + 7)) + np.uint64(0x5851F42D4C957F2D))
+def byte_values() -> np.ndarray:
+    """A value for each byte; they need only be different and not null."""
+    return np.arange(1, 257, dtype=np.uint64)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """At most P plus a few, and the same modulo P."""
+    return (x & _P) + (x >> _61)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo P, for values of at most 61 bits."""
+    ah, al, bh, bl = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    middle = al * bh + ah * bl
+    return _fold(_fold(ah * bh * np.uint64(2) + (middle >> _30) + ((middle & _LOW30) << _31) + al * bl))
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -36,25 +55,49 @@ def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get(which)
     if have is None or len(have[0]) < n:
         size = 1 << max(16, int(n).bit_length())
-        up, down = np.full(size, BASES[which], np.uint64), np.full(size, pow(BASES[which], -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        have = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        have = tuple(_power_table(base, size) for base in (BASES[which], pow(BASES[which], -1, P)))
         if size <= 1 << 23:
             _POWERS[which] = have
     return have[0][:n], have[1][:n]
 
 
+def _power_table(base: int, size: int) -> np.ndarray:
+    out = np.ones(size, np.uint64)
+    n = 1
+    while n < size:
+        out[n : 2 * n] = times(out[:n], np.uint64(pow(base, n, P)))
+        n *= 2
+    return out
+
+
 class Sums:
     """Prefix sums over values; ``of(a, b)`` hashes the slices a[k]..b[k]."""
 
     def __init__(self, values: np.ndarray, which: int = 0):
-        up, self.down = powers(len(values) + 1, which)
-        self.s = np.empty(len(values) + 1, np.uint64)
-        self.s[0] = 0
-        np.cumsum(values * up[:-1], out=self.s[1:])
+        n = len(values)
+        up, self.down = powers(n + 1, which)
+        self.s = np.zeros(n + 1, np.uint64)
+        carry, small = np.uint64(0), n and values.max() < 512
+        for a in range(0, n, BLOCK):
+            v, u = values[a : a + BLOCK], up[a : min(a + BLOCK, n)]
+            if small:
+                low, high = v * (u & _LOW31), v * (u >> _31)
+            else:
+                v = times(_fold(v), u)
+                low, high = v & _LOW31, v >> _31
+            np.cumsum(low, out=low)
+            np.cumsum(high, out=high)
+            low += (high & _LOW30) << _31  # high * 2**31 modulo P
+            high >>= _30
+            low += high
+            low += carry
+            self.s[a + 1 : a + 1 + len(v)] = _fold(low)
+            carry = self.s[a + len(v)]
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((self.s[b] - self.s[a]) * self.down[a] + (b - a).astype(np.uint64))
+        x = times(_fold(self.s[b] + _TWICE - self.s[a]), self.down[a])
+        x = np.where(x >= _P, x - _P, x)
+        return mix(x + (b - a).astype(np.uint64))
 
 
 #: Which bytes belong to a word: everything but [\x20\x09-\x0D], or everything but [\x00-\x2F\x3A-\x60\x7B-\x7F].
@@ -96,7 +139,7 @@ class Words:
         self.data = data
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        return Sums(byte_values(which)[self.data], which).of(self.start, self.end)
+        return Sums(byte_values()[self.data], which).of(self.start, self.end)
 
     def windows(self, values: np.ndarray, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of all windows of k words within one text."""

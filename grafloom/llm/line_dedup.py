@@ -72,7 +72,7 @@ def line_keys(raw, start, end, least: int):
     keep = points[b] - points[a] >= least
     some, a, b = some[keep], a[keep], b[keep]
     low = LOWER[raw]
-    return some, Sums(byte_values(0)[low], 0).of(a, b), Sums(byte_values(1)[low], 1).of(a, b)
+    return some, Sums(byte_values()[low], 0).of(a, b), Sums(byte_values()[low], 1).of(a, b)
 
 
 def build(one, two):

@@ -108,8 +108,8 @@ def distinct_slices(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.n
     are told apart."""
     from grafloom.llm.hashing import Sums, byte_values
 
-    one = Sums(byte_values(0)[raw], 0).of(a, b)
-    two = Sums(byte_values(1)[raw], 1).of(a, b)
+    one = Sums(byte_values()[raw], 0).of(a, b)
+    two = Sums(byte_values()[raw], 1).of(a, b)
     first, codes = distinct(one)
     if not np.array_equal(two[first[codes]], two):
         first, codes = distinct(one ^ (two * np.uint64(0x9E3779B97F4A7C15)))

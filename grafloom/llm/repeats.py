@@ -9,7 +9,7 @@ Level lengths are ``window`` halved while it stays at ``SHORTEST`` words or more
 2. Anchors that are in one document alone drop out; the others are the candidates of the next level.
 3. At each further level the candidates are extended to twice the length and counted; those in one document alone drop
    out, and the levels end early when none survive.  At full length, a run whose whole extent (by anchor, place and
-   extent, 128 bits together) is that of other runs is extended as one: in all documents but the one with the least id
+   extent; two hashes of different bases) is that of other runs is extended as one: in all documents but the one with the least id
    its windows go.  Where an anchor has several different runs, their windows are extended one by one, hashed from the
    texts (128 bits), and each window's least document id decides.
 
@@ -79,7 +79,7 @@ def anchor_rows(docs: DataFrame, window: int, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        from grafloom.llm.hashing import Sums
+        from grafloom.llm.hashing import Sums, mix
 
         release_model()
         for part in steps(batches, "t"):
@@ -91,7 +91,7 @@ def anchor_rows(docs: DataFrame, window: int, length: int) -> DataFrame:
             last = np.append(first[1:], len(full)) - 1 if len(full) else first
             lo, hi, at, d = full[first], full[last], where[first], words.doc[full[first]]
             # Where the anchor lies in its run is part of what runs must share.
-            span = Sums(values).of(lo, hi + window) + ((at - lo) * 64 + (hi - lo)).astype(np.uint64)
+            span = mix(Sums(words.hashes(1), 1).of(lo, hi + window) + mix(((at - lo) * 64 + (hi - lo)).astype(np.uint64)))
             base = words.first[d]
             yield pa.RecordBatch.from_arrays([pa.array(least[first].view(np.int64)), pa.array(span.view(np.int64)), pa.array(ints(part.column("i"))[d]), pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32))], names=["h", "s", "doc", "lo", "hi"])
 

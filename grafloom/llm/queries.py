@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grafloom.llm import byte_bpe, decontaminate, jaccard, language, line_dedup, packing, repeats, sharding, token_counts, topk
+from grafloom.llm import byte_bpe, decontaminate, fill_in_middle, jaccard, language, lexical_search, line_dedup, packing, repeats, sharding, token_counts, topk
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -66,8 +66,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")).drop("output")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_counts, op2_line_dedup, op3_jaccard_join, op4_language, op5_repeats, op6_packing, op7_sharding, op8_byte_bpe, op9_topk, op10_decontaminate)
+    own = (op1_token_counts, op2_line_dedup, op3_jaccard_join, op4_language, op5_repeats, op6_packing, op7_sharding, op8_byte_bpe, op9_topk, op10_decontaminate, op11_lexical_search, op13_fill_in_middle)
     return {f.__name__: f for f in own}
 
 
@@ -152,5 +160,30 @@ FROM d JOIN class ON class.id = d.doc_id LEFT JOIN rep ON rep.t = array_to_strin
 """
 
 
+RANKED_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, {ITEM_WORDS.format('text')} AS w FROM documents WHERE doc_id IS NOT NULL),
+p AS (SELECT rn, doc_id, n, t, count(*) AS tf FROM (SELECT rn, doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY ALL),
+c AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+f AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS weight FROM (SELECT t, count(*) AS df FROM p GROUP BY t), c),
+i AS (SELECT q, item_id, unnest(list_distinct(w)) AS t FROM (SELECT row_number() OVER () AS q, item_id, {ITEM_WORDS.format('text')} AS w FROM benchmark WHERE item_id IS NOT NULL)),
+s AS (SELECT q, item_id, rn, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score FROM i JOIN f USING (t) JOIN p USING (t), c GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+MARKED = "(t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100)"
+
+MIDDLE_SQL = f"""
+WITH x AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2, CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM x),
+k AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b FROM u),
+f AS (SELECT *, CASE WHEN {MARKED} THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+        array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:n], '') AS suf FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINES_SQL, "op3_jaccard_join": JACCARD_SQL, "op5_repeats": REPEATS_SQL, "op9_topk": TOPK_SQL, "op10_decontaminate": LEAKS_SQL}
+    return {"op2_line_dedup": LINES_SQL, "op3_jaccard_join": JACCARD_SQL, "op5_repeats": REPEATS_SQL, "op9_topk": TOPK_SQL, "op10_decontaminate": LEAKS_SQL, "op11_lexical_search": RANKED_SQL, "op13_fill_in_middle": MIDDLE_SQL}

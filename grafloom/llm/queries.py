@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grafloom.llm import byte_bpe, decontaminate, fill_in_middle, jaccard, language, lexical_search, line_dedup, packing, repeats, sharding, token_counts, topk
+from grafloom.llm import byte_bpe, decontaminate, fill_in_middle, jaccard, language, lexical_search, line_dedup, main_text, packing, repeats, sharding, token_counts, topk
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -70,12 +70,16 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")).drop("output")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_counts, op2_line_dedup, op3_jaccard_join, op4_language, op5_repeats, op6_packing, op7_sharding, op8_byte_bpe, op9_topk, op10_decontaminate, op11_lexical_search, op13_fill_in_middle)
+    own = (op1_token_counts, op2_line_dedup, op3_jaccard_join, op4_language, op5_repeats, op6_packing, op7_sharding, op8_byte_bpe, op9_topk, op10_decontaminate, op11_lexical_search, op12_main_text, op13_fill_in_middle)
     return {f.__name__: f for f in own}
 
 

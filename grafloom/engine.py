@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grafloom.functions.text import lexical_terms, strip_accents
-from grafloom.functions.vectors import hash_embedding
 from grafloom.operators import chunking, dense, expand, fusion, lexical, local, rules, structure
+from grafloom.operators.embedding import Embedder, hashed
+from grafloom.operators.term_index import TermIndex
 from grafloom.sources.shared import dealt, kept
 from grafloom.sources.sinks import read_index, write_index
 
@@ -42,9 +43,8 @@ class Index:
     nodes: DataFrame
     edges: DataFrame
     chunks: DataFrame
-    postings: DataFrame
-    lengths: DataFrame
-    dim: int
+    terms: TermIndex
+    embedder: Embedder
 
     def retrieve(self, queries: DataFrame, mode: str | None = None, top_k: int = 10) -> DataFrame:
         """(query_id, rank, chunk_id, score, reasons) for questions (query_id, text)."""
@@ -71,9 +71,10 @@ class Index:
         """Seeds and the chunks of what the graph reaches from their nodes, with reasons."""
         own = seeds.join(self.chunks.select("chunk_id", "node_id"), "chunk_id").groupBy("query_id", F.col("node_id").alias("node")).agg(F.max("score").alias("score"))
         own = kept(own)
-        reached = expand.expand(own, self._parents(), self._edges(), "query_id").join(self.chunks.select("chunk_id", "chunk_type", F.col("node_id").alias("node")), "node")
         new = own.select("query_id", "node", F.lit(True).alias("seed"))
-        reached = reached.join(new, ["query_id", "node"], "left").select("query_id", "chunk_id", (F.col("score") + F.when(F.col("chunk_type") == "article", 0.08).otherwise(F.lit(0.0))).alias("score"), F.lit(None).cast("array<string>").alias("reasons"), F.col("seed").isNull().alias("by_graph"))
+        nodes = expand.expand(own, self._parents(), self._edges(), "query_id").join(new, ["query_id", "node"], "left")
+        reached = expand.fetch(nodes, self.chunks, "query_id", "chunk_id", "seed")
+        reached = reached.select("query_id", "chunk_id", "score", F.lit(None).cast("array<string>").alias("reasons"), F.col("seed").isNull().alias("by_graph"))
         every = seeds.select("query_id", "chunk_id", "score", "reasons", F.lit(False).alias("by_graph")).unionByName(reached)
         best = every.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.max("reasons").alias("own"), F.bool_or("by_graph").alias("by_graph"))
         graph = F.array(F.lit(fusion.BY_GRAPH))
@@ -82,10 +83,10 @@ class Index:
 
     def _words(self, queries: DataFrame, many: int) -> DataFrame:
         terms = queries.select("query_id", F.explode(lexical_terms(F.col("text"))).alias("term"))
-        return lexical.top(lexical.bm25_of(self.postings, self.lengths, terms, "chunk_id", "query_id"), many, "query_id", "chunk_id")
+        return lexical.top(self.terms.bm25(terms, "query_id"), many, "query_id", "chunk_id")
 
     def _vectors(self, queries: DataFrame, many: int) -> DataFrame:
-        asked = queries.select("query_id", hash_embedding(F.col("text"), self.dim).alias("vector"))
+        asked = queries.select("query_id", self.embedder.column(F.col("text")).alias("vector"))
         return dense.similarities(self.chunks, asked, many, "chunk_id", "vector", "query_id")
 
     def _seeds(self, queries: DataFrame, mode: str, candidates: int) -> DataFrame:
@@ -111,13 +112,15 @@ class Index:
         count = lambda df, c, name: df.groupBy(c).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias(name), F.map_from_entries(F.collect_list(F.struct(c, "n"))).alias(f"{name}_by"))
         return count(self.nodes, "node_type", "nodes").join(count(self.edges, "relation", "edges")).join(count(self.chunks, "chunk_type", "chunks"))
 
-    def write(self, path: str) -> None:
-        write_index({"docs": self.docs, "nodes": self.nodes, "edges": self.edges, "chunks": self.chunks, "postings": self.postings, "lengths": self.lengths}, path, {"model": "hash", "dim": str(self.dim)})
+    def write(self, path: str) -> str:
+        """Publishes the index below ``path``; the name of its snapshot."""
+        tables = {"docs": self.docs, "nodes": self.nodes, "edges": self.edges, "chunks": self.chunks, "postings": self.terms.blocks, "corpus": self.terms.corpus}
+        return write_index(tables, path, self.embedder.meta())
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, dim: int = 384):
-        self.spark, self.dim = spark, dim
+    def __init__(self, spark: SparkSession, dim: int = 384, embedder: Embedder | None = None):
+        self.spark, self.embedder = spark, embedder or hashed(dim)
 
     def build(self, lines: DataFrame) -> Index:
         """An index of documents given as lines (doc_id, n, line, and filename if there is one): their descriptions,
@@ -136,11 +139,12 @@ class Engine:
         nodes = kept(structure.union(every))
         labels = expand.path_labels(nodes.select(F.col("node_id").alias("node"), F.col("parent_id").alias("parent"), "label", F.col("node_type").alias("kind")), skip=("CơQuanBanHành",))
         named = nodes.join(labels, nodes["node_id"] == labels["node"], "left").drop("node")
-        chunks = chunking.node_chunks(named).withColumn("vector", hash_embedding(chunking.embedding_text(F.col("title"), F.col("citation"), F.col("text")), self.dim))
+        chunks = chunking.node_chunks(named).withColumn("vector", self.embedder.column(chunking.embedding_text(F.col("title"), F.col("citation"), F.col("text"))))
         chunks = kept(chunks)
-        posts = kept(lexical.postings(chunks, "chunk_id", searched()))
-        return Index(structure.with_system(docs), kept(named), edges, chunks, posts, kept(lexical.lengths(chunks, "chunk_id", searched())), self.dim)
+        return Index(structure.with_system(docs), kept(named), edges, chunks, TermIndex.build(chunks, "chunk_id", searched()), self.embedder)
 
-    def open(self, path: str) -> Index:
-        tables = read_index(self.spark, path, {"model": "hash", "dim": str(self.dim)})
-        return Index(dim=self.dim, **tables)
+    def open(self, path: str, snapshot: str | None = None) -> Index:
+        """The index that was published last below ``path``, or a named snapshot; it stays this one while it is used."""
+        tables = read_index(self.spark, path, self.embedder.meta(), snapshot)
+        terms = TermIndex(tables.pop("postings"), tables.pop("corpus"), "chunk_id")
+        return Index(terms=terms, embedder=self.embedder, **tables)

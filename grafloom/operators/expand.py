@@ -71,6 +71,23 @@ def expand(seeds: DataFrame, parents: DataFrame, edges: DataFrame, query_col: st
     return seeds.select(query_col, "node", "score").unionByName(reached).groupBy(query_col, "node").agg(F.max("score").alias("score"))
 
 
+#: Chunks that the nodes of one question bring at most, and the kinds that come first.
+FETCHED = 250
+FIRST = ("article", "clause", "point", "sliding")
+
+
+def fetch(nodes: DataFrame, chunks: DataFrame, query_col: str, id_col: str, *more: str) -> DataFrame:
+    """(query, id, score, more columns of ``nodes``) of the chunks (id, node_id, chunk_type, ordinal) of scored nodes
+    (query, node, score): ``FETCHED`` of a question at most, by kind, ordinal and id; articles score a little more."""
+    from pyspark.sql import Window
+
+    kind = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in FIRST]), F.col("chunk_type")), F.lit(0))
+    joined = nodes.join(chunks.select(id_col, "node_id", "chunk_type", "ordinal"), F.col("node") == F.col("node_id"))
+    order = Window.partitionBy(query_col).orderBy(F.when(kind == 0, 9).otherwise(kind), "ordinal", id_col)
+    some = joined.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= FETCHED)
+    return some.select(query_col, id_col, (F.col("score") + F.when(F.col("chunk_type") == "article", 0.08).otherwise(F.lit(0.0))).alias("score"), *more)
+
+
 def best_chunk(chunks: DataFrame) -> DataFrame:
     """(node_id, chunk_id): of each node the chunk of the best kind, then the least ordinal, then id."""
     order = ("point", "clause", "article", "sliding", "document_intro", "structure", "semantic")

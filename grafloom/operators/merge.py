@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grafloom.operators.search import containing
+
 #: States of a law that count as in force, and those whose sources are not used.
 CURRENT = ("IN_FORCE", "PARTIALLY_IN_FORCE", "AMENDED")
 BLOCKED = ("EXPIRED", "REPLACED", "UNKNOWN")
-#: The form of a law's number in a label (upper case).
-CODE = r"[A-ZĐ0-9][A-ZĐ0-9/-]*"
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -60,11 +60,11 @@ def fresh(registry: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
 
 
 def without_blocked(sources: DataFrame, registry: DataFrame) -> DataFrame:
-    """Sources (citation, title) whose label names no law that is out of force.  Codes are cut from the labels by their
-    form, so this is an anti-join on keys."""
-    blocked = registry.filter(F.col("status").isin(*BLOCKED)).select(F.upper("code").alias("named")).distinct()
+    """Sources (citation, title) whose label holds no code of a law that is out of force, as a substring in any case.
+    Codes that are null or empty block nothing."""
+    blocked = registry.filter(F.col("status").isin(*BLOCKED)).select(F.upper("code").alias("code"))
     label = F.upper(F.concat_ws(" ", "citation", "title"))
-    bad = sources.select(label.alias("bad")).distinct().select("bad", F.explode(F.array_distinct(F.regexp_extract_all("bad", F.lit(CODE), F.lit(0)))).alias("named")).join(blocked, "named", "left_semi").select("bad").distinct()
+    bad = containing(sources.select(label.alias("bad")).distinct(), "bad", "bad", blocked, "code").select("bad").distinct()
     return sources.join(bad, label == F.col("bad"), "left_anti")
 
 

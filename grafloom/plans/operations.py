@@ -54,7 +54,7 @@ def registry_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return merge.apply_verdicts(registry(spark, d).withColumn("replaced_by", F.lit(None).cast("long")), verdicts)
 
 
-@BOOK.add(f"WITH {REG} SELECT doc_id, 'L' || (doc_id % 200) AS citation, source AS title FROM documents WHERE 'L' || (doc_id % 200) NOT IN (SELECT 'L' || code FROM reg WHERE status IN ('EXPIRED', 'REPLACED', 'UNKNOWN'))")
+@BOOK.add(f"WITH {REG} SELECT doc_id, 'L' || (doc_id % 200) AS citation, source AS title FROM documents WHERE NOT EXISTS (SELECT 1 FROM reg WHERE status IN ('EXPIRED', 'REPLACED', 'UNKNOWN') AND contains(upper('L' || (doc_id % 200) || ' ' || source), 'L' || code))")
 def blocked_sources_antijoin(spark: SparkSession, d: str) -> DataFrame:
     sources = table(spark, d, "documents").select("doc_id", F.concat(F.lit("L"), (F.col("doc_id") % 200).cast("string")).alias("citation"), F.col("source").alias("title"))
     return merge.without_blocked(sources, registry(spark, d).withColumn("code", F.concat(F.lit("L"), F.col("code").cast("string"))))

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grafloom.functions import text as X
-from grafloom.operators import dense, expand, fusion, lexical, local, records
+from grafloom.operators import ann, dense, expand, fusion, lexical, local, records
 from grafloom.operators.search import containing
+from grafloom.operators.term_index import TermIndex
 from grafloom.plans.book import Book, small, table
 from grafloom.sources.shared import dealt, kept
 from grafloom.plans.texts import KEY_TERMS, STRIP, TOK, UNIQUE, sql_list
@@ -90,6 +91,41 @@ def lexical_or_match(spark: SparkSession, d: str) -> DataFrame:
     return lexical_scores(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_matches"), F.min("doc_id").alias("first_doc"))
 
 
+def term_index(spark: SparkSession, d: str) -> TermIndex:
+    return TermIndex.build(table(spark, d, "documents"), "doc_id", F.col("text"))
+
+
+@BOOK.add(
+    f"""WITH {BM25},
+cd AS (SELECT item_id, doc_id, sum(tf) * 0.1::DOUBLE / (sum(tf) * 0.1::DOUBLE + 1) AS cd FROM tf JOIN q USING (term) GROUP BY ALL),
+pre AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(cd, 9) DESC, doc_id) AS r FROM cd)
+SELECT item_id, doc_id, round(cd, 6) AS rank_cd, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank
+FROM pre JOIN bm USING (item_id, doc_id) WHERE r <= 80"""
+)
+def bm25_preselected(spark: SparkSession, d: str) -> DataFrame:
+    """The 80 documents of each question of greatest cover density, in the order of BM25, from the positional index."""
+    found = term_index(spark, d).preselected(terms(spark, d), "item_id", 80)
+    return rounded(found, "rank_cd", "score").select("item_id", "doc_id", "rank_cd", "score", "rank")
+
+
+@BOOK.add(
+    f"""WITH {TERMS.replace('1, 18', '1, 3')},
+t AS (SELECT DISTINCT item_id, term FROM q),
+many AS (SELECT item_id, count(*) AS n FROM t GROUP BY item_id),
+place AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM (SELECT doc_id, regexp_extract_all(lower(text), '{TOK}') AS w FROM documents)),
+e AS (SELECT item_id, doc_id, term, p, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY p) AS k FROM place JOIN t USING (term)),
+l AS (SELECT e.item_id, e.doc_id, e.k, e.p, max(CASE WHEN e.term = t.term THEN e.k END) OVER (PARTITION BY e.item_id, e.doc_id, t.term ORDER BY e.k) AS last FROM e JOIN t USING (item_id)),
+b AS (SELECT item_id, doc_id, k, p, CASE WHEN count(last) = any_value(n) THEN min(last) END AS first FROM l JOIN many USING (item_id) GROUP BY ALL),
+c AS (SELECT item_id, doc_id, min(k) AS k, min(p) AS p, first FROM b WHERE first IS NOT NULL GROUP BY item_id, doc_id, first),
+w AS (SELECT c.item_id, c.doc_id, count(*) AS covers, sum(0.1::DOUBLE / (1 + (c.p - e.p) - (c.k - c.first))) AS w FROM c JOIN e ON e.item_id = c.item_id AND e.doc_id = c.doc_id AND e.k = c.first GROUP BY ALL)
+SELECT item_id, doc_id, covers, round(w / (w + 1), 6) AS rank_cd FROM w"""
+)
+def cover_density(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold the first three terms of a question, with their covers and cover density."""
+    asked = table(spark, d, "benchmark").select("item_id", F.explode(X.lexical_terms(F.col("text"), 3)).alias("term"))
+    return rounded(term_index(spark, d).every_cover(asked, "item_id"), "rank_cd")
+
+
 @BOOK.add("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, substring(b.text, 1, 80))")
 def like_fallback(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold the first 80 characters of a question as they are, all questions at once."""
@@ -116,6 +152,33 @@ def dense_topk_multi(spark: SparkSession, d: str) -> DataFrame:
     return rounded(dense_ranks(spark, d, 10), "score").select("item_id", "rank", "doc_id", "score")
 
 
+@BOOK.add()
+def ann_topk(spark: SparkSession, d: str) -> DataFrame:
+    """As ``dense_topk_multi``, by an inverted file with residual product codes; tests hold its recall against that."""
+    vectors = table(spark, d, "embeddings")
+    asked = table(spark, d, "benchmark").select("item_id").join(vectors.withColumnRenamed("vec_id", "item_id"), "item_id")
+    found = ann.VectorIndex.build(vectors).search(asked, 10)
+    return rounded(found, "score").select("item_id", "rank", F.col("vec_id").alias("doc_id"), "score")
+
+
+@BOOK.add(
+    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+c AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) AS k FROM v QUALIFY k <= 32),
+near AS (SELECT v.vec_id, v.e, c.k, row_number() OVER (PARTITION BY v.vec_id ORDER BY round(list_cosine_similarity(v.e, c.e), 12) DESC, c.k) AS place FROM v, c),
+asked AS (SELECT item_id, e, k FROM benchmark JOIN near ON vec_id = item_id WHERE place <= 4),
+s AS (SELECT item_id, near.vec_id AS doc_id, list_cosine_similarity(asked.e, near.e) AS score FROM asked JOIN near ON near.k = asked.k AND near.place = 1),
+r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
+SELECT item_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10"""
+)
+def ivf_probed(spark: SparkSession, d: str) -> DataFrame:
+    """The same lists with 32 vectors as centres that stay where they are, 4 probes, and exact scores of all that these
+    hold."""
+    vectors = table(spark, d, "embeddings")
+    asked = table(spark, d, "benchmark").select("item_id").join(vectors.withColumnRenamed("vec_id", "item_id"), "item_id")
+    found = ann.VectorIndex.build(vectors, lists=32, rounds=0, coded=False).search(asked, 10, probes=4)
+    return rounded(found, "score").select("item_id", "rank", F.col("vec_id").alias("doc_id"), "score")
+
+
 FUSED = f"""{BM25}, {DENSE},
 fu AS (SELECT item_id, doc_id, sum(s) AS score, string_agg(w, ',' ORDER BY w DESC) AS why FROM (SELECT item_id, doc_id, 0.55::DOUBLE * 61 / (60 + rank) AS s, 'postgres_vector_cosine' AS w FROM den WHERE rank <= {{c}} UNION ALL SELECT item_id, doc_id, 0.45::DOUBLE * 61 / (60 + rank), 'postgres_bm25' FROM lex WHERE rank <= {{c}}) GROUP BY ALL),
 fr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM fu)"""
@@ -205,14 +268,7 @@ def expand_sql(seeds: str) -> str:
 
 def fetch(spark: SparkSession, d: str, nodes: DataFrame) -> DataFrame:
     """(item_id, doc_id, score, chunk_type) of the chunks of scored nodes, at most 250 of a question, articles first."""
-    from pyspark.sql import Window
-
-    kind = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in KINDS[:4]]), F.col("chunk_type")), F.lit(0))
-    own = chunks(spark, d).select("doc_id", "node_id", "chunk_type", "ordinal")
-    joined = nodes.join(own, nodes["node"] == own["node_id"]).withColumn("kind", F.when(kind == 0, 9).otherwise(kind))
-    order = Window.partitionBy("item_id").orderBy("kind", "ordinal", "doc_id")
-    kept = joined.withColumn("n", F.row_number().over(order)).filter("n <= 250")
-    return kept.select("item_id", "doc_id", (F.col("score") + F.when(F.col("chunk_type") == "article", 0.08).otherwise(F.lit(0.0))).alias("score"))
+    return expand.fetch(nodes, chunks(spark, d), "item_id", "doc_id")
 
 
 FETCH = """fe AS (SELECT item_id, doc_id, score + CASE WHEN chunk_type = 'article' THEN 0.08::DOUBLE ELSE 0 END AS score FROM (

@@ -1,31 +1,60 @@
-"""Writers: an index as Parquet tables with its metadata, exports as JSON lines and CSV."""
+"""Writers: an index as published snapshots of Parquet tables with their metadata, exports as JSON lines and CSV."""
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grafloom.operators.merge import assert_compatible, upsert
 
-TABLES = ("docs", "nodes", "edges", "chunks", "postings", "lengths")
-
-
-def write_index(tables: dict[str, DataFrame], path: str, meta: dict[str, str]) -> None:
-    """Every table of an index below ``path``, replacing what was there; ``meta`` last, so that a broken write is not
-    taken for an index."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame(sorted(meta.items()), "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
-
-
-def read_index(spark: SparkSession, path: str, wanted: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """The tables of an index; one of another model, revision or dimension than ``wanted`` is an error."""
-    meta = {r.key: r.value for r in spark.read.parquet(f"{path}/meta").collect()}
-    assert_compatible(meta, wanted or {})
-    return {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
+TABLES = ("docs", "nodes", "edges", "chunks", "postings", "corpus")
+#: Tables that lie in folders by a column.
+FOLDERS = {"postings": "bucket"}
+
+
+def write_index(tables: dict[str, DataFrame], path: str, meta: dict[str, str]) -> str:
+    """Publishes an index below ``path`` and returns its snapshot's name.
+
+    All tables go to a new folder that nothing refers to; then one row is added to the manifest, by the commit of a single
+    file, and names it.  A write that breaks anywhere before leaves the index that was there as it was, and readers that
+    have opened it keep reading its folder.  Of two writers at once, both snapshots are whole and the later number holds.
+    """
+    spark, name = next(iter(tables.values())).sparkSession, uuid.uuid4().hex
+    for table, df in tables.items():
+        writer = df.write.partitionBy(FOLDERS[table]) if table in FOLDERS else df.write
+        writer.parquet(f"{path}/snapshots/{name}/{table}")
+    held = manifest(spark, path)
+    row = ((held[0][0] if held else 0) + 1, name, meta)
+    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return name
+
+
+MANIFEST = "number long, snapshot string, meta map<string,string>"
+
+
+def manifest(spark: SparkSession, path: str) -> list[tuple[int, str, dict[str, str]]]:
+    """(number, snapshot, meta) of all published snapshots, the one that holds first."""
+    try:
+        rows = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").collect()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return []
+    return sorted(((r.number, r.snapshot, r.meta) for r in rows), reverse=True, key=lambda r: r[:2])
+
+
+def read_index(spark: SparkSession, path: str, wanted: dict[str, str] | None = None, snapshot: str | None = None) -> dict[str, DataFrame]:
+    """The tables of the snapshot that holds, or of a named one; one of another model, revision or dimension than
+    ``wanted`` is an error."""
+    for _, name, meta in manifest(spark, path):
+        if snapshot in (None, name):
+            assert_compatible(meta, wanted or {})
+            return {table: spark.read.parquet(f"{path}/snapshots/{name}/{table}") for table in TABLES}
+    raise ValueError(f"no index at {path}" if snapshot is None else f"no snapshot {snapshot} at {path}")
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

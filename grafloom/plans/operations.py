@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from grafloom.functions.words import OFFICIAL
 from grafloom.operators import merge, records
 from grafloom.plans.book import Book, table
+from grafloom.sources.shared import shared_folder
+from grafloom.sources.sqlite import sqlite_table, write_sqlite
 
 BOOK = Book()
 NOW = "TIMESTAMP '2024-01-15 00:00:00'"
@@ -187,3 +189,12 @@ def verify_sources(spark: SparkSession, d: str) -> DataFrame:
 def recheck_counters(spark: SparkSession, d: str) -> DataFrame:
     late = F.col("verified_at") < F.lit("2024-01-29 00:00:00").cast("timestamp_ntz")
     return registry(spark, d).agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("status") == "REPLACED").alias("updated"), F.count_if(F.col("status") == "UNKNOWN").alias("failed"), F.count_if(late).alias("stale"))
+
+
+@BOOK.add("SELECT user_id, count(*) AS n, round(sum(value), 6) AS total, min(event_id) AS first FROM events WHERE event_type >= 'l' AND props IS NOT NULL GROUP BY user_id")
+def sqlite_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The events as database files, one a task, read again as one table with the predicates in the scan."""
+    folder = shared_folder(spark, "sqlite")
+    write_sqlite(table(spark, d, "events"), folder, "events")
+    held = sqlite_table(spark, f"{folder}/*.db", "events").filter("event_type >= 'l' and props is not null")
+    return held.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"), F.min("event_id").alias("first"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grafloom.functions.text import is_separator, normalize_space, slugify
+from grafloom.sources.sqlite import sqlite_table
 
 SKIPPED = ("script", "style", "nav", "footer", "form", "noscript")
 #: Elements that never have an end tag.
@@ -144,8 +145,16 @@ SAMPLE = T.StructType().add("id", "string").add("question", "string").add("refer
 
 
 def eval_samples(spark: SparkSession, path: str, offset: int = 0, limit: int | None = None) -> DataFrame:
-    """Labelled questions of a JSON list, ordered by id; a slice if asked for."""
-    rows = spark.read.schema(SAMPLE).json(path, multiLine=True).orderBy("id")
+    """Labelled questions, ordered by id; a slice if asked for.  The path's end tells what is read: JSON lines
+    (``.jsonl``), a table ``samples`` of a database (``.db``, ``.sqlite``), whose nested columns are JSON texts, else a JSON
+    list."""
+    if path.endswith((".db", ".sqlite")):
+        held = sqlite_table(spark, path, "samples")
+        nested = lambda f: not isinstance(f.dataType, T.StringType)
+        rows = held.select(*((F.from_json(f.name, f.dataType) if nested(f) else F.col(f.name)).alias(f.name) if f.name in held.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SAMPLE.fields))
+    else:
+        rows = spark.read.schema(SAMPLE).json(path, multiLine=not path.endswith(".jsonl"))
+    rows = rows.orderBy("id")
     rows = rows.offset(offset) if offset else rows
     return rows if limit is None else rows.limit(limit)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 #: Requests allowed to a guest.
 PER_MINUTE, PER_HOUR = 4, 30
@@ -26,3 +27,71 @@ def stream(events: DataFrame, unit: str = "1 hour", late: str = "1 hour", subjec
     timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     out = timed.groupBy(F.window(ts, unit), subject).agg(F.count(F.lit(1)).alias("n"))
     return out.select(subject, F.col("window.start").alias("window_start"), "n")
+
+
+#: Windows that are counted, in milliseconds, and their limits.
+WINDOWS = {"minute": (60_000, PER_MINUTE), "hour": (3_600_000, PER_HOUR)}
+#: The state store that keyed state with timers needs.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+class Limiter(StatefulProcessor):
+    """Of one subject: how many requests each window has had, and a timer for when no more can come."""
+
+    def __init__(self, subject: str, ts: str, id_: str):
+        self.subject, self.ts, self.id = subject, ts, id_
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getMapState("counts", "unit string, start long", "n long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        frame = pd.concat(list(rows)).sort_values([self.ts, self.id], kind="stable")
+        at = frame[self.ts].to_numpy("datetime64[ms]").astype("int64")
+        seen: dict[tuple[str, int], int] = {}
+        numbers: dict[str, list[int]] = {}
+        for unit, (size, _) in WINDOWS.items():
+            numbers[unit] = []
+            for start in (at // size * size).tolist():
+                if (unit, start) not in seen:
+                    held = self.counts.getValue((unit, start)) if self.counts.containsKey((unit, start)) else None
+                    seen[unit, start] = held[0] if held else 0
+                seen[unit, start] += 1
+                numbers[unit].append(seen[unit, start])
+        for (unit, start), n in seen.items():
+            self.counts.updateValue((unit, start), (n,))
+            if unit == "hour":  # the minutes of an hour go with it
+                self.handle.registerTimer(start + WINDOWS[unit][0])
+        out = frame[[self.id, self.subject, self.ts]].assign(in_minute=numbers["minute"], in_hour=numbers["hour"])
+        yield out.assign(allowed=(out.in_minute <= PER_MINUTE) & (out.in_hour <= PER_HOUR))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        for unit, start in [k for k in self.counts.keys() if k[1] < end]:
+            self.counts.removeKey((unit, start))
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def verdict_stream(events: DataFrame, late: str = "1 hour", subject: str = "user_id", ts: str = "ts", id_: str = "event_id") -> DataFrame:
+    """As ``verdicts``, for a stream: every request with its numbers and whether it is allowed, once, as it comes.
+
+    Requests that come together are numbered by time and id, later ones after those that came before; where requests come
+    in the order of time this equals the batch form.  A window's counters leave the state when the watermark has passed
+    its hour; requests later than ``late`` get no verdict.  The session needs the settings ``STORE``.  Rows without a
+    subject are of one subject; rows without a time are dropped.
+    """
+    spark = events.sparkSession
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    out = f"{id_} {kinds[id_]}, {subject} {kinds[subject]}, {ts} timestamp, in_minute long, in_hour long, allowed boolean"
+    timed = events.select(id_, subject, F.col(ts).cast("timestamp").alias(ts)).filter(F.col(ts).isNotNull()).withWatermark(ts, late)
+    for name, value in STORE.items():
+        if spark.conf.get(name, None) != value:
+            raise ValueError(f"{name} must be {value}")
+    return timed.groupBy(subject).transformWithStateInPandas(Limiter(subject, ts, id_), out, "append", "eventTime")

@@ -80,5 +80,5 @@ def test_pipeline_with_repeated_ids_and_no_benchmark(spark, tmp_path):
 
 
 def test_names():
-    assert [k.split("_")[0] for k in queries.queries()] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in queries.queries()] == [f"op{n}" for n in range(1, 14)]
     assert set(queries.oracle_sql()) <= set(queries.queries())

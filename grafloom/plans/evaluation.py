@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grafloom.operators.metrics import retrieval_metrics, summary
+from grafloom.operators.quantiles import quantiles
 from grafloom.plans.book import Book, table
 from grafloom.plans.retrieval import DENSE, dense_ranks
 
@@ -39,9 +40,8 @@ def ir_metrics_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @BOOK.add("SELECT event_type AS step, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, round(min(value), 6) AS least, round(max(value), 6) AS most FROM events GROUP BY event_type")
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95)))
-    out = table(spark, d, "events").groupBy(F.col("event_type").alias("step")).agg(F.count("value").alias("n"), p.alias("p"), F.min("value").alias("a"), F.max("value").alias("b"))
-    return out.select("step", "n", F.round(F.col("p")[0], 6).alias("median"), F.round(F.col("p")[1], 6).alias("p95"), F.round("a", 6).alias("least"), F.round("b", 6).alias("most"))
+    out = quantiles(table(spark, d, "events"), "event_type", "value", [0.5, 0.95])
+    return out.select(F.col("event_type").alias("step"), "n", F.round(F.col("quantiles")[0], 6).alias("median"), F.round(F.col("quantiles")[1], 6).alias("p95"), F.round("least", 6).alias("least"), F.round("most", 6).alias("most"))
 
 
 @BOOK.add("SELECT event_type AS backend, round(avg(value) FILTER (WHERE NOT isnan(value)), 6) AS mean FROM events GROUP BY event_type")

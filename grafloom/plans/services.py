@@ -103,21 +103,21 @@ def version_chunks(spark: SparkSession, d: str) -> DataFrame:
     return indexing.index_candidates(old, held, new, fresh)[1]
 
 
-LAW_ROWS = "lw AS (SELECT doc_id AS code, 1 + doc_id % 2 AS version, CASE WHEN doc_id % 4 = 0 THEN doc_id + 1 END AS rep FROM documents WHERE doc_id % 2 = 0), ch AS (SELECT 'c' || code || ':' || k AS chunk_id, 'law:' || code || ':v' || version || ':section:' || k // 2 AS node_id, 'law:' || code || ':v' || version AS law FROM lw, (SELECT unnest([0, 1, 2]) AS k) k)"
+LAW_ROWS = "lw AS (SELECT doc_id AS code, 1 + doc_id % 2 AS version, CASE WHEN doc_id % 4 = 0 THEN doc_id + 1 END AS rep FROM documents), ch AS (SELECT 'c' || code || ':' || k AS chunk_id, 'law:' || code || ':v' || version || ':section:' || k // 2 AS node_id, 'law:' || code || ':v' || version AS law FROM lw, (SELECT unnest([0, 1, 2]) AS k) k)"
 
 
 def laws(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = table(spark, d, "documents")
     i = F.col("doc_id")
     text = lambda c: c.cast("string")
-    own = docs.filter(i % 2 == 0).select(text(i).alias("code"), (i % 2 + 1).alias("version"), text(i).alias("doc_id"), F.col("source").alias("title"), F.lit("IN_FORCE").alias("status"), F.when(i % 4 == 0, text(i + 1)).alias("replaces"))
-    parts = own.select("code", "version", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
-    parts = parts.select(F.concat(F.lit("c"), "code", F.lit(":"), "k").alias("chunk_id"), "code", "version", F.concat(F.lit("law:"), "code", F.lit(":v"), "version", F.lit(":section:"), F.floor(F.col("k") / 2)).alias("node_id"), F.lit("section").alias("chunk_type"), F.concat(F.lit("§"), F.floor(F.col("k") / 2)).alias("citation"), F.concat(F.lit("text "), "code").alias("text"), F.col("k").alias("ordinal"))
-    old = docs.filter(i % 2 == 1).select(F.concat(F.lit("law:"), i, F.lit(":v1")).alias("node_id"), text(i).alias("code"))
-    return own, parts, old
+    own = docs.select(text(i).alias("code"), (i % 2 + 1).alias("version"), text(i).alias("doc_id"), F.col("source").alias("title"), F.lit("IN_FORCE").alias("status"), F.when(i % 4 == 0, text(i + 1)).alias("replaces"), "text")
+    parts = own.select("code", "version", "text", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    parts = parts.select(F.concat(F.lit("c"), "code", F.lit(":"), "k").alias("chunk_id"), "code", "version", F.concat(F.lit("law:"), "code", F.lit(":v"), "version", F.lit(":section:"), F.floor(F.col("k") / 2)).alias("node_id"), F.lit("section").alias("chunk_type"), F.concat(F.lit("§"), F.floor(F.col("k") / 2)).alias("citation"), "text", F.col("k").alias("ordinal"))
+    old = docs.select(F.concat(F.lit("law:"), i, F.lit(":v0")).alias("node_id"), text(i).alias("code"))
+    return own.drop("text"), parts, old
 
 
-@BOOK.add(f"WITH {LAW_ROWS} SELECT chunk_id AS source_id, 'CHUNK_OF' AS relation, node_id AS target_id FROM ch UNION SELECT node_id, 'BELONGS_TO', law FROM ch UNION SELECT 'law:' || lw.code || ':v' || lw.version, 'REPLACES', 'law:' || d.doc_id || ':v1' FROM lw JOIN documents d ON d.doc_id = lw.rep AND d.doc_id % 2 = 1")
+@BOOK.add(f"WITH {LAW_ROWS} SELECT chunk_id AS source_id, 'CHUNK_OF' AS relation, node_id AS target_id FROM ch UNION SELECT node_id, 'BELONGS_TO', law FROM ch UNION SELECT 'law:' || lw.code || ':v' || lw.version, 'REPLACES', 'law:' || d.doc_id || ':v' || v FROM lw JOIN (SELECT doc_id, 0 AS v FROM documents UNION ALL SELECT doc_id, 1 + doc_id % 2 FROM documents) d ON d.doc_id = lw.rep")
 def law_graph_edges(spark: SparkSession, d: str) -> DataFrame:
     own, parts, old = laws(spark, d)
     return indexing.graph_of(own, parts, old)[1]

@@ -2,7 +2,8 @@
 
 While the questions are few (counted), they are sent to the vectors, which stay where they are and are scanned once.
 More questions than that meet the vectors in cells: runs of vectors and blocks of questions of one length are rows, every
-block is copied to every run, and a cell's tasks keep the k best of each question.  Either way the results, k a question
+block is copied to every run, and a cell keeps the k best of each question; few runs are copied, so that all tasks have
+work.  Either way the results, k a question
 and run, meet in one window per question.
 """
 
@@ -101,10 +102,16 @@ def similarities(vectors: DataFrame, asked: DataFrame, k: int, id_col: str = "ve
 
     parts = max(1, -(-v.count() // RUN))
     shelves = kept(runs(v.repartition(parts), id_col, RUN)).withColumn("ask", F.lit(False))
-    blocks = kept(runs(q, query_col, BLOCK)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("ask", F.lit(True))
+    asks = kept(runs(q, query_col, BLOCK))
+    # Where runs are fewer than tasks, a run's blocks are dealt to several, each of which has the run.
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(1, min(asks.count(), -(-tasks // parts)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    shelves = shelves.withColumn("salt", every(salts))
+    blocks = asks.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).withColumn("part", every(parts)).withColumn("ask", F.lit(True))
     blocks = blocks.withColumnRenamed("names", "asked").withColumn("names", F.lit(None).cast(shelves.schema["names"].dataType))
     shelves = shelves.withColumn("asked", F.lit(None).cast(blocks.schema["asked"].dataType))
-    cells = shelves.unionByName(blocks).repartition("part").sortWithinPartitions("part", "ask")
+    cells = shelves.unionByName(blocks).repartition(max(tasks, min(parts * salts, 8 * tasks)), "part", "salt").sortWithinPartitions("part", "salt", "ask")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -112,7 +119,7 @@ def similarities(vectors: DataFrame, asked: DataFrame, k: int, id_col: str = "ve
         part, held = None, []
         for batch in batches:
             for r in range(batch.num_rows):
-                at, dim, ask = (batch.column(c)[r].as_py() for c in ("part", "dim", "ask"))
+                at, dim, ask = (batch.column("part")[r].as_py(), batch.column("salt")[r].as_py()), *(batch.column(c)[r].as_py() for c in ("dim", "ask"))
                 names = np.array(batch.column("asked" if ask else "names")[r].as_py())
                 own = np.frombuffer(batch.column("v")[r].as_py()).reshape(len(names), dim)
                 if at != part:

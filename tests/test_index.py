@@ -265,7 +265,15 @@ def test_texts_that_a_model_cannot_take(spark):
     assert got == [[1.0, 3.0], None, None, None, None, [1.0, 5.0], None, [1.0, 1.0]]
 
 
-def test_dense_search_agrees(spark):
+def test_dense_search_agrees(spark, monkeypatch):
     rows = clouds(150, seed=8)
-    got = answers(dense.similarities(spark.createDataFrame(rows, SHAPE), spark.createDataFrame(rows[:5], "item_id long, embedding array<double>"), 5))
-    assert got == exact(rows, rows[:5], 5)
+    vectors, asked = spark.createDataFrame(rows, SHAPE), spark.createDataFrame(rows[:60], "item_id long, embedding array<double>")
+    assert answers(dense.similarities(vectors, asked, 5)) == exact(rows, rows[:60], 5)
+    # Many questions and one run of vectors: the blocks of questions are dealt to several tasks.
+    for name, value in (("SENT", 3), ("BLOCK", 4)):
+        monkeypatch.setattr(dense, name, value)
+    found = dense.similarities(vectors, asked, 5)
+    assert answers(found) == exact(rows, rows[:60], 5)
+    assert "hashpartitioning(part" in found._jdf.queryExecution().toString() and "salt" in found._jdf.queryExecution().toString()
+    monkeypatch.setattr(dense, "RUN", 40)
+    assert answers(dense.similarities(vectors, asked, 5)) == exact(rows, rows[:60], 5)

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grafloom.functions.words import OFFICIAL
-from grafloom.operators import merge, records
+from grafloom.operators import merge, records, sketches
 from grafloom.plans.book import Book, table
-from grafloom.sources.shared import shared_folder
+from grafloom.sources.shared import kept, shared_folder
 from grafloom.sources.sqlite import sqlite_table, write_sqlite
+from grafloom.sources.store import Store, Table, hashed
+from grafloom.streaming.reverify import registry_store, reverify
 
 BOOK = Book()
 NOW = "TIMESTAMP '2024-01-15 00:00:00'"
@@ -198,3 +200,57 @@ def sqlite_scan(spark: SparkSession, d: str) -> DataFrame:
     write_sqlite(table(spark, d, "events"), folder, "events")
     held = sqlite_table(spark, f"{folder}/*.db", "events").filter("event_type >= 'l' and props is not null")
     return held.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"), F.min("event_id").alias("first"))
+
+
+@BOOK.add(BOOK.sql["chunk_upsert"])
+def scoped_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The merge of ``chunk_upsert`` into a table in buckets, of which only the touched ones are written again."""
+    docs = table(spark, d, "documents")
+    store = Store(spark, shared_folder(spark, "store"), {"chunks": Table("chunk_id long, body string, origin string", hashed("chunk_id", 32))})
+    for number, (body, origin) in enumerate(((F.sha2("text", 256), "old"), (F.sha2(F.upper("lang"), 256), "new"))):
+        rows = docs.filter(F.col("doc_id") % 3 != number).select(F.col("doc_id").alias("chunk_id"), body.alias("body"), F.lit(origin).alias("origin"))
+        store.upsert("chunks", rows, "chunk_id", ("chunks", number))
+    return store.read("chunks")
+
+
+@BOOK.add("SELECT event_id, user_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-15 09:00:00'")
+def day_retention(spark: SparkSession, d: str) -> DataFrame:
+    """Events in parts by day: older days are dropped unread, the day of the bound is cut."""
+    rows = table(spark, d, "events").select("event_id", "user_id", "ts")
+    store = Store(spark, shared_folder(spark, "store"), {"events": Table("event_id long, user_id long, ts timestamp_ntz", "date_format(ts, 'yyyy-MM-dd')")})
+    change = store.change()
+    change.append("events", rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+    change.commit()
+    store.retain("events", "2024-01-15", F.col("ts") >= F.lit("2024-01-15 09:00:00").cast("timestamp_ntz"))
+    return store.read("events")
+
+
+@BOOK.add("SELECT event_type, count(*) AS n, true AS keys_near, true AS median_near FROM events GROUP BY event_type")
+def daily_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches stored by day and merged: rows, and whether the estimates of users (to 5 %) and of the median (to 2.5 % of
+    ranks) hold against all rows."""
+    events = table(spark, d, "events")
+    found = sketches.merged(kept(sketches.by_day(events, "ts", "event_type", "user_id", "value")), "event_type", [0.5])
+    both = events.join(F.broadcast(found), "event_type")  # one row an event type
+    counted = both.groupBy("event_type").agg(F.max("n").alias("n"), F.max("keys").alias("keys"), F.countDistinct("user_id").alias("users"), F.avg((F.col("value") < F.col("quantiles")[0]).cast("int")).alias("below"), F.avg((F.col("value") <= F.col("quantiles")[0]).cast("int")).alias("upto"))
+    near = (F.col("below") <= 0.525) & (F.col("upto") >= 0.475)
+    return counted.select("event_type", "n", (F.abs(F.col("keys") - F.col("users")) <= 0.05 * F.col("users")).alias("keys_near"), near.alias("median_near"))
+
+
+@BOOK.add(
+    """WITH o AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01 00:00:00' + page_id * INTERVAL 1 HOUR END AS seen, 'IN_FORCE' AS status, CASE WHEN length(html) % 5 = 0 THEN NULL WHEN length(html) % 3 = 0 THEN 'EXPIRED' ELSE 'IN_FORCE' END AS verdict FROM pages)
+SELECT url AS code, CASE WHEN (seen IS NULL OR seen < TIMESTAMP '2024-01-15 00:00:00') AND verdict IS NOT NULL THEN verdict ELSE status END AS status, CASE WHEN (seen IS NULL OR seen < TIMESTAMP '2024-01-15 00:00:00') AND verdict IS NOT NULL THEN TIMESTAMP '2024-01-15 00:00:00' ELSE seen END AS verified_at FROM o JOIN pages USING (page_id)"""
+)
+def reverify_oldest(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as laws that are verified in waves, oldest first; the length of a page decides its verdict."""
+    pages = table(spark, d, "pages").select(F.col("url").alias("code"), "page_id", F.length("html").alias("size"))
+    seen = F.when(F.col("page_id") % 7 != 0, F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=F.col("page_id").cast("int")))
+    store = registry_store(spark, shared_folder(spark, "laws"), 16)
+    store.upsert("laws", pages.select("code", F.lit("IN_FORCE").alias("status"), F.lit(None).cast("string").alias("replaced_by"), seen.alias("verified_at")), "code")
+
+    def verify(laws: DataFrame) -> DataFrame:
+        verdict = F.when(F.col("size") % 5 == 0, F.lit(None).cast("string")).when(F.col("size") % 3 == 0, "EXPIRED").otherwise("IN_FORCE")
+        return laws.select("code").join(pages, "code").select("code", verdict.alias("status"), F.lit(None).cast("string").alias("replacement_code"), F.lit("2024-01-15").cast("timestamp").alias("checked_at"))
+
+    reverify(store, verify, F.lit("2024-01-15").cast("timestamp"))
+    return store.read("laws").select("code", "status", F.col("verified_at").cast("timestamp_ntz").alias("verified_at"))

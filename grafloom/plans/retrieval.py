@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from grafloom.functions import text as X
 from grafloom.operators import ann, dense, expand, fusion, lexical, local, records
+from grafloom.operators.live_index import LiveIndex
 from grafloom.operators.search import containing
 from grafloom.operators.term_index import TermIndex
 from grafloom.plans.book import Book, small, table
-from grafloom.sources.shared import dealt, kept
+from grafloom.sources.shared import dealt, kept, shared_folder
 from grafloom.plans.texts import KEY_TERMS, STRIP, TOK, UNIQUE, sql_list
 from grafloom.functions.words import LEXICAL_STOP
 
@@ -402,3 +403,27 @@ def serialize_sources(spark: SparkSession, d: str) -> DataFrame:
 @BOOK.add(f"WITH {CHUNKS} SELECT title AS node_id, arg_min(chunk_id, [CASE chunk_type WHEN 'point' THEN 1 WHEN 'clause' THEN 2 WHEN 'article' THEN 3 WHEN 'sliding' THEN 4 ELSE 7 END, ordinal, chunk_id]) AS chunk_id FROM chunks GROUP BY title")
 def best_chunk_per_node(spark: SparkSession, d: str) -> DataFrame:
     return expand.best_chunk(chunks(spark, d).withColumn("node_id", F.col("title")))
+
+
+def live_index(spark: SparkSession, d: str) -> LiveIndex:
+    """The documents taken in by batches: short first versions of all, their whole texts, and older versions that come
+    late and change nothing."""
+    docs = table(spark, d, "documents")
+    index = LiveIndex(spark, shared_folder(spark, "live"), 16)
+    stages = ((1, F.concat_ws(" ", "lang", "source", "doc_id")), (2, F.col("text")), (0, F.upper("source")))
+    for number, (seq, text) in enumerate(stages):
+        rows = docs.select("doc_id", F.lit(seq).cast("long").alias("seq"), text.alias("text"), F.lit(False).alias("removed"))
+        index.apply(rows, ("documents", number))
+    return index
+
+
+@BOOK.add(BOOK.sql["bm25_topk"])
+def live_bm25(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 from an index that batches of versions have kept up."""
+    found = lexical.top(live_index(spark, d).terms().bm25(terms(spark, d), "item_id"), 10, "item_id", "doc_id")
+    return rounded(found, "score").select("item_id", "rank", "doc_id", "score")
+
+
+@BOOK.add(BOOK.sql["doc_frequency"])
+def live_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    return live_index(spark, d).frequencies()

@@ -1,4 +1,5 @@
-"""Change-driven indexing: candidates come as a stream, each batch adds what it changes to a log of the registry."""
+"""Change-driven indexing: candidates come as a stream, each batch adds what it changes to a log of the registry or to an
+index that follows its documents."""
 
 from __future__ import annotations
 
@@ -7,6 +8,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grafloom.operators.live_index import PARTS, LiveIndex
 from grafloom.operators.merge import versions
 
 SCHEMA = "code string, checksum string, version int, status string, seq long, changed boolean"
@@ -40,3 +42,15 @@ def registry_writer(spark: SparkSession, path: str, checkpoint: str):
         rows.write.mode("overwrite").parquet(f"{path}/run={run}/batch={number}")
 
     return write
+
+
+def index_writer(spark: SparkSession, path: str, checkpoint: str, parts: int = PARTS):
+    """A ``foreachBatch`` function that takes a stream of versions (doc_id, seq, text, removed) into the live index in
+    ``path``.  A batch that runs again after a crash has either been published whole, and is then passed over, or not at
+    all."""
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def write(batch: DataFrame, number: int) -> None:
+        LiveIndex(spark, path, parts).apply(batch, (run, number))
+
+    return write

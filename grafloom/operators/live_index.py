@@ -3,9 +3,12 @@
 A batch has new versions of documents.  Of each document the version of the largest number holds, whatever the order in
 which batches bring them, so any split of the versions into batches gives the same index.  A changed document adds the
 postings of its new text with sign +1 and those of the text before with sign -1; what a term's, a document's and the
-corpus's figures are is the sum of the signs.  A version's postings carry its number, so a pair cancels.  Batches read
-the buckets of their own documents and write postings beside the others: their cost follows the batch, not the index.
-``compact`` nets the buckets that very many batches have written to.
+corpus's figures are is the sum of the signs.  A version's postings carry its number, so a pair cancels; chunks carry it
+too and hold while their version does.
+
+Batches only add: a batch looks up its own documents' versions, for which it reads the ids of the others in their buckets,
+and writes its rows beside what is there, so what it shuffles and writes follows the batch, not the index.  ``compact``
+puts the buckets that many batches have written to into one run each.
 
 Cases: a null or empty text counts as a document of length 1 without postings; ``removed`` takes a document out, and a
 version below its number does not bring it back; of several rows with one number the one not removed with the largest
@@ -17,7 +20,7 @@ from __future__ import annotations
 
 from copy import copy
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grafloom.functions.text import token_count
@@ -35,7 +38,7 @@ def tables(parts: int) -> dict[str, Table]:
     by_doc, by_term = hashed("doc_id", parts), hashed("term", parts)
     return {
         "docs": Table("doc_id long, seq long, since long, removed boolean, checksum string, dl long, text string", by_doc),
-        "chunks": Table("doc_id long, ordinal long, words array<string>", by_doc),
+        "chunks": Table("doc_id long, since long, checksum string, ordinal long, words array<string>", by_doc),
         "postings": Table("term string, i long, since long, sign int, tf int, dl int, gaps array<int>", by_term),
         "frequencies": Table("term string, df long", by_term),
         "corpus": Table("n long, length long", "0"),
@@ -62,50 +65,39 @@ class LiveIndex:
         checksum = F.coalesce(F.sha2("text", 256), F.lit(""))
         live = F.when(~F.col("removed"), F.col("text"))
         whole = versions.select("doc_id", "seq", F.coalesce("removed", F.lit(False)).alias("removed"), "text").filter("doc_id is not null")
-        order = F.struct("seq", ~F.col("removed"), checksum)
-        new = whole.groupBy("doc_id").agg(F.max_by(F.struct("seq", "removed", checksum.alias("checksum"), live.alias("text")), order).alias("x")).select("doc_id", "x.*")
-        new = kept(new)
-        parts = store.touched("docs", new)
-        if not parts:
-            if batch is not None:
-                store.change().commit(batch)
-            return
-        held = store.read("docs", parts)
-        before = held.select("doc_id", *(F.col(c).alias(f"old_{c}") for c in ("seq", "since", "removed", "checksum", "dl", "text")))
+        ids = whole.select("doc_id").distinct()
+        held = store.read("docs", store.touched("docs", ids)).join(F.broadcast(ids) if is_small(ids) else ids, "doc_id", "left_semi")
+        new = latest(whole.select("doc_id", "seq", "removed", checksum.alias("checksum"), live.alias("text")))
+        before = latest(held).select("doc_id", *(F.col(c).alias(f"old_{c}") for c in ("seq", "since", "removed", "checksum", "dl", "text")))
         known = F.col("old_seq").isNotNull()
-        both = new.join(before, "doc_id", "left")
-        same = known & (F.col("removed") == F.col("old_removed")) & (F.col("checksum") == F.col("old_checksum"))
-        # Equal numbers are settled as within a batch, so that the split into batches plays no part.
-        place = lambda old: F.struct(F.col(f"{old}seq").alias("a"), (~F.col(f"{old}removed")).alias("b"), F.col(f"{old}checksum").alias("c"))
-        later = ~known | (place("") > place("old_"))
+        same = F.coalesce(known & (F.col("removed") == F.col("old_removed")) & (F.col("checksum") == F.col("old_checksum")), F.lit(False))
         dl = F.greatest(F.coalesce(token_count(F.col("text")), F.lit(0)), F.lit(1)).cast("long")
-        taken = both.filter(later).withColumn("since", F.when(same, F.col("old_since")).otherwise(F.col("seq"))).withColumn("dl", dl).withColumn("same", F.coalesce(same, F.lit(False)))
-        taken = kept(taken)
+        taken = new.join(before, "doc_id", "left").filter(~known | (place() > place("old_")))
+        taken = taken.withColumns({"since": F.when(same, F.col("old_since")).otherwise(F.col("seq")), "dl": dl, "same": same})
+        taken = kept(taken.withColumn("old_text", F.when(~F.col("same"), F.col("old_text"))))
         changed = taken.filter("not same")
 
         change = store.change()
-        rest = held.join(taken.select("doc_id"), "doc_id", "left_anti")
-        columns = ("doc_id", "seq", "since", "removed", "checksum", "dl", "text")
-        change.replace("docs", rest.select(*columns).unionByName(taken.select(*columns)), parts)
-        stale = store.read("chunks", parts).join(changed.select("doc_id"), "doc_id", "left_anti")
-        cut = sliding(changed.filter("text is not null").select("doc_id", "text"))
-        change.replace("chunks", stale.unionByName(cut.select(*stale.columns)), parts)
-        # The version before is named by its own number; rows of a number that comes again cancel by their sums.
-        rows = kept(signed(changed, "text", "since", 1).unionByName(signed(changed, "old_text", "old_since", -1)))
-        change.append("postings", rows)
+        change.append("docs", taken.select("doc_id", "seq", "since", "removed", "checksum", "dl", "text"))
+        here = changed.filter("text is not null")
+        change.append("chunks", sliding(here.select(F.struct("doc_id", "since", "checksum").alias("doc_id"), "text")).select("doc_id.*", "ordinal", "words"))
+        rows = change.append("postings", signed(changed, "text", "since", 1).unionByName(signed(changed, "old_text", "old_since", -1)))
         change.append("frequencies", rows.groupBy("term").agg(F.sum("sign").cast("long").alias("df")).filter("df <> 0"))
         plus = F.when(~F.col("removed"), F.lit(1)).otherwise(0)
         minus = F.when(known & ~F.col("old_removed"), F.lit(1)).otherwise(0)
-        sums = changed.agg(F.coalesce(F.sum(plus - minus), F.lit(0)).cast("long").alias("n"), F.coalesce(F.sum(plus * F.col("dl") - minus * F.coalesce("old_dl", F.lit(0))), F.lit(0)).cast("long").alias("length"))
-        change.append("corpus", sums)
+        sums = changed.agg(F.sum(plus - minus).cast("long").alias("n"), F.sum(plus * F.col("dl") - minus * F.coalesce("old_dl", F.lit(0))).cast("long").alias("length"))
+        change.append("corpus", sums.filter("n is not null"))
         change.commit(batch)
 
-    def chunks(self) -> DataFrame:
-        return self.store.read("chunks")
-
     def documents(self) -> DataFrame:
-        """(doc_id, seq, checksum, dl) of the documents that are there."""
-        return self.store.read("docs").filter(~F.col("removed")).select("doc_id", "seq", "checksum", "dl")
+        """(doc_id, seq, since, checksum, dl) of the documents that are there."""
+        rows = self.store.read("docs").select("doc_id", "seq", "since", "removed", "checksum", "dl")
+        return latest(rows).filter(~F.col("removed")).drop("removed")
+
+    def chunks(self) -> DataFrame:
+        """(doc_id, ordinal, words) of the texts that hold."""
+        held = self.store.read("chunks").join(self.documents(), ["doc_id", "since", "checksum"], "left_semi")
+        return held.select("doc_id", "ordinal", "words")
 
     def frequencies(self) -> DataFrame:
         """(term, df) of all terms."""
@@ -120,22 +112,36 @@ class LiveIndex:
         """The rankings of a term index over the state that is open now."""
         return LiveTerms(copy(self.store), self.corpus())
 
-    def compact(self, most: int = 16) -> list[str]:
-        """Nets the buckets of postings that lie in more than ``most`` runs, and the counts beside them."""
+    def compact(self, most: int = 16) -> dict[str, list[str]]:
+        """Puts the buckets that lie in more than ``most`` runs into one, without what has gone; returns them by table."""
         store, change = self.store, self.store.change()
-        parts = [p for p in store.parts("postings") if len(store.runs("postings", p)) > most]
-        counts = [p for p in store.parts("frequencies") if len(store.runs("frequencies", p)) > most]
-        totals = [p for p in store.parts("corpus") if len(store.runs("corpus", p)) > most]
-        if not (parts or counts or totals):
-            return []
-        if parts:
-            change.replace("postings", netted(store.read("postings", parts)), parts)
-        if counts:
-            change.replace("frequencies", netted_frequencies(store.read("frequencies", counts)), counts)
-        if totals:
-            change.replace("corpus", store.read("corpus").agg(F.sum("n").alias("n"), F.sum("length").alias("length")), totals)
-        change.commit()
-        return parts
+        live = self.documents()
+        nets = {
+            "docs": latest,
+            "chunks": lambda rows: rows.join(live, ["doc_id", "since", "checksum"], "left_semi"),
+            "postings": netted,
+            "frequencies": netted_frequencies,
+            "corpus": lambda rows: rows.agg(F.sum("n").alias("n"), F.sum("length").alias("length")),
+        }
+        full = {t: [p for p in store.parts(t) if len(store.runs(t, p)) > most] for t in nets}
+        full = {t: parts for t, parts in full.items() if parts}
+        for t, parts in full.items():
+            change.replace(t, nets[t](store.read(t, parts)), parts)
+        if full:
+            change.commit()
+        return full
+
+
+def place(prefix: str = "") -> Column:
+    """What versions of a document are ordered by."""
+    seq, removed, checksum = (F.col(f"{prefix}{c}") for c in ("seq", "removed", "checksum"))
+    return F.struct(seq.alias("a"), (~removed).alias("b"), checksum.alias("c"))
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    """Of each document the version that holds."""
+    rest = [c for c in rows.columns if c != "doc_id"]
+    return rows.groupBy("doc_id").agg(F.max_by(F.struct(*rest), place()).alias("x")).select("doc_id", "x.*")
 
 
 def netted(rows: DataFrame) -> DataFrame:

@@ -140,10 +140,12 @@ class Change:
         held = self.store.spark.read.schema("part string").parquet(folder).distinct().collect()
         return run, [r.part for r in held]
 
-    def append(self, table: str, rows: DataFrame) -> None:
+    def append(self, table: str, rows: DataFrame) -> DataFrame:
+        """Puts rows beside those of their parts, and gives them as they are written."""
         run, parts = self._write(table, rows)
         for p in parts:
             self.now.setdefault(f"{table}/{p}", []).append(run)
+        return self.store.spark.read.schema(self.store.tables[table].schema).parquet(f"{self.store.path}/runs/{run}/{table}").drop("part")
 
     def replace(self, table: str, rows: DataFrame, parts: list[str]) -> None:
         """The given parts hold ``rows`` from now on; rows of other parts are an error."""

@@ -138,7 +138,7 @@ def test_any_split_gives_the_index_of_one_build(spark, tmp_path):
     every = [sorted(map(tuple, x.every_cover(terms, "item_id").collect())) for x in (index.terms(), whole)]
     assert every[0] == every[1] and every[0]
     pinned = index.terms()
-    assert index.compact(most=1) and index.compact(most=1) == []
+    assert index.compact(most=1) and index.compact(most=1) == {}
     assert state(LiveIndex(spark, str(tmp_path / "i2"), 4)) == want
     assert ranked(index.terms(), terms) == ranked(pinned, terms) == ranked(whole, terms)
 

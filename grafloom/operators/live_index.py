@@ -78,9 +78,11 @@ class LiveIndex:
         changed = taken.filter("not same")
 
         change = store.change()
-        change.append("docs", taken.select("doc_id", "seq", "since", "removed", "checksum", "dl", "text"))
-        here = changed.filter("text is not null")
-        change.append("chunks", sliding(here.select(F.struct("doc_id", "since", "checksum").alias("doc_id"), "text")).select("doc_id.*", "ordinal", "words"))
+        written = change.append("docs", taken.select("doc_id", "seq", "since", "removed", "checksum", "dl", "text"))
+        # A text that stays keeps the number it came with; documents lie in the parts of their chunks.
+        here = written.filter("since = seq AND text IS NOT NULL")
+        cut = sliding(here.select(F.struct("doc_id", "since", "checksum").alias("doc_id"), "text"))
+        change.append("chunks", cut.select("doc_id.*", "ordinal", "words"), deal=False)
         rows = change.append("postings", signed(changed, "text", "since", 1).unionByName(signed(changed, "old_text", "old_since", -1)))
         change.append("frequencies", rows.groupBy("term").agg(F.sum("sign").cast("long").alias("df")).filter("df <> 0"))
         plus = F.when(~F.col("removed"), F.lit(1)).otherwise(0)

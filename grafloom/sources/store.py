@@ -131,18 +131,20 @@ class Change:
         self.now = {p: list(runs) for p, runs in store.state.parts.items()}
         self.written = 0
 
-    def _write(self, table: str, rows: DataFrame) -> tuple[str, list[str]]:
+    def _write(self, table: str, rows: DataFrame, deal: bool = True) -> tuple[str, list[str]]:
         """The run's name and the parts that have rows in it.  Rows are dealt by part, large parts to several tasks."""
         self.written += 1
         run, kind = f"{self.run}-{self.written}", self.store.tables[table]
         folder = f"{self.store.path}/runs/{run}/{table}"
-        rows.withColumn("part", kind.part()).hint("rebalance", F.col("part")).write.partitionBy("part").parquet(folder)
+        placed = rows.withColumn("part", kind.part())
+        (placed.hint("rebalance", F.col("part")) if deal else placed).write.partitionBy("part").parquet(folder)
         held = self.store.spark.read.schema("part string").parquet(folder).distinct().collect()
         return run, [r.part for r in held]
 
-    def append(self, table: str, rows: DataFrame) -> DataFrame:
-        """Puts rows beside those of their parts, and gives them as they are written."""
-        run, parts = self._write(table, rows)
+    def append(self, table: str, rows: DataFrame, deal: bool = True) -> DataFrame:
+        """Puts rows beside those of their parts, and gives them as they are written.  ``deal`` is false for rows that come
+        from a table in the same parts, and so need no exchange."""
+        run, parts = self._write(table, rows, deal)
         for p in parts:
             self.now.setdefault(f"{table}/{p}", []).append(run)
         return self.store.spark.read.schema(self.store.tables[table].schema).parquet(f"{self.store.path}/runs/{run}/{table}").drop("part")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grafloom.functions.text import lexical_terms, strip_accents
+from grafloom.functions.text import fulltext_terms, graph_terms, lexical_terms, notebook_terms, strip_accents
 from grafloom.operators import chunking, dense, expand, fusion, lexical, local, rules, structure
 from grafloom.operators.embedding import Embedder, hashed
 from grafloom.operators.term_index import TermIndex
@@ -24,6 +24,10 @@ MODES = {
 }
 
 
+#: What questions ask the word lists of these retrievers for, and how those are weighed; others ask for ``lexical_terms``.
+ASKED = {"local": (fulltext_terms, lexical.FULLTEXT), "notebook": (notebook_terms, lexical.FULLTEXT), "graph": (graph_terms, lexical.GRAPH)}
+
+
 def mode_of(name: str | None) -> str:
     """The retriever that a setting names; none means the default one."""
     key = (name or "hybrid_rag").strip().lower().replace("-", "_")
@@ -52,7 +56,7 @@ class Index:
         if mode in ("local", "notebook"):
             variant = local.FULL if mode == "local" else local.NOTEBOOK
             many = max(24, 4 * top_k)
-            return local.retrieve(self._words(queries, many), self._vectors(queries, many), queries, self.chunks, self._parents(), self._edges(), "query_id", top_k, variant)
+            return local.retrieve(self._words(queries, many, mode), self._vectors(queries, many), queries, self.chunks, self._parents(), self._edges(), "query_id", top_k, variant)
         seeds = kept(self._seeds(queries, mode, max(32, 5 * top_k)))
         if mode in ("graph", "hybrid"):
             seeds = self._with_graph(seeds)
@@ -81,9 +85,10 @@ class Index:
         reasons = F.when(F.col("own").isNull(), graph).when(F.col("by_graph"), F.concat("own", graph)).otherwise(F.col("own"))
         return best.select("query_id", "chunk_id", "score", reasons.alias("reasons"))
 
-    def _words(self, queries: DataFrame, many: int) -> DataFrame:
-        terms = queries.select("query_id", F.explode(lexical_terms(F.col("text"))).alias("term"))
-        return lexical.top(self.terms.bm25(terms, "query_id"), many, "query_id", "chunk_id")
+    def _words(self, queries: DataFrame, many: int, mode: str) -> DataFrame:
+        words, form = ASKED.get(mode, (lexical_terms, lexical.PLAIN))
+        terms = lexical.asked(queries, "query_id", words(F.col("text")), form)
+        return lexical.top(self.terms.bm25(terms, "query_id", form), many, "query_id", "chunk_id")
 
     def _vectors(self, queries: DataFrame, many: int) -> DataFrame:
         asked = queries.select("query_id", self.embedder.column(F.col("text")).alias("vector"))
@@ -94,7 +99,7 @@ class Index:
         if mode in ("dense", "rag", "hybrid"):
             lists.append((self._vectors(queries, candidates), fusion.DENSE, fusion.BY_VECTOR))
         if mode != "dense":
-            lists.append((self._words(queries, candidates), fusion.LEXICAL, fusion.BY_SEED if mode == "graph" else fusion.BY_WORDS))
+            lists.append((self._words(queries, candidates, mode), fusion.LEXICAL, fusion.BY_SEED if mode == "graph" else fusion.BY_WORDS))
         if len(lists) == 1:
             ranked, _, reason = lists[0]
             ranked = ranked.withColumn("reasons", F.array(F.lit(reason)))

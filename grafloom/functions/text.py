@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from grafloom.functions.words import FULLTEXT_STOP, GRAPH_STOP, KEY_STOP, LEXICAL_STOP
+from grafloom.functions.words import FULLTEXT_STOP, GRAPH_STOP, KEY_STOP, LEXICAL_STOP, NOTEBOOK_STOP
 
 #: Code points of a token: digits, ASCII letters, and the range from U+00C0 to U+1EF9.
 TOKEN = "[0-9A-Za-zÀ-ỹĐđ]+"
@@ -104,6 +104,18 @@ def fulltext_terms(c: Column) -> Column:
     return F.when(F.size(kept) > 0, F.slice(kept, 1, 18)).otherwise(F.slice(raw, 1, 12))
 
 
+def notebook_terms(c: Column) -> Column:
+    """As ``fulltext_terms`` with the notebook's stop words; else the first 12 tokens of any length."""
+    raw = tokens(F.lower(c))
+    kept = F.filter(raw, lambda t: (F.length(t) >= 2) & ~strip_accents(t).isin(*NOTEBOOK_STOP))
+    return F.when(F.size(kept) > 0, F.slice(kept, 1, 18)).otherwise(F.slice(raw, 1, 12))
+
+
+def folded(word: Column) -> Column:
+    """A lower-case word without its accents."""
+    return F.when(word.rlike("[^\\x00-\\x7F]"), strip_accents(word)).otherwise(word)
+
+
 def graph_terms(c: Column) -> Column:
     """Words that are no stop words, each accented one followed by its plain twin, 16 at most; else the first 8."""
     raw = F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0))

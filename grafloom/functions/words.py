@@ -4,6 +4,8 @@ from __future__ import annotations
 
 KEY_STOP = ("theo", "quy", "dinh", "cho", "toi", "hoi", "nhu", "nao", "ve", "va", "la", "cua", "duoc", "khong", "trong", "nhung", "gi", "cac", "mot", "so")
 GRAPH_STOP = KEY_STOP
+#: Stop words of the notebook's full-text questions.
+NOTEBOOK_STOP = ("theo", "quy", "dinh", "cho", "toi", "hoi", "nhu", "nao", "ve", "va", "la", "cua", "duoc", "khong", "trong", "cac")
 FULLTEXT_STOP = ("theo", "quy", "dinh", "cho", "toi", "hoi", "nhu", "nao", "ve")
 LEXICAL_STOP = (
     "theo", "quy", "định", "dinh", "cho", "tôi", "toi", "hỏi", "hoi", "như", "nhu", "nào", "nao", "về", "ve", "và", "va", "là", "la",

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from grafloom.functions.text import token_count
 from grafloom.operators.chunking import sliding
-from grafloom.operators.lexical import is_small
+from grafloom.operators.lexical import PLAIN, Form, is_small
 from grafloom.operators.term_index import TermIndex, placed
 from grafloom.sources.shared import kept
 from grafloom.sources.store import Store, Table, hashed
@@ -168,7 +168,9 @@ class LiveTerms(TermIndex):
         rows = self.store.read(table, self.store.touched(table, wanted))
         return rows.join(F.broadcast(wanted) if is_small(wanted) else wanted, "term", "left_semi")
 
-    def matches(self, terms: DataFrame, *more: str) -> DataFrame:
+    def matches(self, terms: DataFrame, *more: str, form: Form = PLAIN) -> DataFrame:
+        if not form.accents:
+            raise ValueError("buckets of a live index keep spellings of a word apart")
         rows = netted(self.opened(terms))
         return rows.select("term", F.col("i").alias(self.id_col), "tf", "dl", *more)
 

@@ -65,6 +65,11 @@ def scored(found: DataFrame, questions: DataFrame, chunks: DataFrame, query: str
     return kept(rows.select(query, "chunk_id", "node_id", (score + F.col("art") * 0.75 + F.col("cla") * 0.45).alias("score"), reasons.alias("reasons")))
 
 
+def to_places(score: Column) -> Column:
+    """A score to four places, halves up; sums in another order may fall 1e-10 short of a half."""
+    return F.floor(score * 10000 + 0.500001) / 10000
+
+
 def retrieve(lex: DataFrame, den: DataFrame, questions: DataFrame, chunks: DataFrame, parents: DataFrame, edges: DataFrame, query: str, k: int, variant: Variant = FULL) -> DataFrame:
     """(query, rank, chunk_id, score, reasons): the k best after expansion of the max(2 k, 12) best."""
     found = scored(combined(lex, den, query, "chunk_id"), questions, chunks, query, variant)
@@ -73,4 +78,4 @@ def retrieve(lex: DataFrame, den: DataFrame, questions: DataFrame, chunks: DataF
         wide = expand.expand_local(base, parents, edges, chunks, query, found)
     else:
         wide = expand.expand_up(base, parents, chunks, query, found, variant.depth)
-    return lexical.top(wide, k, query, "chunk_id").select(query, "rank", "chunk_id", F.round("score", 4).alias("score"), "reasons")
+    return lexical.top(wide, k, query, "chunk_id").select(query, "rank", "chunk_id", to_places(F.col("score")).alias("score"), "reasons")

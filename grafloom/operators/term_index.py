@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grafloom.functions.text import TOKEN
-from grafloom.operators.lexical import corpus_stats, idf, is_small, lengths, saturation, top
+from grafloom.functions.text import TOKEN, folded
+from grafloom.operators.lexical import PLAIN, Form, corpus_stats, is_small, lengths, top, total
 from grafloom.sources.shared import kept, shared_folder, spread
 
 BUCKETS = 64
@@ -31,7 +31,8 @@ COVER = 0.1
 
 
 def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    """The bucket of a term, which is that of its accented and plain spellings alike."""
+    return F.pmod(F.xxhash64(folded(term)), F.lit(BUCKETS)).cast("int")
 
 
 def placed(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -119,29 +120,39 @@ class TermIndex:
             found = spark.createDataFrame([], "term string, n int, most_tf int, least_dl int, docs array<bigint>, tfs array<int>, dls array<int>, gaps array<array<int>>, bucket int")
         return cls(found, corpus, id_col)
 
-    def opened(self, terms: DataFrame) -> DataFrame:
-        """The blocks of the terms (column term), from the folders of these alone."""
+    def opened(self, terms: DataFrame, form: Form = PLAIN) -> DataFrame:
+        """The blocks of the terms (column term), from the folders of these alone; where accents do not count, of all their
+        spellings, as ``term`` without them."""
         folders = sorted(r.b for r in terms.select(bucket(F.col("term")).alias("b")).distinct().collect() if r.b is not None)  # BUCKETS at most
         wanted = terms.select("term").distinct()
-        return self.blocks.filter(F.col("bucket").isin(folders)).join(F.broadcast(wanted) if is_small(wanted) else wanted, "term", "left_semi")
+        held = self.blocks.filter(F.col("bucket").isin(folders))
+        held = held if form.accents else held.withColumn("term", folded(F.col("term")))
+        return held.join(F.broadcast(wanted) if is_small(wanted) else wanted, "term", "left_semi")
 
-    def matches(self, terms: DataFrame, *more: str) -> DataFrame:
+    def matches(self, terms: DataFrame, *more: str, form: Form = PLAIN) -> DataFrame:
         """(term, id, tf, dl, and ``more``: gaps) of the terms' postings."""
-        rows = self.opened(terms).select("term", F.explode(F.arrays_zip("docs", "tfs", "dls", *more)).alias("x"))
+        rows = self.opened(terms, form).select("term", F.explode(F.arrays_zip("docs", "tfs", "dls", *more)).alias("x"))
         return rows.select("term", F.col("x.docs").alias(self.id_col), F.col("x.tfs").alias("tf"), F.col("x.dls").alias("dl"), *(F.col(f"x.{c}") for c in more))
 
     def frequencies(self, terms: DataFrame) -> DataFrame:
         """(term, df) from the heads of the blocks."""
         return self.opened(terms).groupBy("term").agg(F.sum("n").alias("df"))
 
-    def bm25(self, terms: DataFrame, query_col: str) -> DataFrame:
-        """(query, id, score) of all documents that hold a term of a question; ``terms`` is (query, term), distinct."""
+    def bm25(self, terms: DataFrame, query_col: str, form: Form = PLAIN) -> DataFrame:
+        """(query, id, score) of all documents that hold a term of a question; ``terms`` is (query, term), distinct, with
+        ``times`` if some count more than once.  Spellings that one form takes as one term are added up a document."""
         few = is_small(terms)
         send = F.broadcast if few else lambda x: x
         n, avgdl = self.corpus.first()
-        weight = idf(F.lit(n), F.col("df")) * saturation(F.col("tf"), F.col("dl"), F.lit(avgdl))
-        scored = self.matches(terms).join(send(self.frequencies(terms)), "term").select(self.id_col, "term", weight.alias("w"))
-        return scored.join(send(terms), "term").groupBy(query_col, self.id_col).agg(F.sum("w").alias("score"))
+        held = self.matches(terms, form=form)
+        if form.accents:
+            frequencies = self.frequencies(terms)
+        else:
+            held = kept(held.groupBy("term", self.id_col).agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl")))
+            frequencies = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        weight = form.weight(F.lit(n), F.col("df"), F.col("tf"), F.col("dl"), F.lit(avgdl))
+        scored = held.join(send(frequencies), "term").select(self.id_col, "term", weight.alias("w"))
+        return scored.join(send(terms), "term").groupBy(query_col, self.id_col).agg(total(terms).alias("score"))
 
     def any_cover(self, terms: DataFrame, query_col: str) -> DataFrame:
         """(query, id, rank_cd): cover density of questions that any of their terms meets.  A cover is then a single

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grafloom.engine import ASKED as ASKED_BY
 from grafloom.functions import text as X
 from grafloom.operators import ann, dense, expand, fusion, lexical, local, records
 from grafloom.operators.live_index import LiveIndex
@@ -17,7 +18,7 @@ from grafloom.operators.term_index import TermIndex
 from grafloom.plans.book import Book, small, table
 from grafloom.sources.shared import dealt, kept, shared_folder
 from grafloom.plans.texts import KEY_TERMS, STRIP, TOK, UNIQUE, sql_list
-from grafloom.functions.words import LEXICAL_STOP
+from grafloom.functions.words import FULLTEXT_STOP, GRAPH_STOP, LEXICAL_STOP, NOTEBOOK_STOP
 
 BOOK = Book()
 
@@ -40,6 +41,33 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 bm AS (SELECT q.item_id, tf.doc_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / greatest(avgdl, 1.0))))) AS score
   FROM tf JOIN q USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY ALL),
 lex AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm)"""
+
+
+def words_sql(asked: str, word: str, weight: str) -> str:
+    """Steps to ``lex`` (item_id, doc_id, score, rank) for questions' terms (item_id, a list k), words of documents as
+    ``word`` says, and the weight of a term."""
+    return f"""q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, {word.format('t')} AS term FROM (SELECT item_id, unnest(k) AS t FROM ({asked}))) GROUP BY ALL),
+words AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(lower(text), '{TOK}'), lambda t: {word.format('t')})) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+dl AS (SELECT doc_id, greatest(len(regexp_extract_all(text, '{TOK}')), 1) AS dl FROM documents),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+bm AS (SELECT q.item_id, tf.doc_id, sum(times * {weight}) AS score FROM tf JOIN q USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY ALL),
+lex AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm)"""
+
+
+PART = "tf * {0}::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / greatest(avgdl, 1.0)))"
+ODDS = "(n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)"
+#: Terms of full-text questions by stop words and least length in the second choice; words without accents.
+ASKED = f"SELECT item_id, CASE WHEN len(k) > 0 THEN list_slice(k, 1, 18) ELSE list_slice(list_filter(r, lambda t: length(t) >= {{1}}), 1, 12) END AS k FROM (SELECT item_id, r, list_filter(r, lambda t: length(t) >= 2 AND NOT list_contains({{0}}, strip_accents(t))) AS k FROM (SELECT item_id, regexp_extract_all(lower(text), '{TOK}') AS r FROM benchmark))"
+SCARCE = f"greatest(ln({ODDS}), 1e-6::DOUBLE) * {PART.format(2.2)}"
+FULLTEXT = words_sql(ASKED.format(sql_list(FULLTEXT_STOP), 2), STRIP, SCARCE)
+NOTEBOOK = words_sql(ASKED.format(sql_list(NOTEBOOK_STOP), 1), STRIP, SCARCE)
+GRAPH_WORDS = words_sql(
+    f"SELECT item_id, CASE WHEN len(u) > 0 THEN list_slice(u, 1, 16) ELSE list_slice(raw, 1, 8) END AS k FROM (SELECT item_id, raw, {UNIQUE.format('k')} AS u FROM (SELECT item_id, raw, flatten(list_transform(list_filter(raw, lambda t: length(t) >= 2 AND NOT list_contains({sql_list(GRAPH_STOP)}, lower(strip_accents(t)))), lambda t: CASE WHEN strip_accents(lower(t)) <> lower(t) THEN [t, strip_accents(t)] ELSE [t] END)) AS k FROM (SELECT item_id, regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{Nd}}_]+') AS raw FROM benchmark)))",
+    "lower({0})",
+    f"ln(1 + {ODDS}) * {PART.format(1)}",
+)
 DENSE = """den AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (
   SELECT b.item_id, v.vec_id AS doc_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id, embeddings v))"""
 
@@ -62,6 +90,13 @@ def lexical_ranks(spark: SparkSession, d: str, k: int) -> DataFrame:
     return lexical.top(lexical_scores(spark, d), k, "item_id", "doc_id")
 
 
+def word_ranks(spark: SparkSession, d: str, k: int, mode: str) -> DataFrame:
+    """The k best documents of the word list that a retriever asks."""
+    words, form = ASKED_BY[mode]
+    asked = lexical.asked(table(spark, d, "benchmark"), "item_id", words(F.col("text")), form)
+    return lexical.top(lexical.bm25(table(spark, d, "documents").select("doc_id", "text"), asked, form=form), k, "item_id", "doc_id")
+
+
 def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
@@ -87,6 +122,27 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return rounded(lexical_ranks(spark, d, 10), "score").select("item_id", "rank", "doc_id", "score")
 
 
+@BOOK.add(f"WITH {FULLTEXT} SELECT item_id, rank, doc_id, round(score, 6) AS score FROM lex WHERE rank <= 40")
+def fulltext_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The word list of the local pipeline: words without accents, common ones hardly counted."""
+    return rounded(word_ranks(spark, d, 40, "local"), "score").select("item_id", "rank", "doc_id", "score")
+
+
+@BOOK.add(f"WITH {GRAPH_WORDS} SELECT item_id, rank, doc_id, round(score, 6) AS score FROM lex WHERE rank <= 50")
+def graph_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The word list of the graph retriever: accented words and their plain twins."""
+    return rounded(word_ranks(spark, d, 50, "graph"), "score").select("item_id", "rank", "doc_id", "score")
+
+
+@BOOK.add(BOOK.sql["fulltext_topk"])
+def fulltext_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same from the index by term, whose buckets hold all spellings of a word."""
+    words, form = ASKED_BY["local"]
+    asked = lexical.asked(table(spark, d, "benchmark"), "item_id", words(F.col("text")), form)
+    best = lexical.top(term_index(spark, d).bm25(asked, "item_id", form), 40, "item_id", "doc_id")
+    return rounded(best, "score").select("item_id", "rank", "doc_id", "score")
+
+
 @BOOK.add(f"WITH {BM25} SELECT item_id, count(*) AS n_matches, min(doc_id) AS first_doc FROM bm GROUP BY item_id")
 def lexical_or_match(spark: SparkSession, d: str) -> DataFrame:
     return lexical_scores(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_matches"), F.min("doc_id").alias("first_doc"))
@@ -289,10 +345,10 @@ def best_of(seeds: DataFrame, reached: DataFrame) -> DataFrame:
 FINAL = "SELECT item_id, rank, doc_id, round(score, 4) AS score, reasons FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT item_id, doc_id, max(score) AS score, coalesce(max(why), 'neo4j_graph') AS reasons FROM {0} GROUP BY ALL)) WHERE rank <= 10"
 
 
-@BOOK.add(f"WITH {CHUNKS}, {BM25}, {GRAPH}, lx AS (SELECT * FROM lex WHERE rank <= 50), {rerank_sql('lx')}, sd AS (SELECT item_id, 'doc:' || doc_id AS node, score FROM rr), {expand_sql('sd')}, {FETCH} {FINAL.format("(SELECT item_id, doc_id, score, 'neo4j_fulltext' AS why FROM rr UNION ALL SELECT *, NULL FROM fe)")}")
+@BOOK.add(f"WITH {CHUNKS}, {GRAPH_WORDS}, {GRAPH}, lx AS (SELECT * FROM lex WHERE rank <= 50), {rerank_sql('lx')}, sd AS (SELECT item_id, 'doc:' || doc_id AS node, score FROM rr), {expand_sql('sd')}, {FETCH} {FINAL.format("(SELECT item_id, doc_id, score, 'neo4j_fulltext' AS why FROM rr UNION ALL SELECT *, NULL FROM fe)")}")
 def retrieve_graph(spark: SparkSession, d: str) -> DataFrame:
     """Lexical seeds, reranked, and what the graph reaches from them."""
-    seeds = kept(reranked(spark, d, lexical_ranks(spark, d, 50)).select("item_id", "doc_id", "score", F.array(F.lit(fusion.BY_SEED)).alias("reasons")))
+    seeds = kept(reranked(spark, d, word_ranks(spark, d, 50, "graph")).select("item_id", "doc_id", "score", F.array(F.lit(fusion.BY_SEED)).alias("reasons")))
     reached = fetch(spark, d, expand.expand(with_nodes(seeds), parents(spark, d), edges(spark, d), "item_id"))
     out = lexical.top(best_of(seeds, reached), 10, "item_id", "doc_id")
     return out.select("item_id", "rank", "doc_id", F.round("score", 4).alias("score"), F.array_join("reasons", ",").alias("reasons"))
@@ -319,7 +375,7 @@ NAMING = "' Điều ' || {0} % 6 || ' khoản ' || {0} % 4 || ' lao động'"
 LOCAL_TEXT, LOCAL_CITATION = "b.text || " + NAMING.format("b.item_id"), "c.citation || CASE WHEN c.doc_id % 3 <> 0 THEN " + NAMING.format("c.doc_id") + " ELSE '' END"
 LOCAL_TERMS = f"list_distinct({KEY_TERMS.format('(' + LOCAL_TEXT + ')')})"
 LOCAL_HAY = "lower(" + STRIP.format(f"c.title || ' ' || {LOCAL_CITATION} || ' ' || substring(c.text, 1, 600)") + ")"
-LOCAL_SQL = f"""WITH {CHUNKS}, {BM25}, {DENSE}, {GRAPH},
+LOCAL_SQL = f"""WITH {CHUNKS}, {FULLTEXT}, {DENSE}, {GRAPH},
 cb AS (SELECT item_id, doc_id, sum(s) AS score, bool_or(w = 1) AS fts, bool_or(w = 2) AS vec FROM (SELECT item_id, doc_id, 1.25::DOUBLE / (rank + 2) AS s, 1 AS w FROM lex WHERE rank <= 40 UNION ALL SELECT item_id, doc_id, greatest(score, 0) / sqrt(rank + 1), 2 FROM den WHERE rank <= 40) GROUP BY ALL),
 cs AS (SELECT cb.*, c.chunk_type, {LOCAL_TERMS} AS terms, {LOCAL_HAY} AS hay, c.doc_id % 3 <> 0 AND c.doc_id % 6 = b.item_id % 6 AS art, c.doc_id % 3 <> 0 AND c.doc_id % 4 = b.item_id % 4 AS cla FROM cb JOIN chunks c ON c.doc_id = cb.doc_id JOIN benchmark b ON b.item_id = cb.item_id),
 cv AS (SELECT *, len(list_filter(terms, lambda t: contains(hay, t)))::DOUBLE / least(len(terms), 10) AS cov FROM cs),
@@ -333,15 +389,15 @@ wb AS (SELECT item_id, doc_id, max(score) AS score FROM wy GROUP BY ALL),
 wo AS (SELECT wb.item_id, wb.doc_id, wb.score, min(o) AS o FROM wb JOIN wy ON wy.item_id = wb.item_id AND wy.doc_id = wb.doc_id AND wy.score = wb.score GROUP BY ALL),
 wr AS (SELECT wo.item_id, wo.doc_id, wo.score, list(reason ORDER BY wy.o) AS later FROM wo JOIN wy ON wy.item_id = wo.item_id AND wy.doc_id = wo.doc_id AND wy.o >= wo.o GROUP BY ALL),
 wf AS (SELECT wr.*, list_concat(coalesce(own, []), later) AS k, row_number() OVER (PARTITION BY wr.item_id ORDER BY round(wr.score, 9) DESC, wr.doc_id) AS rank FROM wr LEFT JOIN ct ON ct.item_id = wr.item_id AND ct.doc_id = wr.doc_id)
-SELECT item_id, rank, doc_id AS chunk_id, round(score, 4) AS score, array_to_string({UNIQUE.format('k')}, ',') AS reasons FROM wf WHERE rank <= 10"""
+SELECT item_id, rank, doc_id AS chunk_id, floor(score * 10000 + 0.500001::DOUBLE) / 10000 AS score, array_to_string({UNIQUE.format('k')}, ',') AS reasons FROM wf WHERE rank <= 10"""
 
 
-def local_parts(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+def local_parts(spark: SparkSession, d: str, mode: str = "local") -> tuple[DataFrame, ...]:
     """(list of words, list of vectors, questions, chunks) of the local pipeline."""
     naming = lambda c: F.concat(F.lit(" Điều "), (c % 6).cast("string"), F.lit(" khoản "), (c % 4).cast("string"), F.lit(" lao động"))
     items = table(spark, d, "benchmark").select("item_id", F.concat("text", naming(F.col("item_id"))).alias("text"))
     own = chunks(spark, d).withColumn("citation", F.concat("citation", F.when(F.col("doc_id") % 3 != 0, naming(F.col("doc_id"))).otherwise("")))
-    return lexical_ranks(spark, d, 40).withColumnRenamed("doc_id", "chunk_id"), dense_ranks(spark, d, 40).withColumnRenamed("doc_id", "chunk_id"), items, own
+    return word_ranks(spark, d, 40, mode).withColumnRenamed("doc_id", "chunk_id"), dense_ranks(spark, d, 40).withColumnRenamed("doc_id", "chunk_id"), items, own
 
 
 @BOOK.add(LOCAL_SQL)
@@ -354,7 +410,7 @@ def retrieve_local(spark: SparkSession, d: str) -> DataFrame:
 NB_TERMS = f"list_filter(regexp_extract_all(lower({STRIP.format('(' + LOCAL_TEXT + ')')}), '{TOK}'), lambda t: length(t) >= 2)"
 NB_HAY = LOCAL_HAY.replace("1, 600", "1, 800")
 #: Sources are chunks of their own here, so that ancestors are reached.
-NOTEBOOK_SQL = f"""WITH {CHUNKS}, {BM25}, {DENSE},
+NOTEBOOK_SQL = f"""WITH {CHUNKS}, {NOTEBOOK}, {DENSE},
 cb AS (SELECT item_id, doc_id, sum(s) AS score, bool_or(w = 1) AS fts, bool_or(w = 2) AS vec FROM (SELECT item_id, doc_id, 1.25::DOUBLE / (rank + 2) AS s, 1 AS w FROM lex WHERE rank <= 40 UNION ALL SELECT item_id, doc_id, greatest(score, 0) / sqrt(rank + 1), 2 FROM den WHERE rank <= 40) GROUP BY ALL),
 cs AS (SELECT cb.*, {NB_TERMS} AS terms, {NB_HAY} AS hay FROM cb JOIN chunks c ON c.doc_id = cb.doc_id JOIN benchmark b ON b.item_id = cb.item_id),
 cv AS (SELECT *, len(list_filter(terms, lambda t: contains(hay, t)))::DOUBLE / least(len(terms), 12) AS cov FROM cs),
@@ -363,14 +419,14 @@ bs AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9
 wy AS (SELECT item_id, chunk_id, score, own || ',base' AS reasons, place FROM bs UNION ALL SELECT bs.item_id, 's' || d.source, bs.score * 0.62::DOUBLE, 'ancestor', place FROM bs JOIN documents d USING (doc_id)),
 wb AS (SELECT *, row_number() OVER (PARTITION BY item_id, chunk_id ORDER BY score DESC, place) AS n FROM wy QUALIFY n = 1),
 wf AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM wb)
-SELECT item_id, rank, chunk_id, round(score, 4) AS score, reasons FROM wf WHERE rank <= 10"""
+SELECT item_id, rank, chunk_id, floor(score * 10000 + 0.500001::DOUBLE) / 10000 AS score, reasons FROM wf WHERE rank <= 10"""
 
 
 @BOOK.add(NOTEBOOK_SQL)
 def retrieve_notebook(spark: SparkSession, d: str) -> DataFrame:
     """The notebook's form of the local pipeline: all terms, and of the graph only ancestors."""
     named = lambda df: df.withColumn("chunk_id", F.concat(F.lit("d"), F.col("chunk_id").cast("string")))
-    lex, den, items, own = local_parts(spark, d)
+    lex, den, items, own = local_parts(spark, d, "notebook")
     above = table(spark, d, "documents").select("source").distinct()
     empty = F.lit("")
     above = above.select(F.concat(F.lit("s"), "source").alias("chunk_id"), F.concat(F.lit("src:"), "source").alias("node_id"), F.lit("structure").alias("chunk_type"), F.col("source").alias("title"), empty.alias("citation"), empty.alias("text"), F.lit(0).cast("long").alias("ordinal"))

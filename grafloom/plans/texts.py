@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from grafloom.functions import text as X
 from grafloom.functions.vectors import hash_embedding
-from grafloom.functions.words import DOC_TYPE, DOC_TYPES, IDENTIFIER, ISSUER, ISSUERS, KEY_STOP, LEXICAL_STOP, PRIVATE, PUBLIC, RELATIONS
+from grafloom.functions.words import DOC_TYPE, DOC_TYPES, IDENTIFIER, ISSUER, ISSUERS, KEY_STOP, LEXICAL_STOP, NOTEBOOK_STOP, PRIVATE, PUBLIC, RELATIONS
 from grafloom.operators import chunking
 from grafloom.plans.book import Book, table
 from grafloom.sources import files, sinks
@@ -98,6 +98,11 @@ def fulltext_terms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.array_join(X.fulltext_terms(F.col("text")), " ").alias("terms"))
 
 
+@BOOK.add(f"SELECT item_id, array_to_string(CASE WHEN len(k) > 0 THEN list_slice(k, 1, 18) ELSE list_slice(r, 1, 12) END, ' ') AS terms FROM (SELECT item_id, r, list_filter(r, lambda t: length(t) >= 2 AND NOT list_contains({sql_list(NOTEBOOK_STOP)}, strip_accents(t))) AS k FROM (SELECT item_id, regexp_extract_all(lower(text), '{TOK}') AS r FROM benchmark))")
+def notebook_terms(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select("item_id", F.array_join(X.notebook_terms(F.col("text")), " ").alias("terms"))
+
+
 @BOOK.add(
     f"SELECT item_id, array_to_string(CASE WHEN len(u) > 0 THEN list_slice(u, 1, 16) WHEN len(raw) > 0 THEN list_slice(raw, 1, 8) ELSE [text] END, ' ') AS terms FROM (SELECT *, {UNIQUE.format('k')} AS u FROM (SELECT item_id, text, raw, flatten(list_transform(list_filter(raw, lambda t: length(t) >= 2 AND NOT list_contains({sql_list(KEY_STOP)}, lower(strip_accents(t)))), lambda t: CASE WHEN strip_accents(lower(t)) <> lower(t) THEN [t, strip_accents(t)] ELSE [t] END)) AS k FROM (SELECT item_id, text, regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{Nd}}_]+') AS raw FROM benchmark)))"
 )

@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -277,3 +278,28 @@ def test_dense_search_agrees(spark, monkeypatch):
     assert "hashpartitioning(part" in found._jdf.queryExecution().toString() and "salt" in found._jdf.queryExecution().toString()
     monkeypatch.setattr(dense, "RUN", 40)
     assert answers(dense.similarities(vectors, asked, 5)) == exact(rows, rows[:60], 5)
+
+
+def test_full_text_takes_all_spellings_as_one_word(spark):
+    texts = {0: "thuế thu nhập", 1: "thue thuế THUẾ đất", 2: "đất đai", 3: None, 4: "", 5: "thu nhap khac nua", 6: "xa la"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    asked = {1: ["thuế", "thu", "thuế"], 2: ["la", "đat"], 3: ["khong"]}
+    questions = spark.createDataFrame(list(asked.items()), "item_id long, k array<string>")
+    for form in (lexical.FULLTEXT, lexical.GRAPH):
+        fold = (lambda t: unicodedata.normalize("NFD", t.lower()).translate({0x111: "d"}).encode("ascii", "ignore").decode()) if not form.accents else str.lower
+        words = {i: [fold(w) for w in (t or "").split()] for i, t in texts.items()}
+        size = {i: max(len(w), 1) for i, w in words.items()}
+        mean, n, want = sum(size.values()) / len(size), len(size), {}
+        for q, terms in asked.items():
+            for t in map(fold, terms):
+                df = sum(t in w for w in words.values())
+                odds = (n - df + 0.5) / (df + 0.5)
+                rare = math.log(1 + odds) if form.added else max(math.log(odds), 1e-6)
+                for i, w in words.items():
+                    if t in w:
+                        part = w.count(t) * (2.2 if form.scaled else 1) / (w.count(t) + 1.2 * (0.25 + 0.75 * size[i] / mean))
+                        want[q, i] = want.get((q, i), 0) + rare * part
+        terms = lexical.asked(questions, "item_id", F.col("k"), form)
+        index = TermIndex.build(docs, "doc_id", F.col("text"))
+        for found in (index.bm25(terms, "item_id", form), lexical.bm25(docs, terms, form=form)):
+            assert {(r.item_id, r.doc_id): round(r.score, 9) for r in found.collect()} == {k: round(v, 9) for k, v in want.items()}

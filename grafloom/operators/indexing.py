@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grafloom.operators.lexical import is_small
 from grafloom.operators.merge import upsert, versions
 
 
@@ -51,11 +52,18 @@ def graph_of(laws: DataFrame, chunks: DataFrame, old: DataFrame | None = None) -
     return nodes, of_chunks.unionByName(of_sections).unionByName(replaced).distinct()
 
 
+#: Edges of a row of ``of_type``, on average.
+ROW = 4096
+
+
 def of_type(edges: DataFrame, relation: str = "rel_type") -> DataFrame:
-    """(relation, edges): the edges of each type as one row a type and source block, for a store that loads them by type;
-    blocks keep a type that most edges have from meeting in one task."""
-    block = F.pmod(F.xxhash64("source_id"), F.lit(256))
-    return edges.groupBy(relation, block.alias("block")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("source_id", "target_id"))).alias("edges"))
+    """(relation, block, n, edges): the edges of each type in rows of some ``ROW`` edges, for a store that loads them by
+    type.  A type has as many blocks as it has edges for, and edges are dealt to these by both ends, so neither a type nor
+    a source that most edges have makes a long row; copies of one edge are in one row."""
+    blocks = edges.groupBy(F.col(relation).alias("of")).agg(F.ceil(F.count(F.lit(1)) / ROW).alias("blocks"))
+    joined = edges.join(F.broadcast(blocks) if is_small(blocks) else blocks, F.col(relation).eqNullSafe(F.col("of")))
+    block = F.pmod(F.xxhash64("source_id", "target_id"), F.col("blocks"))
+    return joined.groupBy(relation, block.alias("block")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("source_id", "target_id"))).alias("edges"))
 
 
 def write_by_key(tables: dict[str, DataFrame], path: str) -> None:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grafloom.functions import text as X
-from grafloom.operators import chunking, dense, expand, fusion, lexical, merge, metrics, packing, rules, search, structure
+from grafloom.operators import chunking, dense, expand, fusion, indexing, lexical, merge, metrics, packing, rules, search, structure
 from grafloom.streaming import limits, memory
 
 
@@ -348,3 +348,19 @@ def test_vector_literals(spark):
     values = [0.0, -0.25, 1.0, 100.0, 1e-5, 0.1, 123456789.0, 1 / 3]
     text = spark.createDataFrame([(values,)], "v array<double>").select(vector_literal("v")).first()[0]
     assert text == "[" + ",".join("%.8g" % x for x in values) + "]"
+
+
+def test_seeds_are_what_few_texts_hold(spark):
+    """A word that all texts hold and only one needle has is no seed; needles with a seed that no text holds meet nothing."""
+    texts = spark.range(400).select(F.col("id").alias("i"), F.concat(F.lit("one common word in "), F.when(F.col("id") % 100 == 0, "some rare texts ").otherwise(""), F.col("id")).alias("t"))
+    needles = spark.createDataFrame([("one common word in some rare texts",), ("a rare thing of rare kinds",), ("rare texts 1",)], "n string")
+    found = search.containing(texts, "i", "t", needles, "n")
+    assert sorted((r.i, r.n) for r in found.collect()) == sorted([(k, "one common word in some rare texts") for k in (0, 100, 200, 300)] + [(100, "rare texts 1")])
+    scans = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "CartesianProduct" in line]
+    assert not scans
+
+
+def test_rows_of_a_type_stay_short(spark):
+    edges = spark.range(40000).select(F.lit("big").alias("rel_type"), F.lit(1).alias("source_id"), F.col("id").alias("target_id")).unionByName(spark.createDataFrame([("few", 1, 2), (None, 3, 4)], "rel_type string, source_id int, target_id long"))
+    rows = indexing.of_type(edges).collect()
+    assert max(len(r.edges) for r in rows) < 2 * indexing.ROW and sum(r.n for r in rows) == 40002 and {r.rel_type for r in rows} == {"big", "few", None}

@@ -58,11 +58,11 @@ def structure_edges(spark: SparkSession, d: str) -> DataFrame:
 @BOOK.add("SELECT 'edge:' || substring(sha1(source || '|' || relation || '|' || target || '|' || substring(ev, 1, 80)), 1, 20) AS edge_id, source AS source_id, target AS target_id, relation, substring(min(ev), 1, 500) AS evidence FROM (SELECT 'src:' || source AS source, 'lang:' || lang AS target, 'THUỘC_VỀ' AS relation, substring(text, 1, 600) AS ev FROM documents) GROUP BY ALL")
 def edge_dedup(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    e = docs.select(F.concat(F.lit("src:"), "source").alias("source_id"), F.concat(F.lit("lang:"), "lang").alias("target_id"), F.lit("THUỘC_VỀ").alias("relation"), F.substring("text", 1, 600).alias("evidence"))
+    e = docs.select(F.concat(F.lit("src:"), "source").alias("source_id"), F.concat(F.lit("lang:"), "lang").alias("target_id"), F.lit("THUỘC_VỀ").alias("relation"), F.col("text").alias("evidence"))
     return structure.dedup_edges(e)
 
 
-BOOK.sql["edge_dedup"] = "SELECT edge_id, source_id, target_id, relation, substring(min(ev), 1, 500) AS evidence FROM (SELECT 'edge:' || substring(sha1('src:' || source || '|THUỘC_VỀ|lang:' || lang || '|' || substring(text, 1, 80)), 1, 20) AS edge_id, 'src:' || source AS source_id, 'lang:' || lang AS target_id, 'THUỘC_VỀ' AS relation, substring(text, 1, 600) AS ev FROM documents) GROUP BY ALL"
+BOOK.sql["edge_dedup"] = "SELECT edge_id, source_id, target_id, relation, substring(min(ev), 1, 500) AS evidence FROM (SELECT 'edge:' || substring(sha1('src:' || source || '|THUỘC_VỀ|lang:' || lang || '|' || substring(text, 1, 80)), 1, 20) AS edge_id, 'src:' || source AS source_id, 'lang:' || lang AS target_id, 'THUỘC_VỀ' AS relation, text AS ev FROM documents) GROUP BY ALL"
 
 
 @BOOK.add("SELECT source AS node_id, arg_min(lang, doc_id) AS label, arg_min(doc_id, doc_id) AS first_doc, md5(arg_max(text, doc_id)) AS text_md5 FROM documents GROUP BY source")
@@ -122,11 +122,26 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
     return structure.citations(nodes.withColumn("text", F.concat_ws(" ", "text", named)), guides)
 
 
-@BOOK.add(law_sql.following())
+LAYERS = f"WITH layer AS ({law_sql.LAYER_EDGES_SQL}), used AS (SELECT target_id AS node_id, count(*) AS n FROM layer GROUP BY target_id)"
+
+
+def used(spark: SparkSession, d: str) -> DataFrame:
+    """(node_id, n): how many edges of the documents' layers lead to a node."""
+    return rules.layers(law_like(spark, d))[1].groupBy(F.col("target_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@BOOK.add(f"{LAYERS} SELECT f.*, coalesce(a.n, 0) AS from_documents, coalesce(b.n, 0) AS to_documents FROM ({law_sql.following()}) f LEFT JOIN used a ON a.node_id = f.source_id LEFT JOIN used b ON b.node_id = f.target_id")
 def life_cycles(spark: SparkSession, d: str) -> DataFrame:
-    return rules.stages(spark)[1]
+    """Steps of both life cycles, and how many edges of documents lead to either end."""
+    n = kept(used(spark, d))
+    out = rules.stages(spark)[1]
+    for end, name in (("source_id", "from_documents"), ("target_id", "to_documents")):
+        out = out.join(n.select(F.col("node_id").alias(end), F.col("n").alias(name)), end, "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("from_documents", "to_documents")})
 
 
-@BOOK.add(law_sql.fixed_nodes())
+@BOOK.add(f"{LAYERS} SELECT f.*, coalesce(used.n, 0) AS n_edges FROM ({law_sql.fixed_nodes()}) f LEFT JOIN used USING (node_id)")
 def fixed_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return rules.stages(spark)[0].select("node_id", "node_type", "label", "text")
+    """Nodes that no text makes, and how many edges of documents lead to them."""
+    fixed = rules.stages(spark)[0].select("node_id", "node_type", "label", "text")
+    return fixed.join(used(spark, d), "node_id", "left").withColumn("n_edges", F.coalesce("n", F.lit(0))).drop("n")

@@ -6,9 +6,11 @@ one shingle).
 1. Texts of equal words form a class; its least id stands for it.  Each class is embedded as ``SKETCH`` min-hash
    tokens, of which two sets share a part close to their Jaccard similarity.
 2. A run splits all sets on sampled tokens: each split draws 1 / threshold token positions on average (that number
-   rounded down or up, so that no split draws none), and a set goes to the bucket (position, its token) of each.  Buckets of more than ``SMALL`` sets are split again, by
-   positions sampled anew for each bucket, up to ``LEVELS`` times; what is still large then holds sets that share
-   nearly all tokens, and is worked on in blocks that together cover all its pairs.  As many runs are made as the
+   rounded down or up, so that no split draws none), and a set goes to the bucket (position, its token) of each.  In a
+   bucket of more than ``SMALL`` sets all are compared with a few hubs, and those near the best hub are linked to it, so
+   they need not meet each other.  With up to ``SMALL`` others the bucket is done once these have met all its sets;
+   other buckets are split again, by positions sampled anew for each, up to ``LEVELS`` times, and what is still large
+   then has its others meet all its sets in blocks.  As many runs are made as the
    target recall needs where all buckets of a pair lie ``LEVELS`` splits deep, whatever tokens its sketches agree in.
 3. Buckets are brute-forced on the sketches, with a margin below the threshold that the recall accounts for; of the
    pairs found, a bucket gives out a spanning forest only.  Components of these are groups of candidates.
@@ -40,6 +42,8 @@ SKETCH = 64
 #: Sets in a bucket that is brute-forced as it is; times that larger ones are split.
 SMALL = 512
 LEVELS = 4
+#: Sets of a larger bucket with which all its sets are compared.
+HUBS = 4
 #: Sets of a group that are compared at once; blocks that a group is cut into, while these do not get too large.
 BLOCK = 256
 SPREAD = 64
@@ -327,8 +331,49 @@ def in_blocks(rows: DataFrame, size_col: str, block: Column, row_col: str) -> Da
     return out.withColumn("x", F.least("own", "z")).withColumn("y", F.greatest("own", "z")).drop("z")
 
 
+def hubs_of(members: DataFrame, least_equal: int, name: str = "") -> DataFrame:
+    """``members`` (path, n, rep, sketch, bits), ``n`` sets a path, with the path's hub, whether the set is ``near`` it and
+    how many sets of the path are not (``apart``).  The hub is that of ``HUBS`` drawn sets which most sets are near."""
+    drawn = [F.min_by(F.struct("rep", "bits"), F.xxhash64("rep", "path", F.lit(k))).alias(f"h{k}") for k in range(HUBS)]
+    drawn = materialize(members.groupBy("path").agg(*drawn), f"drawn{name}")
+    given = members.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        release_model()
+        for batch in batches:
+            of = {c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("bits", *(f"bits{k}" for k in range(HUBS)))}
+            mask = np.zeros(batch.num_rows, np.int32)
+            for k in range(HUBS):
+                mask |= ((of["bits"] == of[f"bits{k}"]).sum(axis=1) >= least_equal).astype(np.int32) << k
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in given), pa.array(mask)], names=[*given, "mask"])
+
+    met = members.join(drawn, "path").select(*given, *[F.col(f"h{k}.bits").alias(f"bits{k}") for k in range(HUBS)])
+    met = materialize(met.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema) + ", mask int"), f"met{name}")
+    near = lambda k: F.shiftright("mask", k).bitwiseAND(1)
+    many = met.groupBy("path").agg(F.count(F.lit(1)).alias("n"), *[F.sum(near(k)).alias(f"n{k}") for k in range(HUBS)])
+    best = F.greatest(*[F.struct(F.col(f"n{k}").alias("n"), F.lit(1 << k).alias("bit"), F.col(f"h{k}.rep").alias("hub")) for k in range(HUBS)])
+    best = many.join(drawn, "path").select("path", "n", best.alias("best"))
+    best = materialize(best.select("path", "best.hub", "best.bit", (F.col("n") - F.col("best.n")).alias("apart")), f"hubs{name}")
+    return met.join(best, "path").select(*given, "hub", F.expr("mask & bit <> 0").alias("near"), "apart")
+
+
+def around_hubs(rows: DataFrame) -> DataFrame:
+    """(path, x, y, rep, bits) of rows with hubs: cells in which the sets apart from the hub meet each other (x >= 0), and
+    all those near it (x < 0)."""
+    apart = in_blocks(rows.filter("not near and apart > 1"), "apart", F.lit(SMALL), "rep").select("path", "x", "y", "rep", "bits")
+    cut = lambda c: F.ceil(c / SMALL).cast("int")
+    place = lambda c: F.pmod(F.xxhash64("rep"), c).cast("int")
+    both = rows.filter("apart between 1 and n - 1").withColumn("xs", cut(F.col("n") - F.col("apart"))).withColumn("ys", cut(F.col("apart")))
+    own = F.when(F.col("near"), place(F.col("xs"))).otherwise(place(F.col("ys")))
+    both = both.withColumn("own", own).withColumn("z", F.explode(F.sequence(F.lit(0), F.when(F.col("near"), F.col("ys")).otherwise(F.col("xs")) - 1)))
+    x, y = F.when(F.col("near"), F.col("own")).otherwise(F.col("z")), F.when(F.col("near"), F.col("z")).otherwise(F.col("own"))
+    return apart.unionByName(both.select("path", (-1 - x).alias("x"), y.alias("y"), "rep", "bits"))
+
+
 def candidate_edges(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """(a, b): forests of the near pairs of all buckets of all runs."""
+    """(a, b): forests of the near pairs of all buckets of all runs, and pairs of sets with their hubs."""
     bits = reps.select("rep", low_bytes("sketch").alias("bits"))
     runs, least_equal = runs_for(threshold, recall), least_agreement(threshold, recall)
     sets, edges = reps.select("rep", "sketch"), None
@@ -337,17 +382,22 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float) -> DataFra
         # Written, so that the join deals both sides by itself and Spark can split a path that very many sets share.
         counts = materialize(paths.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), f"counts{level}")
         shared = materialize(paths.join(counts, "path"), f"shared{level}")
-        last = level == LEVELS
-        ready = shared if last else shared.filter(F.col("n") <= SMALL)
-        ready = in_blocks(ready, "n", F.lit(SMALL), "rep").join(bits, "rep").select("path", "x", "y", "rep", "bits")
+        ready = in_blocks(shared.filter(F.col("n") <= SMALL), "n", F.lit(SMALL), "rep").join(bits, "rep").select("path", "x", "y", "rep", "bits")
+        large = shared.filter(F.col("n") > SMALL)
+        more = not large.isEmpty()
+        if more:
+            members = large.join(reps.select("rep", "sketch", low_bytes("sketch").alias("bits")), "rep").select("path", "n", "rep", "sketch", "bits")
+            large = hubs_of(materialize(members, f"large{level}"), least_equal, str(level))
+            done = large if level == LEVELS else large.filter(F.col("apart") <= SMALL)
+            ready = ready.unionByName(around_hubs(done))
         made = forests(ready, least_equal)
         edges = made if edges is None else edges.unionByName(made)
-        if last:
+        if not more:
             break
-        large = shared.filter(F.col("n") > SMALL).select("path", "rep")
-        if large.isEmpty():
+        edges = edges.unionByName(done.filter("near and rep <> hub").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct())
+        sets = large.filter(F.col("apart") > SMALL).select("path", "rep", "sketch")
+        if level == LEVELS or sets.isEmpty():
             break
-        sets = large.join(reps.select("rep", "sketch"), "rep").select("path", "rep", "sketch")
     return edges
 
 

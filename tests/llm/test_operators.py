@@ -315,6 +315,64 @@ def test_similar_reaches_its_recall_in_the_deepest_buckets(spark, monkeypatch):
     assert got.filter("n_links = 0").count() // 2 <= 2
 
 
+def rows_of_splits_and_cells(spark, monkeypatch, rows):
+    """Rows that splits below the root and the cells of buckets take, and the result."""
+    seen = {"split": 0, "cells": 0}
+    split, forests = jaccard.split, jaccard.forests
+
+    def counted_split(sets, threshold, runs):
+        out = split(sets, threshold, runs)
+        seen["split"] += out.count() if "path" in sets.columns else 0
+        return out
+
+    def counted_forests(members, least_equal):
+        seen["cells"] += members.count()
+        return forests(members, least_equal)
+
+    with monkeypatch.context() as m:
+        m.setattr(jaccard, "split", counted_split)
+        m.setattr(jaccard, "forests", counted_forests)
+        got = cases.ordered(jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "class_id", "n_links")
+    return seen, got
+
+
+def test_near_copies_are_not_split_again_and_their_cells_do_not_grow_as_their_square(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 8)
+    rows = near_copies(160, 41)
+    few, got = rows_of_splits_and_cells(spark, monkeypatch, rows[:80])
+    assert got == brute_links(rows[:80])
+    many, got = rows_of_splits_and_cells(spark, monkeypatch, rows)
+    assert got == brute_links(rows)
+    # Without hubs each of 14 runs splits all copies again at each level, and deals each to a cell for every 8 of them.
+    assert many["split"] < 14 * 160
+    assert many["cells"] < 3 * few["cells"] + 160
+
+
+@pytest.mark.parametrize("levels", [1, 2])
+def test_similar_where_sets_apart_from_the_hub_fill_several_blocks(spark, monkeypatch, levels):
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    monkeypatch.setattr(jaccard, "LEVELS", levels)
+    base, r = cases.passage(42, 200).split(), random.Random(42)
+    rows = []
+    # Two groups that share tokens, but are apart from each other's hub; and texts that drift from one to quite another.
+    for g in range(2):
+        for k in range(30):
+            own = base[:120] + [f"g{g}w{j}" for j in range(80)]
+            own[r.randrange(120, 200)] = f"x{g}y{k}"
+            rows.append((100 * g + k, " ".join(own)))
+    rows += [(300 + k, " ".join([f"d{j}" for j in range(2 * k)] + base[2 * k :])) for k in range(80)]
+    seen, got = rows_of_splits_and_cells(spark, monkeypatch, rows)
+    assert got == brute_links(rows) and seen["cells"] and (seen["split"] > 0) == (levels > 1)
+
+
+def test_similar_reaches_its_recall_where_no_hub_helps(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 1)
+    monkeypatch.setattr(jaccard, "hubs_of", lambda members, least_equal, name: members.selectExpr("*", "-1L as hub", "false as near", "n as apart"))
+    rows = pairs_at_the_threshold(2500)
+    got = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.filter("n_links = 0").count() // 2 <= 2
+
+
 def test_runs_reach_the_recall_at_the_deepest_level():
     runs = jaccard.runs_for(0.8, 0.9999)
     assert jaccard.missed_share(0.8, 0.9999, runs, jaccard.LEVELS) <= 1e-4 < jaccard.missed_share(0.8, 0.9999, runs - 1, jaccard.LEVELS)

@@ -33,6 +33,21 @@ class Form:
         rare = idf(n, df) if self.added else F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(LEAST))
         return rare * saturation(tf, dl, avgdl, self.k1, self.b) / (1.0 if self.scaled else self.k1 + 1)
 
+    def rarity(self, n: int, df):
+        """The part of ``weight`` that a term has alone, for arrays."""
+        import numpy as np
+
+        held = np.clip(df, 0, n)
+        with np.errstate(all="ignore"):
+            return np.log1p((n - held + 0.5) / (held + 0.5)) if self.added else np.fmax(np.log((n - df + 0.5) / (df + 0.5)), LEAST)
+
+    def saturated(self, tf, dl, avgdl: float):
+        """The other part, for arrays."""
+        import numpy as np
+
+        whole = tf * (self.k1 + 1) / np.maximum(tf + self.k1 * (1 - self.b + self.b * dl / max(avgdl, 1.0)), 1e-9)
+        return whole / (1.0 if self.scaled else self.k1 + 1)
+
 
 PLAIN = Form()
 #: The forms of the local pipeline's full-text lists and of the graph's.

@@ -125,6 +125,28 @@ def test_a_common_term_is_dealt_to_several_tasks(spark):
     assert sum(files.values()) == 3000 and len(files) > 1 and max(files.values()) < 2500
 
 
+def test_tokens_are_those_of_the_pattern():
+    import pyarrow as pa
+
+    r = random.Random(2)
+    pool = "aZ09 _-.\u00bf\u00c0\u00d7\u07ff\u0800\u1000\u1eb7\u1ef9\u1efa\u1fff\u2000\ud7ff\U0001f600"
+    texts = ["", "ab", "ab", "", *("".join(r.choices(pool, k=r.randint(0, 12))) for _ in range(3000)), "x"]
+    for held in (pa.array(texts), pa.array(["", ""]), pa.array([], pa.string()), pa.array(["skip", *texts]).slice(1)):
+        found, many = term_index.tokens_of(held)
+        want = [re.findall(TOKEN, x) for x in held.to_pylist()]
+        assert found.to_pylist() == [t for ts in want for t in ts] and many.tolist() == [len(ts) for ts in want]
+
+
+def test_postings_are_packed_before_they_are_exchanged(spark):
+    """Blocks come from batches of documents, so their exchange carries a row for a term, not for a posting."""
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("a b c d e").alias("text"))
+    rows = term_index.blocks(docs, "doc_id", F.col("text"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") > plan.index("hashpartitioning(bucket") and "rangepartitioning" not in plan
+    found = rows.agg(F.sum("n"), F.count(F.lit(1))).first()
+    assert found[0] == 10000 and found[1] < 500
+
+
 def test_an_index_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     terms = spark.createDataFrame([(1, "a")], "item_id long, term string")

@@ -28,6 +28,8 @@ BUCKETS = 64
 BLOCK = 128
 #: Parts of a bucket that are written by tasks of their own.
 DEALS = 4
+#: Bytes of text whose postings are packed together: some twenty times as many are held in memory.
+TEXT = 12_000_000
 #: Rows that Python hands over at once.
 ROWS = 20_000
 #: Pairs of a question's term and a document that are scored at once.
@@ -97,12 +99,25 @@ def tokens_of(text: pa.StringArray):
     at = ends[:-1][ends[:-1] < len(ok)]
     begin[at] = ok[at]  # a text's first token does not go on from the text before
     begin = np.flatnonzero(begin)
-    inside = np.cumsum(ok, dtype=np.int64)
+    inside = np.cumsum(ok, dtype=np.int32)
     offsets = np.append(inside[begin] - 1, inside[-1] if len(ok) else 0).astype(np.int32)
     found = pa.StringArray.from_buffers(len(begin), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[ok].tobytes()))
     return found, np.diff(np.searchsorted(begin, ends))
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, cut where the texts (column w) pass ``TEXT`` bytes; a longer text is one piece."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        size = pc.cumulative_sum(pc.cast(pc.binary_length(batch.column("w")), pa.int64())).to_numpy()
+        begin = 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(size.searchsorted((size[begin - 1] if begin else 0) + TEXT, "right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def blocks(docs: DataFrame, id_col: str, text: Column, positions: bool = True) -> DataFrame:
     """(term, n, most_tf, least_dl, docs, tfs, dls, gaps, bucket): the postings of each term in the documents of one batch,
     dealt by bucket and ``DEALS`` parts of its documents and sorted by term.  Without positions there are no gaps.
@@ -116,13 +131,13 @@ def blocks(docs: DataFrame, id_col: str, text: Column, positions: bool = True) -
         import numpy as np
         import pyarrow.compute as pc
 
-        for batch in batches:
+        for batch in pieces(batches):
             batch = batch.take(pc.array_sort_indices(batch.column("i"), null_placement="at_start"))
             words, ends = tokens_of(batch.column("w"))
             if not len(words):
                 continue
             terms = words.dictionary_encode()
-            doc = np.repeat(np.arange(batch.num_rows), ends)
+            doc = np.repeat(np.arange(batch.num_rows, dtype=np.int32), ends)
             code = terms.indices.to_numpy(zero_copy_only=False)
             order = np.argsort(code, kind="stable")  # documents and places stay in order
             doc, code = doc[order], code[order]

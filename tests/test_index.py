@@ -137,6 +137,16 @@ def test_tokens_are_those_of_the_pattern():
         assert found.to_pylist() == [t for ts in want for t in ts] and many.tolist() == [len(ts) for ts in want]
 
 
+def test_pieces_are_bounded_and_whole(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(term_index, "TEXT", 10)
+    texts = ["abc", "x" * 30, "", "abcdef", "abcd", "e", *["ab"] * 12]
+    found = list(term_index.pieces(iter([pa.RecordBatch.from_pydict({"w": pa.array(texts, pa.string())}), pa.RecordBatch.from_pydict({"w": pa.array([], pa.string())})])))
+    assert [x for b in found for x in b.column("w").to_pylist()] == texts
+    assert all(b.num_rows == 1 or sum(map(len, b.column("w").to_pylist())) <= 10 for b in found)
+
+
 def test_postings_are_packed_before_they_are_exchanged(spark):
     """Blocks come from batches of documents, so their exchange carries a row for a term, not for a posting."""
     docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("a b c d e").alias("text"))
